@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir, table
-from . import decontamination, token_store
+from . import decontamination, near_dedup, token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,28 @@ FROM d LEFT JOIN places USING (rid) LEFT JOIN items USING (rid)
 """
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return classes.withColumn("is_first", F.col("doc_id") == F.col("class_id"))
+
+
+#: Exact: all pairs that share a shingle, then the smallest doc_id that links lead to.
+OP3_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+t AS (SELECT min(doc_id) AS doc_id, w FROM d WHERE len(w) > 0 GROUP BY w),
+g AS (SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM t)),
+c AS (SELECT doc_id, s, count(*) AS n FROM g GROUP BY ALL),
+size AS (SELECT doc_id, sum(n) AS n FROM c GROUP BY ALL),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.n, y.n)) AS n FROM c x JOIN c y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM p JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE p.n >= 0.8 * (x.n + y.n - p.n)),
+e AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+r(a, b) AS (SELECT doc_id, doc_id FROM t UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+k AS (SELECT a AS doc_id, min(b) AS class_id FROM r GROUP BY a),
+m AS (SELECT d.doc_id, CASE WHEN len(d.w) = 0 THEN d.doc_id ELSE k.class_id END AS class_id FROM d LEFT JOIN t ON t.w = d.w LEFT JOIN k ON k.doc_id = t.doc_id)
+SELECT doc_id, class_id, doc_id = class_id AS is_first FROM m
+"""
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -57,7 +79,8 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
+    "op3_near_dedup": op3_near_dedup,
     "op8_token_store": op8_token_store,
 }
 
-SQL: dict[str, str] = {"op1_decontamination": OP1_SQL}
+SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op3_near_dedup": OP3_SQL}
