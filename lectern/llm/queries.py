@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir, table
-from . import decontamination, near_dedup, token_store
+from . import decontamination, near_dedup, secret_scan, token_store, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +68,59 @@ SELECT doc_id, class_id, doc_id = class_id AS is_first FROM m
 """
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    spans = F.col("secrets")
+    return found.select(
+        "doc_id",
+        *[secret_scan.count_kind(spans, k).alias(f"n_{k}") for k in secret_scan.BASE],
+        F.sha2(secret_scan.spans_text(secret_scan.base_spans(spans)), 256).alias("base_sha256"),
+        secret_scan.spans_text(spans).alias("spans"),
+    )
+
+
+def _kind_sql(kind: str, pattern: str, group: int, least: int, order: int) -> str:
+    """SQL for the places of one kind: what lies between matches and the matches, summed up."""
+    p = re.sub(r"\(\?i:([a-z_?|]+)\)", lambda m: "(" + re.sub("[a-z]", lambda c: f"[{c[0]}{c[0].upper()}]", m[1]) + ")", pattern).replace("'", "''")
+    return rf"""
+SELECT rid, {order} AS o, '{kind}' AS kind, CAST(list_sum(gap[1:i]) + coalesce(list_sum(n[1:i - 1]), 0) AS BIGINT) AS s, n[i] AS len
+FROM (SELECT rid, list_transform(regexp_split_to_array(t, '{p}'), lambda x: length(x)) AS gap,
+             list_transform(regexp_extract_all(t, '{p}'), lambda x: length(x)) AS n,
+             list_transform(regexp_extract_all(t, '{p}', {group}), lambda x: length(x)) AS m,
+             unnest(range(1, len(regexp_extract_all(t, '{p}')) + 1)) AS i FROM d)
+WHERE m[i] >= {least}"""
+
+
+OP6_SQL = (
+    "WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), f AS ("
+    + " UNION ALL ".join(_kind_sql(*r, order=i) for i, r in enumerate(secret_scan.RULES))
+    + r"""),
+a AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || s || ':' || (s + len), ',' ORDER BY s, o) FILTER (o < 3) AS base, string_agg(kind || ':' || s || ':' || (s + len), ',' ORDER BY s, o) AS spans FROM f GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (rid)
+"""
+)
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "method_verdict")
+
+
+OP9_SQL = rf"""
+WITH u AS (SELECT row_number() OVER () AS rid, page_id,
+  translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+rules(verdict, rule) AS (VALUES {", ".join(f"('{v}', '{r}')" for v, r in url_filter.RULES)}),
+parts AS (SELECT verdict, rule, regexp_extract(rule, '^[^/]*') AS rh, regexp_extract(rule, '^[^/]*(.*)', 1) AS rp FROM rules),
+fit AS (SELECT rid, rule, verdict, row_number() OVER (PARTITION BY rid ORDER BY length(rule) DESC, verdict) AS n FROM u JOIN parts
+  ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)),
+m AS (SELECT u.*, fit.rule, fit.verdict, CASE WHEN regexp_matches(host, '{"|".join(url_filter.BLOCKED_WORDS)}') THEN 'block' ELSE 'allow' END AS method_verdict
+  FROM u LEFT JOIN fit ON u.rid = fit.rid AND fit.n = 1)
+SELECT page_id, host, path, rule, coalesce(verdict, method_verdict) AS verdict, method_verdict FROM m
+"""
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -80,7 +134,9 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op3_near_dedup": op3_near_dedup,
+    "op6_secret_scan": op6_secret_scan,
     "op8_token_store": op8_token_store,
+    "op9_url_filter": op9_url_filter,
 }
 
-SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op3_near_dedup": OP3_SQL}
+SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op3_near_dedup": OP3_SQL, "op6_secret_scan": OP6_SQL, "op9_url_filter": OP9_SQL}
