@@ -81,7 +81,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _kind_sql(kind: str, pattern: str, group: int, least: int, order: int) -> str:
     """SQL for the places of one kind: what lies between matches and the matches, summed up."""
-    p = re.sub(r"\(\?i:([a-z_?|]+)\)", lambda m: "(" + re.sub("[a-z]", lambda c: f"[{c[0]}{c[0].upper()}]", m[1]) + ")", pattern).replace("'", "''")
+    p = re.sub(r"\(\?i:([a-z_?|]+)\)", lambda m: "(?:" + re.sub("[a-z]", lambda c: f"[{c[0]}{c[0].upper()}]", m[1]) + ")", pattern).replace("'", "''")
     return rf"""
 SELECT rid, {order} AS o, '{kind}' AS kind, CAST(list_sum(gap[1:i]) + coalesce(list_sum(n[1:i - 1]), 0) AS BIGINT) AS s, n[i] AS len
 FROM (SELECT rid, list_transform(regexp_split_to_array(t, '{p}'), lambda x: length(x)) AS gap,
