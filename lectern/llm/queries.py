@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir, table
-from . import decontamination, near_dedup, secret_scan, token_store, url_filter
+from . import decontamination, license_scan, near_dedup, secret_scan, token_store, topk, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,40 @@ FROM d LEFT JOIN places USING (rid) LEFT JOIN items USING (rid)
 """
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.find_licenses(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base_places").cast("long").alias("n_base"),
+        F.array_min("base_places").cast("long").alias("first_word"),
+        F.array_max("base_places").cast("long").alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
+OP2_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS} AS w FROM documents),
+t(n, label, base, text) AS (VALUES {", ".join(f"({i}, '{label}', {i < len(license_scan.PHRASES)}, '{text}')" for i, (label, text) in enumerate(license_scan.PHRASES + license_scan.TEMPLATES))}),
+tw AS (SELECT n, label, base, string_split(text, ' ') AS w FROM t),
+tg AS (SELECT n, label, base, len(w) - 1 AS grams, i - 1 AS place, w[i] || ' ' || w[i + 1] AS g FROM (SELECT *, unnest(range(1, len(w))) AS i FROM tw)),
+dg AS (SELECT rid, i - 1 AS pos, w[i] || ' ' || w[i + 1] AS g FROM (SELECT rid, w, unnest(range(1, len(w))) AS i FROM d)),
+v AS (SELECT DISTINCT rid, n, label, base, grams, place, pos - place AS diagonal FROM dg JOIN tg USING (g)),
+diag AS (SELECT rid, n, label, base, grams, diagonal, count(*) AS votes FROM v GROUP BY ALL),
+steps AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, n ORDER BY diagonal) > {license_scan.NEIGHBOUR} THEN 1 ELSE 0 END AS apart FROM diag),
+grp AS (SELECT *, sum(apart) OVER (PARTITION BY rid, n ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS g FROM steps),
+span AS (SELECT grp.rid, grp.n, grp.label, grp.base, grp.grams, g, count(DISTINCT place) AS covered, bool_or(votes = grp.grams) AS whole FROM grp JOIN v USING (rid, n, diagonal) GROUP BY ALL),
+ok AS (SELECT *, covered / grams AS share, CASE WHEN base THEN whole ELSE covered / grams >= {license_scan.COVERAGE} END AS counts FROM span),
+place AS (SELECT rid, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM diag WHERE base AND votes = grams GROUP BY rid),
+named AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (counts) AS labels, max(share) AS score FROM ok GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN place USING (rid) LEFT JOIN named USING (rid)
+"""
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return classes.withColumn("is_first", F.col("doc_id") == F.col("class_id"))
@@ -131,12 +165,34 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP10_SQL = """
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.rid <> c.rid WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
+    "op2_license_scan": op2_license_scan,
     "op3_near_dedup": op3_near_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op8_token_store": op8_token_store,
     "op9_url_filter": op9_url_filter,
+    "op10_topk": op10_topk,
 }
 
-SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op3_near_dedup": OP3_SQL, "op6_secret_scan": OP6_SQL, "op9_url_filter": OP9_SQL}
+SQL: dict[str, str] = {
+    "op1_decontamination": OP1_SQL,
+    "op2_license_scan": OP2_SQL,
+    "op3_near_dedup": OP3_SQL,
+    "op6_secret_scan": OP6_SQL,
+    "op9_url_filter": OP9_SQL,
+    "op10_topk": OP10_SQL,
+}
