@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir, table
-from . import decontamination, license_scan, near_dedup, secret_scan, token_store, topk, url_filter
+from . import decontamination, language_id, license_scan, near_dedup, quality, secret_scan, token_store, topk, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -102,6 +102,14 @@ SELECT doc_id, class_id, doc_id = class_id AS is_first FROM m
 """
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_language(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
     spans = F.col("secrets")
@@ -182,6 +190,8 @@ QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_license_scan": op2_license_scan,
     "op3_near_dedup": op3_near_dedup,
+    "op4_quality": op4_quality,
+    "op5_language": op5_language,
     "op6_secret_scan": op6_secret_scan,
     "op8_token_store": op8_token_store,
     "op9_url_filter": op9_url_filter,
