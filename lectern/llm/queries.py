@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir, table
-from . import decontamination, language_id, license_scan, near_dedup, quality, secret_scan, token_store, topk, url_filter
+from . import decontamination, language_id, license_scan, near_dedup, quality, secret_scan, sentencepiece_codec, token_store, topk, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -163,6 +163,16 @@ SELECT page_id, host, path, rule, coalesce(verdict, method_verdict) AS verdict,
 """
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, model), model)
+    same = F.coalesce(F.col("decoded") == F.col("text"), F.col("text").isNull())
+    return back.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), same.alias("round_trip"))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -193,6 +203,7 @@ QUERIES: dict[str, Query] = {
     "op4_quality": op4_quality,
     "op5_language": op5_language,
     "op6_secret_scan": op6_secret_scan,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_token_store": op8_token_store,
     "op9_url_filter": op9_url_filter,
     "op10_topk": op10_topk,
