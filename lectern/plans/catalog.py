@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import event_queries, text_queries
+from . import event_queries, geometry_queries, text_queries
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     **text_queries.QUERIES,
     **event_queries.QUERIES,
+    **geometry_queries.QUERIES,
 }
