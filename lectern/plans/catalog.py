@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import event_queries, geometry_queries, recognition_queries, text_queries
+from . import check_queries, event_queries, geometry_queries, recognition_queries, text_queries
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     **text_queries.QUERIES,
     **event_queries.QUERIES,
     **geometry_queries.QUERIES,
     **recognition_queries.QUERIES,
+    **check_queries.QUERIES,
 }
