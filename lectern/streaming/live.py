@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def dedup_stream(events: DataFrame, key: str, source: str, at_ms: str, window_ms: int, idle_ms: int = 300_000) -> DataFrame:
-    """Cross-source dedup of a stream: state is the last accepted event of each key and expires when idle."""
+def dedup_stream(events: DataFrame, key: str, source: str, at_ms: str, window_ms: int, idle_ms: int | None = 300_000) -> DataFrame:
+    """Cross-source dedup of a stream: state is the last accepted event of each key.
+
+    It expires when idle for idle_ms; without (None) it stays, and a stream with nothing new rests.
+    """
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -29,9 +32,11 @@ def dedup_stream(events: DataFrame, key: str, source: str, at_ms: str, window_ms
             yield rows[keep]
         if last is not None:
             state.update(last)
-            state.setTimeoutDuration(idle_ms)
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
 
-    return events.groupBy(key).applyInPandasWithState(run, events.schema, "at bigint, source string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return events.groupBy(key).applyInPandasWithState(run, events.schema, "at bigint, source string", "append", timeout)
 
 
 def latest_capture(events: DataFrame, key: str, at: str, expiry: str = "5 minutes") -> DataFrame:
