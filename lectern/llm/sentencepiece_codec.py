@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ UNIGRAM, BPE = 1, 2
 class Codec:
     """A SentencePiece model's pieces, encoded without its library."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 350_000):
         from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece_model_pb2.ModelProto()
@@ -59,7 +60,12 @@ class Codec:
                 self.back[i] = b""
             elif p.type == 2:
                 self.back[i] = " ⁇ ".encode()
-        self.follows: dict[tuple[str, str], bool] = {}
+        self.follows: dict[str, bool] = {}
+        self.halves: dict[str, tuple[str, str]] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
+        #: Rank of each merge; pieces whose rank doesn't say when they are formed are compared by merging.
+        self.rank = {p: -s for p, s in self.scores.items() if s > -1e8}
         self.known: dict[str, tuple[int, ...]] = {}
         self.most = most
 
@@ -76,14 +82,66 @@ class Codec:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
+    def halves_of(self, piece: str) -> tuple[str, str]:
+        """The two parts whose merge completes a piece."""
+        found = self.halves.get(piece)
+        if found is None:
+            parts = list(piece)
+            while len(parts) > 2:
+                i = min(range(len(parts) - 1), key=lambda j: -self.scores.get(parts[j] + parts[j + 1], -np.inf))
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            found = self.halves[piece] = (parts[0], parts[1])
+        return found
+
+    def reachable(self, piece: str) -> bool:
+        """Whether merging the characters of a piece gives the piece."""
+        found = self.follows.get(piece)
+        if found is None:
+            found = self.follows[piece] = self.merged(piece) == [piece]
+        return found
+
+    def stay_apart(self, left: str, right: str) -> bool:
+        """Whether no merge across the boundary of two pieces comes before the merges within them.
+
+        Goes back in time: the later of the two pieces is taken apart, and what then touches the
+        boundary must not merge across it before that piece was complete. Of equal ranks the merge
+        further left comes first.
+        """
+        rank = self.rank
+        before, after = np.inf, -1.0
+        while True:
+            across = rank.get(left + right)
+            if across is not None and (across < before or across == after):
+                return False
+            a, b = rank.get(left, -1.0) if len(left) > 1 else -1.0, rank.get(right, -1.0) if len(right) > 1 else -1.0
+            if a < 0 and b < 0:
+                return True
+            if a > b:
+                before, after, left = a, -1.0, self.halves_of(left)[1]
+            else:
+                before, after, right = b, b, self.halves_of(right)[0]
+
     def can_follow(self, left: str, right: str) -> bool:
-        """Whether the two pieces stay apart when encoded together."""
-        key = (left, right)
-        found = self.follows.get(key)
+        """Whether the two pieces stay apart when encoded together (nothing on the left: whether right is reached)."""
+        if not left:
+            return self.reachable(right)
+        own = self.pairs.get(left)
+        if own is None:
+            own = self.pairs[left] = {}
+        found = own.get(right)
         if found is None:
-            found = self.follows[key] = self.merged(left + right) == ([left, right] if left else [right])
+            found = own[right] = self._compare(left, right)
+            self.n_pairs += 1
         return found
 
+    def _compare(self, left: str, right: str) -> bool:
+        if not self.reachable(right):
+            return False
+        known = self.rank
+        if (len(left) == 1 or left in known) and (len(right) == 1 or right in known) and MARK * 2 not in left + right:
+            return self.stay_apart(left, right)
+        return self.merged(left + right) == [left, right]
+
     def _last_piece(self, word: str, end: int, ends: list[str]) -> str:
         """The last piece of the encoding of word[:end]; ends: the same for all shorter prefixes."""
         pieces, begin = [], end - 1
@@ -113,8 +171,9 @@ class Codec:
 
     def _learn(self, words: set[str]) -> None:
         """Walk the trie of the words depth-first and keep the ids of each."""
-        if len(self.follows) > 300_000:
-            self.follows.clear()
+        if self.n_pairs > 400_000:
+            self.pairs.clear()
+            self.n_pairs = 0
         ends: list[str] = []
         best: list[float] = []
         before = ""
@@ -159,7 +218,7 @@ class Codec:
         new = set().union(*cut).difference(self.known) if cut else set()
         self._learn(new)
         get = self.known.__getitem__
-        return [np.fromiter((i for w in c for i in get(w)), np.uint32) for c in cut]
+        return [np.fromiter(chain.from_iterable(map(get, c)), np.uint32) for c in cut]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, without the mark that encoding put first."""
