@@ -12,10 +12,13 @@ signature's slots, and a slot keeps its earliest point, so two documents agree i
 probability equal to their weighted Jaccard similarity.
 
 Grouping: documents with equal words share one node. Nodes that agree in all rows of a band
-share a bucket. A bucket never emits all its pairs: in some rounds each member is compared with
-one hub of the bucket, verified pairs join components, and only then members of one bucket that
-are still in different components are paired. A pair within one component adds nothing to the
-classes, so no class is lost; every join is on a key whose hot values Spark can split.
+share a bucket. A bucket never emits all its pairs. First, its members are compared with one hub,
+the member that shares most buckets, and those that the hub doesn't link to with a hub of their
+own; verified pairs join components. Only members of one bucket that are still in different
+components are paired then, and only if they can be similar at all: a shingle that no other open
+node has can't be common to a pair, so what is left of both must reach the overlap that the
+similarity needs. This bound is exact. A pair within one component adds nothing to the classes,
+so no class is lost; every join is on a key whose hot values Spark can split.
 """
 
 from __future__ import annotations
@@ -34,8 +37,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: 32 bands of 5 rows miss a pair of similarity 0.8 with probability 3e-6.
 BANDS, ROWS = 32, 5
-#: Rounds of one hub for each bucket before the rest is paired.
-ROUNDS = 2
+#: Hubs of each bucket before the rest is paired.
+ROUNDS = 1
 
 UNIT = np.float64(1.0 / (1 << 53))
 
@@ -55,7 +58,7 @@ def _trees(doc: np.ndarray, key: np.ndarray, count: np.ndarray) -> Iterator[tupl
 
 
 def _seed(key: np.ndarray, start: np.ndarray | int, size: np.ndarray | int, salt: int) -> np.ndarray:
-    node = np.asarray(start, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(size, np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    node = np.atleast_1d(np.asarray(start, np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(size, np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     return mix(key ^ mix(node + np.uint64(salt)))
 
 
@@ -156,6 +159,14 @@ def _spell(k: int):
     return run
 
 
+def _distinct_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, shingle, count) of every distinct shingle of every bag."""
+    for batch in slices(batches, "bag"):
+        parts = [np.unique(np.frombuffer(b, "<i8"), return_counts=True) for b in batch.column("bag").to_pylist()]
+        ids = np.repeat(np.asarray(batch.column("id")), [len(p[0]) for p in parts])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([p[0] for p in parts])), pa.array(np.concatenate([p[1] for p in parts]))], names=["id", "shingle", "n"])
+
+
 def bag_similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Weighted Jaccard similarity of two multisets given as arrays."""
     x, n = np.unique(a, return_counts=True)
@@ -224,9 +235,11 @@ def near_duplicates(
     source = as_bytes(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))).drop("text")
     signed = keep(source.mapInArrow(_sign(k, bands, rows), "doc_id bigint, node binary, bands array<bigint>"), "signed")
     nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands"))
-    members = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    buckets = keep(members.join(shared, "bucket"), "buckets")
+    members = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    found = members.join(shared, "bucket")
+    score = found.groupBy("node").agg(F.sum("n").alias("score"))
+    buckets = keep(found.join(score, "node").select("node", "band", "bucket", "score"), "buckets")
 
     candidates = buckets.select("node").distinct()
     spelled = signed.join(candidates, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
@@ -238,25 +251,52 @@ def near_duplicates(
         both = left.join(bags.select(F.col("node").alias("b"), F.col("bag").alias("other")), "b")
         return keep(both.mapInArrow(_verify(similarity), "a binary, b binary"), "links")
 
-    labels = buckets.select("node").distinct().withColumn("root", F.col("node"))
+    labels = candidates.withColumn("root", F.col("node"))
     links = None
-    for turn in range(rounds + 1):
-        placed = buckets.join(labels, "node")
-        if turn < rounds:
-            hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root")).alias("hub")
-            hubs = placed.groupBy("bucket").agg(hub, F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-            pairs = placed.join(hubs.select("bucket", F.col("hub.node").alias("b"), F.col("hub.root").alias("hub_root")), "bucket")
-            pairs = pairs.where("root != hub_root").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-        else:
-            split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-            left = keep(placed.join(split.select("bucket"), "bucket"), "open")
-            right = left.select("bucket", F.col("node").alias("b"), F.col("root").alias("other_root"))
-            pairs = left.withColumnRenamed("node", "a").join(right, "bucket").where("a < b AND root != other_root").select("a", "b")
-        found = verified(pairs.distinct())
-        if found.isEmpty():
-            continue
-        links = found if links is None else links.unionByName(found)
-        labels = connected(links, buckets.select("node"))
+
+    def link(pairs: DataFrame) -> None:
+        nonlocal links, labels
+        new = verified(pairs.distinct())
+        if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            labels = connected(links, candidates)
+
+    rest = buckets
+    for turn in range(rounds):
+        placed = rest.join(labels, "node")
+        hub = F.max(F.struct("score", "node")).alias("hub")
+        hubs = placed.groupBy("bucket").agg(hub, F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket", F.col("hub.node").alias("b"))
+        met = keep(rest.join(hubs, "bucket"), "stars")
+        link(met.join(labels, "node").join(labels.select(F.col("node").alias("b"), F.col("root").alias("hub_root")), "b").where("root != hub_root").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")))
+        if turn + 1 < rounds:
+            apart = met.join(labels, "node").join(labels.select(F.col("node").alias("b"), F.col("root").alias("hub_root")), "b")
+            rest = keep(apart.where("root != hub_root").select("node", "band", "bucket", "score"), "rest")
+
+    placed = buckets.join(labels, "node")
+    split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
+    open_ = keep(placed.join(split, "bucket").select("node", "band", "bucket", "root"), "open")
+    own = bags.join(open_.select("node").distinct(), "node").select("node", F.xxhash64("node").alias("id"), "bag")
+    size = (F.octet_length("bag") / 8).cast("bigint")
+    share = similarity / (1 + similarity)  # of the two sizes together, the least overlap of a pair
+
+    def with_common(bags_of: DataFrame) -> DataFrame:
+        """(node, size, common): how many shingles of each bag some other of these bags has too."""
+        parts = bags_of.select("id", "bag").mapInArrow(_distinct_shingles, "id bigint, shingle bigint, n bigint")
+        alone = parts.groupBy("shingle").agg(F.count("*").alias("nodes"), F.min("id").alias("id"), F.sum("n").alias("n")).where("nodes = 1").groupBy("id").agg(F.sum("n").alias("alone"))
+        return keep(bags_of.join(alone, "id", "left").select("node", size.alias("size"), (size - F.coalesce("alone", F.lit(0))).alias("common")), "sizes")
+
+    # who can't reach the overlap with the smallest member of any of its buckets is out, and its shingles with it
+    sized = open_.join(with_common(own), "node")
+    smallest = sized.groupBy("bucket").agg(F.min("size").alias("least"))
+    able = sized.join(smallest, "bucket").where(F.col("common") >= share * (F.col("size") + F.col("least")) - 1e-6).select("node").distinct()
+    sizes = with_common(own.join(keep(able, "able"), "node"))
+    sizes = keep(sizes.join(nodes.select("node", F.col("bands").alias("all")), "node"), "sizes")
+    left = open_.join(sizes, "node")
+    right = left.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("node", "root", "size", "common", "all")])
+    needed = share * (F.col("size") + F.col("size2")) - 1e-6
+    first = F.array_position(F.zip_with("all", "all2", lambda x, y: x == y), True) == F.col("band") + 1  # a pair counts in its first common bucket
+    may = (F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & (F.col("common") >= needed) & (F.col("common2") >= needed) & first
+    link(left.withColumnRenamed("bucket", "k").join(right, (F.col("k") == F.col("bucket")) & may).select(F.col("node").alias("a"), F.col("node2").alias("b")))
 
     classes = nodes.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc")
     least = classes.groupBy("root").agg(F.min("doc").alias("class_id"))
