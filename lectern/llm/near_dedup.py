@@ -146,15 +146,30 @@ def _sign(k: int, bands: int, rows: int):
     return run
 
 
+def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, text) of every row with words; of equal nodes a task emits only the first, as far as it remembers."""
+    table, seen = WordHashes(), set()
+    for batch in slices(batches, "__text"):
+        texts = batch.column("__text").to_pylist()
+        nodes = [_node(table.of(words_of(t))) for t in texts]
+        own = []
+        for node, text in zip(nodes, texts, strict=True):
+            if node is not None and node not in seen:
+                seen.add(node)
+                own.append((node, text))
+        if len(seen) > table.most:
+            seen.clear()
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in own], pa.binary()) for i in (0, 1)], names=["node", "__text"])
+
+
 def _spell(k: int):
     """Node -> its shingles as sorted 64-bit hashes, for verification."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
         for batch in slices(batches, "__text"):
-            hashes = [table.of(words_of(t)) for t in batch.column("__text").to_pylist()]
-            own = [(n, np.sort(_shingles(h, k)).astype("<u8").tobytes()) for n, h in zip(batch.column("node").to_pylist(), hashes, strict=True) if _node(h) == n]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in own], pa.binary()) for i in (0, 1)], names=["node", "bag"])
+            bags = [np.sort(_shingles(table.of(words_of(t)), k)).astype("<u8").tobytes() for t in batch.column("__text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(bags, pa.binary())], names=["node", "bag"])
 
     return run
 
@@ -228,9 +243,8 @@ def near_duplicates(
 
     Null or wordless texts belong to no pair: their class is their own doc_id. A text of one to
     four words is a single shingle. Rows with equal words share a class whatever their doc_id;
-    null doc_ids get the smallest doc_id of their class that isn't null, or null, and a text that
-    only rows without doc_id have is compared by equal words alone. Repeated rows keep a row
-    each; an empty table gives none; other columns are not read.
+    null doc_ids get the smallest doc_id of their class that isn't null, or null. Repeated rows
+    keep a row each; an empty table gives none; other columns are not read.
     """
     source = as_bytes(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))).drop("text")
     signed = keep(source.mapInArrow(_sign(k, bands, rows), "doc_id bigint, node binary, bands array<bigint>"), "signed")
@@ -242,9 +256,8 @@ def near_duplicates(
     buckets = keep(found.join(score, "node").select("node", "band", "bucket", "score"), "buckets")
 
     candidates = buckets.select("node").distinct()
-    spelled = signed.join(candidates, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = source.join(spelled, "doc_id").select("node", "__text")
-    bags = keep(texts.mapInArrow(_spell(k), "node binary, bag binary").dropDuplicates(["node"]), "bags")
+    texts = source.select("__text").mapInArrow(_name, "node binary, __text binary").join(candidates, "node")
+    bags = keep(texts.select("node", "__text").mapInArrow(_spell(k), "node binary, bag binary").dropDuplicates(["node"]), "bags")
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = pairs.join(bags.withColumnRenamed("node", "a"), "a")

@@ -146,6 +146,19 @@ def test_near_duplicates(spark, docs, texts):
     assert near_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_rows_without_id(spark):
+    """Texts that only rows with a null doc_id have are compared like all others."""
+    words = [[f"{w}{i}" for i in range(60)] for w in "xyz"]
+    near = [[*w[:59], "other"] for w in words]
+    join = lambda w: " ".join(w)
+    # x: near copies with and without id; y: two near copies that only a third with an id links; z: both without id
+    rows = [(3, join(words[0])), (None, join(near[0])), (None, join(words[1])), (None, join(near[1])), (9, join([*words[1][:59], "third"]))]
+    rows += [(None, join(words[2])), (None, join(near[2])), (7, "a text of its own that is like no other"), (7, join(near[2][:58] + ["last", "words"]))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = [(r.doc_id, r.class_id) for r in near_dedup.near_duplicates(frame).collect()]
+    assert sorted(got, key=str) == sorted([(3, 3), (None, 3), (None, 9), (None, 9), (9, 9), (None, 7), (None, 7), (7, 7), (7, 7)], key=str)
+
+
 def test_quality(spark, sf, docs):
     sf = sf.replace("0.001", "0.01")
     base, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
