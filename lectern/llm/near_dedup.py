@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import drop_kept, keep
@@ -141,7 +141,7 @@ def _sign(k: int, bands: int, rows: int):
                 band = mix(band ^ sign[:, :, r])
             column = pa.ListArray.from_arrays(pa.array(np.arange(len(hashes) + 1) * bands, pa.int32()), pa.array(band.ravel().view(np.int64)))
             node = pa.array([_node(h) for h in hashes], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), node, column], names=["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), node, column], names=["doc_id", "key", "node", "bands"])
 
     return run
 
@@ -235,19 +235,21 @@ def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return labels
 
 
-def near_duplicates(
+def _key(text: str) -> Column:
+    """Stands for the text of a row: its MD5; null for a null text."""
+    return F.unhex(F.md5(F.col(text).cast("string").cast("binary")))
+
+
+def row_classes(
     docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
     rounds: int = ROUNDS, doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """doc_id and class_id (the smallest doc_id of its class) for each row of docs.
+    """doc_id, key (of the text), node (null without words), root and class_id for each row of docs.
 
-    Null or wordless texts belong to no pair: their class is their own doc_id. A text of one to
-    four words is a single shingle. Rows with equal words share a class whatever their doc_id;
-    null doc_ids get the smallest doc_id of their class that isn't null, or null. Repeated rows
-    keep a row each; an empty table gives none; other columns are not read.
+    Rows of one class have one root; the rest as near_duplicates.
     """
     source = as_bytes(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))).drop("text")
-    signed = keep(source.mapInArrow(_sign(k, bands, rows), "doc_id bigint, node binary, bands array<bigint>"), "signed")
+    signed = keep(source.withColumn("key", _key("__text")).mapInArrow(_sign(k, bands, rows), "doc_id bigint, key binary, node binary, bands array<bigint>"), "signed")
     nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands"))
     members = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -313,23 +315,39 @@ def near_duplicates(
 
     classes = nodes.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc")
     least = classes.groupBy("root").agg(F.min("doc").alias("class_id"))
-    by_node = classes.join(least, "root").select("node", "class_id")
-    return signed.select("doc_id", "node").join(by_node, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    by_node = classes.join(least, "root").select("node", "root", "class_id")
+    class_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
+    return signed.select("doc_id", "key", "node").join(by_node, "node", "left").select("doc_id", "key", "node", "root", class_id)
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each class: that with the class's smallest doc_id; columns stay as they are.
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id and class_id (the smallest doc_id of its class) for each row of docs.
 
-    Rows that repeat a doc_id with the same text are kept once; a class without any doc_id keeps
-    its rows of different text. Texts without words all stay. Edge cases as near_duplicates.
+    Null or wordless texts belong to no pair: their class is their own doc_id. A text of one to
+    four words is a single shingle. Rows with equal words share a class whatever their doc_id;
+    null doc_ids get the smallest doc_id of their class that isn't null, or null. Repeated rows
+    keep a row each; an empty table gives none; other columns are not read.
     """
-    from pyspark.sql import Window
+    return row_classes(docs, **options).select("doc_id", "class_id")
 
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """docs with one row of each class; columns stay as they are.
+
+    That row has the class's smallest doc_id, or none if no row of the class has one, and of such
+    rows the smallest digest of the text. Of rows that repeat its doc_id and text one stays. Rows
+    without words belong to no class and all stay.
+    """
+    doc_id, text = options.get("doc_id", "doc_id"), options.get("text", "text")
     names = docs.columns
-    classes = keep(near_duplicates(docs, **options), "classes")
-    kept = classes.where("doc_id <=> class_id").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__rows"))
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]))
-    if not kept.where("__rows > 1").isEmpty():
-        n = F.row_number().over(Window.partitionBy("doc_id", F.md5("text")).orderBy("text"))
-        rows = rows.withColumn("__n", n).where(~F.coalesce(F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), F.lit(False)) | (F.col("__n") == 1))
-    return rows.select(*[F.col(f"`{c}`") for c in names])
+    own = row_classes(docs, **options).where("node IS NOT NULL").groupBy("root", "doc_id", "key").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "n")).alias("first")
+    kept = own.groupBy("root").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__kept"), F.col("first.n").alias("__n"))
+    kept = keep(kept, "kept")
+    worded = F.coalesce(F.col(text).rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), F.lit(False))
+    rows = docs.where(worded).withColumn("__own", F.col(doc_id).cast("long")).withColumn("__key", _key(text))
+    rows = rows.join(kept, (F.col("__key") == F.col("__kept")) & F.col("__own").eqNullSafe(F.col("__id")))
+    if not kept.where("__n > 1").isEmpty():
+        rows = rows.where("__n = 1").unionByName(rows.where("__n > 1").dropDuplicates(["__own", "__key"]))
+    columns = [F.col(f"`{c}`") for c in names]
+    return docs.where(~worded).select(*columns).unionByName(rows.select(*columns))

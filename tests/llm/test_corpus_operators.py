@@ -159,6 +159,23 @@ def test_near_duplicates_of_rows_without_id(spark):
     assert sorted(got, key=str) == sorted([(3, 3), (None, 3), (None, 9), (None, 9), (9, 9), (None, 7), (None, 7), (7, 7), (7, 7)], key=str)
 
 
+def test_one_row_of_each_class(spark):
+    """Rows are kept by themselves and not by a doc_id that they share with other rows."""
+    words = {w: [f"{w}{i}" for i in range(60)] for w in "taxyz"}
+    text = {w: " ".join(v) for w, v in words.items()}
+    near = {w: " ".join([*v[:59], "other"]) for w, v in words.items()}
+    rows = [(None, "!!!"), (None, text["t"]), (5, text["t"])]  # a wordless row keeps no other row without id
+    rows += [(3, text["x"]), (7, text["a"]), (7, near["x"])]  # 7 stays for its first text alone
+    rows += [(8, text["y"]), (8, near["y"]), (None, text["z"]), (None, near["z"])]  # near copies that share their id
+    rows += [(11, "same words"), (11, "same words"), (11, "Same, words"), (None, None), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in near_dedup.keep_one(frame).collect()]
+    assert sorted(i for i, _ in got if i is not None) == [3, 5, 7, 8, 11]
+    assert {(3, text["x"]), (5, text["t"]), (7, text["a"])} <= set(got)
+    assert sorted(t or "" for i, t in got if i is None and not (t or "").startswith("z0")) == ["", "", "!!!"]
+    assert len([t for i, t in got if i is None and t in (text["z"], near["z"])]) == 1 and len(got) == 9
+
+
 def test_quality(spark, sf, docs):
     sf = sf.replace("0.001", "0.01")
     base, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
