@@ -170,7 +170,8 @@ def dictionary_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     subs = chosen.groupBy("image").agg(F.collect_list(F.struct("start", "len", "word")).alias("subs"))
     text = F.array_join(F.transform("c", lambda s: s["char"]), "")
     at = F.transform("subs", lambda s: F.struct((F.array_position(F.transform("c", lambda x: x["pos"]), s["start"]) - 1).alias("start"), s["len"].alias("len"), s["word"].alias("word")))
-    return base.join(subs, "image").select("image", text.alias("before"), R.substitute(text, at).alias("after"))
+    after = F.when(F.col("subs").isNull(), text).otherwise(R.substitute(text, at))
+    return base.join(subs, "image", "left").select("image", text.alias("before"), after.alias("after"))
 
 
 def align_names(spark: SparkSession, sf_dir: str) -> DataFrame:
