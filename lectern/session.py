@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -32,10 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: the session's spark.checkpoint.dir.
 
-    Only a session that names none (tests on one machine) gets a folder of its own.
+    Only a session on one machine that names none (as in tests) gets a folder of its own.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
         path = "file://" + tempfile.mkdtemp(prefix="lectern-", dir=os.environ.get("LECTERN_TMP", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", path)
     return path
