@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A-Z become a-z and every byte outside digits, letters and non-ASCII becomes a space, so
@@ -29,20 +29,42 @@ def as_bytes(df: DataFrame, text: str = "text", out: str = "__text") -> DataFram
     return df.withColumn(out, F.col(text).cast("string").cast("binary"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each piece holds at most `most` bytes of `column`, or one row."""
+def pieces(column: pa.Array, most: int = 8 << 20, rows: int = 10_000) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of pieces with at most `most` bytes and `rows` rows, or one row."""
+    sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
+    start = 0
+    while start < len(column):
+        end = max(start + 1, min(start + rows, int(np.searchsorted(sizes, sizes[start] + most, "right")) - 1))
+        yield start, end - start
+        start = end
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that each piece holds at most `most` bytes of `column` and `rows` rows, or one row.
+
+    What Arrow's pool holds beyond that is given back when the task ends, as workers outlive tasks.
+    """
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        col = batch.column(batch.schema.get_field_index(column))
-        sizes = np.array([0 if v is None else v for v in pc.binary_length(col).to_pylist()], dtype=np.int64)
-        total, start = 0, 0
-        for i, n in enumerate(sizes):
-            if i > start and total + n > most:
-                yield batch.slice(start, i - start)
-                start, total = i, 0
-            total += int(n)
-        yield batch.slice(start)
+        for first, n in pieces(batch.column(batch.schema.get_field_index(column)), most, rows):
+            yield batch.slice(first, n)
+    pa.default_memory_pool().release_unused()
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores put before those that a column of df bears, so that nothing of df is hidden."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def col(name: str) -> Column:
+    """A column by its plain name, dots and quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,22 +75,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, filled as words appear and emptied when it grows past `most` words."""
+class WordHashes:
+    """64-bit hashes of the words of texts: sum of byte * BASE^i, finished by mix.
+
+    All words of a piece of texts are hashed together. Sums over the whole piece give that of each word by a
+    difference, divided by the power of its first place (BASE is odd, so powers have inverses).
+    """
 
-    def __init__(self, most: int = 400_000):
-        self.most = most
+    BASE = np.uint64(0x9E3779B97F4A7C15)
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+    def __init__(self) -> None:
+        self.powers = self.inverse = np.ones(1, np.uint64)
 
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
+    def _grow(self, n: int) -> None:
+        n = 1 << n.bit_length()
+        inverse = np.uint64(pow(int(self.BASE), -1, 1 << 64))
+        self.powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, self.BASE))])
+        self.inverse = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, inverse))])
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.most:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+    def of(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """The hashes of the words of each text in order."""
+        data = b" ".join([t or b"" for t in texts])
+        if not data:
+            return [np.empty(0, np.uint64) for _ in texts]
+        if len(data) > len(self.powers):
+            self._grow(len(data))
+        a = np.frombuffer(data.translate(WORD_BYTES), np.uint8)
+        inside = np.concatenate([[False], a != 32, [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(a * self.powers[: len(a)], dtype=np.uint64)])
+        hashes = mix((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+        bounds = np.cumsum([len(t or b"") + 1 for t in texts])[:-1]
+        return np.split(hashes, np.searchsorted(starts, bounds))
 
 
 def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -80,9 +119,3 @@ def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
     for j in range(1, k):
         out = mix(out ^ hashes[j : j + n])
     return out
-
-
-def schema_of(df: DataFrame, extra: str, drop: tuple[str, ...] = ()) -> str:
-    """DDL of df's columns (without `drop`) followed by `extra`."""
-    own = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema if f.name not in drop]
-    return ", ".join([*own, extra])

@@ -1,13 +1,18 @@
 """License scans by diagonal voting.
 
-Every rolling pair of words of every document is joined with the places of that pair in the
-license templates. A vote lies on the diagonal `place in document - place in template`; votes are
-counted by diagonal, neighbouring diagonals (a few words more or less) are merged to spans, and a
-span counts if its votes cover enough of the template. A phrase stands in the text exactly where
-one diagonal has all its votes.
-
-The templates are a short fixed list, so their side of the join is broadcast; votes are grouped
-by document, so no common line meets in one task.
+The rolling hashes of every document's word pairs and triples are joined with the places of the
+same grams in the templates: pairs for base phrases, triples for passages. A vote lies on the
+diagonal `place in document - place in template`; votes are counted by diagonal, and a diagonal is
+merged with those that follow it by up to NEIGHBOUR words, which lets a few words come or go. A
+span is as long as its template and these few words, however often a text repeats it.
+
+Spans with enough votes are verified: the words of the document are compared with those of the
+template word by word, and a span counts if enough of the template's words are there. A phrase
+counts where all its words stand on one diagonal.
+
+The templates are a short fixed list, so their side of the join is broadcast. Votes are grouped by
+document, so no common line meets in one task; only documents with a template's gram bring their
+words to the verification.
 """
 
 from __future__ import annotations
@@ -19,89 +24,104 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_bytes, rolling, slices, words_of
-
-# Base phrases (label, text), then the method's own templates.
-PHRASES: list[tuple[str, str]] = [
-    ("cc-by", "cc by"),
-    ("gpl", "general public license"),
-    ("reserved", "all rights reserved"),
-]
-TEMPLATES: list[tuple[str, str]] = [
-    ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
-    ("gpl-3.0", "licensed under the gnu general public license version 3"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-]
-#: Words of a gram; the shortest phrase has as many.
-GRAM = 2
-#: Diagonals up to so many words apart belong to one span.
+from .common import WordHashes, col, rolling, slices, words_of
+from .license_templates import PASSAGES, PHRASES
+
+#: Words of a gram of phrases (the shortest has as many) and of passages.
+PHRASE_GRAM, PASSAGE_GRAM = 2, 3
+#: Diagonals up to so many words behind one belong to its span.
 NEIGHBOUR = 3
-#: Share of a template's grams that a span must hold.
-COVERAGE = 0.7
+#: Share of a passage's grams that vote for a span which is verified, and of its words that then are there.
+VOTES, COVERAGE = 0.3, 0.7
+
+
+def templates() -> list[tuple[int, str, bool, list[str], int]]:
+    """(number, label, is base phrase, words, words of a gram) of all templates."""
+    both = [(label, text, True, PHRASE_GRAM) for label, text in PHRASES] + [(label, text, False, PASSAGE_GRAM) for label, text in PASSAGES]
+    return [(n, label, base, [w.decode() for w in words_of(text.encode())], k) for n, (label, text, base, k) in enumerate(both)]
 
 
-def _grams(words: list[bytes], table: WordHashes) -> np.ndarray:
-    return rolling(table.of(words), GRAM).view(np.int64)
+def _grams(hashes: np.ndarray) -> np.ndarray:
+    """All pairs, then all triples of a text."""
+    return np.concatenate([rolling(hashes, PHRASE_GRAM), rolling(hashes, PASSAGE_GRAM)]).view(np.int64)
+
+
+def template_places() -> list[tuple[int, int, int]]:
+    """(gram, template, place) of every gram of every template."""
+    words = WordHashes()
+    return [(int(g), n, i) for n, _, _, own, k in templates() for i, g in enumerate(rolling(words.of([" ".join(own).encode()])[0], k).view(np.int64))]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = WordHashes()
-    for batch in slices(batches, "__text", 2 << 20):
-        words = [words_of(t) for t in batch.column("__text").to_pylist()]
-        # place 0 holds a mark that each document has, so that documents without votes stay
-        grams = [np.concatenate([[0], _grams(w, table)]) for w in words]
+    words = WordHashes()
+    for batch in slices(batches, "text", 1 << 20):
+        hashes = words.of(batch.column("text").to_pylist())
+        grams = [_grams(h) for h in hashes]
         bounds = np.concatenate([[0], np.cumsum([len(g) for g in grams])])
         column = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(grams)))
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array([len(w) for w in words], pa.int64()), column], names=["row", "doc_id", "n_words", "grams"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([len(h) for h in hashes], pa.int64()), column], names=["row", "n_words", "grams"])
 
 
-def template_places() -> list[tuple[int, int, int, int, str, bool]]:
-    """(gram, template, place, grams of the template, label, is base phrase); gram 0 is the mark."""
-    table, out = WordHashes(), [(0, -1, 0, 1, "", False)]
-    for n, (label, text) in enumerate(PHRASES + TEMPLATES):
-        grams = _grams(text.encode().split(), table)
-        out += [(int(g), n, i, len(grams), label, n < len(PHRASES)) for i, g in enumerate(grams)]
-    return out
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The row and number of words of every document; its words too, if it has any gram of a template."""
+    words, wanted = WordHashes(), np.unique([g for g, _, _ in template_places()])
+    for batch in slices(batches, "text", 1 << 20):
+        texts = batch.column("text").to_pylist()
+        hashes = words.of(texts)
+        hit = [np.isin(_grams(h), wanted).any() for h in hashes]
+        own = pa.array([words_of(t) if x else None for t, x in zip(texts, hit, strict=True)], pa.list_(pa.binary()))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array([len(h) for h in hashes], pa.int64()), own], names=["row", "doc_id", "n_words", "words"])
 
 
 def find_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row of docs: doc_id, n_words, base_places, base_labels, labels, score, spans.
 
     base_places: word places of the base phrases; base_labels and labels: distinct and sorted;
-    score: the largest share of a template that one span covers; spans: (label, first word, end,
-    share) of what counts.
+    score: the largest share of a template's words that a verified span holds (0: none); spans:
+    (label, first word, end, share) of what counts, of spans of one template that start within
+    NEIGHBOUR words the best, or the first of equals.
 
     Null texts count as empty. Rows that repeat a doc_id are separate documents; null doc_ids
-    stay; an empty table gives no rows; other columns are not read.
+    stay; very long texts are read whole; an empty table gives no rows; other columns are not read.
     """
-    source = as_bytes(docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).drop("text")
-    kind = source.schema["doc_id"].dataType.simpleString()
-    grams = source.mapInArrow(_scan, f"row bigint, doc_id {kind}, n_words bigint, grams array<bigint>")
-    places = grams.select("row", "doc_id", "n_words", F.posexplode("grams").alias("at", "gram"))
-    template = docs.sparkSession.createDataFrame(template_places(), "gram bigint, template int, place int, grams int, label string, base boolean")
-    votes = places.join(F.broadcast(template), "gram").withColumn("diagonal", F.col("at") - 1 - F.col("place"))
-    key = ["row", "doc_id", "n_words", "template", "grams", "label", "base"]
-    diagonals = votes.groupBy(*key, "diagonal").agg(F.collect_set("place").alias("places"))
+    spark = docs.sparkSession
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), col(doc_id).alias("doc_id"), col(text).cast("string").cast("binary").alias("text"))
+    kind = numbered.schema["doc_id"].dataType.simpleString()
+    grams = numbered.select("row", "text").mapInArrow(_scan, "row bigint, n_words bigint, grams array<bigint>")
+    pairs = F.greatest(F.col("n_words") - (PHRASE_GRAM - 1), F.lit(0))
+    at = F.when(F.col("pos") < pairs, F.col("pos")).otherwise(F.col("pos") - pairs)
+    places = grams.select("row", "n_words", F.posexplode("grams").alias("pos", "gram")).select("row", at.cast("int").alias("at"), "gram")
+    template = spark.createDataFrame(template_places(), "gram bigint, template int, place int")
+    votes = places.join(F.broadcast(template), "gram").select("row", "template", "place", (F.col("at") - F.col("place")).alias("diagonal"))
+    diagonals = votes.groupBy("row", "template", "diagonal").agg(F.collect_set("place").alias("places"))
+
     order = Window.partitionBy("row", "template").orderBy("diagonal")
-    apart = F.col("diagonal") - F.lag("diagonal").over(order) > NEIGHBOUR
-    grouped = diagonals.withColumn("apart", apart.cast("int")).withColumn("group", F.sum(F.coalesce("apart", F.lit(0))).over(order))
-    full = F.col("base") & (F.size("places") == F.col("grams"))
-    spans = grouped.groupBy(*key, "group").agg(
-        F.array_sort(F.collect_list(F.when(full, F.col("diagonal")))).alias("exact"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered"),
-        F.min(F.col("diagonal") + F.array_min("places")).alias("first"),
-        F.max(F.col("diagonal") + F.array_max("places") + GRAM).alias("end"),
+    merged = F.array_distinct(F.flatten(F.collect_list("places").over(order.rangeBetween(0, NEIGHBOUR))))
+    own = spark.createDataFrame([(n, label, base, w, len(w) - k + 1) for n, label, base, w, k in templates()], "template int, label string, base boolean, wanted array<string>, grams int")
+    own = own.withColumn("wanted", F.transform("wanted", lambda w: w.cast("binary")))
+    voted = diagonals.withColumn("merged", F.size(merged)).join(F.broadcast(own), "template")
+    enough = F.when(F.col("base"), F.size("places") == F.col("grams")).otherwise(F.col("merged") >= VOTES * F.col("grams"))
+    sized = numbered.mapInArrow(_sizes, f"row bigint, doc_id {kind}, n_words bigint, words array<binary>")
+    spans = voted.where(enough).join(sized.where("words IS NOT NULL").select("row", "words"), "row")
+
+    def there(word, i):  # the word of the template stands on one of the span's diagonals
+        places = [F.get("words", F.col("diagonal") + i + d) for d in range(NEIGHBOUR + 1)]
+        alone = F.coalesce(places[0] == word, F.lit(False))
+        return F.when(F.col("base"), alone).otherwise(F.array_contains(F.array(*[F.coalesce(p, F.lit(b"")) for p in places]), word))
+
+    found = F.size(F.filter(F.transform("wanted", there), lambda x: x))
+    checked = spans.withColumn("share", found / F.size("wanted")).where(F.when(F.col("base"), F.col("share") == 1).otherwise(F.col("share") >= COVERAGE))
+    near = order.rangeBetween(-NEIGHBOUR, NEIGHBOUR)
+    best = F.max(F.struct("share", (-F.col("diagonal")).alias("first"))).over(near)
+    kept = checked.withColumn("best", F.col("base") | (best["first"] == -F.col("diagonal")))
+    start = F.greatest(F.col("diagonal"), F.lit(0)).cast("long")
+    one = F.struct("label", start.alias("first"), (F.col("diagonal") + F.size("wanted")).cast("long").alias("end"), "share")
+    by_row = kept.groupBy("row").agg(
+        F.array_sort(F.collect_list(F.when(F.col("base"), F.col("diagonal")))).alias("base_places"),
+        F.array_sort(F.collect_set(F.when(F.col("base"), F.col("label")))).alias("base_labels"),
+        F.array_sort(F.collect_set("label")).alias("labels"),
+        F.max("share").alias("score"),
+        F.array_sort(F.collect_list(F.when(F.col("best"), one))).alias("spans"),
     )
-    share = F.when(F.col("template") >= 0, F.col("covered") / F.col("grams")).otherwise(F.lit(0.0))
-    # a base phrase counts where it stands exactly, a template where a span covers enough of it
-    counts = F.when(F.col("base"), F.size("exact") > 0).otherwise((F.col("template") >= 0) & (share >= COVERAGE))
-    one = F.struct("label", F.col("first").cast("long").alias("first"), F.col("end").cast("long").alias("end"), share.alias("share"))
-    return spans.groupBy("row", "doc_id", "n_words").agg(
-        F.array_sort(F.flatten(F.collect_list("exact"))).alias("base_places"),
-        F.array_sort(F.collect_set(F.when(F.col("base") & counts, F.col("label")))).alias("base_labels"),
-        F.array_sort(F.collect_set(F.when(counts, F.col("label")))).alias("labels"),
-        F.max(share).alias("score"),
-        F.array_sort(F.collect_list(F.when(counts, one))).alias("spans"),
-    ).drop("row")
+    none = {c: F.coalesce(c, F.array().cast(by_row.schema[c].dataType)) for c in ("base_places", "base_labels", "labels", "spans")}
+    return sized.join(by_row, "row", "left").select("doc_id", "n_words", *[v.alias(c) for c, v in none.items() if c != "spans"], F.coalesce("score", F.lit(0.0)).alias("score"), none["spans"].alias("spans"))

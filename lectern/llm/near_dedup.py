@@ -13,12 +13,15 @@ probability equal to their weighted Jaccard similarity.
 
 Grouping: documents with equal words share one node. Nodes that agree in all rows of a band
 share a bucket. A bucket never emits all its pairs. First, its members are compared with one hub,
-the member that shares most buckets, and those that the hub doesn't link to with a hub of their
-own; verified pairs join components. Only members of one bucket that are still in different
-components are paired then, and only if they can be similar at all: a shingle that no other open
-node has can't be common to a pair, so what is left of both must reach the overlap that the
-similarity needs. This bound is exact. A pair within one component adds nothing to the classes,
-so no class is lost; every join is on a key whose hot values Spark can split.
+the member that shares most buckets; verified pairs join components. Those that the hub doesn't
+link to get a hub of their own, as long as large buckets keep shrinking that way. Only members of
+one bucket that are still in different components are paired then, and only if they can be similar
+at all: a shingle that no other open node has can't be common to a pair, so what is left of both
+must reach the overlap that the similarity needs. This bound is exact. A pair within one component
+adds nothing to the classes, so no class is lost.
+
+A hub meets all members of its bucket, so its shingles are sent in as many copies as its bucket
+has parts of SPLIT members, and each pair goes to one of these copies.
 """
 
 from __future__ import annotations
@@ -31,14 +34,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import drop_kept, keep
-from .common import WordHashes, as_bytes, mix, rolling, slices, words_of
+from .common import WordHashes, col, mix, rolling, slices, unused
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: 32 bands of 5 rows miss a pair of similarity 0.8 with probability 3e-6.
 BANDS, ROWS = 32, 5
-#: Hubs of each bucket before the rest is paired.
-ROUNDS = 1
+#: A bucket with more open members than LARGE gets a further hub, if the last one halved their number at least.
+LARGE = 128
+#: Pairs of one node that are compared in one place.
+SPLIT = 512
+#: Rows of a piece that is signed at once.
+PIECE = 1024
 
 UNIT = np.float64(1.0 / (1 << 53))
 
@@ -131,9 +138,9 @@ def _node(hashes: np.ndarray) -> bytes | None:
 
 def _sign(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordHashes()
-        for batch in slices(batches, "__text", 2 << 20):
-            hashes = [table.of(words_of(t)) for t in batch.column("__text").to_pylist()]
+        words = WordHashes()
+        for batch in slices(batches, "text", 1 << 20, PIECE):
+            hashes = words.of(batch.column("text").to_pylist())
             doc, key, count = _counted([_shingles(h, k) for h in hashes])
             sign = bag_signatures(doc, key, count, len(hashes), bands * rows).reshape(len(hashes), bands, rows)
             band = mix(np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(hashes), bands)))
@@ -146,30 +153,18 @@ def _sign(k: int, bands: int, rows: int):
     return run
 
 
-def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text) of every row with words; of equal nodes a task emits only the first, as far as it remembers."""
-    table, seen = WordHashes(), set()
-    for batch in slices(batches, "__text"):
-        texts = batch.column("__text").to_pylist()
-        nodes = [_node(table.of(words_of(t))) for t in texts]
-        own = []
-        for node, text in zip(nodes, texts, strict=True):
-            if node is not None and node not in seen:
-                seen.add(node)
-                own.append((node, text))
-        if len(seen) > table.most:
-            seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in own], pa.binary()) for i in (0, 1)], names=["node", "__text"])
-
-
 def _spell(k: int):
-    """Node -> its shingles as sorted 64-bit hashes, for verification."""
+    """(node, bag) of every row with words: its shingles as sorted 64-bit hashes. Of equal nodes a piece emits the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordHashes()
-        for batch in slices(batches, "__text"):
-            bags = [np.sort(_shingles(table.of(words_of(t)), k)).astype("<u8").tobytes() for t in batch.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(bags, pa.binary())], names=["node", "bag"])
+        words = WordHashes()
+        for batch in slices(batches, "text", 1 << 20):
+            bags: dict[bytes, bytes] = {}
+            for h in words.of(batch.column("text").to_pylist()):
+                node = _node(h)
+                if node is not None and node not in bags:
+                    bags[node] = np.sort(_shingles(h, k)).astype("<u8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(list(bags), pa.binary()), pa.array(list(bags.values()), pa.binary())], names=["node", "bag"])
 
     return run
 
@@ -193,7 +188,7 @@ def bag_similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 def _verify(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "bag"):
+        for batch in slices(batches, "bag", 4 << 20):
             left, right = batch.column("bag").to_pylist(), batch.column("other").to_pylist()
             near = []
             for a, b in zip(left, right, strict=True):
@@ -237,59 +232,75 @@ def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _key(text: str) -> Column:
     """Stands for the text of a row: its MD5; null for a null text."""
-    return F.unhex(F.md5(F.col(text).cast("string").cast("binary")))
+    return F.unhex(F.md5(col(text).cast("string").cast("binary")))
 
 
 def row_classes(
     docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
-    rounds: int = ROUNDS, doc_id: str = "doc_id", text: str = "text",
+    large: int = LARGE, split: int = SPLIT, doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """doc_id, key (of the text), node (null without words), root and class_id for each row of docs.
 
     Rows of one class have one root; the rest as near_duplicates.
     """
-    source = as_bytes(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))).drop("text")
-    signed = keep(source.withColumn("key", _key("__text")).mapInArrow(_sign(k, bands, rows), "doc_id bigint, key binary, node binary, bands array<bigint>"), "signed")
+    source = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).cast("string").cast("binary").alias("text"))
+    used = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        used.append(keep(df, name))
+        return used[-1]
+
+    signed = kept(source.select("doc_id", "text", _key("text").alias("key")).mapInArrow(_sign(k, bands, rows), "doc_id bigint, key binary, node binary, bands array<bigint>"), "signed")
     nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands"))
     members = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     found = members.join(shared, "bucket")
     score = found.groupBy("node").agg(F.sum("n").alias("score"))
-    buckets = keep(found.join(score, "node").select("node", "band", "bucket", "score"), "buckets")
-
+    buckets = kept(found.join(score, "node").select("node", "band", "bucket", "n", "score"), "buckets")
     candidates = buckets.select("node").distinct()
-    texts = source.select("__text").mapInArrow(_name, "node binary, __text binary").join(candidates, "node")
-    bags = keep(texts.select("node", "__text").mapInArrow(_spell(k), "node binary, bag binary").dropDuplicates(["node"]), "bags")
+    spelled = source.select("text").mapInArrow(_spell(k), "node binary, bag binary")
+    bags = kept(spelled.join(candidates, "node").dropDuplicates(["node"]), "bags")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(bags.withColumnRenamed("node", "a"), "a")
-        both = left.join(bags.select(F.col("node").alias("b"), F.col("bag").alias("other")), "b")
-        return keep(both.mapInArrow(_verify(similarity), "a binary, b binary"), "links")
+        """The pairs (a, b, n) that are similar; n: about how many pairs b is in."""
+        parts = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("n") / split, F.lit(1.0))))).cast("int")
+        pairs = pairs.groupBy("a", "b").agg(F.max("n").alias("n")).withColumn("parts", parts)
+        pairs = keep(pairs.select("a", "b", "parts", F.pmod(F.xxhash64("a"), "parts").alias("part")), "pairs")
+        copies = pairs.select("b", "parts", "part").distinct().join(bags.select(F.col("node").alias("b"), F.col("bag").alias("other")), "b")
+        both = pairs.join(bags.withColumnRenamed("node", "a"), "a").join(copies, ["b", "parts", "part"])
+        out = kept(both.select("a", "b", "bag", "other").mapInArrow(_verify(similarity), "a binary, b binary"), "links")
+        drop_kept(pairs)
+        return out
 
     labels = candidates.withColumn("root", F.col("node"))
     links = None
 
     def link(pairs: DataFrame) -> None:
         nonlocal links, labels
-        new = verified(pairs.distinct())
+        new = verified(pairs)
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             labels = connected(links, candidates)
-
-    rest = buckets
-    for turn in range(rounds):
-        placed = rest.join(labels, "node")
-        hub = F.max(F.struct("score", "node")).alias("hub")
-        hubs = placed.groupBy("bucket").agg(hub, F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket", F.col("hub.node").alias("b"))
-        met = keep(rest.join(hubs, "bucket"), "stars")
-        link(met.join(labels, "node").join(labels.select(F.col("node").alias("b"), F.col("root").alias("hub_root")), "b").where("root != hub_root").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")))
-        if turn + 1 < rounds:
-            apart = met.join(labels, "node").join(labels.select(F.col("node").alias("b"), F.col("root").alias("hub_root")), "b")
-            rest = keep(apart.where("root != hub_root").select("node", "band", "bucket", "score"), "rest")
+            used.append(labels)
+
+    placed, open_before = buckets.withColumn("root", F.col("node")), None
+    while True:
+        hubs = placed.groupBy("bucket").agg(F.max(F.struct("score", "node", "root")).alias("hub"))
+        apart = placed.join(hubs, "bucket").where(F.col("root") != F.col("hub.root"))
+        met = kept(apart.select("node", "band", "bucket", "n", "score", F.col("hub.node").alias("b")), "stars")
+        link(met.select(F.col("node").alias("a"), "b", "n"))
+        roots = labels.select(F.col("node").alias("b"), F.col("root").alias("hub_root"))
+        hub_roots = met.select("bucket", "b").distinct().join(roots, "b").select("bucket", "hub_root")
+        rest = met.join(labels, "node").join(hub_roots, "bucket").where("root != hub_root")
+        rest = kept(rest.select("node", "band", "bucket", "n", "score", "root"), "rest")
+        open_ = rest.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > large).agg(F.sum("m")).first()[0] or 0
+        if not open_ or (open_before is not None and open_ > open_before / 2):
+            break
+        placed, open_before = rest, open_
 
     placed = buckets.join(labels, "node")
-    split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
-    open_ = keep(placed.join(split, "bucket").select("node", "band", "bucket", "root"), "open")
+    apart = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
+    open_ = kept(placed.join(apart, "bucket").select("node", "band", "bucket", "n", "root"), "open")
     own = bags.join(open_.select("node").distinct(), "node").select("node", F.xxhash64("node").alias("id"), "bag")
     size = (F.octet_length("bag") / 8).cast("bigint")
     share = similarity / (1 + similarity)  # of the two sizes together, the least overlap of a pair
@@ -298,56 +309,61 @@ def row_classes(
         """(node, size, common): how many shingles of each bag some other of these bags has too."""
         parts = bags_of.select("id", "bag").mapInArrow(_distinct_shingles, "id bigint, shingle bigint, n bigint")
         alone = parts.groupBy("shingle").agg(F.count("*").alias("nodes"), F.min("id").alias("id"), F.sum("n").alias("n")).where("nodes = 1").groupBy("id").agg(F.sum("n").alias("alone"))
-        return keep(bags_of.join(alone, "id", "left").select("node", size.alias("size"), (size - F.coalesce("alone", F.lit(0))).alias("common")), "sizes")
+        return kept(bags_of.join(alone, "id", "left").select("node", size.alias("size"), (size - F.coalesce("alone", F.lit(0))).alias("common")), "sizes")
 
     # who can't reach the overlap with the smallest member of any of its buckets is out, and its shingles with it
     sized = open_.join(with_common(own), "node")
     smallest = sized.groupBy("bucket").agg(F.min("size").alias("least"))
     able = sized.join(smallest, "bucket").where(F.col("common") >= share * (F.col("size") + F.col("least")) - 1e-6).select("node").distinct()
-    sizes = with_common(own.join(keep(able, "able"), "node"))
-    sizes = keep(sizes.join(nodes.select("node", F.col("bands").alias("all")), "node"), "sizes")
+    sizes = with_common(own.join(kept(able, "able"), "node"))
+    sizes = kept(sizes.join(nodes.select("node", F.col("bands").alias("all")), "node"), "sizes")
     left = open_.join(sizes, "node")
     right = left.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("node", "root", "size", "common", "all")])
     needed = share * (F.col("size") + F.col("size2")) - 1e-6
     first = F.array_position(F.zip_with("all", "all2", lambda x, y: x == y), True) == F.col("band") + 1  # a pair counts in its first common bucket
     may = (F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & (F.col("common") >= needed) & (F.col("common2") >= needed) & first
-    link(left.withColumnRenamed("bucket", "k").join(right, (F.col("k") == F.col("bucket")) & may).select(F.col("node").alias("a"), F.col("node2").alias("b")))
+    link(left.withColumnRenamed("bucket", "k").join(right, (F.col("k") == F.col("bucket")) & may).select(F.col("node").alias("a"), F.col("node2").alias("b"), "n"))
 
     classes = nodes.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc")
     least = classes.groupBy("root").agg(F.min("doc").alias("class_id"))
     by_node = classes.join(least, "root").select("node", "root", "class_id")
     class_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
-    return signed.select("doc_id", "key", "node").join(by_node, "node", "left").select("doc_id", "key", "node", "root", class_id)
+    out = keep(signed.select("doc_id", "key", "node").join(by_node, "node", "left").select("doc_id", "key", "node", "root", class_id), "classes")
+    for df in used:
+        drop_kept(df)
+    return out
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """doc_id and class_id (the smallest doc_id of its class) for each row of docs.
 
-    Null or wordless texts belong to no pair: their class is their own doc_id. A text of one to
-    four words is a single shingle. Rows with equal words share a class whatever their doc_id;
-    null doc_ids get the smallest doc_id of their class that isn't null, or null. Repeated rows
-    keep a row each; an empty table gives none; other columns are not read.
+    Pairs of similarity below the threshold aren't linked, but members of a class may be less
+    alike than that if others link them. Null or wordless texts belong to no pair: their class is
+    their own doc_id. A text of one to four words is a single shingle. Rows with equal words share
+    a class whatever their doc_id; null doc_ids get the smallest doc_id of their class that isn't
+    null, or null. Repeated rows keep a row each; an empty table gives none; very long texts are
+    signed whole; other columns are not read.
     """
     return row_classes(docs, **options).select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each class; columns stay as they are.
+    """docs with one row of each class; columns stay as they are, whatever their names.
 
     That row has the class's smallest doc_id, or none if no row of the class has one, and of such
     rows the smallest digest of the text. Of rows that repeat its doc_id and text one stays. Rows
     without words belong to no class and all stay.
     """
     doc_id, text = options.get("doc_id", "doc_id"), options.get("text", "text")
-    names = docs.columns
     own = row_classes(docs, **options).where("node IS NOT NULL").groupBy("root", "doc_id", "key").agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "n")).alias("first")
-    kept = own.groupBy("root").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__kept"), F.col("first.n").alias("__n"))
+    id_, key, n, own_id, own_key = unused(docs, "id", "key", "n", "own_id", "own_key")
+    kept = own.groupBy("root").agg(first).select(F.col("first.doc_id").alias(id_), F.col("first.key").alias(key), F.col("first.n").alias(n))
     kept = keep(kept, "kept")
-    worded = F.coalesce(F.col(text).rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), F.lit(False))
-    rows = docs.where(worded).withColumn("__own", F.col(doc_id).cast("long")).withColumn("__key", _key(text))
-    rows = rows.join(kept, (F.col("__key") == F.col("__kept")) & F.col("__own").eqNullSafe(F.col("__id")))
-    if not kept.where("__n > 1").isEmpty():
-        rows = rows.where("__n = 1").unionByName(rows.where("__n > 1").dropDuplicates(["__own", "__key"]))
-    columns = [F.col(f"`{c}`") for c in names]
+    worded = F.coalesce(col(text).rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), F.lit(False))
+    rows = docs.where(worded).withColumn(own_id, col(doc_id).cast("long")).withColumn(own_key, _key(text))
+    rows = rows.join(kept, (F.col(own_key) == F.col(key)) & F.col(own_id).eqNullSafe(F.col(id_)))
+    if not kept.where(F.col(n) > 1).isEmpty():
+        rows = rows.where(F.col(n) == 1).unionByName(rows.where(F.col(n) > 1).dropDuplicates([own_id, own_key]))
+    columns = [col(c) for c in docs.columns]
     return docs.where(~worded).select(*columns).unionByName(rows.select(*columns))

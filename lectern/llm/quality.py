@@ -1,11 +1,11 @@
 """Quality scores by nearest-neighbour voting among latent-semantic vectors.
 
-The terms of a document are the shapes of its tokens (runs of lower case, upper case, digits and
-signs), words that repeat the word before, and coarse bands of length, variety and casing. A
-bounded sample of labelled rows gives the term weights and a truncated SVD; its projected vectors
-are broadcast (their number is bounded, so is their size). Every document is projected the same
-way and compared with all sampled vectors by blocked matrix products; the labels of the nearest
-are weighted by their cosine.
+The terms of a document are its words (hashed), the shapes of its tokens (runs of lower case,
+upper case, digits and signs), words that repeat the word before, and coarse bands of length,
+variety and casing. A bounded sample of labelled rows gives the term weights (inverse document
+frequencies) and a truncated SVD; its projected vectors are broadcast (their number is bounded, so
+is their size). Every document is projected the same way and compared with all sampled vectors by
+blocked matrix products; the labels of the nearest are weighted by their cosine.
 """
 
 from __future__ import annotations
@@ -18,16 +18,19 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import WordHashes, col, pieces
 
 #: Labelled rows that are sampled for each label, the bound of what is collected and broadcast.
 SAMPLE = 2000
-#: Hashed terms, dimensions kept, neighbours that vote, documents of a block.
-TERMS, DIMENSIONS, NEIGHBOURS, BLOCK = 1024, 40, 25, 1024
+#: Hashed words, shapes and bands; dimensions kept, neighbours that vote, documents of a block and their bytes.
+WORDS, SHAPES, BANDS = 2048, 896, 128
+TERMS = WORDS + SHAPES + BANDS
+DIMENSIONS, NEIGHBOURS, BLOCK, BLOCK_BYTES = 40, 25, 512, 2 << 20
+#: Size of the word part, and of a band, against a shape part of size 1.
+WORD_PART, BAND_PART = 0.35, 0.35
 #: Score from which a document counts as good.
 THRESHOLD = 0.7
 
@@ -36,48 +39,55 @@ def _kind(c: str) -> str:
     return "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "a" if c.isalpha() else c
 
 
-class Shapes(dict):
-    """token -> number of its shape's term; a shape is the token's runs of character kinds."""
+class Terms:
+    """Term vectors of texts; keeps the shapes of tokens that it met, up to `most`."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 100_000):
         self.most = most
-
-    def __missing__(self, token: str) -> int:
-        shape = "".join(k for k, _ in groupby(map(_kind, token)))[:8]
-        self[token] = n = zlib.crc32(shape.encode()) % (TERMS - 128)
+        self.words = WordHashes()
+        self.shapes: dict[str, int] = {}
+
+    def shape(self, token: str) -> int:
+        n = self.shapes.get(token)
+        if n is None:
+            n = zlib.crc32("".join(k for k, _ in groupby(map(_kind, token))).encode("utf-8", "replace")) % SHAPES
+            self.shapes[token] = n
         return n
 
-
-def _band(name: str, value: int) -> int:
-    return TERMS - 128 + zlib.crc32(f"{name}{value}".encode()) % 128
-
-
-def terms_of(text: str | None, shapes: Shapes) -> np.ndarray:
-    """The term vector of a text: square roots of shares of shapes, and bands."""
-    out = np.zeros(TERMS, np.float32)
-    tokens = text.split() if text else []
-    n = len(tokens)
-    if n:
-        out[: TERMS - 128] = np.bincount(np.fromiter(map(shapes.__getitem__, tokens), np.int64, n), minlength=TERMS - 128)
-        out = np.sqrt(out / n)
-    counts = Counter(tokens)
-    again = sum(map(str.__eq__, tokens, tokens[1:])) if n else 0
-    for name, value in (
-        ("length", min(n.bit_length(), 12)),
-        ("again", int(8 * again / n) if n else -1),
-        ("variety", int(8 * len(counts) / n) if n else -1),
-        ("most", int(8 * max(counts.values()) / n) if n > 20 else -1),
-        ("lines", int(8 * min(1.0, text.count("\n") * 10 / n)) if n else -1),
-    ):
-        out[_band(name, value)] += 0.35
-    return out
+    def of(self, texts: list[str | None]) -> np.ndarray:
+        """For each text: roots of the shares of its words and of its shapes, and bands."""
+        if len(self.shapes) > self.most:
+            self.shapes.clear()
+        out = np.zeros((len(texts), TERMS), np.float32)
+        hashes = self.words.of([None if t is None else t.encode("utf-8", "replace") for t in texts])
+        for row, text, h in zip(out, texts, hashes, strict=True):
+            if len(h):
+                row[:WORDS] = WORD_PART * np.sqrt(np.bincount((h % np.uint64(WORDS)).astype(np.int64), minlength=WORDS) / len(h))
+            tokens = text.split() if text else []
+            n = len(tokens)
+            if n:
+                shapes = np.bincount(np.fromiter(map(self.shape, tokens), np.int64, n), minlength=SHAPES)
+                row[WORDS : WORDS + SHAPES] = np.sqrt(shapes / n)
+            counts = Counter(tokens)
+            again = sum(map(str.__eq__, tokens, tokens[1:])) if n else 0
+            for name, value in (
+                ("length", min(n.bit_length(), 12)),
+                ("again", int(8 * again / n) if n else -1),
+                ("variety", int(8 * len(counts) / n) if n else -1),
+                ("most", int(8 * max(counts.values()) / n) if n > 20 else -1),
+                ("lines", int(8 * min(1.0, text.count("\n") * 10 / n)) if n else -1),
+            ):
+                row[WORDS + SHAPES + zlib.crc32(f"{name}{value}".encode()) % BANDS] += BAND_PART
+        return out
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shapes = Shapes()
+    terms = Terms()
     for batch in batches:
-        rows = [terms_of(t, shapes).astype("<f4").tobytes() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(rows, pa.binary())], names=["label", "terms"])
+        for first, n in pieces(batch.column("text"), BLOCK_BYTES, BLOCK):
+            part = batch.slice(first, n)
+            rows = [r.astype("<f2").tobytes() for r in terms.of(part.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column("pick"), part.column("label"), pa.array(rows, pa.binary())], names=["pick", "label", "terms"])
 
 
 @dataclass
@@ -107,80 +117,75 @@ class Model:
 
 def held_out(doc_id: Column) -> Column:
     """Rows that the model may not learn from: crc32(doc_id as text) mod 4 is 2; null ids too."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(True)) if isinstance(doc_id, str) else F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
+
+
+def latent_axes(x: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
+    """The leading right singular vectors of x (columns), by power iteration from a fixed start."""
+    rng = np.random.default_rng(5)
+    axes = rng.normal(size=(x.shape[1], min(2 * dimensions, *x.shape)))
+    for _ in range(6):
+        axes = np.linalg.qr(x.T @ (x @ axes))[0]
+    _, _, turn = np.linalg.svd(x @ axes, full_matrices=False)
+    return (axes @ turn.T)[:, :dimensions]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality") -> Model:
     """Learn from at most `sample` labelled rows of each label, picked by a hash of their ids.
 
-    Only rows that aren't held out count; rows without a label or text are passed over.
+    Only rows that aren't held out count; rows without a label or text are passed over. Texts
+    become terms where they are read; what is ordered and collected are terms of bounded size.
     """
-    known = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out("__id"))
-    pick = F.xxhash64("__id", F.lit(17))
+    known = labels.select(col("doc_id").alias("id"), col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("id")))
+    pick = F.xxhash64("id", F.lit(17))
     ids = None
     for value in (0, 1):
-        some = known.where(F.col("label") == value).dropDuplicates(["__id"]).orderBy(pick, "__id").limit(sample)
+        some = known.where(F.col("label") == value).dropDuplicates(["id"]).orderBy(pick, "id").limit(sample)
         ids = some if ids is None else ids.unionByName(some)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL").join(F.broadcast(ids), F.col("doc_id") == F.col("__id"))
-    got = rows.orderBy(pick, "__id", "label", "text").limit(4 * sample).select("label", "text").mapInArrow(_terms, "label int, terms binary").collect()
-    got = sorted((r.label, bytes(r.terms)) for r in got)
+    texts = docs.select(col("doc_id").alias("id"), col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    rows = texts.join(F.broadcast(ids), "id").select(pick.alias("pick"), "label", "text").mapInArrow(_terms, "pick bigint, label int, terms binary")
+    got = sorted((r.label, bytes(r.terms)) for r in rows.orderBy("pick", "label", "terms").limit(4 * sample).collect())
     y = np.array([g[0] for g in got], np.float64)
-    x = np.array([np.frombuffer(g[1], "<f4") for g in got], np.float32).reshape(-1, TERMS)
+    x = np.array([np.frombuffer(g[1], "<f2") for g in got], np.float32).reshape(-1, TERMS)
     n = max(1, len(x))
-    weights = np.log((1 + n) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 0.3
-    gram = (x * weights).T.astype(np.float64) @ (x * weights)
-    axes = np.linalg.eigh(gram)[1][:, ::-1][:, :DIMENSIONS].astype(np.float32)
-    model = Model(weights, np.ascontiguousarray(axes), np.zeros((0, axes.shape[1]), np.float32), y)
+    weights = np.log((1 + n) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(0.3)
+    axes = latent_axes(x * weights) if len(x) else np.zeros((TERMS, 0))
+    model = Model(weights, np.ascontiguousarray(axes, np.float32), np.zeros((0, axes.shape[1]), np.float32), y)
     model.vectors = model.project(x).astype(np.float32)
     return model
 
 
-def _score(model: Model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes = Shapes()
-        for big in slices(batches, "__text", 4 << 20):
-            for first in range(0, big.num_rows, BLOCK):
-                if len(shapes) > shapes.most:
-                    shapes.clear()
-                batch = big.slice(first, BLOCK)
-                texts = pc.cast(batch.column("__text"), pa.string()).to_pylist()
-                score = np.round(model.score(np.stack([terms_of(t, shapes) for t in texts])), 6)
-                own = [(batch.column(i), n) for i, n in enumerate(batch.schema.names) if n != "__text"]
-                yield pa.RecordBatch.from_arrays([*(c for c, _ in own), pa.array(score)], names=[*(n for _, n in own), "score"])
+def scorer(model: Model):
+    """An Arrow function of a text column that gives its score; no other column leaves the JVM."""
+
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        terms = Terms()
+        for column in texts:
+            out = [np.zeros(0)]
+            for first, n in pieces(column, BLOCK_BYTES, BLOCK):
+                out.append(np.round(model.score(terms.of(column.slice(first, n).to_pylist())), 6))
+            yield pa.array(np.concatenate(out))
+        pa.default_memory_pool().release_unused()
 
-    return run
+    return score
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted (score >= threshold).
 
-    Null and empty texts are scored alike, by their bands alone. Repeated rows keep a row each;
-    null doc_ids are held out; without labelled rows every score is 0.5; an empty table gives no
-    rows. Only text enters a score; other columns are not read.
+    Null and empty texts are scored alike, by their bands alone; very long texts whole. Repeated
+    rows keep a row each; null doc_ids are held out; without labelled rows every score is 0.5; an
+    empty table gives no rows. Only text enters a score; other columns are not read.
     """
-    model = fit(docs, labels, sample)
-    source = docs.select("doc_id", F.col("text").cast("string").alias("__text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
-    scored = source.mapInArrow(_score(model), f"doc_id {kind}, score double")
-    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    score = scorer(fit(docs, labels, sample))
+    scored = docs.select(col("doc_id").alias("doc_id"), score(col("text").cast("string")).alias("score"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows scored below threshold; columns stay as they are.
+    """docs without the rows scored below threshold; columns stay as they are, whatever their names.
 
     Rows are scored where they are read, so no join follows. Edge cases as score_quality.
     """
-    model = fit(docs, labels, sample)
-    names = docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes = Shapes()
-        for big in slices(batches, "text", 4 << 20):
-            for first in range(0, big.num_rows, BLOCK):
-                if len(shapes) > shapes.most:
-                    shapes.clear()
-                batch = big.slice(first, BLOCK)
-                score = np.round(model.score(np.stack([terms_of(t, shapes) for t in batch.column("text").to_pylist()])), 6)
-                yield batch.filter(pa.array(score >= threshold))
-
-    return docs.mapInArrow(run, docs.schema).select(*[F.col(f"`{c}`") for c in names])
+    return docs.where(scorer(fit(docs, labels, sample))(col("text").cast("string")) >= threshold)

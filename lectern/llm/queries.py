@@ -60,23 +60,29 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_TEMPLATES = license_scan.templates()
+
+#: Votes of grams by diagonal, the spans of a diagonal and its next ones, then their words one by one.
 OP2_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS} AS w FROM documents),
-t(n, label, base, text) AS (VALUES {", ".join(f"({i}, '{label}', {i < len(license_scan.PHRASES)}, '{text}')" for i, (label, text) in enumerate(license_scan.PHRASES + license_scan.TEMPLATES))}),
-tw AS (SELECT n, label, base, string_split(text, ' ') AS w FROM t),
-tg AS (SELECT n, label, base, len(w) - 1 AS grams, i - 1 AS place, w[i] || ' ' || w[i + 1] AS g FROM (SELECT *, unnest(range(1, len(w))) AS i FROM tw)),
-dg AS (SELECT rid, i - 1 AS pos, w[i] || ' ' || w[i + 1] AS g FROM (SELECT rid, w, unnest(range(1, len(w))) AS i FROM d)),
-v AS (SELECT DISTINCT rid, n, label, base, grams, place, pos - place AS diagonal FROM dg JOIN tg USING (g)),
-diag AS (SELECT rid, n, label, base, grams, diagonal, count(*) AS votes FROM v GROUP BY ALL),
-steps AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, n ORDER BY diagonal) > {license_scan.NEIGHBOUR} THEN 1 ELSE 0 END AS apart FROM diag),
-grp AS (SELECT *, sum(apart) OVER (PARTITION BY rid, n ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS g FROM steps),
-span AS (SELECT grp.rid, grp.n, grp.label, grp.base, grp.grams, g, count(DISTINCT place) AS covered, bool_or(votes = grp.grams) AS whole FROM grp JOIN v USING (rid, n, diagonal) GROUP BY ALL),
-ok AS (SELECT *, covered / grams AS share, CASE WHEN base THEN whole ELSE covered / grams >= {license_scan.COVERAGE} END AS counts FROM span),
-place AS (SELECT rid, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM diag WHERE base AND votes = grams GROUP BY rid),
-named AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (counts) AS labels, max(share) AS score FROM ok GROUP BY rid)
+t(n, label, base, k, w) AS (VALUES {", ".join(f"({n}, '{label}', {base}, {k}, string_split('{' '.join(w)}', ' '))" for n, label, base, w, k in _TEMPLATES)}),
+tg AS (SELECT n, k, i - 1 AS place, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM t)),
+dg AS (SELECT rid, k, i - 1 AS pos, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM t))),
+v AS (SELECT DISTINCT rid, n, place, pos - place AS diagonal FROM dg JOIN tg USING (k, g)),
+diag AS (SELECT rid, n, diagonal, count(*) AS votes FROM v GROUP BY ALL),
+merged AS (SELECT diag.rid, diag.n, diag.diagonal, diag.votes, count(DISTINCT v.place) AS m FROM diag JOIN v ON v.rid = diag.rid AND v.n = diag.n AND v.diagonal BETWEEN diag.diagonal AND diag.diagonal + {license_scan.NEIGHBOUR} GROUP BY ALL),
+span AS (SELECT rid, n, diagonal, label, base, t.w AS tw, d.w AS dw FROM merged JOIN t USING (n) JOIN d USING (rid)
+  WHERE CASE WHEN base THEN votes = len(t.w) - k + 1 ELSE m >= {license_scan.VOTES} * (len(t.w) - k + 1) END),
+word AS (SELECT *, unnest(range(len(tw))) AS p FROM span),
+same AS (SELECT rid, n, diagonal, label, base, len(tw) AS size, count(*) FILTER (
+    CASE WHEN base THEN diagonal + p >= 0 AND dw[diagonal + p + 1] = tw[p + 1]
+    ELSE {" OR ".join(f"(diagonal + p + {e} >= 0 AND dw[diagonal + p + {e} + 1] = tw[p + 1])" for e in range(license_scan.NEIGHBOUR + 1))} END) AS found FROM word GROUP BY ALL),
+ok AS (SELECT *, found / size AS share FROM same WHERE CASE WHEN base THEN found = size ELSE found / size >= {license_scan.COVERAGE} END),
+named AS (SELECT rid, count(*) FILTER (base) AS n_base, min(diagonal) FILTER (base) AS first_word, max(diagonal) FILTER (base) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM ok GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
-FROM d LEFT JOIN place USING (rid) LEFT JOIN named USING (rid)
+FROM d LEFT JOIN named USING (rid)
 """
 
 
