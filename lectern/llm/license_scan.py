@@ -11,8 +11,8 @@ template word by word, and a span counts if enough of the template's words are t
 counts where all its words stand on one diagonal.
 
 The templates are a short fixed list, so their side of the join is broadcast. Votes are grouped by
-document, so no common line meets in one task; only documents with a template's gram bring their
-words to the verification.
+text, so no common line meets in one task and copies are judged once; only texts with a template's
+gram bring their words to the verification.
 """
 
 from __future__ import annotations
@@ -59,18 +59,24 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = [_grams(h) for h in hashes]
         bounds = np.concatenate([[0], np.cumsum([len(g) for g in grams])])
         column = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(grams)))
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([len(h) for h in hashes], pa.int64()), column], names=["row", "n_words", "grams"])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(h) for h in hashes], pa.int64()), column], names=["key", "n_words", "grams"])
 
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The row and number of words of every document; its words too, if it has any gram of a template."""
+def _words_of_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of the texts that have any gram of a template."""
     words, wanted = WordHashes(), np.unique([g for g, _, _ in template_places()])
     for batch in slices(batches, "text", 1 << 20):
         texts = batch.column("text").to_pylist()
-        hashes = words.of(texts)
-        hit = [np.isin(_grams(h), wanted).any() for h in hashes]
-        own = pa.array([words_of(t) if x else None for t, x in zip(texts, hit, strict=True)], pa.list_(pa.binary()))
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array([len(h) for h in hashes], pa.int64()), own], names=["row", "doc_id", "n_words", "words"])
+        part = batch.filter(pa.array([np.isin(_grams(h), wanted).any() for h in words.of(texts)], pa.bool_()))
+        own = [words_of(t) for t in part.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(own, pa.list_(pa.binary()))], names=["key", "words"])
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = WordHashes()
+    for batch in slices(batches, "text", 1 << 20):
+        n = [len(h) for h in words.of(batch.column("text").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(n, pa.int64())], names=["key", "doc_id", "n_words"])
 
 
 def find_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -85,24 +91,25 @@ def find_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     stay; very long texts are read whole; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), col(doc_id).alias("doc_id"), col(text).cast("string").cast("binary").alias("text"))
-    kind = numbered.schema["doc_id"].dataType.simpleString()
-    grams = numbered.select("row", "text").mapInArrow(_scan, "row bigint, n_words bigint, grams array<bigint>")
+    source = docs.select(col(doc_id).alias("doc_id"), F.coalesce(col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
+    keyed = source.withColumn("key", F.unhex(F.md5("text")))
+    kind = source.schema["doc_id"].dataType.simpleString()
+    grams = keyed.select("key", "text").mapInArrow(_scan, "key binary, n_words bigint, grams array<bigint>")
     pairs = F.greatest(F.col("n_words") - (PHRASE_GRAM - 1), F.lit(0))
     at = F.when(F.col("pos") < pairs, F.col("pos")).otherwise(F.col("pos") - pairs)
-    places = grams.select("row", "n_words", F.posexplode("grams").alias("pos", "gram")).select("row", at.cast("int").alias("at"), "gram")
+    places = grams.select("key", "n_words", F.posexplode("grams").alias("pos", "gram")).select("key", at.cast("int").alias("at"), "gram")
     template = spark.createDataFrame(template_places(), "gram bigint, template int, place int")
-    votes = places.join(F.broadcast(template), "gram").select("row", "template", "place", (F.col("at") - F.col("place")).alias("diagonal"))
-    diagonals = votes.groupBy("row", "template", "diagonal").agg(F.collect_set("place").alias("places"))
+    votes = places.join(F.broadcast(template), "gram").select("key", "template", "place", (F.col("at") - F.col("place")).alias("diagonal"))
+    diagonals = votes.groupBy("key", "template", "diagonal").agg(F.collect_set("place").alias("places"))
 
-    order = Window.partitionBy("row", "template").orderBy("diagonal")
+    order = Window.partitionBy("key", "template").orderBy("diagonal")
     merged = F.array_distinct(F.flatten(F.collect_list("places").over(order.rangeBetween(0, NEIGHBOUR))))
     own = spark.createDataFrame([(n, label, base, w, len(w) - k + 1) for n, label, base, w, k in templates()], "template int, label string, base boolean, wanted array<string>, grams int")
     own = own.withColumn("wanted", F.transform("wanted", lambda w: w.cast("binary")))
     voted = diagonals.withColumn("merged", F.size(merged)).join(F.broadcast(own), "template")
     enough = F.when(F.col("base"), F.size("places") == F.col("grams")).otherwise(F.col("merged") >= VOTES * F.col("grams"))
-    sized = numbered.mapInArrow(_sizes, f"row bigint, doc_id {kind}, n_words bigint, words array<binary>")
-    spans = voted.where(enough).join(sized.where("words IS NOT NULL").select("row", "words"), "row")
+    words = keyed.select("key", "text").mapInArrow(_words_of_hits, "key binary, words array<binary>").dropDuplicates(["key"])
+    spans = voted.where(enough).join(words, "key")
 
     def there(word, i):  # the word of the template stands on one of the span's diagonals
         places = [F.get("words", F.col("diagonal") + i + d) for d in range(NEIGHBOUR + 1)]
@@ -116,12 +123,13 @@ def find_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     kept = checked.withColumn("best", F.col("base") | (best["first"] == -F.col("diagonal")))
     start = F.greatest(F.col("diagonal"), F.lit(0)).cast("long")
     one = F.struct("label", start.alias("first"), (F.col("diagonal") + F.size("wanted")).cast("long").alias("end"), "share")
-    by_row = kept.groupBy("row").agg(
+    by_key = kept.groupBy("key").agg(
         F.array_sort(F.collect_list(F.when(F.col("base"), F.col("diagonal")))).alias("base_places"),
         F.array_sort(F.collect_set(F.when(F.col("base"), F.col("label")))).alias("base_labels"),
         F.array_sort(F.collect_set("label")).alias("labels"),
         F.max("share").alias("score"),
         F.array_sort(F.collect_list(F.when(F.col("best"), one))).alias("spans"),
     )
-    none = {c: F.coalesce(c, F.array().cast(by_row.schema[c].dataType)) for c in ("base_places", "base_labels", "labels", "spans")}
-    return sized.join(by_row, "row", "left").select("doc_id", "n_words", *[v.alias(c) for c, v in none.items() if c != "spans"], F.coalesce("score", F.lit(0.0)).alias("score"), none["spans"].alias("spans"))
+    none = {c: F.coalesce(c, F.array().cast(by_key.schema[c].dataType)) for c in ("base_places", "base_labels", "labels", "spans")}
+    sized = keyed.select("key", "doc_id", "text").mapInArrow(_counts, f"key binary, doc_id {kind}, n_words bigint")
+    return sized.join(by_key, "key", "left").select("doc_id", "n_words", *[v.alias(c) for c, v in none.items() if c != "spans"], F.coalesce("score", F.lit(0.0)).alias("score"), none["spans"].alias("spans"))
