@@ -249,7 +249,8 @@ def test_token_store(spark, docs, texts):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
     want, start = [], 0
-    for i, t in sorted(texts, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
+    digest = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    for i, t in sorted(texts, key=lambda r: (r[0] is not None, r[0] or 0, digest[r[1]])):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -259,17 +260,43 @@ def test_token_store(spark, docs, texts):
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
     hits = token_store.find_token(spark, folder, 2).collect()
     assert sum(r.n for r in hits) == len(texts)
-    assert sorted(p for r in hits for p in r.places)[:3] == [s + n - 1 for _, s, n, _ in want[:3]]
+    assert sorted(p for r in hits for p in r.places) == [s + n - 1 for _, s, n, _ in want]
+    token_store.write_tokens(docs.limit(0), f"{folder}-none", path)
+    assert token_store.read_tokens(spark, f"{folder}-none").count() == 0
 
 
 def test_wavelet_matrix():
-    ids = np.random.default_rng(2).integers(0, 700, 3000).astype(np.uint32)
-    m = token_store.WaveletMatrix.from_bytes(token_store.WaveletMatrix.of(ids).to_bytes())
-    assert (m.decode() == ids).all() and [m.access(i) for i in range(0, 3000, 97)] == ids[::97].tolist()
+    ids = np.random.default_rng(2).integers(0, 700, 300_000).astype(np.uint32)
+    data = token_store.pack_wavelet(ids)
+    m = token_store.WaveletMatrix(data)
+    assert (m.decode() == ids).all() and not m.unpacked
+    assert [m.access(i) for i in range(0, 300_000, 9700)] == ids[::9700].tolist()
     where = np.nonzero(ids == ids[5])[0]
-    assert m.rank(int(ids[5]), 3000) == len(where) and [m.select(int(ids[5]), k) for k in range(len(where))] == where.tolist()
-    assert m.select(int(ids[5]), len(where)) == -1 and m.rank(5000, 3000) == 0
-    assert token_store.WaveletMatrix.from_bytes(token_store.WaveletMatrix.of(ids[:0]).to_bytes()).decode().tolist() == []
+    assert m.rank(int(ids[5]), 300_000) == len(where) and m.rank(int(ids[5]), 3000) == (where < 3000).sum()
+    assert m.places(int(ids[5])).tolist() == where.tolist() and [m.select(int(ids[5]), k) for k in (0, 7, len(where) - 1)] == where[[0, 7, -1]].tolist()
+    assert m.select(int(ids[5]), len(where)) == -1 and m.rank(5000, 3000) == 0 and m.select(5000, 0) == -1 and m.select(int(ids[5]), -1) == -1
+    assert m.blocks == 5 and m.levels == 10
+    for ask in (lambda m: m.access(123_456), lambda m: m.rank(7, 200_000), lambda m: m.select(7, 100)):
+        fresh = token_store.WaveletMatrix(data)
+        ask(fresh)
+        assert 0 < len(fresh.unpacked) <= 3 * fresh.levels  # of 5 blocks a plane
+    for some in (ids[:0], ids[:1], np.zeros(9, np.uint32)):
+        assert token_store.WaveletMatrix.of(some).decode().tolist() == some.tolist()
+
+
+def test_unit_encoder_equals_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, encoder = Tokenizer.from_file(path), token_store.UnitEncoder(path)
+    texts = ["Plain words, 42 of them!!", "ÀÉÎ ß straße NAÏVE Ø", "don't they'll <|endoftext|> x", "a\tb\r\nc\x0bd\x1ce", "x" * 500 + " short " + "y1z2" * 40, "日本 語 text", "× ÷ \u00a0 nbsp", "", None, "...!!!", " lead", "tail "]
+    assert encoder.by_units
+    for part in (texts, texts[::-1], texts[:1], [None]):
+        ids, n = encoder.encode(part)
+        want = [library.encode(t or "", add_special_tokens=False).ids for t in part]
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    encoder.by_units = False
+    assert encoder.encode(texts)[0].tolist() == [i for t in texts for i in library.encode(t or "", add_special_tokens=False).ids]
 
 
 def test_urls(spark):
