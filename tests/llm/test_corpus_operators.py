@@ -324,8 +324,41 @@ def test_top_k(spark, block):
     want = []
     for a, (i, v) in enumerate(ok):
         if i % 20 == 0:
-            near = sorted([(-sum(x * y for x, y in zip(v, w)), j) for b, (j, w) in enumerate(ok) if b != a and len(w) == len(v)])[:10]
+            near = sorted([(-sum(x * y for x, y in zip(v, w)), j) for b, (j, w) in enumerate(ok) if b != a and len(w) == len(v)])[:20]
             want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(near)]
     got = topk.top_k(frame, block=block)
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == sorted(want)
     assert topk.top_k(frame.limit(0)).count() == 0
+
+
+def test_top_k_bounds_are_sound():
+    """Also with pivots that lie far out, whose distances hide the differences between vectors."""
+    rng = np.random.default_rng(3)
+    block, queries = np.floor(rng.normal(0, 12, (4096, 16))), np.floor(rng.normal(0, 12, (40, 16)))
+    for size in (0, 64.0, 6.4e7, 1e9, 1e15, 1e30, 1e200):
+        pivots = np.stack([np.full(16, size), -np.arange(16) * size, rng.normal(0, 1, 16) * size])
+        with np.errstate(over="ignore"):
+            far, near = (np.sqrt(((x[:, None] - pivots[None]) ** 2).sum(axis=2)) for x in (block, queries))
+        upper = topk.upper_bounds(queries, near, far, (block * block).sum(axis=1))
+        scores = topk.scores_of(block, queries)
+        assert (upper >= scores).all()
+        if size == 64.0:
+            assert upper.mean() < (((block * block).sum(axis=1)[None] + (queries * queries).sum(axis=1)[:, None]) / 2).mean()
+    big = np.array([[2.0**40, -(2.0**40)], [2.0**28, 3.0]])
+    assert topk.scores_of(big, big[1:]).tolist() == [[2**68 - 3 * 2**40 if 2**68 < 2**63 else 2**63 - 1, 2**56 + 9]]
+
+
+def test_top_k_skips_blocks(spark):
+    """Blocks far from a query are left out and the result stays exact."""
+    rng = np.random.default_rng(6)
+    centres = np.eye(8) * 40
+    rows = [(i, (centres[i % 8] + rng.normal(0, 0.2, 8)).tolist()) for i in range(640)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    v = np.floor(64 * np.array([r[1] for r in rows])).astype(np.int64)
+    got = {}
+    for r in topk.top_k(frame, k=5, block=16).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in range(0, 640, 20):
+        s = v @ v[q]
+        want = sorted((-int(s[j]), j) for j in range(640) if j != q)[:5]
+        assert sorted(got[q]) == [(n + 1, j, -x) for n, (x, j) in enumerate(want)]
