@@ -11,25 +11,27 @@ Two things keep the array small without losing a place: words outside the test v
 cannot be part of a match, so a suffix is listed only if its first `shortest window` words are
 all test words; and suffixes are ordered by their first `window` words, the depth that the
 search compares.
+
+A test set of more than TEST_BLOCK_WORDS words is broadcast in blocks that are searched one after
+another, each adding its places to those of the blocks before, in one pass over the documents.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, words_of
+from .common import col, pieces, slices, words_of
 
 #: Words of a window; an item with fewer words (but some) is one window.
 WINDOW = 10
-#: Test words held by one task at once; a larger test set is searched block by block.
+#: Words of a block of the test set (six bytes each), which is what one search holds.
 TEST_BLOCK_WORDS = 2_000_000
 
 
@@ -150,58 +152,73 @@ def _merge(starts: np.ndarray, ends: np.ndarray) -> list[list[int]]:
 
 
 MATCH = pa.struct([("item_id", pa.string()), ("doc_start", pa.int64()), ("item_start", pa.int64()), ("n", pa.int64())])
-FOUND = "n_words bigint, items array<string>, hits array<array<bigint>>, matches array<struct<item_id:string,doc_start:bigint,item_start:bigint,n:bigint>>"
+FOUND = "doc_id {kind}, text binary, n_words bigint, items array<string>, hits array<array<bigint>>, matches array<struct<item_id:string,doc_start:bigint,item_start:bigint,n:bigint>>"
+
 
+def _diagonals(test: TestSet, shard: Shard, which: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(position, item, place in the item, length) of each longest match, by position.
 
-def _scan(test: TestSet, window: int, with_matches: bool):
-    def run(batches):
+    On a diagonal of a document and an item, the longest match from a place covers all places up
+    to its end, so only the first of a run of places starts one.
+    """
+    n = shard.longest(test, which, at)
+    item, start = test.item_of[which], test.starts[which]
+    order = np.lexsort((at, at - start, item))
+    at, item, start, n = at[order], item[order], start[order], n[order]
+    end = at + n
+    same = (item[1:] == item[:-1]) & (at[1:] - start[1:] == at[:-1] - start[:-1]) & (at[1:] <= end[:-1])
+    first = np.concatenate([[True], ~same]) if len(at) else np.zeros(0, bool)
+    begins = np.searchsorted(test.item_of, np.arange(len(test.names)))  # the first window of each item
+    found = at[first], item[first], start[first] - test.starts[begins[item[first]]], n[first]
+    return tuple(x[np.argsort(found[0], kind="stable")] for x in found)
+
+
+def _scan(block: Broadcast, window: int):
+    """Adds the places of one block of the test set to each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test: TestSet = block.value
         shortest = int(test.lengths.min()) if len(test.lengths) else window
-        begins = np.zeros(len(test.names), np.int64)
-        for i, s in zip(test.item_of[::-1], test.starts[::-1], strict=True):
-            begins[i] = s
-        for batch in slices(batches, "__text"):
-            docs = [words_of(t) for t in batch.column("__text").to_pylist()]
+        for batch in slices(batches, "text"):
+            docs = [words_of(t) for t in batch.column("text").to_pylist()]
             shard = Shard(docs, test.vocab, shortest, window)
             which, at = shard.places(test)
-            items: dict[int, list[str]] = {}
-            hits: dict[int, list[list[int]]] = {}
-            matches: dict[int, list[dict]] = defaultdict(list)
-            if len(which):
-                doc = np.searchsorted(shard.first, at, "right") - 1
-                where = at - shard.first[doc]
-                item = test.item_of[which]
-                for d in np.unique(doc):
-                    own = doc == d
-                    items[d] = sorted({test.names[i] for i in np.unique(item[own])})
-                    hits[d] = _merge(where[own], where[own] + test.lengths[which[own]])
-                if with_matches:  # the longest match of a diagonal starts where the one before ended
-                    n = shard.longest(test, which, at)
-                    rank = np.lexsort((at, at - test.starts[which], item, doc))
-                    open_until: dict[tuple[int, int, int], int] = {}
-                    for r in rank:
-                        key = (int(doc[r]), int(item[r]), int(at[r] - test.starts[which[r]]))
-                        if open_until.get(key, -1) < at[r]:
-                            open_until[key] = int(at[r] + n[r])
-                            matches[key[0]].append({"item_id": test.names[key[1]], "doc_start": int(where[r]), "item_start": int(test.starts[which[r]] - begins[key[1]]), "n": int(n[r])})
-            rows = range(len(docs))
-            own = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "__text"]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *own,
-                    pa.array([len(d) for d in docs], pa.int64()),
-                    pa.array([items.get(i, []) for i in rows], pa.list_(pa.string())),
-                    pa.array([hits.get(i, []) for i in rows], pa.list_(pa.list_(pa.int64()))),
-                    pa.array([matches.get(i, []) for i in rows], pa.list_(MATCH)),
-                ],
-                names=[*(n for n in batch.schema.names if n != "__text"), "n_words", "items", "hits", "matches"],
-            )
+            items, hits, matches = (batch.column(c).to_pylist() for c in ("items", "hits", "matches"))
+            order = np.argsort(at, kind="stable")
+            which, at = which[order], at[order]
+            cuts = np.searchsorted(at, shard.first)
+            longest = _diagonals(test, shard, which, at)
+            own = np.searchsorted(longest[0], shard.first)
+            for d in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+                part = slice(cuts[d], cuts[d + 1])
+                place = at[part] - shard.first[d]
+                known = np.array(hits[d], np.int64).reshape(-1, 2)
+                items[d] = sorted({*items[d], *(test.names[i] for i in np.unique(test.item_of[which[part]]))})
+                hits[d] = _merge(np.concatenate([known[:, 0], place]), np.concatenate([known[:, 1], place + test.lengths[which[part]]]))
+                rows = zip(*(x[own[d] : own[d + 1]].tolist() for x in longest), strict=True)
+                matches[d] = matches[d] + [{"item_id": test.names[i], "doc_start": p - int(shard.first[d]), "item_start": j, "n": n} for p, i, j, n in rows]
+            made = [
+                batch.column("doc_id"), batch.column("text"), pa.array([len(d) for d in docs], pa.int64()),
+                pa.array(items, pa.list_(pa.string())), pa.array(hits, pa.list_(pa.list_(pa.int64()))), pa.array(matches, pa.list_(MATCH)),
+            ]
+            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "text", "n_words", "items", "hits", "matches"])
 
     return run
 
 
+def _blocks(benchmark: DataFrame, window: int, block_words: int, item_id: str, item_text: str) -> Iterator[Broadcast]:
+    """The test set in broadcast blocks of about block_words words, dealt by a hash of the item; one at least."""
+    items = benchmark.select(col(item_id).cast("string").alias("i"), col(item_text).cast("string").cast("binary").alias("t"))
+    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    blocks = max(1, -(-size // (block_words * 6)))
+    for b in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
+        yield benchmark.sparkSession.sparkContext.broadcast(TestSet.of([(r.i, r.t) for r in part.collect()], window))
+
+
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text",
-    item_id: str = "item_id", item_text: str = "text", with_matches: bool = True, block_words: int = TEST_BLOCK_WORDS,
+    item_id: str = "item_id", item_text: str = "text", block_words: int = TEST_BLOCK_WORDS,
 ) -> DataFrame:
     """Every document with the test items that it repeats verbatim.
 
@@ -211,73 +228,45 @@ def find_contamination(
 
     Null or wordless texts have no words and no hits; null item ids and wordless items give no
     window; repeated rows each keep their row; items with equal texts are all listed; an empty
-    benchmark gives rows without hits. Other columns of docs are not read.
-
-    The test set is bounded by block_words: a larger one is split by a hash of item_id into
-    blocks that are searched one after another, and their hits are united by row.
+    benchmark gives rows without hits, an empty table no rows; very long texts are searched whole.
+    Other columns of docs are not read. The result doesn't depend on block_words, but for the
+    order of matches.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("string").cast("binary").alias("t"))
-    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = max(1, -(-size // (block_words * 6)))
-    source = as_bytes(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).drop("text")
-    if blocks > 1:
-        source = source.withColumn("__row", F.monotonically_increasing_id())
-    out = None
-    for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
-        test = TestSet.of([(r.i, r.t) for r in part.collect()], window)
-        own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name != "__text")
-        found = source.mapInArrow(_scan(test, window, with_matches), f"{own}, {FOUND}")
-        out = found if out is None else out.unionByName(found)
-    if blocks > 1:
-        covered = F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("hits")), lambda r: F.sequence(r[0], r[1] - 1))))
-        out = (
-            out.groupBy("__row", "doc_id", "n_words")
-            .agg(
-                F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-                F.flatten(F.collect_list("hits")).alias("hits"),
-                F.flatten(F.collect_list("matches")).alias("matches"),
-                F.size(covered).cast("long").alias("n_hit"),
-            )
-            .drop("__row")
-        )
-        return out.select("doc_id", "n_words", "n_hit", "items", "hits", "matches")
+    source = docs.select(col(doc_id).alias("doc_id"), col(text).cast("string").cast("binary").alias("text"))
+    schema = FOUND.format(kind=source.schema["doc_id"].dataType.simpleString())
+    none = {"n_words": "bigint", "items": "array<string>", "hits": "array<array<bigint>>", "matches": schema.split("matches ")[1]}
+    out = source.select("*", F.lit(0).cast("bigint").alias("n_words"), *[F.array().cast(none[c]).alias(c) for c in ("items", "hits", "matches")])
+    for block in _blocks(benchmark, window, block_words, item_id, item_text):
+        out = out.mapInArrow(_scan(block, window), schema)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, r: a + r[1] - r[0])
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "hits", "matches")
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without the rows that hold any test window; all columns stay as they are.
-
-    Rows are judged where they are read, so no join follows. Edge cases as find_contamination.
-    """
-    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").cast("binary").alias("t"))
-    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = max(1, -(-size // (TEST_BLOCK_WORDS * 6)))
-    names = docs.columns
-    out = as_bytes(docs)
-    for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
-        test = TestSet.of([(r.i, r.t) for r in part.collect()], window)
-        out = out.mapInArrow(_keep_clean(test, window), out.schema)
-    return out.select(*[F.col(f"`{n}`") for n in names])
+def _touched(block: Broadcast, window: int):
+    """An Arrow function of a text column: does the text hold any window of the block?"""
 
-
-def _keep_clean(test: TestSet, window: int):
-    def run(batches):
+    @F.arrow_udf("boolean")
+    def touched(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        test: TestSet = block.value
         shortest = int(test.lengths.min()) if len(test.lengths) else window
-        for batch in slices(batches, "__text"):
-            docs = [words_of(t) for t in batch.column("__text").to_pylist()]
-            shard = Shard(docs, test.vocab, shortest, window)
-            _, at = shard.places(test)
-            clean = np.ones(len(docs), bool)
-            clean[np.searchsorted(shard.first, at, "right") - 1] = False
-            yield batch.filter(pa.array(clean))
+        for column in texts:
+            out = np.zeros(len(column), bool)
+            for first, n in pieces(column):
+                shard = Shard([words_of(t) for t in column.slice(first, n).to_pylist()], test.vocab, shortest, window)
+                _, at = shard.places(test)
+                out[first + np.searchsorted(shard.first, at, "right") - 1] = True
+            yield pa.array(out)
+        pa.default_memory_pool().release_unused()
 
-    return run
+    return touched
 
 
-def item_digest(items: list[str]) -> str:
-    """The digest of a sorted list of item ids, as the query reports it."""
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = TEST_BLOCK_WORDS, text: str = "text") -> DataFrame:
+    """docs without the rows that hold any test window; all columns stay as they are, whatever their names.
+
+    Rows are judged where they are read, so no join follows; no column but the text leaves the
+    JVM. Edge cases as find_contamination.
+    """
+    for block in _blocks(benchmark, window, block_words, "item_id", "text"):
+        docs = docs.where(~_touched(block, window)(col(text).cast("string").cast("binary")))
+    return docs

@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), with_matches=True)
+    found = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",
         "n_words",
@@ -23,6 +23,8 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.coalesce(F.array_max(F.col("matches.n")), F.lit(0)).alias("longest_match"),
+        F.array_min(F.col("matches.doc_start")).alias("first_match"),
     )
 
 
@@ -30,19 +32,24 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+#: A run of windows that follow each other both in the document and in the item is one match.
 OP1_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS} AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
-bw AS (SELECT item_id, w, least(10, len(w)) AS size, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0),
-win AS (SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS t FROM bw),
+b AS (SELECT row_number() OVER () AS bid, CAST(item_id AS VARCHAR) AS item_id, {WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+bw AS (SELECT bid, item_id, w, least(10, len(w)) AS size, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS j FROM b WHERE len(w) > 0),
+win AS (SELECT bid, item_id, size, j, array_to_string(w[j:j + size - 1], ' ') AS t FROM bw),
 sizes AS (SELECT DISTINCT size FROM win),
 dw AS (SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes),
-hit AS (SELECT dw.rid, dw.i, dw.size, win.item_id FROM dw JOIN win ON dw.size = win.size AND array_to_string(dw.w[dw.i:dw.i + dw.size - 1], ' ') = win.t),
+hit AS (SELECT dw.rid, dw.i, dw.size, win.item_id, win.bid, win.j FROM dw JOIN win ON dw.size = win.size AND array_to_string(dw.w[dw.i:dw.i + dw.size - 1], ' ') = win.t),
 places AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT rid, i, size FROM hit)) GROUP BY rid),
-items AS (SELECT rid, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT rid, item_id FROM hit) GROUP BY rid)
+items AS (SELECT rid, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT rid, item_id FROM hit) GROUP BY rid),
+runs AS (SELECT rid, bid, i - j AS diagonal, size, i - row_number() OVER (PARTITION BY rid, bid, i - j ORDER BY i) AS run, i FROM hit),
+matches AS (SELECT rid, min(i) - 1 AS start, count(*) - 1 + size AS n FROM runs GROUP BY rid, bid, diagonal, size, run),
+longest AS (SELECT rid, max(n) AS n, min(start) AS start FROM matches GROUP BY rid)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(places.n, 0) AS BIGINT) AS n_hit,
-       CAST(coalesce(items.n, 0) AS BIGINT) AS n_items, sha256(coalesce(items.ids, '')) AS items_sha256, coalesce(places.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN places USING (rid) LEFT JOIN items USING (rid)
+       CAST(coalesce(items.n, 0) AS BIGINT) AS n_items, sha256(coalesce(items.ids, '')) AS items_sha256, coalesce(places.n, 0) > 0 AS contaminated,
+       CAST(coalesce(longest.n, 0) AS BIGINT) AS longest_match, CAST(longest.start AS BIGINT) AS first_match
+FROM d LEFT JOIN places USING (rid) LEFT JOIN items USING (rid) LEFT JOIN longest USING (rid)
 """
 
 

@@ -9,7 +9,6 @@ without mandatory trigrams is a candidate everywhere, that is a full scan.
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 from itertools import product
 
@@ -17,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import keep
+from .common import col, unused
 
 # The rules, (kind, pattern, least length of the match or of its second group).
 # The first three are the base kinds; the order is that of the kinds in results.
@@ -74,18 +74,18 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
     return [frozenset()] if frozenset() in found else sorted(found, key=sorted)
 
 
-def build_index(docs: DataFrame, grams: list[str], key: str, text: str) -> DataFrame:
-    """The postings (gram, key) of the trigrams that queries name: one row for each document that has it."""
-    low = docs.select(F.col(key).alias("key"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("low"))
+def build_index(texts: DataFrame, grams: list[str]) -> DataFrame:
+    """The postings (gram, key) of the trigrams that queries name: one row for each of texts (key, text) that has it."""
+    low = texts.select("key", F.lower("text").alias("low"))
     has = F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams])
     return low.select("key", F.array_compact(has).alias("grams")).select("key", F.explode("grams").alias("gram"))
 
 
-def candidates(docs: DataFrame, rules: list[tuple[str, str, int, int]], key: str, text: str) -> DataFrame:
-    """(key, kinds): for each document the rules of which it has all trigrams of an alternative."""
+def candidates(texts: DataFrame, rules: list[tuple[str, str, int, int]]) -> DataFrame:
+    """(key, kinds): for each of texts (key, text) the rules of which it has all trigrams of an alternative."""
     terms = [(kind, i, gram, len(alt)) for kind, pattern, _, _ in rules for i, alt in enumerate(trigram_query(pattern)) for gram in sorted(alt)]
-    postings = build_index(docs, sorted({t[2] for t in terms}), key, text)
-    query = docs.sparkSession.createDataFrame(terms, "kind string, alternative int, gram string, grams int")
+    postings = build_index(texts, sorted({t[2] for t in terms}))
+    query = texts.sparkSession.createDataFrame(terms, "kind string, alternative int, gram string, grams int")
     met = postings.join(F.broadcast(query), "gram").groupBy("key", "kind", "alternative", "grams").agg(F.count_distinct("gram").alias("n"))
     return met.where("n = grams").groupBy("key").agg(F.collect_set("kind").alias("kinds"))
 
@@ -110,45 +110,52 @@ def _matches(text: Column, kind: str, pattern: str, group: int, least: int, orde
     return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(steps, zero, step, lambda acc: acc["out"]))
 
 
-def find_secrets(docs: DataFrame, rules: list[tuple[str, str, int, int]] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of docs and `secrets`: an array of (start, kind_no, end, kind) by start and kind.
-
-    Places are code points, the end exclusive; matches of one kind never overlap, those of
-    different kinds may. A null text counts as empty. Rows that repeat a doc_id are judged each
-    by its own text, null doc_ids too; an empty table gives no rows. A column named secrets is
-    replaced.
-    """
+def _with_spans(docs: DataFrame, rules: list[tuple[str, str, int, int]] | None, text: str, out: str) -> DataFrame:
+    """docs with a column `out` of secret spans; texts are known to the index by their MD5, so copies share postings."""
     rules = RULES if rules is None else rules
-    keyed = docs.withColumn("__key", F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
     scanned = [r for r in rules if frozenset() in trigram_query(r[1])]
     indexed = [r for r in rules if r not in scanned]
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(col(text).cast("string"), F.lit(""))
     found = [_matches(body, *r, rules.index(r)) for r in scanned]
-    out = keyed
+    names = [col(c) for c in docs.columns]
     if indexed:
-        hits = keep(candidates(keyed, indexed, "__key", text).select(F.col("key").alias("__key"), F.col("kinds").alias("__kinds")), "candidates")
-        out = keyed.join(hits, "__key", "left")
-        found += [F.when(F.array_contains("__kinds", r[0]), _matches(body, *r, rules.index(r))) for r in indexed]
+        digest = F.unhex(F.md5(body.cast("binary")))
+        key, own, kinds = unused(docs, "key", "own", "kinds")
+        hits = keep(candidates(docs.select(digest.alias("key"), body.alias("text")), indexed), "candidates")
+        docs = docs.withColumn(own, digest).join(hits.select(F.col("key").alias(key), F.col("kinds").alias(kinds)), F.col(own) == F.col(key), "left")
+        found += [F.when(F.array_contains(kinds, r[0]), _matches(body, *r, rules.index(r))) for r in indexed]
     none = F.array().cast("array<struct<start:int,kind_no:int,end:int,kind:string>>")
-    spans = F.array_sort(F.concat(*[F.coalesce(f, none) for f in found]))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c != "secrets"], spans.alias("secrets"))
+    return docs.select(*names, F.array_sort(F.concat(*[F.coalesce(f, none) for f in found])).alias(out))
+
+
+def find_secrets(docs: DataFrame, rules: list[tuple[str, str, int, int]] | None = None, text: str = "text") -> DataFrame:
+    """All columns of docs and `secrets`: an array of (start, kind_no, end, kind) by start and kind.
+
+    Places are code points, the end exclusive; matches of one kind never overlap, those of
+    different kinds may. A null text counts as empty; very long ones are read whole. Rows are
+    judged by their text alone, so repeats and null ids stay; an empty table gives no rows. A
+    column named secrets is replaced; other names don't matter.
+    """
+    return _with_spans(docs.drop("secrets"), rules, text, "secrets")
 
 
-def redact(docs: DataFrame, mask: str = "[SECRET]", text: str = "text", **options) -> DataFrame:
-    """docs with every secret span of the text replaced by `mask`; all other columns and rows stay.
+def redact(docs: DataFrame, mask: str = "[SECRET]", rules: list[tuple[str, str, int, int]] | None = None, text: str = "text") -> DataFrame:
+    """docs with every secret span of the text replaced by `mask`; all other columns and rows stay, whatever their names.
 
     Overlapping spans become one mask. A null text stays null. Edge cases as find_secrets.
     """
-    found = find_secrets(docs, text=text, **options)
-    body = F.col(text)
+    (spans,) = unused(docs, "spans")
+    found = _with_spans(docs, rules, text, spans)
+    body = col(text)
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         fresh = F.concat(acc["out"], F.substring(body, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(fresh).alias("out"))
 
-    clean = F.aggregate("secrets", zero, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.char_length(body))))
-    return found.withColumn(text, F.when(F.size("secrets") > 0, clean).otherwise(body)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    clean = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.char_length(body))))
+    masked = F.when(F.size(spans) > 0, clean).otherwise(body).alias(text)
+    return found.select(*[masked if c == text else col(c) for c in docs.columns])
 
 
 def spans_text(spans: Column) -> Column:
@@ -162,9 +169,3 @@ def count_kind(spans: Column, kind: str) -> Column:
 
 def base_spans(spans: Column) -> Column:
     return F.filter(spans, lambda s: reduce(lambda a, b: a | b, [s["kind"] == k for k in BASE]))
-
-
-def check_rules() -> None:
-    """Raises if a rule isn't an expression that Python's and Java's syntax share here."""
-    for _, pattern, _, _ in RULES:
-        re.compile(pattern)
