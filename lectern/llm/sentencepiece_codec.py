@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import col, pieces
 
 MARK = "▁"
 #: Words of a text: a run of marks with what follows, cut before and after characters without a piece.
@@ -64,6 +64,8 @@ class Codec:
         self.halves: dict[str, tuple[str, str]] = {}
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
+        #: Score of a character without a piece: the library's penalty below its smallest score.
+        self.worst = min(self.scores.values(), default=0.0) - 10.0
         #: Rank of each merge; pieces whose rank doesn't say when they are formed are compared by merging.
         self.rank = {p: -s for p, s in self.scores.items() if s > -1e8}
         self.known: dict[str, tuple[int, ...]] = {}
@@ -162,7 +164,7 @@ class Codec:
         options = []
         for begin in range(max(0, end - self.longest), end):
             piece = word[begin:end]
-            score = self.scores.get(piece, -1e9 if end - begin == 1 else None)
+            score = self.scores.get(piece, self.worst if end - begin == 1 else None)
             if score is not None:
                 options.append((score + (best[begin - 1] if begin else 0.0), -begin, piece))
         score, _, piece = max(options)
@@ -226,30 +228,37 @@ class Codec:
         return text[1:] if self.dummy and text.startswith(" ") else text
 
 
-def _run_encode(path: str, names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
-        for batch in slices(batches, "__text", 4 << 20):
-            texts = batch.column("__text").to_pylist()
-            ids = codec.encode(texts)
-            column = pa.array([None if t is None else i.astype("<u4").tobytes() for t, i in zip(texts, ids, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array([len(i) for i in ids], pa.int64()), column], names=[*names, "n_ids", "ids"])
+def encoder(path: str):
+    """An Arrow function of a text column that gives its ids as little-endian uint32."""
 
-    return run
+    @F.arrow_udf("binary")
+    def encode_texts(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = Codec(path)
+        for column in texts:
+            out: list[bytes | None] = []
+            for first, n in pieces(column, 4 << 20):
+                part = column.slice(first, n).to_pylist()
+                out += [None if t is None else i.astype("<u4").tobytes() for t, i in zip(part, codec.encode(part), strict=True)]
+            yield pa.array(out, pa.binary())
+        pa.default_memory_pool().release_unused()
 
+    return encode_texts
 
-def _run_decode(path: str, names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
-        for batch in slices(batches, "ids"):
-            texts = [None if i is None else codec.decode(np.frombuffer(i, "<u4")) for i in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], names=[*names, "decoded"])
 
-    return run
+def decoder(path: str):
+    """An Arrow function of a column of ids that gives their text."""
 
+    @F.arrow_udf("string")
+    def decode_ids(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = Codec(path)
+        for column in ids:
+            out: list[str | None] = []
+            for first, n in pieces(column):
+                out += [None if i is None else codec.decode(np.frombuffer(i, "<u4")) for i in column.slice(first, n).to_pylist()]
+            yield pa.array(out, pa.string())
+        pa.default_memory_pool().release_unused()
 
-def _ddl(df: DataFrame, names: list[str]) -> list[str]:
-    return [f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names]
+    return decode_ids
 
 
 def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
@@ -257,16 +266,17 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
 
     `model` is the path of a model file that exists on every executor. A null text has null ids
     and n_ids 0; an empty one has none; very long words are encoded whole. A mark (U+2581) in a
-    text is a blank to the model and comes back as one; all else comes back as it was. Rows are encoded one
-    by one, so repeats, null ids and other columns stay; columns named n_ids or ids are replaced;
-    an empty table gives no rows.
+    text is a blank to the model and comes back as one; all else comes back as it was. Rows are
+    encoded one by one, so repeats, null ids and other columns stay; columns named n_ids or ids are
+    replaced, other names don't matter; an empty table gives no rows. Only the text leaves the JVM.
     """
-    names = [c for c in docs.columns if c not in ("n_ids", "ids")]
-    source = docs.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{text}`").cast("string").alias("__text"))
-    return source.mapInArrow(_run_encode(model, names), ", ".join([*_ddl(docs, names), "n_ids bigint", "ids binary"]))
+    rest = [col(c) for c in docs.columns if c.lower() not in ("n_ids", "ids")]
+    encoded = docs.select(*rest, encoder(model)(col(text).cast("string")).alias("ids"))
+    n_ids = F.coalesce(F.octet_length("ids") / 4, F.lit(0)).cast("bigint")
+    return encoded.select(*rest, n_ids.alias("n_ids"), "ids")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """encoded with decoded: the text of its ids; null ids give null. Other columns and rows stay."""
-    names = [c for c in encoded.columns if c != "decoded"]
-    return encoded.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(_run_decode(model, names), ", ".join([*_ddl(encoded, names), "decoded string"]))
+    rest = [col(c) for c in encoded.columns if c.lower() != "decoded"]
+    return encoded.select(*rest, decoder(model)(F.col("ids")).alias("decoded"))
