@@ -16,7 +16,16 @@ WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 
-MASK = (1 << 64) - 1
+#: Bytes of an Arrow batch between the JVM and a Python worker, unless the session says otherwise.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """df, in whose session Arrow batches are bounded by bytes from now on, as texts differ much in length."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, str(BATCH_BYTES))
+    return df
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -29,7 +38,7 @@ def as_bytes(df: DataFrame, text: str = "text", out: str = "__text") -> DataFram
     return df.withColumn(out, F.col(text).cast("string").cast("binary"))
 
 
-def pieces(column: pa.Array, most: int = 8 << 20, rows: int = 10_000) -> Iterator[tuple[int, int]]:
+def pieces(column: pa.Array, most: int = 2 << 20, rows: int = 10_000) -> Iterator[tuple[int, int]]:
     """(first row, rows) of pieces with at most `most` bytes and `rows` rows, or one row."""
     sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
     start = 0
@@ -39,7 +48,7 @@ def pieces(column: pa.Array, most: int = 8 << 20, rows: int = 10_000) -> Iterato
         start = end
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each piece holds at most `most` bytes of `column` and `rows` rows, or one row.
 
     What Arrow's pool holds beyond that is given back when the task ends, as workers outlive tasks.
@@ -93,19 +102,20 @@ class WordHashes:
         self.powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, self.BASE))])
         self.inverse = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, inverse))])
 
-    def of(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        """The hashes of the words of each text in order."""
-        data = b" ".join([t or b"" for t in texts])
-        if not data:
-            return [np.empty(0, np.uint64) for _ in texts]
-        if len(data) > len(self.powers):
-            self._grow(len(data))
-        a = np.frombuffer(data.translate(WORD_BYTES), np.uint8)
+    def runs(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, hashes) of the runs of bytes other than blanks."""
+        if len(a) > len(self.powers):
+            self._grow(len(a))
         inside = np.concatenate([[False], a != 32, [False]])
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         starts, ends = edges[::2], edges[1::2]
         sums = np.concatenate([[np.uint64(0)], np.cumsum(a * self.powers[: len(a)], dtype=np.uint64)])
-        hashes = mix((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+        return starts, mix((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+
+    def of(self, texts: list[bytes | None], table: bytes = WORD_BYTES) -> list[np.ndarray]:
+        """The hashes of the words of each text in order; table: what bytes count as, blanks part words."""
+        data = b" ".join([t or b"" for t in texts])
+        starts, hashes = self.runs(np.frombuffer(data.translate(table), np.uint8))
         bounds = np.cumsum([len(t or b"") + 1 for t in texts])[:-1]
         return np.split(hashes, np.searchsorted(starts, bounds))
 

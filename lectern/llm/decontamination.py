@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, pieces, slices, words_of
+from .common import bound_batches, col, pieces, slices, words_of
 
 #: Words of a window; an item with fewer words (but some) is one window.
 WINDOW = 10
@@ -232,7 +232,7 @@ def find_contamination(
     Other columns of docs are not read. The result doesn't depend on block_words, but for the
     order of matches.
     """
-    source = docs.select(col(doc_id).alias("doc_id"), col(text).cast("string").cast("binary").alias("text"))
+    source = bound_batches(docs).select(col(doc_id).alias("doc_id"), col(text).cast("string").cast("binary").alias("text"))
     schema = FOUND.format(kind=source.schema["doc_id"].dataType.simpleString())
     none = {"n_words": "bigint", "items": "array<string>", "hits": "array<array<bigint>>", "matches": schema.split("matches ")[1]}
     out = source.select("*", F.lit(0).cast("bigint").alias("n_words"), *[F.array().cast(none[c]).alias(c) for c in ("items", "hits", "matches")])
@@ -268,5 +268,5 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
     JVM. Edge cases as find_contamination.
     """
     for block in _blocks(benchmark, window, block_words, "item_id", "text"):
-        docs = docs.where(~_touched(block, window)(col(text).cast("string").cast("binary")))
+        docs = bound_batches(docs).where(~_touched(block, window)(col(text).cast("string").cast("binary")))
     return docs

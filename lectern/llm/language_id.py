@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices
+from .common import bound_batches, col, mix, slices
 
-#: Bytes of an n-gram, slots of the filter (a power of two), hashes of an n-gram.
-N, SLOTS, HASHES = 4, 1 << 20, 2
-#: Labelled rows sampled for each language (expected number), languages, n-grams kept in the filter.
-SAMPLE, LANGUAGES, GRAMS = 1000, 64, 200_000
+#: Bytes of an n-gram, hashes of an n-gram, slots of the filter for each n-gram of the largest language.
+N, HASHES, ROOM = 4, 2, 16
+#: Labelled rows sampled for each language (expected number).
+SAMPLE = 1000
 #: An n-gram belongs to a language if this share of its sampled texts have it, and if that is no
 #: less than this part of the largest share of any language.
 LEAST_SHARE, LEAST_PART = 0.004, 0.35
@@ -49,7 +49,10 @@ def has_letter(text: str | None) -> bool:
 
 @dataclass
 class Filter:
-    """The bit-sliced filter, the languages of its bits, and each language's false-positive rate."""
+    """The bit-sliced filter, the languages of its bits, and each language's false-positive rate.
+
+    A slot has as many 64-bit words as the languages need; the number of slots is a power of two.
+    """
 
     languages: list[str]
     bits: np.ndarray
@@ -57,16 +60,20 @@ class Filter:
     common: int
 
     @classmethod
-    def of(cls, languages: list[str], grams: np.ndarray, masks: np.ndarray, common: int) -> Filter:
-        bits = np.zeros(SLOTS, np.uint64)
+    def of(cls, languages: list[str], grams: np.ndarray, owners: list[list[int]], common: int) -> Filter:
+        """owners: for each n-gram the numbers of its languages."""
+        gram = np.repeat(grams, [len(o) for o in owners])
+        owner = np.array([i for o in owners for i in o], np.int64)
+        most = int(np.bincount(owner, minlength=1).max()) if len(owner) else 1
+        bits = np.zeros((1 << max(10, (ROOM * most - 1).bit_length()), -(-len(languages) // 64) or 1), np.uint64)
+        out = cls(languages, bits, np.zeros(len(languages)), common)
         for j in range(HASHES):
-            np.bitwise_or.at(bits, cls.slot(grams, j), masks)
-        filled = np.array([((bits >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(languages))])
-        return cls(languages, bits, filled**HASHES, common)
+            np.bitwise_or.at(bits, (out.slot(gram, j), owner // 64), np.uint64(1) << (owner % 64).astype(np.uint64))
+        out.false = (out.counts(bits) / len(bits)) ** HASHES
+        return out
 
-    @staticmethod
-    def slot(grams: np.ndarray, j: int) -> np.ndarray:
-        return (mix(grams + np.uint64(j << 40)) & np.uint64(SLOTS - 1)).astype(np.int64)
+    def slot(self, grams: np.ndarray, j: int) -> np.ndarray:
+        return (mix(grams + np.uint64(j << 40)) & np.uint64(len(self.bits) - 1)).astype(np.int64)
 
     def masks(self, grams: np.ndarray) -> np.ndarray:
         """All languages that contain each n-gram, as bits."""
@@ -75,11 +82,13 @@ class Filter:
             out &= self.bits[self.slot(grams, j)]
         return out
 
+    def counts(self, masks: np.ndarray) -> np.ndarray:
+        """How many of the masks have the bit of each language."""
+        return np.array([np.count_nonzero(masks[:, i // 64] & np.uint64(1 << (i % 64))) for i in range(len(self.languages))], np.int64)
+
     def shares(self, masks: np.ndarray) -> np.ndarray:
         """Share of known n-grams for each language, corrected for false positives."""
-        n = max(1, len(masks))
-        hits = np.array([np.count_nonzero(masks & np.uint64(1 << i)) for i in range(len(self.languages))])
-        return np.clip((hits / n - self.false) / (1 - self.false), 0.0, 1.0)
+        return np.clip((self.counts(masks) / max(1, len(masks)) - self.false) / (1 - self.false), 0.0, 1.0)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score); und without letters; the most common language if nothing is known."""
@@ -108,28 +117,24 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Filter:
     """Learn from about `sample` texts of each language, picked by a hash of their ids.
 
-    Rows without language or text, and held-out rows, are passed over. At most LANGUAGES languages
-    (the most common) fit a mask of 64 bits, and at most GRAMS n-grams (the most telling) are kept.
+    Rows without language or text, and held-out rows, are passed over. What is collected are the
+    n-grams that LEAST_SHARE of a language's sampled texts have, of all languages.
     """
-    known = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & ~held_out("doc_id"))
-    counted = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counted:
-        return Filter([], np.zeros(SLOTS, np.uint64), np.zeros(0), 0)
-    rate = F.create_map(*[F.lit(x) for r in counted for x in (r["lang"], min(1.0, sample / r["count"]))])
+    known = bound_batches(docs).select(col("doc_id").alias("doc_id"), col("lang").cast("string").alias("lang"), col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & ~held_out("doc_id"))
+    rates = known.groupBy("lang").agg(F.count("*").alias("rows")).withColumn("rate", F.lit(float(sample)) / F.col("rows"))
     chance = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_000)) / 1_000_000
-    chosen = known.where(F.col("text").isNotNull() & (chance < rate[F.col("lang")]))
-    texts = {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()}
-    size = F.create_map(*[F.lit(x) for name, n in (texts or {"": 1}).items() for x in (name, float(n))])
-    share = chosen.select("lang", "text").mapInArrow(_distinct, "lang string, gram bigint").groupBy("lang", "gram").count().select("lang", "gram", (F.col("count") / size[F.col("lang")]).alias("share")).where(F.col("share") >= LEAST_SHARE)
+    chosen = known.where(F.col("text").isNotNull()).join(rates, "lang").where(chance < F.col("rate"))
+    texts = chosen.groupBy("lang").agg(F.count("*").alias("texts"), F.first("rows").alias("rows"))
+    share = chosen.select("lang", "text").mapInArrow(_distinct, "lang string, gram bigint").groupBy("lang", "gram").count().join(texts, "lang")
+    share = share.select("lang", "gram", (F.col("count") / F.col("texts")).alias("share")).where(F.col("share") >= LEAST_SHARE)
     top = share.groupBy("gram").agg(F.max("share").alias("top"), F.collect_list(F.struct("lang", "share")).alias("own"))
-    kept = top.orderBy(F.desc("top"), "gram").limit(GRAMS).select("gram", F.transform(F.filter("own", lambda s: s["share"] >= LEAST_PART * F.col("top")), lambda s: s["lang"]).alias("langs")).collect()
-    languages = sorted(texts)
-    bit = {name: 1 << i for i, name in enumerate(languages)}
+    kept = top.select("gram", F.transform(F.filter("own", lambda s: s["share"] >= LEAST_PART * F.col("top")), lambda s: s["lang"]).alias("langs")).collect()
+    sizes = {r["lang"]: r["rows"] for r in texts.collect()}
+    languages = sorted(sizes)
+    number = {name: i for i, name in enumerate(languages)}
     grams = np.array([r.gram for r in kept], np.int64).view(np.uint64)
-    masks = np.array([sum(bit[x] for x in r.langs) for r in kept], np.uint64)
-    most = max(languages, key=lambda x: (texts[x], x)) if languages else ""
-    first = next((r["lang"] for r in counted if r["lang"] in bit), most)
-    return Filter.of(languages, grams, masks, languages.index(first) if languages else 0)
+    common = number[min(languages, key=lambda x: (-sizes[x], x))] if languages else 0
+    return Filter.of(languages, grams, [[number[x] for x in r.langs] for r in kept], common)
 
 
 def identify_language(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -147,6 +152,6 @@ def identify_language(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             got = [learned.predict(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    source = docs.select(col("doc_id").alias("doc_id"), col("text").cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double").select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, col, rolling, slices, words_of
+from .common import WordHashes, bound_batches, col, rolling, slices, words_of
 from .license_templates import PASSAGES, PHRASES
 
 #: Words of a gram of phrases (the shortest has as many) and of passages.
@@ -91,7 +91,7 @@ def find_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     stay; very long texts are read whole; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    source = docs.select(col(doc_id).alias("doc_id"), F.coalesce(col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
+    source = bound_batches(docs).select(col(doc_id).alias("doc_id"), F.coalesce(col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
     keyed = source.withColumn("key", F.unhex(F.md5("text")))
     kind = source.schema["doc_id"].dataType.simpleString()
     grams = keyed.select("key", "text").mapInArrow(_scan, "key binary, n_words bigint, grams array<bigint>")

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import drop_kept, keep
-from .common import WordHashes, col, mix, rolling, slices, unused
+from .common import WordHashes, bound_batches, col, mix, rolling, slices, unused
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -45,7 +45,7 @@ LARGE = 128
 #: Pairs of one node that are compared in one place.
 SPLIT = 512
 #: Rows of a piece that is signed at once.
-PIECE = 1024
+PIECE = 512
 
 UNIT = np.float64(1.0 / (1 << 53))
 
@@ -243,7 +243,7 @@ def row_classes(
 
     Rows of one class have one root; the rest as near_duplicates.
     """
-    source = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).cast("string").cast("binary").alias("text"))
+    source = bound_batches(docs).select(col(doc_id).cast("long").alias("doc_id"), col(text).cast("string").cast("binary").alias("text"))
     used = []
 
     def kept(df: DataFrame, name: str) -> DataFrame:

@@ -11,71 +11,66 @@ blocked matrix products; the labels of the nearest are weighted by their cosine.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, col, pieces
+from .common import WordHashes, bound_batches, col, pieces
 
 #: Labelled rows that are sampled for each label, the bound of what is collected and broadcast.
 SAMPLE = 2000
 #: Hashed words, shapes and bands; dimensions kept, neighbours that vote, documents of a block and their bytes.
 WORDS, SHAPES, BANDS = 2048, 896, 128
 TERMS = WORDS + SHAPES + BANDS
-DIMENSIONS, NEIGHBOURS, BLOCK, BLOCK_BYTES = 40, 25, 512, 2 << 20
+DIMENSIONS, NEIGHBOURS, BLOCK, BLOCK_BYTES = 64, 25, 256, 1 << 20
 #: Size of the word part, and of a band, against a shape part of size 1.
 WORD_PART, BAND_PART = 0.35, 0.35
 #: Score from which a document counts as good.
 THRESHOLD = 0.7
 
 
-def _kind(c: str) -> str:
-    return "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "a" if c.isalpha() else c
+#: For each byte: itself, or a blank for white space; its kind: a (lower case, or beyond ASCII), A, 0, a sign, or a blank.
+TOKEN_BYTES = bytes(32 if b in b" \t\n\r\x0b\x0c" else b for b in range(256))
+KIND_BYTES = bytes(65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else 97 if 97 <= b <= 122 or b >= 128 else TOKEN_BYTES[b] for b in range(256))
 
 
 class Terms:
-    """Term vectors of texts; keeps the shapes of tokens that it met, up to `most`."""
+    """Term vectors of texts."""
 
-    def __init__(self, most: int = 100_000):
-        self.most = most
-        self.words = WordHashes()
-        self.shapes: dict[str, int] = {}
+    def __init__(self) -> None:
+        self.hashes = WordHashes()
 
-    def shape(self, token: str) -> int:
-        n = self.shapes.get(token)
-        if n is None:
-            n = zlib.crc32("".join(k for k, _ in groupby(map(_kind, token))).encode("utf-8", "replace")) % SHAPES
-            self.shapes[token] = n
-        return n
+    def shapes_of(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Hashes of the shapes of the tokens of each text: runs of bytes of one kind count once."""
+        kinds = np.frombuffer(b" ".join(texts).translate(KIND_BYTES), np.uint8)
+        kept = np.flatnonzero(np.concatenate([[True], kinds[1:] != kinds[:-1]])[: len(kinds)])
+        starts, hashes = self.hashes.runs(kinds[kept])
+        bounds = np.searchsorted(kept, np.cumsum([len(t) + 1 for t in texts])[:-1])
+        return np.split(hashes, np.searchsorted(starts, bounds))
 
     def of(self, texts: list[str | None]) -> np.ndarray:
         """For each text: roots of the shares of its words and of its shapes, and bands."""
-        if len(self.shapes) > self.most:
-            self.shapes.clear()
         out = np.zeros((len(texts), TERMS), np.float32)
-        hashes = self.words.of([None if t is None else t.encode("utf-8", "replace") for t in texts])
-        for row, text, h in zip(out, texts, hashes, strict=True):
-            if len(h):
-                row[:WORDS] = WORD_PART * np.sqrt(np.bincount((h % np.uint64(WORDS)).astype(np.int64), minlength=WORDS) / len(h))
-            tokens = text.split() if text else []
+        data = [(t or "").encode("utf-8", "replace") for t in texts]
+        parts = zip(out, data, self.hashes.of(data), self.hashes.of(data, TOKEN_BYTES), self.shapes_of(data), strict=True)
+        for row, text, words, tokens, shapes in parts:
+            if len(words):
+                row[:WORDS] = WORD_PART * np.sqrt(np.bincount((words % np.uint64(WORDS)).astype(np.int64), minlength=WORDS) / len(words))
             n = len(tokens)
             if n:
-                shapes = np.bincount(np.fromiter(map(self.shape, tokens), np.int64, n), minlength=SHAPES)
-                row[WORDS : WORDS + SHAPES] = np.sqrt(shapes / n)
-            counts = Counter(tokens)
-            again = sum(map(str.__eq__, tokens, tokens[1:])) if n else 0
+                row[WORDS : WORDS + SHAPES] = np.sqrt(np.bincount((shapes % np.uint64(SHAPES)).astype(np.int64), minlength=SHAPES) / n)
+            counts = np.unique(tokens, return_counts=True)[1]
+            again = int((tokens[1:] == tokens[:-1]).sum())
             for name, value in (
                 ("length", min(n.bit_length(), 12)),
-                ("again", int(8 * again / n) if n else -1),
-                ("variety", int(8 * len(counts) / n) if n else -1),
-                ("most", int(8 * max(counts.values()) / n) if n > 20 else -1),
-                ("lines", int(8 * min(1.0, text.count("\n") * 10 / n)) if n else -1),
+                ("again", 8 * again // n if n else -1),
+                ("variety", 8 * len(counts) // n if n else -1),
+                ("most", 8 * int(counts.max()) // n if n > 20 else -1),
+                ("lines", int(8 * min(1.0, text.count(b"\n") * 10 / n)) if n else -1),
             ):
                 row[WORDS + SHAPES + zlib.crc32(f"{name}{value}".encode()) % BANDS] += BAND_PART
         return out
@@ -179,7 +174,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thre
     empty table gives no rows. Only text enters a score; other columns are not read.
     """
     score = scorer(fit(docs, labels, sample))
-    scored = docs.select(col("doc_id").alias("doc_id"), score(col("text").cast("string")).alias("score"))
+    scored = bound_batches(docs).select(col("doc_id").alias("doc_id"), score(col("text").cast("string")).alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -188,4 +183,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshol
 
     Rows are scored where they are read, so no join follows. Edge cases as score_quality.
     """
-    return docs.where(scorer(fit(docs, labels, sample))(col("text").cast("string")) >= threshold)
+    return bound_batches(docs).where(scorer(fit(docs, labels, sample))(col("text").cast("string")) >= threshold)

@@ -166,12 +166,12 @@ OP9_SQL = rf"""
 WITH u AS (SELECT row_number() OVER () AS rid, page_id,
   translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-rules(verdict, rule) AS (VALUES {", ".join(f"('{v}', '{r}')" for v, r in url_filter.RULES)}),
-parts AS (SELECT verdict, rule, regexp_extract(rule, '^[^/]*') AS rh, regexp_extract(rule, '^[^/]*(.*)', 1) AS rp FROM rules),
-fit AS (SELECT rid, rule, verdict, row_number() OVER (PARTITION BY rid ORDER BY length(rule) DESC, verdict) AS n FROM u JOIN parts
+rules(base, verdict, rule) AS (VALUES {", ".join(f"({base}, '{v}', '{r}')" for base, own in ((True, url_filter.RULES), (False, url_filter.METHOD_RULES)) for v, r in own)}),
+parts AS (SELECT base, verdict, rule, regexp_extract(rule, '^[^/]*') AS rh, regexp_extract(rule, '^[^/]*(.*)', 1) AS rp FROM rules),
+fit AS (SELECT rid, base, rule, verdict, row_number() OVER (PARTITION BY rid, base ORDER BY length(rule) DESC, verdict DESC) AS n FROM u JOIN parts
   ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)),
-m AS (SELECT u.*, fit.rule, fit.verdict, CASE WHEN regexp_matches(host, '{"|".join(url_filter.BLOCKED_WORDS)}') THEN 'block' ELSE 'allow' END AS method_verdict
-  FROM u LEFT JOIN fit ON u.rid = fit.rid AND fit.n = 1)
+m AS (SELECT u.*, b.rule, b.verdict, coalesce(o.verdict, 'allow') AS method_verdict FROM u
+  LEFT JOIN fit b ON u.rid = b.rid AND b.base AND b.n = 1 LEFT JOIN fit o ON u.rid = o.rid AND NOT o.base AND o.n = 1)
 SELECT page_id, host, path, rule, coalesce(verdict, method_verdict) AS verdict, method_verdict FROM m
 """
 

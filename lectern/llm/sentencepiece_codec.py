@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, pieces
+from .common import bound_batches, col, pieces
 
 MARK = "▁"
 #: Words of a text: a run of marks with what follows, cut before and after characters without a piece.
@@ -33,7 +33,7 @@ UNIGRAM, BPE = 1, 2
 class Codec:
     """A SentencePiece model's pieces, encoded without its library."""
 
-    def __init__(self, path: str, most: int = 350_000):
+    def __init__(self, path: str, most: int = 200_000):
         from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece_model_pb2.ModelProto()
@@ -173,7 +173,7 @@ class Codec:
 
     def _learn(self, words: set[str]) -> None:
         """Walk the trie of the words depth-first and keep the ids of each."""
-        if self.n_pairs > 400_000:
+        if self.n_pairs > 200_000:
             self.pairs.clear()
             self.n_pairs = 0
         ends: list[str] = []
@@ -236,7 +236,7 @@ def encoder(path: str):
         codec = Codec(path)
         for column in texts:
             out: list[bytes | None] = []
-            for first, n in pieces(column, 4 << 20):
+            for first, n in pieces(column, 1 << 20):
                 part = column.slice(first, n).to_pylist()
                 out += [None if t is None else i.astype("<u4").tobytes() for t, i in zip(part, codec.encode(part), strict=True)]
             yield pa.array(out, pa.binary())
@@ -271,7 +271,7 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     replaced, other names don't matter; an empty table gives no rows. Only the text leaves the JVM.
     """
     rest = [col(c) for c in docs.columns if c.lower() not in ("n_ids", "ids")]
-    encoded = docs.select(*rest, encoder(model)(col(text).cast("string")).alias("ids"))
+    encoded = bound_batches(docs).select(*rest, encoder(model)(col(text).cast("string")).alias("ids"))
     n_ids = F.coalesce(F.octet_length("ids") / 4, F.lit(0)).cast("bigint")
     return encoded.select(*rest, n_ids.alias("n_ids"), "ids")
 
@@ -279,4 +279,4 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """encoded with decoded: the text of its ids; null ids give null. Other columns and rows stay."""
     rest = [col(c) for c in encoded.columns if c.lower() != "decoded"]
-    return encoded.select(*rest, decoder(model)(F.col("ids")).alias("decoded"))
+    return bound_batches(encoded).select(*rest, decoder(model)(F.col("ids")).alias("decoded"))

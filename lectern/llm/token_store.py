@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, slices
+from .common import bound_batches, col, slices
 
 #: Tokens after which a shard is closed.
 SHARD_TOKENS = 1 << 19
@@ -411,7 +411,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     many rows share, or the null id, is dealt to many tasks; equal rows are told apart by where
     they were read. An empty table writes no shard. Other columns are not read.
     """
-    source = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).cast("string").alias("text"))
+    source = bound_batches(docs).select(col(doc_id).cast("long").alias("doc_id"), col(text).cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc(), F.col("row").asc()]
     ordered = source.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
     shards = ordered.select("doc_id", "text").mapInArrow(_encode(tokenizer, end_id, shard_tokens), SHARD)

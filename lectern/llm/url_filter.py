@@ -2,16 +2,17 @@
 
 A host's canonical key is its labels from the last to the first, each followed by a dot, so a
 rule's host is a prefix of the keys of the host and its subdomains, which makes the rule the
-interval [key, key + highest character). The rules' interval ends and the urls' keys are sorted
+interval [key, key + highest character). The rules' interval ends and the hosts' keys are sorted
 together and swept once: a rule's start pushes it on the stack of active nested rules, its end
-pops it, and a url finds on the stack all rules that enclose its host. Of these, the longest one
-whose path the url's path starts with decides.
+pops it, and a host finds on the stack all rules that enclose it. Of these, the longest one whose
+path the url's path starts with decides.
 
 Prefix intervals nest or are disjoint, so the stack after each event is known from the rule
 alone: the rule and the rules on its shorter prefixes. Each event therefore carries its stack,
-and the sweep is `last(stack)` over the sorted order. The urls are dealt to sweeps at random and
-each sweep gets all events; no host, however common, meets in one task. The rules are a stated
-list whose size is checked (MAX_RULES), as each sweep holds them all.
+and the sweep is `last(stack)` over the sorted order. Keys are swept by zones, the ranges of keys
+that share their first two labels; what encloses a whole zone, the rules of its first label, is
+carried into it. Each distinct host is swept once, however many urls name it, and urls are joined
+with the hosts that have rules. A task holds the events of one zone at a time.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import col, unused
+
 # The base rules as (verdict, host and path).
 RULES: list[tuple[str, str]] = [
     ("block", "net/"),
@@ -26,12 +29,28 @@ RULES: list[tuple[str, str]] = [
     ("block", "example.com/de/"),
     ("allow", "org/fr/"),
 ]
-#: Words whose presence in a host label makes the method block a url that no rule judges.
-BLOCKED_WORDS = ["adult", "bets", "casino", "porn", "spam", "warez", "xxx"]
-#: Rules that each sweep may hold.
-MAX_RULES = 100_000
+# The method's own rules, which decide where no base rule fits; anything else is allowed.
+METHOD_RULES: list[tuple[str, str]] = [
+    ("block", "adult/"),
+    ("block", "bet/"),
+    ("block", "casino/"),
+    ("block", "poker/"),
+    ("block", "porn/"),
+    ("block", "sex/"),
+    ("block", "xxx/"),
+    ("block", "doubleclick.net/"),
+    ("block", "googlesyndication.com/"),
+    ("block", "googletagmanager.com/"),
+    ("block", "google-analytics.com/"),
+    ("block", "bit.ly/"),
+    ("block", "t.co/"),
+    ("block", "wordpress.com/wp-login"),
+    ("block", "wordpress.com/wp-admin/"),
+]
 #: Sorts after every character of a key.
 HIGH = "\U0010ffff"
+#: Labels that the keys of a zone share.
+ZONE = 2
 
 
 def host_of(url: Column) -> Column:
@@ -50,13 +69,21 @@ def host_key(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "."), F.lit("."))
 
 
+def _labels(key: Column) -> Column:
+    return F.split(F.substring(key, F.lit(1), F.char_length(key) - 1), r"\.", -1)
+
+
+def _prefix(key: Column, n: Column) -> Column:
+    """The first n labels of a key."""
+    return F.concat(F.array_join(F.slice(_labels(key), F.lit(1), n), "."), F.lit("."))
+
+
 def _events(rules: DataFrame) -> DataFrame:
     """(key, kind, stack) for each start (kind 0) and end (kind 1) of a distinct rule host."""
-    parts = rules.select(F.regexp_extract("rule", r"(?s)^[^/]*", 0).alias("host"), F.regexp_extract("rule", r"(?s)^[^/]*(.*)", 1).alias("path"), "rule", "verdict")
-    at = parts.select(host_key(F.col("host")).alias("key"), F.struct(F.char_length("rule").alias("n"), "rule", "path", "verdict").alias("r"))
+    parts = rules.select(F.regexp_extract("rule", r"(?s)^[^/]*", 0).alias("host"), F.regexp_extract("rule", r"(?s)^[^/]*(.*)", 1).alias("path"), "rule", "verdict", "base")
+    at = parts.select(host_key(F.col("host")).alias("key"), F.struct("base", F.char_length("rule").alias("n"), "rule", "path", "verdict").alias("r"))
     hosts = at.groupBy("key").agg(F.collect_set("r").alias("own"))
-    labels = F.split(F.expr("left(key, char_length(key) - 1)"), r"\.", -1)
-    above = hosts.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.concat(F.array_join(F.slice(labels, 1, n), "."), F.lit(".")))).alias("up"))
+    above = hosts.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.size(_labels(F.col("key")))), lambda n: _prefix(F.col("key"), n))).alias("up"))
     stacks = above.join(hosts.select(F.col("key").alias("up"), "own"), "up").groupBy("key").agg(
         F.flatten(F.collect_list("own")).alias("inside"),
         F.flatten(F.collect_list(F.when(F.col("up") != F.col("key"), F.col("own")))).alias("outside"),
@@ -65,33 +92,51 @@ def _events(rules: DataFrame) -> DataFrame:
     return starts.unionByName(stacks.select(F.concat("key", F.lit(HIGH)).alias("key"), F.lit(1).alias("kind"), F.col("outside").alias("stack")))
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame | None = None, url: str = "url", sweeps: int | None = None) -> DataFrame:
+def active_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, active): for each distinct host that has any, the rules whose host encloses it."""
+    zone = _prefix(F.col("key"), F.lit(ZONE)).alias("zone")
+    # kind 2 sorts a host after a start at its own key; the highest character puts ends behind all subdomains
+    keys = hosts.select("host").distinct().select("host", host_key(F.col("host")).alias("key"), F.lit(2).alias("kind"))
+    events = _events(rules)
+    within = events.where(F.size(_labels(F.regexp_replace("key", HIGH + "$", ""))) >= ZONE)
+    carried = events.where((F.col("kind") == 0) & (F.size(_labels(F.col("key"))) < ZONE)).select(F.col("key").alias("top"), F.col("stack").alias("carried"))
+    zones = F.regexp_replace(F.col("key"), HIGH + "$", "")
+    both = keys.select("host", "key", "kind", zone).unionByName(within.withColumn("zone", _prefix(zones, F.lit(ZONE))), allowMissingColumns=True)
+    order = Window.partitionBy("zone").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    swept = both.withColumn("active", F.last("stack", ignorenulls=True).over(order)).where("kind = 2")
+    swept = swept.withColumn("top", _prefix(F.col("key"), F.lit(ZONE - 1))).join(carried, "top", "left")
+    return swept.select("host", F.coalesce("active", "carried").alias("active")).where(F.size("active") > 0)
+
+
+def rule_table(like: DataFrame) -> DataFrame:
+    """The base rules and the method's own as (rule, verdict, base)."""
+    rows = [(r, v, True) for v, r in RULES] + [(r, v, False) for v, r in METHOD_RULES]
+    return like.sparkSession.createDataFrame(rows, "rule string, verdict string, base boolean")
+
+
+def judge_urls(pages: DataFrame, rules: DataFrame | None = None, url: str = "url") -> DataFrame:
     """All columns of pages with host, path, rule, verdict, method_verdict.
 
-    rules: (rule, verdict), a rule being host, then a path from its first slash on. rule is the
-    longest that fits (null: none); verdict is the rule's, else block if a label of the host has
-    one of BLOCKED_WORDS, else allow. Rules of equal text count once, the smaller verdict first.
-    A null url or one without :// has an empty host and path and is allowed. Rows are judged one
-    by one, so repeats and null ids stay; an empty table gives no rows. Columns of pages that
-    bear the names of the results are replaced.
+    rules: (rule, verdict, base), a rule being host, then a path from its first slash on, of any
+    number. rule is the longest base rule that fits (null: none) and verdict is its verdict;
+    method_verdict is that of the longest other rule, or allow, and counts where no base rule fits.
+    Rules of equal text count once, block before allow. A null url or one without :// has an empty
+    host and path. Rows are judged one by one, so repeats and null ids stay; an empty table gives
+    no rows. Columns of pages that bear the names of the results are replaced; other names don't matter.
     """
-    spark = pages.sparkSession
-    if rules is None:
-        rules = spark.createDataFrame([(r, v) for v, r in RULES], "rule string, verdict string")
-    if rules.limit(MAX_RULES + 1).count() > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules; judge urls by parts of the list and take the longest rule")
-    sweeps = sweeps or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "method_verdict")]
-    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
-    urls = pages.select(row, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    # kind 2 sorts a url after a start at its own key; the highest character puts ends behind all subdomains
-    urls = urls.select("row", "host", "path", host_key(F.col("host")).alias("key"), F.lit(2).alias("kind"), F.floor(F.rand(7) * sweeps).cast("int").alias("sweep"))
-    events = _events(rules).withColumn("sweep", F.explode(F.sequence(F.lit(0), F.lit(sweeps - 1))))
-    both = urls.unionByName(events, allowMissingColumns=True)
-    order = Window.partitionBy("sweep").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    swept = both.withColumn("active", F.last("stack", ignorenulls=True).over(order)).where("kind = 2")
-    fits = F.filter("active", lambda r: F.startswith(F.col("path"), r["path"]))
-    best = F.array_max(F.transform(fits, lambda r: F.struct(r["n"].alias("n"), r["rule"].alias("rule"), F.when(r["verdict"] == "allow", 1).otherwise(0).alias("v"), r["verdict"].alias("verdict"))))
-    label = F.when(F.col("host").rlike("|".join(BLOCKED_WORDS)), F.lit("block")).otherwise(F.lit("allow"))
-    judged = swept.select("row", "host", "path", best.alias("best"), label.alias("method_verdict"))
-    return judged.select(*[F.col("row").getField(c).alias(c) for c in names], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", "method_verdict").alias("verdict"), "method_verdict")
+    rest = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "method_verdict")]
+    host, path, active, base, other, key = unused(pages.select(*[col(c) for c in rest]), "own_host", "own_path", "active", "base", "other", "join_host")
+    urls = pages.select(*[col(c) for c in rest], host_of(col(url)).alias(host), path_of(col(url)).alias(path))
+    found = active_rules(urls.select(F.col(host).alias("host")), rule_table(pages) if rules is None else rules)
+    judged = urls.join(found.select(F.col("host").alias(key), F.col("active").alias(active)), F.col(host) == F.col(key), "left")
+
+    def best(wanted: Column) -> Column:
+        fits = F.filter(active, lambda r: F.startswith(F.col(path), r["path"]) & (r["base"] == wanted))
+        return F.array_max(F.transform(fits, lambda r: F.struct(r["n"].alias("n"), r["rule"].alias("rule"), (r["verdict"] == "block").alias("block"), r["verdict"].alias("verdict"))))
+
+    judged = judged.select(*[col(c) for c in rest], host, path, best(F.lit(True)).alias(base), best(F.lit(False)).alias(other))
+    method = F.coalesce(F.col(other)["verdict"], F.lit("allow"))
+    return judged.select(
+        *[col(c) for c in rest], F.col(host).alias("host"), F.col(path).alias("path"), F.col(base)["rule"].alias("rule"),
+        F.coalesce(F.col(base)["verdict"], method).alias("verdict"), method.alias("method_verdict"),
+    )

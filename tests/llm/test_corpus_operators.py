@@ -202,6 +202,56 @@ def test_language(spark, sf, docs):
     assert language_id.identify_language(docs.limit(0)).count() == 0
 
 
+def test_language_filter_equals_sets(spark):
+    """More languages than a word has bits; the filter against plain sets of n-grams."""
+    words = {f"l{n:03d}": [f"{chr(97 + n % 26)}{chr(97 + n // 26)}{w}" for w in ("abet", "ontu", "irse", "emol")] for n in range(70)}
+    rows = [(n * 10 + i, f"l{n:03d}", " ".join(own[(i + j) % 4] for j in range(6))) for n, own in enumerate(words.values()) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    learned = language_id.fit(docs)
+    assert learned.languages == sorted(words) and learned.bits.shape[1] == 2
+    sets = {name: {g for i, lang, t in rows if lang == name and zlib.crc32(str(i).encode()) % 5 for g in language_id.grams_of(t).tolist()} for name in words}
+    got = language_id.identify_language(docs).collect()
+    truth = {i: (lang, t) for i, lang, t in rows}
+    for r in got:
+        lang, text = truth[r.doc_id]
+        grams = language_id.grams_of(text).tolist()
+        best = max(sorted(words), key=lambda name: sum(g in sets[name] for g in grams))
+        assert r.lang_pred == best == lang and 0.5 < r.score <= 1
+    grams = np.array(sorted(set().union(*sets.values())), np.uint64)
+    masks = learned.masks(grams)
+    for i, name in enumerate(learned.languages):
+        bit = (masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)
+        own = np.array([g in sets[name] for g in grams.tolist()])
+        assert bit[own].mean() > 0.7 and bit[~own].mean() < 0.1
+
+
+def test_quality_equals_dense_votes(spark):
+    """Scores against every cosine written out."""
+    rng = np.random.default_rng(1)
+    good = ["the quick brown fox jumps over the lazy dog near the river bank today".split() for _ in range(1)][0]
+    texts = [(i, " ".join(rng.permutation(good)) if i % 2 else " ".join(rng.choice(["BUY", "NOW!!!", "$$$", "99"], 12)), i % 2) for i in range(120)] + [(500, None, 1), (501, "", 0)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in texts], "doc_id bigint, quality int")
+    model = quality.fit(docs, labels)
+    terms = quality.Terms()
+    for r in quality.score_quality(docs, labels).collect():
+        text = next(t for i, t, _ in texts if i == r.doc_id)
+        v = model.project(terms.of([text]))[0].astype(np.float64)
+        cosine = [float(v @ w.astype(np.float64)) for w in model.vectors]
+        near = sorted(range(len(cosine)), key=lambda n: -cosine[n])
+        edge = cosine[near[quality.NEIGHBOURS - 1]]
+        sure = [n for n in near if cosine[n] > edge + 1e-5]
+        ties = [n for n in near if abs(cosine[n] - edge) <= 1e-5]
+        weight = lambda n: max(cosine[n], 1e-6) ** 8
+        left = quality.NEIGHBOURS - len(sure)
+        bounds = []
+        for pick in (sorted(ties, key=lambda n: model.labels[n])[:left], sorted(ties, key=lambda n: -model.labels[n])[:left]):
+            some = sure + pick
+            bounds.append(sum(weight(n) * model.labels[n] for n in some) / sum(map(weight, some)))
+        assert bounds[0] - 1e-3 <= r.score <= bounds[1] + 1e-3
+        assert r.predicted == int(r.score >= 0.7)
+
+
 def spans(text):
     out, kinds = [], {}
     for n, (kind, pattern, group, least) in enumerate(secret_scan.RULES):
@@ -299,19 +349,25 @@ def test_unit_encoder_equals_library():
 
 
 def test_urls(spark):
-    urls = [None, "", "no scheme", "http://", "http://NET", "http://net/", "https://a.example.net/en/x?y#z", "http://example.net/de/", "http://example.com/de/1", "http://xexample.com/de/1", "http://m.example.com/fr/", "ftp://x.org/fr/a", "http://org/fr", "http://a.casino-win.org/", "http://a.b://c/d", "http://example.net/en/x"]
+    urls = [None, "", "no scheme", "http://", "http://NET", "http://net/", "https://a.example.net/en/x?y#z", "http://example.net/de/", "http://example.com/de/1", "http://xexample.com/de/1", "http://m.example.com/fr/", "ftp://x.org/fr/a", "http://org/fr", "http://a.casino-win.org/", "http://a.b://c/d", "http://example.net/en/x", "http://alphabets.org/x", "http://win.casino/", "http://casino", "http://a.doubleclick.net/x", "http://blog.wordpress.com/wp-login.php", "http://wordpress.com/about"]
     pages = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(urls)] + [(None, "http://a.net/", "h", "p")], "page_id bigint, url string, rule string, html string")
 
-    def judge(url):
+    def judge(url, base=url_filter.RULES, other=url_filter.METHOD_RULES):
         m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
         host, path = (re.sub("[A-Z]", lambda c: c[0].lower(), m[1]), m[2]) if m else ("", "")
-        fits = [(len(r), r, v) for v, r in url_filter.RULES if ("." + host).endswith("." + r.split("/")[0]) and path.startswith(r[r.index("/") :])]
-        own = "block" if any(w in host for w in url_filter.BLOCKED_WORDS) else "allow"
-        return (host, path, *(max(fits)[1:] if fits else (None, own)))
+        fits, own = ([(len(r), r, v) for v, r in rules if ("." + host).endswith("." + r.split("/")[0]) and path.startswith(r[r.index("/") :])] for rules in (base, other))
+        return (host, path, *(max(fits)[1:] if fits else (None, max(own)[2] if own else "allow")))
 
     got = url_filter.judge_urls(pages)
-    assert sorted([(r.page_id, r.host, r.path, r.rule, r.verdict) for r in got.collect()], key=str) == sorted([(i, *judge(u)) for i, u in [*enumerate(urls), (None, "http://a.net/")]], key=str)
+    rows = [*enumerate(urls), (None, "http://a.net/")]
+    assert sorted([(r.page_id, r.host, r.path, r.rule, r.verdict) for r in got.collect()], key=str) == sorted([(i, *judge(u)) for i, u in rows], key=str)
     assert "html" in got.columns and url_filter.judge_urls(pages.limit(0)).count() == 0
+    # many rules, nested ones among them, and columns that bear the names of steps
+    many = [("allow" if n % 3 else "block", f"{h}/{p}") for n, (h, p) in enumerate((h, p) for h in ("net", "example.net", "a.example.net", "x.a.example.net", "com", "b.com", "c.b.com", "org") for p in ("", "en/", "en/x", "de/"))]
+    table = spark.createDataFrame([(r, v, True) for v, r in many], "rule string, verdict string, base boolean")
+    odd = spark.createDataFrame([(n, f"http://{h}/{p}", "u", "v") for n, (h, p) in enumerate((h, p) for h in ("net", "example.net", "z.a.example.net", "x.a.example.net", "aa.example.net", "c.b.com", "d.c.b.com", "b.com.x", "org", "") for p in ("", "en/x1", "de/", "fr"))], "page_id bigint, url string, own_host string, active string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(odd, table).collect()}
+    assert got == {r.page_id: judge(r.url, many, []) for r in odd.collect()}
 
 
 @pytest.mark.parametrize("block", [4096, 7])
