@@ -6,11 +6,14 @@ Lengths count code points.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Character classes and patterns, in Java syntax.
 SPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+SPACES = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 URL = r"https?://[\w/:%#$&?()~.=+\-]+"
 URL_SPOKEN = "URL省略"
 SENTENCE = r"[^。！？\n]+[。！？\n]?"
@@ -37,11 +40,21 @@ MAX_CHUNK = 5000
 
 def trim(text: Column) -> Column:
     """text without leading and trailing white space."""
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def without_space(text: Column) -> Column:
-    return F.regexp_replace(text, SPACE, "")
+    return F.translate(text, SPACES, "")
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where value is computed once however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def without_urls(text: Column) -> Column:
+    """text with URLs as one spoken word; empty for null."""
+    return once(F.coalesce(text, F.lit("")), lambda t: F.when(F.contains(t, F.lit("://")), F.regexp_replace(t, URL, URL_SPOKEN)).otherwise(t))
 
 
 def char_count(text: Column) -> Column:
@@ -51,24 +64,36 @@ def char_count(text: Column) -> Column:
 
 def clean_message(text: Column, keep_paragraphs: bool = False) -> Column:
     """URLs become one spoken word; line ends become blanks, or single line ends if paragraphs stay."""
-    spoken = F.regexp_replace(F.coalesce(text, F.lit("")), URL, URL_SPOKEN)
+    spoken = without_urls(text)
     if keep_paragraphs:
-        return trim(F.regexp_replace(F.regexp_replace(spoken, r"[ \t]*\n[ \t]*", "\n"), r"\n{2,}", "\n"))
+        return trim(_line_ends(spoken))
     return trim(F.regexp_replace(spoken, r"\n+", " "))
 
 
+def _line_ends(text: Column) -> Column:
+    """Runs of line ends, and the blanks around and between them, as one line end."""
+    return F.regexp_replace(text, r"[ \t]*+\n[ \t\n]*+", "\n")
+
+
 def split_text(text: Column, most: int = MAX_CHUNK) -> Column:
     """Sentences as an array, each of at most `most` characters; empty for a null or empty text.
 
     A sentence keeps one terminator; further ones right behind it are dropped. A text of
     terminators or white space alone is one chunk as it stands.
     """
-    found = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
-    sentences = F.filter(F.transform(F.when(F.size(found) > 0, found).otherwise(F.array(text)), trim), lambda s: s != "")
-    cut = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.char_length(s) - 1) / most)), lambda i: F.substring(s, (i * most + 1).cast("int"), F.lit(most)))
-    chunks = F.flatten(F.transform(sentences, cut))
-    none = F.array().cast("array<string>")
-    return F.when(F.coalesce(text, F.lit("")) == "", none).when(F.size(chunks) > 0, chunks).otherwise(F.array(F.substring(text, 1, most)))
+
+
+    def cut(s: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.char_length(s) - 1) / most)), lambda i: F.substring(s, (i * most + 1).cast("int"), F.lit(most)))
+        return F.when(F.char_length(s) <= most, F.array(s)).otherwise(parts)
+
+    def chunks(t: Column) -> Column:
+        sentences = lambda m: F.filter(F.transform(F.when(F.size(m) > 0, m).otherwise(F.array(t)), trim), lambda s: s != "")
+        whole = lambda c: F.when(F.size(c) > 0, c).otherwise(F.array(F.substring(t, 1, most)))
+        found = once(F.regexp_extract_all(t, F.lit(SENTENCE), F.lit(0)), sentences)
+        return F.when(t == "", F.array().cast("array<string>")).otherwise(once(F.flatten(F.transform(found, cut)), whole))
+
+    return once(F.coalesce(text, F.lit("")), chunks)
 
 
 def normalize_recognized(text: Column) -> Column:
@@ -95,7 +120,7 @@ def normalize_recognized(text: Column) -> Column:
         return F.array_join(F.transform(kept, piece), "")
 
     # the filtered lines are bound once, else every lookup of the line before would filter again
-    return trim(F.transform(F.array(kept), joined)[0])
+    return trim(once(kept, joined))
 
 
 def clean_for_speech(text: Column) -> Column:
@@ -104,7 +129,7 @@ def clean_for_speech(text: Column) -> Column:
     A run counts as broken if it holds a dash, or a long-vowel mark together with a bar. Whether a
     run holds them is asked at its start, so no callback is needed.
     """
-    spoken = F.regexp_replace(F.coalesce(text, F.lit("")), URL, URL_SPOKEN)
+    spoken = without_urls(text)
     run = rf"(?=(?:{DASH_RUN}*[―—–])|(?:(?={DASH_RUN}*ー){DASH_RUN}*[|｜/\\])){DASH_RUN}{{2,}}"
     return trim(F.regexp_replace(F.regexp_replace(spoken, run, "ー"), r"\n+", " "))
 
@@ -164,16 +189,38 @@ def join_units(units: Column, joined_between: str = CJK_BETWEEN) -> Column:
 
         return F.array_join(F.transform(kept, piece), "")
 
-    once = lambda value, f: F.transform(F.array(value), f)[0]
     text = once(once(full, dropped), spoken)
     text = F.regexp_replace(text, f"({joined_between}) +(?={joined_between})", "$1")
-    return trim(F.regexp_replace(F.regexp_replace(text, r"[ \t]*\n[ \t]*", "\n"), r"\n{2,}", "\n"))
+    return trim(_line_ends(text))
+
+
+def without_repeats(lines: Column, least: int = 4) -> Column:
+    """Lines as array<struct<seq, line>> that have text and don't repeat the line before, as drop_adjacent_duplicates."""
+    keyed = F.transform(lines, lambda s, i: F.struct(i.alias("seq"), s.alias("line"), without_space(s).alias("key")))
+
+    def fresh(full: Column) -> Column:
+        return F.filter(full, lambda s, i: (F.char_length(s["key"]) < least) | (i == 0) | (s["key"] != F.get(full, i - 1)["key"]))
+
+    return F.transform(once(F.filter(keyed, lambda s: s["key"] != ""), fresh), lambda s: F.struct(s["seq"].alias("seq"), s["line"].alias("line")))
+
+
+def playback_error(message: Column) -> Column:
+    """What is said when playback fails: a plain hint if the engine can't be reached, else the message behind a remark."""
+    reason = F.coalesce(F.nullif(message, F.lit("")), F.lit("unknown error"))
+    return F.when(F.coalesce(message, F.lit("")).rlike("(?i)failed to fetch|networkerror|err_connection"), "offline").otherwise(F.concat(F.lit("playback failed: "), reason))
+
+
+def capture_error(message: Column) -> Column:
+    """What is said when a capture fails: a plain hint if captures follow too fast, else the message."""
+    return F.when(message.rlike("(?i)MAX_CAPTURE_VISIBLE_TAB_CALLS_PER_SECOND"), "too many requests").otherwise(message)
+
+
+def data_url(content: Column, kind: Column) -> Column:
+    """Bytes as a data URL of a type."""
+    return F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.translate(F.base64(content), "\r\n", ""))
 
 
-def friendly_error(message: Column) -> Column:
-    """Network and rate-limit errors as a plain hint, other messages as they are."""
-    return (
-        F.when(message.rlike("(?i)failed to fetch|networkerror|timed? ?out|abort"), "offline")
-        .when(message.rlike("(?i)quota|rate limit|MAX_CAPTURE"), "too many requests")
-        .otherwise(message)
-    )
+def data_of_url(url: Column) -> Column:
+    """The bytes of a base64 data URL; null for any other text."""
+    body = F.regexp_extract(url, r"(?s)^data:[^,]*;base64,([A-Za-z0-9+/]*={0,2})\z", 1)
+    return F.when(url.rlike(r"(?s)^data:[^,]*;base64,[A-Za-z0-9+/]*={0,2}\z") & (F.char_length(body) % 4 == 0), F.unbase64(body))

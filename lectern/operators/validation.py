@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_TEXT, MAX_TEXTS, MAX_DATA_URL, MAX_IMAGE_URL = 200_000, 5000, 64 << 20, 12 << 20
+MAX_TEXT, MAX_TEXTS, MAX_DATA_URL = 200_000, 5000, 64 << 20
 # Message types by who may send them, and settings with default, least and most.
 NOTICES = ["OCR_PROGRESS", "OCR_COMPLETE", "PLAYBACK_STARTED", "PLAYBACK_ENDED", "PLAYBACK_ERROR", "PLAYBACK_STOPPED"]
 REQUESTS = ["CLAIM_UPDATE_NOTICE", "SHORTCUT_PRESSED", "OPEN_OPTIONS", "CHECK_CONNECTION", "GET_SPEAKERS", "GET_SPEAKER_ICON", "GENERATE_VOICE", "STOP_ALL", "CAPTURE_OCR_REGION"]
@@ -91,8 +91,9 @@ def upload_ok(kind: Column, size: Column, width: Column, height: Column) -> Colu
 
 def version_before(a: Column, b: Column) -> Column:
     """Whether a dotted version is lower than another; missing parts and what isn't a number are 0."""
-    part = lambda v, i: F.coalesce(F.regexp_extract(F.coalesce(F.get(F.split(v, r"\.", -1), F.lit(i)), F.lit("")), r"^\s*(-?\d+)", 1).try_cast("int"), F.lit(0))
-    key = lambda v: F.struct(*[part(v, i).alias(f"p{i}") for i in range(4)])
+    part = lambda v, i: F.coalesce(F.regexp_extract(F.coalesce(F.get(F.split(v, r"\.", -1), i), F.lit("")), r"^\s*(-?\d+)", 1).try_cast("int"), F.lit(0))
+    parts = F.sequence(F.lit(0), F.greatest(F.size(F.split(F.coalesce(a, F.lit("")), r"\.", -1)), F.size(F.split(F.coalesce(b, F.lit("")), r"\.", -1))) - 1)
+    key = lambda v: F.transform(parts, lambda i: part(v, i))
     return key(a) < key(b)
 
 

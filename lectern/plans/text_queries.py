@@ -107,10 +107,8 @@ SELECT conv_id, turn, CAST(seq AS BIGINT) AS seq, length({S.sub("word", T.SPACE,
 
 def adjacent_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document after dropping those that repeat the line before."""
-    from ..operators.windows import drop_adjacent_duplicates
-
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("seq", "line"))
-    return drop_adjacent_duplicates(lines, ["doc_id"], "seq", "line").select("doc_id", F.col("seq").cast("long").alias("seq"), "line")
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.inline(T.without_repeats(F.split("text", "\n", -1))))
+    return lines.select("doc_id", F.col("seq").cast("long").alias("seq"), "line")
 
 
 ADJACENT_SQL = f"""
@@ -169,16 +167,36 @@ def names_and_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = F.when(F.col("p_size") % 2 == 0, "img").otherwise("a")
     role = F.when(F.col("p_size") % 5 == 0, "presentation")
     label = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit(" "), F.col("p_brand"))).otherwise("")
-    error = F.when(F.col("p_size") % 7 == 0, "Failed to fetch").when(F.col("p_size") % 11 == 0, "quota MAX_CAPTURE_VISIBLE_TAB_CALLS").otherwise(F.col("p_type"))
+    error = (
+        F.when(F.col("p_size") % 7 == 0, "TypeError: failed to fetch").when(F.col("p_size") % 11 == 0, "MAX_CAPTURE_VISIBLE_TAB_CALLS_PER_SECOND quota")
+        .when(F.col("p_size") % 13 == 0, "timed out, abort").when(F.col("p_size") % 17 == 0, "").when(F.col("p_size") % 19 == 0, F.lit(None)).otherwise(F.col("p_type"))
+    )
     return part.select(
-        "p_partkey", T.strip_style_suffix(name).alias("bare_name"), T.alt_text(tag, role, label, F.col("p_name")).alias("spoken_alt"), T.friendly_error(error).alias("hint"),
+        "p_partkey", T.strip_style_suffix(name).alias("bare_name"), T.alt_text(tag, role, label, F.col("p_name")).alias("spoken_alt"), T.playback_error(error).alias("playback_hint"), T.capture_error(error).alias("capture_hint"),
     )
 
 
 NAMES_SQL = f"""
 SELECT p_partkey, substr(regexp_replace(p_name || ' (' || p_type || ')', '{S.SPACE}*\\([^)]*\\)\\z', ''), 1, 100) AS bare_name,
   CASE WHEN p_size % 2 = 0 THEN CASE WHEN p_size % 5 = 0 THEN '' WHEN p_size % 3 = 0 THEN trim(p_brand) ELSE trim(p_name) END ELSE CASE WHEN p_size % 3 = 0 THEN trim(p_brand) ELSE '' END END AS spoken_alt,
-  CASE WHEN p_size % 7 = 0 THEN 'offline' WHEN p_size % 11 = 0 THEN 'too many requests' ELSE p_type END AS hint FROM part
+  CASE WHEN regexp_matches(coalesce(e, ''), '(?i)failed to fetch|networkerror|err_connection') THEN 'offline' ELSE 'playback failed: ' || coalesce(nullif(e, ''), 'unknown error') END AS playback_hint,
+  CASE WHEN contains(lower(e), 'max_capture_visible_tab_calls_per_second') THEN 'too many requests' ELSE e END AS capture_hint
+FROM (SELECT *, CASE WHEN p_size % 7 = 0 THEN 'TypeError: failed to fetch' WHEN p_size % 11 = 0 THEN 'MAX_CAPTURE_VISIBLE_TAB_CALLS_PER_SECOND quota'
+  WHEN p_size % 13 = 0 THEN 'timed out, abort' WHEN p_size % 17 = 0 THEN '' WHEN p_size % 19 = 0 THEN NULL ELSE p_type END AS e FROM part)
+"""
+
+
+def data_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of documents as data URLs and back; what isn't a data URL gives no bytes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"), F.concat(F.lit("image/"), F.col("lang")).alias("kind"))
+    made = docs.select("doc_id", "content", F.when(F.col("doc_id") % 9 == 0, F.lit("https://a.example/x.png")).otherwise(T.data_url(F.col("content"), F.col("kind"))).alias("url"))
+    return made.select("doc_id", F.md5("url").alias("url_md5"), F.md5(T.data_of_url(F.col("url"))).alias("content_md5"), (T.data_of_url(F.col("url")) == F.col("content")).alias("same"))
+
+
+DATA_URLS_SQL = """
+WITH u AS (SELECT doc_id, text, CASE WHEN doc_id % 9 = 0 THEN 'https://a.example/x.png' ELSE 'data:image/' || lang || ';base64,' || base64(encode(text)) END AS url FROM documents),
+b AS (SELECT doc_id, url, text, CASE WHEN starts_with(url, 'data:') THEN from_base64(split_part(url, ',', 2)) END AS content FROM u)
+SELECT doc_id, md5(url) AS url_md5, md5(content) AS content_md5, content = encode(text) AS same FROM b
 """
 
 QUERIES = {
@@ -187,6 +205,7 @@ QUERIES = {
     "normalize_recognized": (normalize_recognized, NORMALIZE_SQL),
     "clean_for_speech": (clean_for_speech, CLEAN_SPEECH_SQL),
     "text_measures": (text_measures, TEXT_MEASURES_SQL),
+    "data_urls": (data_urls, DATA_URLS_SQL),
     "adjacent_duplicates": (adjacent_duplicates, ADJACENT_SQL),
     "page_text": (page_text, PAGE_TEXT_SQL),
     "spoken_page": (spoken_page, SPOKEN_PAGE_SQL),
