@@ -20,7 +20,8 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EVENTS = """e AS (SELECT event_id, ts, user_id, event_type, value, CAST(ts AS DATE) AS day,
   CASE event_type WHEN 'purchase' THEN 'finish' WHEN 'error' THEN 'error' WHEN 'signup' THEN 'stop' ELSE 'enqueue' END AS command FROM events)"""
-NUMBERED = EVENTS + ", n AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY ts, event_id) AS i FROM e)"
+NUMBERED = EVENTS + ", n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM e)"
+DAILY = NUMBERED.replace("PARTITION BY user_id", "PARTITION BY user_id, day")
 
 
 def cross_source_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ SELECT event_id, user_id, accepted FROM r
 
 def bounded_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir).withColumn("arrives", F.col("command") != "finish")
-    return folds.bounded_queue(events, ["user_id", "day"], ["ts", "event_id"], "arrives", 2).select("event_id", "queue")
+    return folds.bounded_queue(events, ["user_id"], ["ts", "event_id"], "arrives", 2).select("event_id", "queue")
 
 
 QUEUE_SQL = f"""
@@ -51,20 +52,20 @@ r AS (SELECT event_id, user_id, day, i, CASE WHEN command = 'finish' THEN 0 ELSE
   UNION ALL SELECT n.event_id, n.user_id, n.day, n.i,
     CASE WHEN command = 'finish' THEN greatest(r.p - 1, 0) WHEN r.p < 2 THEN r.p + 1 ELSE r.p END,
     CASE WHEN command = 'finish' THEN 'done' WHEN r.p < 2 THEN 'accepted' ELSE 'rejected' END
-  FROM r JOIN n ON n.user_id = r.user_id AND n.day = r.day AND n.i = r.i + 1)
+  FROM r JOIN n ON n.user_id = r.user_id AND n.i = r.i + 1)
 SELECT event_id, queue FROM r
 """
 
 
 def playback_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.playback(_events(spark, sf_dir), ["user_id", "day"], ["ts", "event_id"], "command").select("event_id", "status")
+    return folds.playback(_events(spark, sf_dir), ["user_id"], ["ts", "event_id"], "command").select("event_id", "status")
 
 
 PLAYBACK_SQL = f"""
 WITH RECURSIVE {NUMBERED},
 r AS (SELECT event_id, user_id, day, i, command, 0 AS before, CASE WHEN command = 'enqueue' THEN 1 ELSE 0 END AS p FROM n WHERE i = 1
   UNION ALL SELECT n.event_id, n.user_id, n.day, n.i, n.command, r.p, CASE n.command WHEN 'enqueue' THEN r.p + 1 WHEN 'finish' THEN greatest(r.p - 1, 0) ELSE 0 END
-  FROM r JOIN n ON n.user_id = r.user_id AND n.day = r.day AND n.i = r.i + 1)
+  FROM r JOIN n ON n.user_id = r.user_id AND n.i = r.i + 1)
 SELECT event_id, CASE WHEN command = 'enqueue' AND before = 0 THEN 'STARTED' WHEN command = 'finish' AND before = 1 THEN 'ENDED' WHEN command = 'error' THEN 'ERROR'
   WHEN command = 'stop' THEN 'STOPPED' WHEN p > 0 THEN 'QUEUED' ELSE 'IDLE' END AS status FROM r
 """
@@ -72,14 +73,14 @@ SELECT event_id, CASE WHEN command = 'enqueue' AND before = 0 THEN 'STARTED' WHE
 
 def overall_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir).withColumn("p", F.col("value") / 200)
-    return folds.overall_progress(events, ["user_id", "day"], ["ts", "event_id"], "p").select("event_id", F.round("overall", 9).alias("overall"))
+    return folds.overall_progress(events, ["user_id"], ["ts", "event_id"], "p").select("event_id", F.round("overall", 9).alias("overall"))
 
 
 PROGRESS_SQL = f"""
 WITH RECURSIVE {NUMBERED}, v AS (SELECT *, least(1.0, greatest(0.0, value / 200)) AS q FROM n),
 r AS (SELECT event_id, user_id, day, i, CAST(0 AS DOUBLE) AS base, CAST(q AS DOUBLE) AS prev FROM v WHERE i = 1
   UNION ALL SELECT v.event_id, v.user_id, v.day, v.i, CASE WHEN v.q < r.prev - CAST(0.05 AS DOUBLE) THEN r.base + (1 - r.base) * CAST(0.6 AS DOUBLE) ELSE r.base END, CAST(v.q AS DOUBLE)
-  FROM r JOIN v ON v.user_id = r.user_id AND v.day = r.day AND v.i = r.i + 1)
+  FROM r JOIN v ON v.user_id = r.user_id AND v.i = r.i + 1)
 SELECT event_id, round(base + (1 - base) * CAST(0.6 AS DOUBLE) * prev, 9) AS overall FROM r
 """
 
@@ -99,26 +100,26 @@ def first_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.first_claim(_events(spark, sf_dir), ["user_id", "day"], ["ts", "event_id"]).select("event_id", "should_show")
 
 
-CLAIM_SQL = f"WITH {NUMBERED} SELECT event_id, i = 1 AS should_show FROM n"
+CLAIM_SQL = f"WITH {DAILY} SELECT event_id, i = 1 AS should_show FROM n"
 
 
 def route_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.route(_events(spark, sf_dir), ["day"], ["ts", "event_id"], "user_id").select("event_id", "user_id", "stopped")
+    return folds.route(_events(spark, sf_dir).withColumn("channel", F.lit("speech")), ["channel"], ["ts", "event_id"], "user_id", F.date_trunc("hour", "ts")).select("event_id", "user_id", "stopped")
 
 
 ROUTE_SQL = f"""
-WITH {EVENTS}, l AS (SELECT *, lag(user_id) OVER (PARTITION BY day ORDER BY ts, event_id) AS before FROM e)
+WITH {EVENTS}, l AS (SELECT *, lag(user_id) OVER (ORDER BY ts, event_id) AS before FROM e)
 SELECT event_id, user_id, CASE WHEN before <> user_id THEN before END AS stopped FROM l
 """
 
 
 def prefetched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.prefetched(_events(spark, sf_dir), ["user_id", "day"], ["ts", "event_id"], "command").select("event_id", "synthesized")
+    return folds.prefetched(_events(spark, sf_dir), ["user_id"], ["ts", "event_id"], "command").select("event_id", "synthesized")
 
 
 PREFETCH_SQL = f"""
 WITH {EVENTS}, c AS (SELECT event_id, sum(CASE WHEN command = 'enqueue' THEN 1 ELSE 0 END) OVER w AS a, sum(CASE WHEN command = 'finish' THEN 1 ELSE 0 END) OVER w AS b
-  FROM e WINDOW w AS (PARTITION BY user_id, day ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+  FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
 SELECT event_id, CAST(least(a, b + 2) AS BIGINT) AS synthesized FROM c
 """
 
@@ -136,12 +137,18 @@ SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, cou
 
 
 def serialized_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each request stops what plays and enqueues its own, in arrival order, never interleaved."""
-    steps = _events(spark, sf_dir).select("event_id", "user_id", F.posexplode(F.array(F.lit("STOP"), F.lit("ENQUEUE"))).alias("step", "operation"))
-    return steps.select("user_id", "operation", (F.col("event_id") * 2 + F.col("step")).alias("place"))
+    """Operations of each user one after another: when each starts and ends, and that failing ones hold up nobody."""
+    events = _events(spark, sf_dir).withColumn("at_us", F.unix_micros("ts")).withColumn("takes_us", (F.coalesce(F.col("value"), F.lit(0.0)) * 100_000_000).cast("bigint"))
+    out = folds.serialized(events, ["user_id"], ["ts", "event_id"], "at_us", "takes_us", F.col("command") == "error")
+    return out.select("event_id", "user_id", F.col("started").alias("started_us"), F.col("ended").alias("ended_us"), "outcome")
 
 
-SERIAL_SQL = "SELECT user_id, operation, event_id * 2 + CASE operation WHEN 'STOP' THEN 0 ELSE 1 END AS place FROM events, (VALUES ('STOP'), ('ENQUEUE')) o(operation)"
+SERIAL_SQL = f"""
+WITH RECURSIVE {NUMBERED}, o AS (SELECT *, epoch_us(ts) AS at_us, CAST(trunc(coalesce(value, 0) * 100000000) AS BIGINT) AS takes FROM n),
+r AS (SELECT event_id, user_id, i, command, at_us AS started, at_us + takes AS ended FROM o WHERE i = 1
+  UNION ALL SELECT o.event_id, o.user_id, o.i, o.command, greatest(o.at_us, r.ended), greatest(o.at_us, r.ended) + o.takes FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)
+SELECT event_id, user_id, started AS started_us, ended AS ended_us, CASE WHEN command = 'error' THEN 'failed' ELSE 'done' END AS outcome FROM r
+"""
 
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:

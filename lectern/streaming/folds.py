@@ -1,66 +1,67 @@
 """Stateful operators over ordered events, in batch form.
 
-A fold needs a key's events in order. Where the rule forgets (a long enough gap, a day's end), the
-key is cut there first, so an array holds a burst, never a key's whole history.
+Where the state is a sum, an extreme or the row before, windows give it. Where it isn't, rows
+stream through a task in order and the state is carried from row to row and from batch to batch,
+so no task ever holds a key's history.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def cross_source_dedup(events: DataFrame, key: str, at: Column, source: str, order: str, window_ms: int) -> DataFrame:
-    """events with `accepted`: false if the last accepted event of the key came from another source
-    less than window_ms before.
+def carried(events: DataFrame, keys: list[str], order: list[str], uses: list[str], start: Any, step: Callable, name: str, kind: str) -> DataFrame:
+    """events with `name`: the output of step(state, *uses) -> (state, output) for each row of a key in order.
 
-    An event that follows the one before by window_ms or more is accepted whatever came before, so
-    bursts between such gaps are independent and are folded one by one.
+    A key's rows meet in one task, sorted, and stream through it; the state of the last row of a
+    batch is carried to the next one.
     """
-    w = Window.partitionBy(key).orderBy("__at", order)
-    cut = events.withColumn("__at", at)
-    cut = cut.withColumn("__new", F.when(F.col("__at") - F.lag("__at").over(w) < window_ms, 0).otherwise(1))
-    cut = cut.withColumn("__burst", F.sum("__new").over(w))
-    row = F.struct("__at", F.col(order).alias("__order"), F.col(source).alias("__source"), F.struct(*[F.col(c) for c in events.columns]).alias("__row"))
-    bursts = cut.groupBy(key, "__burst").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    zero = F.struct(F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("string").alias("source"), F.array().cast("array<boolean>").alias("out"))
+    schema = events.withColumn(name, F.lit(None).cast(kind)).schema
+    type_ = {"string": pa.string(), "boolean": pa.bool_()}[kind]
 
-    def step(acc: Column, r: Column) -> Column:
-        ok = ~F.coalesce((acc["source"] != r["__source"]) & (r["__at"] - acc["at"] < window_ms), F.lit(False))
-        return F.struct(
-            F.when(ok, r["__at"]).otherwise(acc["at"]).alias("at"), F.when(ok, r["__source"]).otherwise(acc["source"]).alias("source"), F.array_append(acc["out"], ok).alias("out")
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, start
+        for batch in batches:
+            out = []
+            owners = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in keys), strict=True)
+            values = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in uses), strict=True)
+            for owner, row in zip(owners, values, strict=True):
+                if owner != key:
+                    key, state = owner, start
+                state, made = step(state, *row)
+                out.append(made)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, type_)], names=[*batch.schema.names, name])
 
-    # a lone event needs no fold
-    flags = F.when(F.size("rows") == 1, F.array(F.lit(True))).otherwise(F.aggregate("rows", zero, step, lambda acc: acc["out"]))
-    pairs = bursts.select(F.explode(F.arrays_zip("rows", flags.alias("ok"))).alias("p"))
-    return pairs.select(*[F.col(f"p.rows.__row.{c}").alias(c) for c in events.columns], F.col("p.ok").alias("accepted"))
+    return events.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
-def fold(events: DataFrame, keys: list[str], order: list[str], zero: Column, step, name: str) -> DataFrame:
-    """events with `name`: what step(state, row) puts into state.out for each row of a key in order."""
-    row = F.struct(*[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], F.struct(*[F.col(c) for c in events.columns]).alias("row"))
-    groups = events.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    start = F.struct(zero.alias("state"), F.array().cast("array<string>").alias("out"))
+def cross_source_dedup(events: DataFrame, key: str, at: Column, source: str, order: str, window_ms: int) -> DataFrame:
+    """events with `accepted`: false if the last accepted event of the key came from another source
+    less than window_ms before."""
 
-    def one(acc: Column, r: Column) -> Column:
-        state, out = step(acc["state"], r["row"])
-        return F.struct(state.alias("state"), F.array_append(acc["out"], out.cast("string")).alias("out"))
+    def step(last: tuple | None, when: int, who: str) -> tuple[tuple | None, bool]:
+        if last is not None and last[1] is not None and who is not None and last[1] != who and when - last[0] < window_ms:
+            return last, False
+        return (when, who), True
 
-    done = groups.select("rows", F.aggregate("rows", start, one, lambda acc: acc["out"]).alias("out"))
-    pairs = done.select(F.explode(F.arrays_zip("rows", "out")).alias("p"))
-    return pairs.select(*[F.col(f"p.rows.row.{c}").alias(c) for c in events.columns], F.col("p.out").alias(name))
+    timed = events.withColumn("__at", at)
+    return carried(timed, [key], ["__at", order], ["__at", source], None, step, "accepted", "boolean").drop("__at")
 
 
 def bounded_queue(events: DataFrame, keys: list[str], order: list[str], arrives: str, most: int = 3) -> DataFrame:
     """events with `queue`: accepted or rejected for arrivals, done for finishes; at most `most` wait."""
 
-    def step(pending: Column, r: Column) -> tuple[Column, Column]:
-        free = pending < most
-        after = F.when(r[arrives], F.when(free, pending + 1).otherwise(pending)).otherwise(F.greatest(pending - 1, F.lit(0)))
-        return after, F.when(~r[arrives], "done").when(free, "accepted").otherwise("rejected")
+    def step(pending: int, arrival: bool) -> tuple[int, str]:
+        if not arrival:
+            return max(pending - 1, 0), "done"
+        return (pending + 1, "accepted") if pending < most else (pending, "rejected")
 
-    return fold(events, keys, order, F.lit(0), step, "queue")
+    return carried(events, keys, order, [arrives], 0, step, "queue", "string")
 
 
 def playback(events: DataFrame, keys: list[str], order: list[str], command: str) -> DataFrame:
@@ -68,38 +69,53 @@ def playback(events: DataFrame, keys: list[str], order: list[str], command: str)
 
     STARTED when a text comes to an empty queue, ENDED when the last one finishes, ERROR and
     STOPPED empty the queue, so neither is followed by ENDED; other events keep QUEUED or IDLE.
+    What waits is the sum of steps since the queue was last emptied, less the least value of that
+    sum if it fell below zero, as a finish of an empty queue takes nothing.
     """
-
-    def step(pending: Column, r: Column) -> tuple[Column, Column]:
-        c = r[command]
-        after = F.when(c == "enqueue", pending + 1).when(c == "finish", F.greatest(pending - 1, F.lit(0))).when(c.isin("error", "stop"), F.lit(0)).otherwise(pending)
-        status = (
-            F.when((c == "enqueue") & (pending == 0), "STARTED")
-            .when((c == "finish") & (pending == 1), "ENDED")
-            .when(c == "error", "ERROR")
-            .when(c == "stop", "STOPPED")
-            .when(after > 0, "QUEUED")
-            .otherwise("IDLE")
-        )
-        return after, status
-
-    return fold(events, keys, order, F.lit(0), step, "status")
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    epoch = Window.partitionBy(*keys, "__epoch").orderBy(*order)
+    c = F.col(command)
+    move = F.when(c == "enqueue", 1).when(c == "finish", -1).otherwise(0)
+    rows = events.withColumn("__epoch", F.sum(F.when(c.isin("error", "stop"), 1).otherwise(0)).over(w))
+    rows = rows.withColumn("__sum", F.sum(move).over(epoch.rowsBetween(Window.unboundedPreceding, 0)))
+    least = F.min("__sum").over(epoch.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("__waits", F.col("__sum") - F.least(least, F.lit(0)))
+    rows = rows.withColumn("__before", F.coalesce(F.lag("__waits").over(epoch), F.lit(0)))
+    status = (
+        F.when((c == "enqueue") & (F.col("__before") == 0), "STARTED")
+        .when((c == "finish") & (F.col("__before") == 1), "ENDED")
+        .when(c == "error", "ERROR")
+        .when(c == "stop", "STOPPED")
+        .when(F.col("__waits") > 0, "QUEUED")
+        .otherwise("IDLE")
+    )
+    return rows.withColumn("status", status).drop("__epoch", "__sum", "__waits", "__before")
 
 
 def overall_progress(events: DataFrame, keys: list[str], order: list[str], progress: str, share: float = 0.6, slack: float = 0.05) -> DataFrame:
     """events with `overall`: progress of repeated passes as one value that never falls back to a pass's start.
 
-    A drop by more than slack closes a pass: its share of what is left is added to the base.
+    A drop by more than slack closes a pass: its share of what is left is added to the base. After
+    n closed passes the base is therefore 1 - (1 - share)^n.
     """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    rows = events.withColumn("__p", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.col(progress), F.lit(0.0)))))
+    rows = rows.withColumn("__drop", (F.col("__p") < F.coalesce(F.lag("__p").over(w), F.lit(0.0)) - slack).cast("int"))
+    left = F.pow(F.lit(1 - share), F.sum("__drop").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.withColumn("overall", 1 - left + left * share * F.col("__p")).drop("__p", "__drop")
+
 
-    def step(s: Column, r: Column) -> tuple[Column, Column]:
-        p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(r[progress], F.lit(0.0))))
-        base = F.when(p < s["prev"] - slack, s["base"] + (1 - s["base"]) * share).otherwise(s["base"])
-        return F.struct(base.alias("base"), p.alias("prev")), base + (1 - base) * share * p
+def serialized(events: DataFrame, keys: list[str], order: list[str], arrives: str, takes: str, fails: Column) -> DataFrame:
+    """events with started, ended, outcome: operations of a key run one after another in order.
 
-    zero = F.struct(F.lit(0.0).alias("base"), F.lit(0.0).alias("prev"))
-    out = fold(events, keys, order, zero, step, "overall")
-    return out.withColumn("overall", F.col("overall").cast("double"))
+    Each starts when it arrives, or when the one before has ended, be it done or failed. With D
+    the time that all operations up to one take, it ends at D plus the largest of arrival less the
+    D of the operation before, over it and all before it.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = events.withColumn("__all", F.sum(takes).over(w))
+    rows = rows.withColumn("ended", F.col("__all") + F.max(F.col(arrives) - (F.col("__all") - F.col(takes))).over(w))
+    return rows.withColumn("started", F.col("ended") - F.col(takes)).withColumn("outcome", F.when(fails, "failed").otherwise("done")).drop("__all")
 
 
 def current_generation(events: DataFrame, keys: list[str], order: list[str], stops: Column) -> DataFrame:
@@ -115,10 +131,20 @@ def first_claim(events: DataFrame, keys: list[str], order: list[str]) -> DataFra
     return events.withColumn("should_show", n == 1)
 
 
-def route(events: DataFrame, channel: list[str], order: list[str], target: str) -> DataFrame:
-    """events with `stopped`: the target that loses the channel because another takes it over."""
-    before = F.lag(target).over(Window.partitionBy(*channel).orderBy(*order))
-    return events.withColumn("stopped", F.when(before != F.col(target), before))
+def route(events: DataFrame, channel: list[str], order: list[str], target: str, part: Column) -> DataFrame:
+    """events with `stopped`: the target that loses the channel because another takes it over.
+
+    `part` cuts the order into ranges (hours, say) that tasks can share; the last target of a
+    range is carried to the first event of the next one.
+    """
+    cut = events.withColumn("__part", part)
+    last = cut.groupBy(*channel, "__part").agg(F.max_by(F.struct(F.col(target).alias("t")), F.struct(*order)).alias("__last"))
+    over = Window.partitionBy(*channel).orderBy("__part")
+    carried_over = last.select(*channel, "__part", F.lag("__last").over(over).alias("__carried"))
+    within = Window.partitionBy(*channel, "__part").orderBy(*order)
+    rows = cut.withColumn("__first", F.row_number().over(within) == 1).withColumn("__lag", F.lag(target).over(within)).join(carried_over, [*channel, "__part"])
+    before = F.when(F.col("__first"), F.col("__carried")["t"]).otherwise(F.col("__lag"))
+    return rows.withColumn("stopped", F.when(before != F.col(target), before)).drop("__part", "__first", "__lag", "__carried")
 
 
 def prefetched(events: DataFrame, keys: list[str], order: list[str], command: str, ahead: int = 2) -> DataFrame:

@@ -155,3 +155,32 @@ def test_speakers(spark):
     df = spark.createDataFrame([(raw,), ("[]",), (None,)], "raw string").select(V.speakers(F.col("raw")).alias("s")).collect()
     assert [s.name for s in df[0].s] == ["Valid"] and [x.id for x in df[0].s[0].styles] == [1]
     assert df[1].s is None and df[2].s is None
+
+
+def test_versions_of_any_length(spark):
+    pairs = [("1.4.0", "1.4.1", True), ("1.4.1", "1.4.1", False), ("1.2.3.4.5", "1.2.3.4.6", True), ("1.2.3.4.6", "1.2.3.4.5.9", False), ("", "0.0.0.0.1", True), (None, "1", True), ("1.4", "1.4.0.0.0", False), ("a.b", "0", False), ("10", "9.9", False)]
+    rows = spark.createDataFrame([(a, b) for a, b, _ in pairs], "a string, b string")
+    assert [r.x for r in rows.select(V.version_before(F.col("a"), F.col("b")).alias("x")).collect()] == [x for _, _, x in pairs]
+
+
+def test_folds_carry_their_state(spark):
+    """Batches smaller than a key's rows, and queues that no day's end empties."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    rows = spark.createDataFrame([(k, i, c) for k in (1, 2) for i, c in enumerate("++++-+--+-")], "k int, i int, c string").withColumn("arrives", F.col("c") == "+")
+    got = folds.bounded_queue(rows, ["k"], ["i"], "arrives", 2).orderBy("k", "i").collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    one = ["accepted", "accepted", "rejected", "rejected", "done", "accepted", "done", "done", "accepted", "done"]
+    assert [r.queue for r in got] == one * 2
+
+
+def test_operations_run_one_after_another(spark):
+    rows = spark.createDataFrame([(1, 0, 10), (2, 5, 10), (3, 50, 5), (4, 51, 1), (5, 52, 0)], "i int, at int, takes int").withColumn("k", F.lit(1))
+    got = folds.serialized(rows, ["k"], ["i"], "at", "takes", F.col("i") == 2).orderBy("i").collect()
+    assert [(r.started, r.ended, r.outcome) for r in got] == [(0, 10, "done"), (10, 20, "failed"), (50, 55, "done"), (55, 56, "done"), (56, 56, "done")]
+
+
+def test_routes_are_carried_over_ranges(spark):
+    rows = spark.createDataFrame([(i, i // 3, t) for i, t in enumerate("aabbbcccaab")], "i int, part int, t string").where("part != 1").withColumn("c", F.lit(1))
+    got = [r.stopped for r in folds.route(rows, ["c"], ["i"], "t", F.col("part")).orderBy("i").collect()]
+    seen = [t for i, t in enumerate("aabbbcccaab") if i // 3 != 1]
+    assert got == [None] + [a if a != b else None for a, b in zip(seen, seen[1:])]
