@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import keep
 from .common import WordHashes, bound_batches, col, rolling, slices, words_of
 from .license_templates import PASSAGES, PHRASES
 
@@ -130,6 +131,7 @@ def find_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         F.max("share").alias("score"),
         F.array_sort(F.collect_list(F.when(F.col("best"), one))).alias("spans"),
     )
+    by_key = keep(by_key, "licenses")  # a table of its own, so that the join can split a text that many rows have
     none = {c: F.coalesce(c, F.array().cast(by_key.schema[c].dataType)) for c in ("base_places", "base_labels", "labels", "spans")}
     sized = keyed.select("key", "doc_id", "text").mapInArrow(_counts, f"key binary, doc_id {kind}, n_words bigint")
     return sized.join(by_key, "key", "left").select("doc_id", "n_words", *[v.alias(c) for c, v in none.items() if c != "spans"], F.coalesce("score", F.lit(0.0)).alias("score"), none["spans"].alias("spans"))
