@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import keep
 from .common import bound_batches, col, mix, slices
 
 #: Bytes of an n-gram, hashes of an n-gram, slots of the filter for each n-gram of the largest language.
@@ -121,10 +122,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Filter:
     n-grams that LEAST_SHARE of a language's sampled texts have, of all languages.
     """
     known = bound_batches(docs).select(col("doc_id").alias("doc_id"), col("lang").cast("string").alias("lang"), col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & ~held_out("doc_id"))
-    rates = known.groupBy("lang").agg(F.count("*").alias("rows")).withColumn("rate", F.lit(float(sample)) / F.col("rows"))
+    # tables of a row for each language, whose sizes Spark knows when it picks the joins
+    rates = keep(known.groupBy("lang").agg(F.count("*").alias("rows")).withColumn("rate", F.lit(float(sample)) / F.col("rows")), "languages")
     chance = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_000)) / 1_000_000
     chosen = known.where(F.col("text").isNotNull()).join(rates, "lang").where(chance < F.col("rate"))
-    texts = chosen.groupBy("lang").agg(F.count("*").alias("texts"), F.first("rows").alias("rows"))
+    texts = keep(chosen.groupBy("lang").agg(F.count("*").alias("texts"), F.first("rows").alias("rows")), "sampled")
     share = chosen.select("lang", "text").mapInArrow(_distinct, "lang string, gram bigint").groupBy("lang", "gram").count().join(texts, "lang")
     share = share.select("lang", "gram", (F.col("count") / F.col("texts")).alias("share")).where(F.col("share") >= LEAST_SHARE)
     top = share.groupBy("gram").agg(F.max("share").alias("top"), F.collect_list(F.struct("lang", "share")).alias("own"))
