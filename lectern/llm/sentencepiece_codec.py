@@ -220,7 +220,13 @@ class Codec:
         new = set().union(*cut).difference(self.known) if cut else set()
         self._learn(new)
         get = self.known.__getitem__
-        return [np.fromiter(chain.from_iterable(map(get, c)), np.uint32) for c in cut]
+        out = [np.fromiter(chain.from_iterable(map(get, c)), np.uint32) for c in cut]
+        return out if self.bytes else [self._one_unknown(ids) for ids in out]
+
+    def _one_unknown(self, ids: np.ndarray) -> np.ndarray:
+        """ids with each run of unknown characters as one."""
+        unknown = ids == self.unknown
+        return ids[~(unknown & np.concatenate([[False], unknown[:-1]])[: len(ids)])]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, without the mark that encoding put first."""

@@ -417,3 +417,25 @@ def test_top_k_skips_blocks(spark):
         s = v @ v[q]
         want = sorted((-int(s[j]), j) for j in range(640) if j != q)[:5]
         assert sorted(got[q]) == [(n + 1, j, -x) for n, (x, j) in enumerate(want)]
+
+
+def test_unigram_equals_library(tmp_path):
+    """The Viterbi table against the library, with a unigram model written down here."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    for name, kind in (("<unk>", 2), ("<s>", 3), ("</s>", 3)):
+        model.pieces.add(piece=name, score=0.0, type=kind)
+    scores = {"▁": -2.1, "a": -3.2, "b": -3.7, "c": -4.9, "ab": -4.3, "bc": -5.03, "abc": -7.11, "▁a": -3.9, "▁ab": -5.57, "ca": -6.023, "cab": -8.13, "▁abca": -9.7}
+    for piece, score in scores.items():
+        model.pieces.add(piece=piece, score=score, type=1)
+    model.trainer_spec.model_type, model.trainer_spec.vocab_size = 1, len(model.pieces)
+    model.normalizer_spec.add_dummy_prefix, model.normalizer_spec.escape_whitespaces, model.normalizer_spec.remove_extra_whitespaces = True, True, False
+    path = tmp_path / "unigram.model"
+    path.write_bytes(model.SerializeToString())
+    library, codec = sentencepiece.SentencePieceProcessor(model_file=str(path)), sentencepiece_codec.Codec(str(path))
+    rng = np.random.default_rng(9)
+    texts = ["abc", "abca cab", "a  b", " ab ", "xabc", "abxc", "x y", "", "cabcab abab"] + ["".join(rng.choice(list("abc x"), 12)) for _ in range(200)]
+    for text, ids in zip(texts, codec.encode(texts), strict=True):
+        assert ids.tolist() == library.encode(text), text
