@@ -2,6 +2,7 @@
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_corpus_operators import classes, contamination, spans
@@ -30,3 +31,23 @@ def test_pipeline(spark, sf):
             assert all(np.frombuffer(r.ids, "<u4").tolist() == library.encode(before[i]) and r.round_trip for i, r in rows.items())
         docs = spark.createDataFrame(out.collect(), out.schema)
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_stages_keep_clashing_columns(spark, sf):
+    """Columns that bear the names of steps stay as they are, and empty tables and null, empty and long texts pass."""
+    names = ["__text", "text_", "secrets", "spans", "own", "kinds", "key", "__key", "id", "n", "own_id", "own_key", "score", "n_ids", "decoded", "items", "hits", "root", "node"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60").select("doc_id", "text", "lang", "source", "n_chars")
+    long = "a plain sentence that goes on and on without an end, " * 4000
+    edges = spark.createDataFrame([(None, None, None, None, None), (None, "", "", "", 0), (900, None, "de", "s", None), (901, long, "en", "s", 5), (901, long, "en", "s", 5)], docs.schema)
+    docs = docs.unionByName(edges).select("*", *[F.lit(f"user's {n}").alias(n) for n in names])
+    held = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert all(r[n] == f"user's {n}" for r in rows for n in names), name
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+        if name == "secrets":
+            assert len(rows) == held.count()
+    encoded = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert len(encoded) == docs.count() and all(r.round_trip for r in encoded)
