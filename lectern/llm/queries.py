@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir, table
-from . import decontamination, language_id, license_scan, near_dedup, quality, secret_scan, sentencepiece_codec, token_store, topk, url_filter
+from . import conversation_repair, decontamination, language_id, license_scan, near_dedup, neighbours, quality, secret_scan, sentencepiece_codec, token_alignment, token_store, topk, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -209,6 +209,22 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_conversations(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    found = token_alignment.aligned_digests(table(spark, sf_dir, "documents"), *files)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_license_scan": op2_license_scan,
@@ -220,6 +236,9 @@ QUERIES: dict[str, Query] = {
     "op8_token_store": op8_token_store,
     "op9_url_filter": op9_url_filter,
     "op10_topk": op10_topk,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_nearest": op12_nearest,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 SQL: dict[str, str] = {
