@@ -149,7 +149,7 @@ def is_kana(text: Column) -> Column:
 
 def alt_text(tag: Column, role: Column, aria_label: Column, alt: Column) -> Column:
     """Spoken text of an element: for images the label or the alternative text unless it is decoration."""
-    label = F.when(F.coalesce(aria_label, F.lit("")) != "", aria_label)
+    label = F.when(trim(F.coalesce(aria_label, F.lit(""))) != "", aria_label)
     image = F.when(role.isin("presentation", "none"), F.lit("")).otherwise(F.coalesce(label, alt, F.lit("")))
     return trim(F.when(F.upper(tag) == "IMG", image).otherwise(F.coalesce(label, F.lit(""))))
 

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import check_queries, event_queries, geometry_queries, recognition_queries, text_queries
+from . import check_queries, event_queries, geometry_queries, page_queries, recognition_queries, text_queries
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     **text_queries.QUERIES,
+    **page_queries.QUERIES,
     **event_queries.QUERIES,
     **geometry_queries.QUERIES,
     **recognition_queries.QUERIES,
