@@ -68,33 +68,34 @@ def binarize(image: np.ndarray, most: float = 8.4e6) -> np.ndarray:
     return np.repeat(np.where(ink, 0, 255).astype(np.uint8)[..., None], 3, axis=2)
 
 
-def _runs(profile: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bands(profile: np.ndarray) -> tuple[int, int, int]:
+    """Runs of ink in a profile: how many, the largest thickness, and the upper median of the gaps between their starts (0 without)."""
     on = np.diff(np.concatenate([[0], (profile > 0).astype(int), [0]]))
-    return np.nonzero(on == 1)[0], np.nonzero(on == -1)[0]
+    start, end = np.nonzero(on == 1)[0], np.nonzero(on == -1)[0]
+    pitch = np.sort(np.diff(start))
+    return len(start), int((end - start).max(initial=0)), int(pitch[len(pitch) // 2]) if len(pitch) else 0
 
 
 def orientation(image: np.ndarray) -> tuple[str, bool]:
-    """horizontal or vertical, and whether that is certain, from the ink profiles of rows and columns."""
-    lum = image.astype(np.float64) @ np.array([0.299, 0.587, 0.114])
-    mean = image.astype(np.float64).mean()
-    ink = lum < mean - 30 if mean >= 128 else lum > mean + 30
-    rows, cols = ink.sum(axis=1), ink.sum(axis=0)
-
-    def single(profile: np.ndarray) -> bool:
-        start, end = _runs(profile)
-        if len(start) != 1:
-            return False
-        return bool(end[0] - start[0] <= 3 * max(1, np.median(np.diff(start)) if len(start) > 1 else end[0] - start[0]))
+    """horizontal or vertical, and whether that is certain, from the ink profiles of rows and columns.
 
+    The sides decide alone if there is one line: if the side with fewer bands, rows if as many, is
+    no thicker than three of the other side's pitches. Else the fill of the fullest rows and columns does.
+    """
+    plain = image.astype(np.float64).mean(axis=2)
+    mean = plain.mean()
+    ink = plain < mean - 30 if mean >= 128 else plain > mean + 30
+    rows, cols = ink.sum(axis=1), ink.sum(axis=0)
     h, w = ink.shape
-    if single(rows) and w > 1.8 * h:
-        return "horizontal", True
-    if single(cols) and h > 1.8 * w:
-        return "vertical", True
-    peak = lambda p: np.sort(p)[::-1][int(len(p) * 0.05)] if len(p) else 0
-    if not peak(rows):
-        return "horizontal", False
-    ratio = peak(cols) / w * h / peak(rows) if peak(rows) else 0.0
+    (n_rows, thick_rows, pitch_rows), (n_cols, thick_cols, pitch_cols) = bands(rows), bands(cols)
+    thick, pitch = (thick_rows, pitch_cols) if n_rows <= n_cols else (thick_cols, pitch_rows)
+    if 0 < pitch and thick <= 3 * pitch:
+        if h > 1.8 * w:
+            return "vertical", True
+        if w > 1.8 * h:
+            return "horizontal", True
+    peak = lambda profile, length: (np.sort(profile)[::-1][int(len(profile) * 0.05)] if len(profile) else 0) / length
+    ratio = peak(cols, h) / (peak(rows, w) or 1e-9)
     if ratio <= 1.15:
         return "horizontal", True
     return ("vertical", True) if ratio >= 1.8 else ("vertical" if ratio > 1.5 else "horizontal", False)

@@ -76,9 +76,15 @@ def border_mean(pixels: DataFrame, keys: list[str], width: int, height: int) ->
     return edge.groupBy(*keys).agg(mean("r"), mean("g"), mean("b"))
 
 
+def is_ink(margin: float = 30.0) -> Column:
+    """Whether the plain mean of a pixel's colours is far enough from that of its image (mean, dark_ink)."""
+    plain = (F.col("r") + F.col("g") + F.col("b")) / 3
+    return F.when(F.col("dark_ink"), plain < F.col("mean") - margin).otherwise(plain > F.col("mean") + margin)
+
+
 def ink_profile(pixels: DataFrame, keys: list[str], means: DataFrame, at: str, size: int, margin: float = 30.0) -> DataFrame:
     """Ink pixels of each row or column (`at`), with zeros where there are none."""
-    ink = F.when(F.col("dark_ink"), F.col("lum") < F.col("mean") - margin).otherwise(F.col("lum") > F.col("mean") + margin)
+    ink = is_ink(margin)
     counted = pixels.join(means, keys).groupBy(*keys, at).agg(F.count(F.when(ink, 1)).alias("ink"))
     grid = means.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias(at))
     return grid.join(counted, [*keys, at], "left").select(*keys, at, F.coalesce("ink", F.lit(0)).alias("ink"))

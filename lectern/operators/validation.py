@@ -86,7 +86,7 @@ def image_url_ok(url: Column, kinds: str = "png|jpeg|webp|gif", most: int = 2 <<
 
 
 def upload_ok(kind: Column, size: Column, width: Column, height: Column) -> Column:
-    return kind.isin("image/png", "image/jpeg", "image/webp", "image/gif") & (size <= 2 << 20) & (width <= 16_384) & (height <= 16_384) & (width * height <= 40_000_000)
+    return kind.isin("image/png", "image/jpeg", "image/webp", "image/gif") & (size <= 2 << 20) & (width <= 16_384) & (height <= 16_384) & (width * height <= 40 * 1024 * 1024)
 
 
 def version_before(a: Column, b: Column) -> Column:

@@ -75,7 +75,7 @@ def payload_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PAYLOAD_SQL = """
 WITH o AS (SELECT *, o_orderkey AS k, 12 + o_orderkey % 60 AS size FROM orders)
-SELECT o_orderkey, k % 3 <> 1 AS url_ok, o_custkey * 3000 <= 2097152 AND o_custkey * 30 <= 16384 AND o_custkey * 30 * (k % 9000) <= 40000000 AS upload_ok, k % 2 = 0 AND k % 5 <> 0 AS wav,
+SELECT o_orderkey, k % 3 <> 1 AS url_ok, o_custkey * 3000 <= 2097152 AND o_custkey * 30 <= 16384 AND o_custkey * 30 * (k % 9000) <= 41943040 AS upload_ok, k % 2 = 0 AND k % 5 <> 0 AS wav,
   size <= 50 AND NOT (k % 4 = 0 AND k % 200 > 50) AS within, (k % 12, k % 4) < (o_custkey % 12, o_custkey % 4) AS before, CASE WHEN k % 9 = 0 THEN '' ELSE trim(substr(o_orderpriority, 2, 3)) END AS selected,
   CASE WHEN 1 + o_custkey % 40 * 6000 <= 200000 THEN CASE WHEN o_custkey % 40 = 0 THEN 1 ELSE 2 END ELSE -1 END AS n_queued, o_orderpriority IN ('1-URGENT', '2-HIGH') AS listed FROM o
 """

@@ -63,11 +63,11 @@ def playback_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PLAYBACK_SQL = f"""
 WITH RECURSIVE {NUMBERED},
-r AS (SELECT event_id, user_id, day, i, command, 0 AS before, CASE WHEN command = 'enqueue' THEN 1 ELSE 0 END AS p FROM n WHERE i = 1
-  UNION ALL SELECT n.event_id, n.user_id, n.day, n.i, n.command, r.p, CASE n.command WHEN 'enqueue' THEN r.p + 1 WHEN 'finish' THEN greatest(r.p - 1, 0) ELSE 0 END
+r AS (SELECT event_id, user_id, i, command, 0 AS before, CASE WHEN command = 'enqueue' THEN 1 ELSE 0 END AS p FROM n WHERE i = 1
+  UNION ALL SELECT n.event_id, n.user_id, n.i, n.command, r.p, CASE n.command WHEN 'enqueue' THEN r.p + 1 WHEN 'stop' THEN 0 ELSE greatest(r.p - 1, 0) END
   FROM r JOIN n ON n.user_id = r.user_id AND n.i = r.i + 1)
-SELECT event_id, CASE WHEN command = 'enqueue' AND before = 0 THEN 'STARTED' WHEN command = 'finish' AND before = 1 THEN 'ENDED' WHEN command = 'error' THEN 'ERROR'
-  WHEN command = 'stop' THEN 'STOPPED' WHEN p > 0 THEN 'QUEUED' ELSE 'IDLE' END AS status FROM r
+SELECT event_id, CASE WHEN command = 'stop' THEN 'STOPPED' WHEN command = 'enqueue' THEN CASE WHEN before = 0 THEN 'STARTED' ELSE 'QUEUED' END WHEN before = 0 THEN 'IDLE'
+  WHEN command = 'finish' THEN CASE WHEN before = 1 THEN 'ENDED' ELSE 'STARTED' END ELSE CASE WHEN before = 1 THEN 'ERROR' ELSE 'ERROR,STARTED' END END AS status FROM r
 """
 
 

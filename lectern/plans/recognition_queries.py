@@ -80,40 +80,51 @@ SELECT image, round(mean, 6) AS mean, mean >= 128 AS dark_ink, pad_r, pad_g, pad
 """
 
 
+#: Strokes of two rows and columns in every few, on white, so that images have bands of ink.
+STROKES = f"""SELECT image, x, y, CASE WHEN paper THEN 255 ELSE r END AS r, CASE WHEN paper THEN 255 ELSE g END AS g, CASE WHEN paper THEN 250 ELSE b END AS b
+  FROM (SELECT *, (y + image) % (4 + image % 5) >= 2 OR (x + image * 3) % (3 + image % 7) >= 2 AS paper FROM ({PIXELS}) p) q"""
+
+
 def ink_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of ink of every image: profile, runs of it, number, largest thickness and pitch."""
-    p = pixels(spark, sf_dir)
-    profile = St.ink_profile(p, ["image"], St.polarity(p, ["image"]), "y", HEIGHT)
-    runs = W.bands(profile, ["image"], "y", F.col("ink") > 2)
-    pitch = runs.withColumn("pitch", F.col("start") - F.lag("start").over(W.Window.partitionBy("image").orderBy("start")))
-    median = St.upper_median(pitch.where("pitch IS NOT NULL"), ["image"], "pitch", "pitch")
-    total = runs.groupBy("image").agg(F.count("*").alias("n_bands"), F.max("thickness").alias("thickest"))
-    return total.join(median, "image", "left").select("image", "n_bands", "thickest", F.col("pitch").cast("int").alias("pitch"))
+    """Bands of ink of every image along both sides: number, largest thickness and pitch, 0 without a pitch."""
+    p = _sql(spark, sf_dir, STROKES)
+    level, sides = St.polarity(p, ["image"]), []
+    for at, size in (("y", HEIGHT), ("x", WIDTH)):
+        runs = W.bands(St.ink_profile(p, ["image"], level, at, size), ["image"], at, F.col("ink") > 0)
+        pitch = runs.withColumn("pitch", F.col("start") - F.lag("start").over(W.Window.partitionBy("image").orderBy("start")))
+        median = St.upper_median(pitch.where("pitch IS NOT NULL"), ["image"], "pitch", "pitch")
+        total = runs.groupBy("image").agg(F.count("*").alias("n_bands"), F.max("thickness").alias("thickest"))
+        sides.append(total.join(median, "image", "left").select("image", F.lit(at).alias("side"), "n_bands", "thickest", F.coalesce("pitch", F.lit(0)).cast("int").alias("pitch")))
+    return sides[0].unionByName(sides[1])
 
 
 BANDS_SQL = f"""
-WITH p AS (SELECT *, {LUM} AS lum FROM ({PIXELS}) z), m AS (SELECT image, avg((r + g + b) / 3) AS mean FROM p GROUP BY image),
-f AS (SELECT image, y, count(*) FILTER (CASE WHEN mean >= 128 THEN lum < mean - 30 ELSE lum > mean + 30 END) AS ink FROM p JOIN m USING (image) GROUP BY ALL),
-i AS (SELECT image, y, y - row_number() OVER (PARTITION BY image ORDER BY y) AS isle FROM f WHERE ink > 2),
-b AS (SELECT image, min(y) AS start, count(*) AS thickness FROM i GROUP BY image, isle),
-d AS (SELECT image, start - lag(start) OVER (PARTITION BY image ORDER BY start) AS pitch FROM b),
-o AS (SELECT image, pitch, row_number() OVER (PARTITION BY image ORDER BY pitch) - 1 AS i, count(*) OVER (PARTITION BY image) AS n FROM d WHERE pitch IS NOT NULL)
-SELECT t.image, n_bands, thickest, o.pitch FROM (SELECT image, count(*) AS n_bands, max(thickness) AS thickest FROM b GROUP BY image) t LEFT JOIN o ON o.image = t.image AND o.i = o.n // 2
+WITH p AS ({STROKES}), m AS (SELECT image, avg((r + g + b) / 3) AS mean FROM p GROUP BY image),
+k AS (SELECT p.image, x, y FROM p JOIN m USING (image) WHERE CASE WHEN mean >= 128 THEN (r + g + b) / 3 < mean - 30 ELSE (r + g + b) / 3 > mean + 30 END),
+f AS (SELECT DISTINCT image, 'y' AS side, y AS place FROM k UNION ALL SELECT DISTINCT image, 'x', x FROM k),
+i AS (SELECT image, side, place, place - row_number() OVER (PARTITION BY image, side ORDER BY place) AS isle FROM f),
+b AS (SELECT image, side, min(place) AS start, count(*) AS thickness FROM i GROUP BY image, side, isle),
+d AS (SELECT image, side, start - lag(start) OVER (PARTITION BY image, side ORDER BY start) AS pitch FROM b),
+o AS (SELECT image, side, pitch, row_number() OVER (PARTITION BY image, side ORDER BY pitch) - 1 AS i, count(*) OVER (PARTITION BY image, side) AS n FROM d WHERE pitch IS NOT NULL)
+SELECT t.image, t.side, n_bands, thickest, coalesce(o.pitch, 0) AS pitch FROM (SELECT image, side, count(*) AS n_bands, max(thickness) AS thickest FROM b GROUP BY image, side) t
+  LEFT JOIN o ON o.image = t.image AND o.side = t.side AND o.i = o.n // 2
 """
 
 
 def text_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = St.grid_scores(pixels(spark, sf_dir), ["image"], F.col("lum") < 110, 8)
+    p = _sql(spark, sf_dir, STROKES)
+    cells = St.grid_scores(p.join(St.polarity(p, ["image"]), "image"), ["image"], St.is_ink(), 8)
     return St.best_patch(cells, ["image"], 2, 2).select("image", "cx", "cy", F.col("total").cast("long").alias("total"))
 
 
 PATCH_SQL = f"""
-WITH p AS (SELECT *, {LUM} < 110 AS ink, x // 8 AS cx, y // 8 AS cy FROM ({PIXELS}) z WHERE y % 2 = 0),
+WITH s AS ({STROKES}), m AS (SELECT image, avg((r + g + b) / 3) AS mean FROM s GROUP BY image),
+p AS (SELECT s.image, x, y, CASE WHEN mean >= 128 THEN (r + g + b) / 3 < mean - 30 ELSE (r + g + b) / 3 > mean + 30 END AS ink, x // 8 AS cx, y // 8 AS cy FROM s JOIN m USING (image) WHERE y % 2 = 0),
 t AS (SELECT image, cx, cy, ink, CASE WHEN ink <> lag(ink, 1, false) OVER (PARTITION BY image, cy, y, cx ORDER BY x) THEN 1 ELSE 0 END AS turn FROM p),
 c AS (SELECT image, cx, cy, CASE WHEN sum(CASE WHEN ink THEN 1 ELSE 0 END) / 32 > 0.03 AND sum(CASE WHEN ink THEN 1 ELSE 0 END) / 32 < 0.6 THEN sum(turn) ELSE 0 END AS score FROM t GROUP BY ALL),
-s AS (SELECT a.image, a.cx, a.cy, a.score + b.score + d.score + e.score AS total FROM c a JOIN c b ON b.image = a.image AND b.cx = a.cx + 1 AND b.cy = a.cy JOIN c d ON d.image = a.image AND d.cx = a.cx AND d.cy = a.cy + 1
+s2 AS (SELECT a.image, a.cx, a.cy, a.score + b.score + d.score + e.score AS total FROM c a JOIN c b ON b.image = a.image AND b.cx = a.cx + 1 AND b.cy = a.cy JOIN c d ON d.image = a.image AND d.cx = a.cx AND d.cy = a.cy + 1
   JOIN c e ON e.image = a.image AND e.cx = a.cx + 1 AND e.cy = a.cy + 1),
-r AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY total DESC, cy, cx) AS i FROM s WHERE total > 0)
+r AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY total DESC, cy, cx) AS i FROM s2 WHERE total > 0)
 SELECT image, CAST(cx AS INT) AS cx, CAST(cy AS INT) AS cy, CAST(total AS BIGINT) AS total FROM r WHERE i = 1
 """
 
@@ -252,7 +263,7 @@ x AS (SELECT *, CASE WHEN two THEN b ELSE a END AS best FROM t), y AS (SELECT *,
 z AS (SELECT *, CASE WHEN bin THEN c ELSE best END AS after FROM y), q AS (SELECT *, after < 55 AND d > after AS turn FROM z),
 r AS (SELECT *, CASE WHEN turn THEN 'turned' WHEN bin THEN 'binarized' WHEN two THEN 'twofold' ELSE 'primary' END AS chosen, CASE WHEN turn THEN d ELSE after END AS conf FROM q)
 SELECT o_orderkey, chosen, CAST(CASE WHEN area > 1200000 THEN 0 ELSE greatest(floor((15000 - ms) / ms), 0) END AS INT) AS budget,
-  CASE WHEN chosen = 'primary' AND glyph < 18 THEN 'fusion' WHEN glyph >= 18 AND conf < 92 THEN 'rerank' ELSE 'none' END AS branch, CASE WHEN a >= d THEN 'horizontal' ELSE 'vertical' END AS orientation,
+  CASE WHEN chosen <> 'primary' THEN 'none' WHEN glyph < 18 THEN 'fusion' WHEN conf < 92 THEN 'rerank' ELSE 'none' END AS branch, CASE WHEN a >= d THEN 'horizontal' ELSE 'vertical' END AS orientation,
   a >= b * 3 * 0.3::DOUBLE AS keeps, ruby AND glyph < 30 * 0.6::DOUBLE AS ruby_line FROM r
 """
 

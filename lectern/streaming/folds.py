@@ -65,31 +65,29 @@ def bounded_queue(events: DataFrame, keys: list[str], order: list[str], arrives:
 
 
 def playback(events: DataFrame, keys: list[str], order: list[str], command: str) -> DataFrame:
-    """events with `status` for the commands enqueue, finish, error, stop.
-
-    STARTED when a text comes to an empty queue, ENDED when the last one finishes, ERROR and
-    STOPPED empty the queue, so neither is followed by ENDED; other events keep QUEUED or IDLE.
-    What waits is the sum of steps since the queue was last emptied, less the least value of that
-    sum if it fell below zero, as a finish of an empty queue takes nothing.
+    """events with `status`: what is told after the commands enqueue, finish, error, stop.
+
+    STARTED for each text that begins to play: on an empty queue, or when the one before has
+    finished or failed. ENDED when the last one finishes. ERROR when one fails, after which the next
+    one plays (`ERROR,STARTED`) or, behind the last one, nothing is told. STOPPED empties the queue. QUEUED
+    and IDLE tell nothing: a text waits, or there is none to finish or fail.
+    The texts that are left are the sum of steps since the queue was last emptied, less the least
+    value of that sum if it fell below zero, as a finish of an empty queue takes nothing.
     """
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     epoch = Window.partitionBy(*keys, "__epoch").orderBy(*order)
     c = F.col(command)
-    move = F.when(c == "enqueue", 1).when(c == "finish", -1).otherwise(0)
-    rows = events.withColumn("__epoch", F.sum(F.when(c.isin("error", "stop"), 1).otherwise(0)).over(w))
+    move = F.when(c == "enqueue", 1).when(c.isin("finish", "error"), -1).otherwise(0)
+    rows = events.withColumn("__epoch", F.sum(F.when(c == "stop", 1).otherwise(0)).over(w))
     rows = rows.withColumn("__sum", F.sum(move).over(epoch.rowsBetween(Window.unboundedPreceding, 0)))
     least = F.min("__sum").over(epoch.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("__waits", F.col("__sum") - F.least(least, F.lit(0)))
-    rows = rows.withColumn("__before", F.coalesce(F.lag("__waits").over(epoch), F.lit(0)))
+    rows = rows.withColumn("__left", F.col("__sum") - F.least(least, F.lit(0)))
+    before = F.coalesce(F.lag("__left").over(epoch), F.lit(0))
     status = (
-        F.when((c == "enqueue") & (F.col("__before") == 0), "STARTED")
-        .when((c == "finish") & (F.col("__before") == 1), "ENDED")
-        .when(c == "error", "ERROR")
-        .when(c == "stop", "STOPPED")
-        .when(F.col("__waits") > 0, "QUEUED")
-        .otherwise("IDLE")
-    )
-    return rows.withColumn("status", status).drop("__epoch", "__sum", "__waits", "__before")
+        F.when(c == "stop", "STOPPED").when(c == "enqueue", F.when(F.col("__before") == 0, "STARTED").otherwise("QUEUED")).when(F.col("__before") == 0, "IDLE")
+        .when(c == "finish", F.when(F.col("__before") == 1, "ENDED").otherwise("STARTED")).when(c == "error", F.when(F.col("__before") == 1, "ERROR").otherwise("ERROR,STARTED"))
+    )
+    return rows.withColumn("__before", before).withColumn("status", status).drop("__epoch", "__sum", "__left", "__before")
 
 
 def overall_progress(events: DataFrame, keys: list[str], order: list[str], progress: str, share: float = 0.6, slack: float = 0.05) -> DataFrame:

@@ -27,6 +27,9 @@ def test_queue_and_playback(spark):
     commands = ["enqueue", "error", "finish", "enqueue", "finish", "enqueue", "stop"]
     rows = spark.createDataFrame([(1, i, c) for i, c in enumerate(commands)], "k int, i int, c string")
     assert [r.status for r in folds.playback(rows, ["k"], ["i"], "c").orderBy("i").collect()] == ["STARTED", "ERROR", "IDLE", "STARTED", "ENDED", "STARTED", "STOPPED"]
+    commands = ["enqueue", "enqueue", "enqueue", "error", "finish", "finish", "enqueue", "enqueue", "stop", "error"]  # a failed text takes the others with it no more
+    rows = spark.createDataFrame([(1, i, c) for i, c in enumerate(commands)], "k int, i int, c string")
+    assert [r.status for r in folds.playback(rows, ["k"], ["i"], "c").orderBy("i").collect()] == ["STARTED", "QUEUED", "QUEUED", "ERROR,STARTED", "STARTED", "ENDED", "STARTED", "QUEUED", "STOPPED", "IDLE"]
 
 
 def test_prefetch_and_claim(spark):
@@ -120,6 +123,12 @@ def test_kernels():
     assert set(np.unique(K.binarize(image))) == {0, 255}
     assert (K.binarize(np.full((5, 5, 3), 9, np.uint8)) == 9).all()
     assert K.orientation(image) == ("horizontal", True) and K.orientation(image.transpose(1, 0, 2))[0] == "vertical"
+    page = np.full((60, 150, 3), 250, np.uint8)  # several lines on a wide page: the sides don't decide
+    page[::6, 10:140], page[1::6, 10:140] = 10, 10
+    assert K.bands(np.array([0, 2, 1, 0, 3, 0, 0, 1])) == (3, 2, 3) and K.bands(np.zeros(4)) == (0, 0, 0)
+    assert K.orientation(page) == ("horizontal", True) and K.orientation(page.transpose(1, 0, 2)) == ("vertical", True)
+    blank = np.full((40, 200, 3), 250, np.uint8)
+    assert K.orientation(blank) == ("horizontal", True) and K.orientation(blank.transpose(1, 0, 2)) == ("horizontal", True)
     assert K.square_icon(image).shape == (64, 64, 3) and K.shrink_to(image, 400).nbytes <= 400
 
 
