@@ -1,67 +1,28 @@
 """Stateful operators over ordered events, in batch form.
 
-Where the state is a sum, an extreme or the row before, windows give it. Where it isn't, rows
-stream through a task in order and the state is carried from row to row and from batch to batch,
-so no task ever holds a key's history.
+Where the state is a sum, an extreme or the row before, windows give it. Where it isn't, blocks of
+sorted rows are run side by side and their functions of the state are followed from block to block
+(scans), so no task holds a key's history.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def carried(events: DataFrame, keys: list[str], order: list[str], uses: list[str], start: Any, step: Callable, name: str, kind: str) -> DataFrame:
-    """events with `name`: the output of step(state, *uses) -> (state, output) for each row of a key in order.
-
-    A key's rows meet in one task, sorted, and stream through it; the state of the last row of a
-    batch is carried to the next one.
-    """
-    schema = events.withColumn(name, F.lit(None).cast(kind)).schema
-    type_ = {"string": pa.string(), "boolean": pa.bool_()}[kind]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state = None, start
-        for batch in batches:
-            out = []
-            owners = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in keys), strict=True)
-            values = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in uses), strict=True)
-            for owner, row in zip(owners, values, strict=True):
-                if owner != key:
-                    key, state = owner, start
-                state, made = step(state, *row)
-                out.append(made)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, type_)], names=[*batch.schema.names, name])
-
-    return events.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+from . import scans
 
 
 def cross_source_dedup(events: DataFrame, key: str, at: Column, source: str, order: str, window_ms: int) -> DataFrame:
     """events with `accepted`: false if the last accepted event of the key came from another source
     less than window_ms before."""
-
-    def step(last: tuple | None, when: int, who: str) -> tuple[tuple | None, bool]:
-        if last is not None and last[1] is not None and who is not None and last[1] != who and when - last[0] < window_ms:
-            return last, False
-        return (when, who), True
-
     timed = events.withColumn("__at", at)
-    return carried(timed, [key], ["__at", order], ["__at", source], None, step, "accepted", "boolean").drop("__at")
+    return scans.scan(timed, [key], ["__at", order], ["__at", source], scans.Dedup(window_ms), "accepted").drop("__at")
 
 
 def bounded_queue(events: DataFrame, keys: list[str], order: list[str], arrives: str, most: int = 3) -> DataFrame:
     """events with `queue`: accepted or rejected for arrivals, done for finishes; at most `most` wait."""
-
-    def step(pending: int, arrival: bool) -> tuple[int, str]:
-        if not arrival:
-            return max(pending - 1, 0), "done"
-        return (pending + 1, "accepted") if pending < most else (pending, "rejected")
-
-    return carried(events, keys, order, [arrives], 0, step, "queue", "string")
+    return scans.scan(events, keys, order, [arrives], scans.Queue(most), "queue")
 
 
 def playback(events: DataFrame, keys: list[str], order: list[str], command: str) -> DataFrame:
