@@ -84,6 +84,70 @@ def test_contamination(spark, docs, texts, items, blocks):
     assert {r.doc_id for r in clean.collect()} == {i for i, _, n, _ in contamination(texts, items) if not n}
 
 
+def maximal(texts, items, window=10):
+    """(row, longest words, matches within no other) of each text, by extending every place."""
+    out = []
+    for i, t in texts:
+        w, found = py_words(t), {}
+        for name, item in items:
+            v = py_words(item)
+            n = min(window, len(v))
+            for a in range(len(v) - n + 1 if v and name is not None else 0):
+                for b in range(len(w) - n + 1):
+                    if w[b : b + n] == v[a : a + n]:
+                        size = n
+                        while a + size < len(v) and b + size < len(w) and w[b + size] == v[a + size]:
+                            size += 1
+                        found[b] = max(found.get(b, 0), size)
+        out.append((i, sorted((b, n) for b, n in found.items() if not any(c <= b and b + n <= c + m and (c, m) != (b, n) for c, m in found.items()))))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("blocks", [2_000_000, 60])
+def test_shared_windows_and_longest_matches(spark, blocks):
+    import random
+
+    draw = random.Random(9)
+    heading = "read the text below with care and answer each of the questions"
+    some = [" ".join(draw.choice("pqrs") for _ in range(30)) for _ in range(4)]
+    items = [(i, f"{heading} {draw.choice(some)} {i % 7}") for i in range(40)] + [(100 + i, "same " * 50) for i in range(30)] + [(7, "short one"), (8, "short one"), (None, heading), (9, None)]
+    rows = [(i, f"intro {heading} {draw.choice(some)[: draw.randrange(60)]} {draw.choice(some)} short one") for i in range(12)] + [(50, "same " * 300), (None, heading), (51, ""), (52, None), (53, " ".join(some))]
+    bench = spark.createDataFrame(items, "item_id bigint, text string").repartition(3)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = decontamination.find_contamination(frame, bench, block_words=blocks).collect()
+    assert sorted([(r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got], key=str) == contamination(rows, items)
+    assert sorted([(r.doc_id, [(m.doc_start, m.n) for m in r.matches]) for r in got], key=str) == maximal(rows, items)
+    by = {str(i): py_words(t) for i, t in items}
+    texts = {i: py_words(t) for i, t in rows}
+    assert all(by[m.item_id][m.item_start : m.item_start + m.n] == texts[r.doc_id][m.doc_start : m.doc_start + m.n] for r in got for m in r.matches)
+    assert decontamination.find_contamination(frame.limit(0), bench, block_words=blocks).count() == 0
+    assert decontamination.remove_contaminated(frame.limit(0), bench, block_words=blocks).count() == 0
+
+
+def test_one_worker_searches_one_block(spark):
+    bench = spark.createDataFrame([(i, f"words of item {i} that no other has {i * 7} {i * 11}") for i in range(40)], "item_id bigint, text string")
+    frame = spark.createDataFrame([(i, f"words of item {i} that no other has {i * 7} {i * 11} end") for i in range(60)], "doc_id bigint, text string")
+    found = decontamination.find_contamination(frame, bench, window=5, block_words=30)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(r.doc_id for r in found.where("n_hit > 0").collect()) == list(range(40))
+    clean = decontamination.remove_contaminated(frame, bench, window=5, block_words=30)
+    assert clean._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(r.doc_id for r in clean.collect()) == list(range(40, 60))
+
+
+def test_many_items_with_one_heading(spark):
+    """Places don't multiply by the items that share them."""
+    heading = "please read the following passage and then answer all of the questions".split()
+    test = decontamination.TestSet.of([(i, " ".join([*heading, f"own{i}", f"more{i}"]).encode()) for i in range(3000)], 10)
+    docs = [[w.encode() for w in [*heading, f"tail{d}"]] for d in range(2000)]
+    shard = decontamination.Shard(docs, test.vocab, 10, 10)
+    which, at = shard.places(test)
+    assert len(at) == 2000 * (len(heading) - 9)
+    place, _, n = decontamination._matches(test, shard, np.array(which)[np.argsort(at, kind="stable")], np.sort(at))
+    assert len(place) == 2000 and (n == len(heading)).all()
+    assert len(test.names_of(np.unique(which))) == 3000
+
+
 def test_licenses(docs, texts):
     phrases = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
     want = []
