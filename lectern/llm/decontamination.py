@@ -249,26 +249,28 @@ def _scan(block: Broadcast, window: int, last: bool):
             longest = _matches(test, shard, which, at)
             own = np.searchsorted(longest[0], shard.first)
             n_words = pa.array([len(d) for d in docs], pa.int64())
-            known: dict[bytes, list[str]] = {}
+            none = pa.array([], pa.string())
+            known: dict[bytes, pa.Array] = {}
             items, hits, matches, begin, held = [], [], [], 0, 0
 
             def made(end: int, batch=batch, n_words=n_words) -> pa.RecordBatch:
                 part = slice(begin, end)
                 columns = {"doc_id": batch.column("doc_id")[part]} | ({} if last else {"text": batch.column("text")[part]})
-                columns |= {"n_words": n_words[part], "items": pa.array(items, pa.list_(pa.string())), "hits": pa.array(hits, pa.list_(pa.list_(pa.int64()))), "matches": pa.array(matches, pa.list_(MATCH))}
+                names = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, items)]), pa.int32()), pa.concat_arrays([none, *items]))
+                columns |= {"n_words": n_words[part], "items": names, "hits": pa.array(hits, pa.list_(pa.list_(pa.int64()))), "matches": pa.array(matches, pa.list_(MATCH))}
                 return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
             for d in range(len(docs)):
-                before = [batch.column(c)[d].as_py() for c in ("items", "hits", "matches")] if "items" in batch.schema.names else [[], [], []]
+                before = [batch.column("items")[d].values, *(batch.column(c)[d].as_py() for c in ("hits", "matches"))] if "items" in batch.schema.names else [none, [], []]
                 if cuts[d + 1] > cuts[d]:
                     part = slice(cuts[d], cuts[d + 1])
                     place, windows = at[part] - shard.first[d], np.unique(which[part])
                     key = windows.tobytes()
                     if key not in known:
                         known = known if len(known) < 1000 else {}
-                        known[key] = sorted(test.names_of(windows))
+                        known[key] = pa.array(sorted(test.names_of(windows)), pa.string())
                     old = np.array(before[1], np.int64).reshape(-1, 2)
-                    before[0] = sorted({*before[0], *known[key]}) if before[0] else known[key]
+                    before[0] = pa.array(sorted({*before[0].to_pylist(), *known[key].to_pylist()}), pa.string()) if len(before[0]) else known[key]
                     before[1] = _merge(np.concatenate([old[:, 0], place]), np.concatenate([old[:, 1], place + test.lengths[which[part]]]))
                     for p, w, n in zip(*(x[own[d] : own[d + 1]].tolist() for x in longest), strict=True):
                         text = int(np.searchsorted(test.begins, w, "right")) - 1
