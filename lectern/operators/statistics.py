@@ -6,32 +6,61 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upper_median(rows: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
+#: Rounds in which values are narrowed to one of so many ranges before what is left is ordered.
+ROUNDS, RANGES = 2, 1024
+
+
+def upper_median(rows: DataFrame, keys: list[str], value: str, name: str = "median", rounds: int = ROUNDS) -> DataFrame:
     """The element at place floor(n / 2) of the sorted values; nothing is interpolated."""
     counted = rows.groupBy(*keys, value).count()
-    return _at_weight(counted, keys, value, F.floor(F.col("__total") / 2), name)
+    return _at_weight(counted, keys, value, F.floor(F.col("__total") / 2), name, rounds)
 
 
-def weighted_upper_median(rows: DataFrame, keys: list[str], value: str, weight: str, least: int = 4, name: str = "median") -> DataFrame:
+def weighted_upper_median(rows: DataFrame, keys: list[str], value: str, weight: str, least: int = 4, name: str = "median", rounds: int = ROUNDS) -> DataFrame:
     """The upper median with each value repeated `weight` times; null below `least` samples."""
     counted = rows.groupBy(*keys, value).agg(F.sum(weight).alias("count"))
-    out = _at_weight(counted, keys, value, F.floor(F.col("__total") / 2), name, keep_total=True)
+    out = _at_weight(counted, keys, value, F.floor(F.col("__total") / 2), name, rounds, keep_total=True)
     return out.select(*keys, F.when(F.col("__total") >= least, F.col(name)).alias(name))
 
 
-def top_share(rows: DataFrame, keys: list[str], value: str, share: float = 0.05, name: str = "top") -> DataFrame:
+def top_share(rows: DataFrame, keys: list[str], value: str, share: float = 0.05, name: str = "top", rounds: int = ROUNDS) -> DataFrame:
     """The element at place floor(n * share) of the values from the largest on."""
     counted = rows.groupBy(*keys, value).count()
-    return _at_weight(counted, keys, value, F.floor(F.col("__total") * share), name, descending=True)
+    return _at_weight(counted, keys, value, F.floor(F.col("__total") * share), name, rounds, descending=True)
 
 
-def _at_weight(counted: DataFrame, keys: list[str], value: str, place: Column, name: str, descending: bool = False, keep_total: bool = False) -> DataFrame:
-    """The value in whose span of the cumulated counts a place lies. Equal values are counted
-    before anything is ordered, so a window sees distinct values only."""
-    order = F.col(value).desc() if descending else F.col(value)
-    w = Window.partitionBy(*keys)
-    upto = F.sum("count").over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    placed = counted.withColumn("__upto", upto).withColumn("__total", F.sum("count").over(w))
+def _same(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
+    """a joined with b on equal columns, nulls included."""
+    other = b.withColumnsRenamed({c: f"__b_{c}" for c in columns})
+    return a.join(other, [a[c].eqNullSafe(other[f"__b_{c}"]) for c in columns]).drop(*[f"__b_{c}" for c in columns])
+
+
+def _at_weight(counted: DataFrame, keys: list[str], value: str, place: Column, name: str, rounds: int, descending: bool = False, keep_total: bool = False) -> DataFrame:
+    """The value in whose span of the cumulated counts a place lies.
+
+    Equal values are counted first. In each round the values of a key are counted by ranges of
+    equal width between their least and largest; only the range that holds the place is kept. The ranges
+    of a key are few rows, so a key with all rows is counted by all tasks, and a window orders
+    nothing but the last range. Nulls come before the least value; values that aren't finite aren't narrowed.
+    """
+    rows = counted.withColumn("__v", F.col(value).cast("double") * (-1 if descending else 1))
+    total = counted.groupBy(*keys).agg(F.sum("count").alias("__total"))
+    state = total.withColumn("__before", F.lit(0).cast("long"))
+    for _ in range(rounds):
+        ends = rows.groupBy(*keys).agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+        width = F.col("__high") - F.col("__low")
+        share = F.floor((F.col("__v") - F.col("__low")) / width * RANGES)
+        part = F.when((width > 0) & (width < float("inf")), F.coalesce(F.least(share, F.lit(RANGES - 1)), F.lit(-1))).otherwise(F.lit(0))
+        dealt = _same(rows, ends, keys).withColumn("__part", part).drop("__low", "__high")
+        sums = dealt.groupBy(*keys, "__part").agg(F.sum("count").alias("__n"))
+        w = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)
+        upto = _same(sums, state, keys).withColumn("__upto", F.col("__before") + F.sum("__n").over(w))
+        held = upto.where((place < F.col("__upto")) & (place >= F.col("__upto") - F.col("__n")))
+        held = held.select(*keys, "__part", "__total", (F.col("__upto") - F.col("__n")).alias("__before"))
+        rows = _same(dealt, held.select(*keys, "__part"), [*keys, "__part"]).drop("__part")
+        state = held.drop("__part")
+    last = Window.partitionBy(*keys).orderBy(F.col(value).desc_nulls_first() if descending else F.col(value)).rowsBetween(Window.unboundedPreceding, 0)
+    placed = _same(rows, state, keys).withColumn("__upto", F.col("__before") + F.sum("count").over(last))
     hit = placed.where((place < F.col("__upto")) & (place >= F.col("__upto") - F.col("count")))
     return hit.select(*keys, F.col(value).alias(name), *(["__total"] if keep_total else []))
 

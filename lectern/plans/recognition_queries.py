@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import geometry as G
 from ..operators import recognition as R
 from ..operators import statistics as St
 from ..operators import windows as W
@@ -92,7 +93,7 @@ def ink_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     for at, size in (("y", HEIGHT), ("x", WIDTH)):
         runs = W.bands(St.ink_profile(p, ["image"], level, at, size), ["image"], at, F.col("ink") > 0)
         pitch = runs.withColumn("pitch", F.col("start") - F.lag("start").over(W.Window.partitionBy("image").orderBy("start")))
-        median = St.upper_median(pitch.where("pitch IS NOT NULL"), ["image"], "pitch", "pitch")
+        median = St.upper_median(pitch.where("pitch IS NOT NULL"), ["image"], "pitch", "pitch", rounds=0)  # a picture has few bands
         total = runs.groupBy("image").agg(F.count("*").alias("n_bands"), F.max("thickness").alias("thickest"))
         sides.append(total.join(median, "image", "left").select("image", F.lit(at).alias("side"), "n_bands", "thickest", F.coalesce("pitch", F.lit(0)).cast("int").alias("pitch")))
     return sides[0].unionByName(sides[1])
@@ -185,12 +186,136 @@ def dictionary_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.join(subs, "image", "left").select("image", text.alias("before"), after.alias("after"))
 
 
+#: Candidates in their order of preference, taken one by one while no place is taken yet.
+CHOICE_OF_WORDS_SQL = f"""
+WITH c AS ({DICTIONARY_SQL}), i AS (SELECT l_orderkey AS image, CAST(l_linenumber AS BIGINT) AS pos, max(l_partkey) AS p FROM lineitem GROUP BY 1, 2),
+b AS (SELECT image, list(pos ORDER BY pos) AS places, list(['一', '丁', '丂'][CAST(p % 3 AS INT) + 1] ORDER BY pos) AS cs FROM i GROUP BY image),
+o AS (SELECT image, list({{'s': start, 'n': len, 'w': word}} ORDER BY len DESC, support DESC, start, word) AS l FROM c GROUP BY image),
+t AS (SELECT image, list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.s < x.s + x.n AND x.s < y.s + y.n)) > 0 THEN acc ELSE list_append(acc, x) END, [l[1]]) AS taken FROM o)
+SELECT b.image, array_to_string(cs, '') AS before, array_to_string(list_transform(range(1, len(cs) + 1), lambda k: coalesce(
+  list_filter(list_transform(taken, lambda y: CASE WHEN places[k] >= y.s AND places[k] < y.s + y.n THEN substr(y.w, CAST(places[k] - y.s + 1 AS BIGINT), 1) END), lambda z: z IS NOT NULL)[1], cs[k])), '') AS after
+FROM b LEFT JOIN t USING (image)
+"""
+
+
 def align_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.lower(F.concat("p_type", F.lit(" "), "p_brand")).alias("other"))
-    return R.align_variants(rows, ["p_partkey"], "p_name", "other").select("p_partkey", "distance")
+    pairs = F.array_join(F.transform("pairs", lambda p: F.concat(p["base"].cast("string"), F.lit(":"), p["other"].cast("string"))), ",").alias("pairs")
+    return R.align_variants(rows, ["p_partkey"], "p_name", "other").select("p_partkey", "distance", pairs)
+
+
+#: Alignment of the lists of pr(id, a, b): rows of the table of costs, then the way back; al(id, i, j) are its diagonal steps.
+ALIGN_CTE = """dp(id, i, r) AS (SELECT id, 0::BIGINT, range(0, len(b) + 1) FROM pr UNION ALL
+  SELECT dp.id, i + 1, list_reduce(range(1, len(b) + 1), lambda acc, j: list_append(acc, least(r[j + 1] + 1, acc[j] + 1, r[j] + CASE WHEN a[i + 1] = b[j] THEN 0 ELSE 1 END)), [i + 1]) FROM dp JOIN pr ON pr.id = dp.id WHERE i < len(a)),
+tb(id, i, j, met) AS (SELECT id, len(a)::BIGINT, len(b)::BIGINT, false FROM pr UNION ALL
+  SELECT id, CASE WHEN diagonal OR up THEN i - 1 ELSE i END, CASE WHEN diagonal OR NOT up THEN j - 1 ELSE j END, diagonal FROM (
+    SELECT tb.id, tb.i, tb.j, x.r[tb.j + 1] = y.r[tb.j] + CASE WHEN a[tb.i] = b[tb.j] THEN 0 ELSE 1 END AS diagonal, x.r[tb.j + 1] = y.r[tb.j + 1] + 1 AS up
+    FROM tb JOIN pr ON pr.id = tb.id JOIN dp x ON x.id = tb.id AND x.i = tb.i JOIN dp y ON y.id = tb.id AND y.i = tb.i - 1 WHERE tb.i > 0 AND tb.j > 0)),
+al AS (SELECT id, i, j FROM tb WHERE met)"""
+ALIGN_SQL = f"""
+WITH RECURSIVE pr AS (SELECT p_partkey AS id, string_split(p_name, '') AS a, string_split(lower(p_type || ' ' || p_brand), '') AS b FROM part), {ALIGN_CTE},
+g AS (SELECT id, string_agg(i || ':' || j, ',' ORDER BY i) AS pairs FROM al GROUP BY id)
+SELECT p_partkey, levenshtein(p_name, lower(p_type || ' ' || p_brand)) AS distance, coalesce(pairs, '') AS pairs FROM part LEFT JOIN g ON g.id = p_partkey
+"""
+
+#: Symbols of four recognitions of a text: others lack a symbol, have one too many at the start, or read one otherwise.
+_LENGTH, _KANJI = "(6 + p_partkey % 8)", "['一', '丁', '丂', '七', '丄']"
+_CODE = f"CASE WHEN v > 0 AND i = (p_size + 2 * v) % {_LENGTH} THEN (p_size + v) % 5 ELSE (p_partkey * (i + 3)) % 5 END"
+_CONFIDENCE = "CAST(60 + (p_size * 7 + i * 11 + v * 5) % 40 AS INT)"
+_GONE = f"v > 0 AND (p_partkey + v) % 3 = 0 AND i = (p_partkey + v) % {_LENGTH}"
+
+
+def fused_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of the first recognition and what the others, aligned with it, make of them."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.explode(F.array(*[F.lit(v) for v in range(4)])).alias("v"))
+    symbol = f"named_struct('text', array({_KANJI[1:-1]})[CAST({_CODE} AS INT)], 'confidence', {_CONFIDENCE})"
+    read = f"transform(filter(sequence(0, {_LENGTH} - 1), i -> NOT ({_GONE})), i -> {symbol})"
+    more = "CASE WHEN v > 0 AND (p_partkey * v) % 4 = 0 THEN array(named_struct('text', '一', 'confidence', 50)) ELSE array() END"
+    variants = part.select("p_partkey", F.col("v").alias("variant"), F.expr(f"concat({more}, {read})").alias("symbols"))
+    fused = R.fuse(R.aligned_symbols(variants, ["p_partkey"]), ["p_partkey"])
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "char"))), lambda s: s["char"]), "").alias("fused")
+    before = F.array_join(F.transform("symbols", lambda s: s["text"]), "").alias("before")
+    return variants.where("variant = 0").select("p_partkey", before).join(fused.groupBy("p_partkey").agg(text), "p_partkey")
+
+
+FUSED_SQL = f"""
+WITH RECURSIVE s0 AS (SELECT p_partkey, p_size, v, i FROM part, (VALUES (0), (1), (2), (3)) t(v), LATERAL (SELECT unnest(range(0, {_LENGTH})) AS i)),
+sy AS (SELECT p_partkey, v, i, {_KANJI}[CAST({_CODE} AS INT) + 1] AS c, {_CONFIDENCE} AS conf FROM s0 WHERE NOT ({_GONE}) UNION ALL SELECT p_partkey, v, -1, '一', 50 FROM part, (VALUES (1), (2), (3)) t(v) WHERE (p_partkey * v) % 4 = 0),
+l AS (SELECT p_partkey, v, list(c ORDER BY i) AS cs, list(conf ORDER BY i) AS fs FROM sy GROUP BY ALL),
+pr AS (SELECT o.p_partkey * 4 + o.v AS id, b.cs AS a, o.cs AS b, o.fs FROM l o JOIN l b ON b.p_partkey = o.p_partkey AND b.v = 0 WHERE o.v > 0), {ALIGN_CTE},
+s AS (SELECT p_partkey AS image, i - 1 AS pos, 0 AS variant, cs[i] AS c, fs[i] AS confidence FROM (SELECT *, unnest(range(1, len(cs) + 1)) AS i FROM l WHERE v = 0)
+  UNION ALL SELECT al.id // 4, al.i, al.id % 4, pr.b[al.j + 1], pr.fs[al.j + 1] FROM al JOIN pr ON pr.id = al.id),
+v AS (SELECT image, pos, c, sum(confidence) AS score, min(variant) AS first FROM s GROUP BY ALL),
+b AS (SELECT image, pos, c AS winner FROM (SELECT *, row_number() OVER (PARTITION BY image, pos ORDER BY score DESC, first) AS i FROM v) WHERE i = 1),
+w AS (SELECT image, pos, max(c) FILTER (variant = 0) AS base, max(confidence) FILTER (variant = 0) AS confidence, count(*) FILTER (variant > 0) AS n, min(c) FILTER (variant > 0) AS low, max(c) FILTER (variant > 0) AS high FROM s GROUP BY ALL),
+u AS (SELECT *, n >= 2 AND coalesce(low = high AND low <> base, false) AS unanimous FROM w),
+f AS (SELECT image, string_agg(base, '' ORDER BY pos) AS before, string_agg(CASE WHEN unanimous THEN low WHEN confidence < 88 THEN winner ELSE base END, '' ORDER BY pos) AS fused FROM u JOIN b USING (image, pos) GROUP BY image)
+SELECT image AS p_partkey, before, fused FROM f
+"""
+
+
+def refinement_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scales at which a text is read again, by its branch, for pictures, budgets and earlier readings derived from orders."""
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "CAST(8 + o_orderkey % 30 AS DOUBLE) AS glyph", "CAST(o_totalprice * 12 AS BIGINT) AS area", "o_custkey % 2 = 0 AS twofold", "o_orderkey % 4 AS budget", "o_custkey % 50 + 50 AS confidence")
+    branch = R.refinement_branch(F.lit("primary"), F.col("glyph"), F.col("confidence"))
+    scales = F.when(F.col("branch") == "fusion", F.array(F.lit(1.5), F.lit(2.0), F.lit(3.0))).when(F.col("branch") == "rerank", G.rerank_scales(F.col("glyph"))).otherwise(F.array().cast("array<double>"))
+    made = R.upscaling_steps(F.col("scales"), F.col("area"), F.col("twofold"), F.col("budget"))
+    return o.withColumn("branch", branch).withColumn("scales", scales).select("o_orderkey", "branch", F.array_join(F.transform(made, lambda x: F.format_number(x, 2)), ",").alias("scales"))
 
 
-ALIGN_SQL = "SELECT p_partkey, levenshtein(p_name, lower(p_type || ' ' || p_brand)) AS distance FROM part"
+PLAN_SQL = """
+WITH o AS (SELECT o_orderkey, CAST(8 + o_orderkey % 30 AS DOUBLE) AS glyph, CAST(trunc(o_totalprice * 12) AS BIGINT) AS area, o_custkey % 2 = 0 AS twofold, o_orderkey % 4 AS budget, o_custkey % 50 + 50 AS confidence FROM orders),
+b AS (SELECT *, CASE WHEN glyph < 18 THEN 'fusion' WHEN confidence < 92 THEN 'rerank' ELSE 'none' END AS branch FROM o),
+x AS (SELECT *, CASE branch WHEN 'fusion' THEN [1.5::DOUBLE, 2, 3] WHEN 'rerank' THEN list_filter(list_transform([20, 24, 30], lambda s: floor(s / glyph * 100 + 0.5::DOUBLE) / 100), lambda s: s <> 1 AND s >= 0.4 AND s <= 3) ELSE [] END AS l FROM b),
+u AS (SELECT o_orderkey, i, l[i] AS s, area * l[i] * l[i] <= 8400000 AS fits, twofold, budget FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM x)),
+c AS (SELECT *, sum(CASE WHEN NOT fits OR (s = 2 AND twofold) THEN 0 ELSE 1 END) OVER (PARTITION BY o_orderkey ORDER BY i) AS spent FROM u),
+m AS (SELECT o_orderkey, string_agg(format('{:.2f}', s), ',' ORDER BY i) AS scales FROM c WHERE fits AND spent <= budget GROUP BY o_orderkey)
+SELECT o_orderkey, branch, coalesce(scales, '') AS scales FROM b LEFT JOIN m USING (o_orderkey)
+"""
+
+#: Texts of lines, and the words of small ones as they come from reading them again.
+_BODY = "array_join(transform(sequence(0, chars % 10 + 2), i -> CASE WHEN (i + image) % 3 = 0 THEN 'の' WHEN i = 1 THEN ' 漢' ELSE '漢' END), '')"
+_SPLIT = "x0 + (x1 - x0) * (CAST(0.3 AS DOUBLE) + CAST(seq % 4 AS DOUBLE) / 10)"
+
+
+def ruby_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every image with the readings above them put in place of what they stand above; null where that fails."""
+    rows = lines(spark, sf_dir)
+    text = F.when(F.col("size") >= 12, F.expr(_BODY)).when(F.col("seq") % 5 == 0, "注").otherwise("かな")
+    words = rows.where("size < 12").select("image", "seq", F.inline(F.array(
+        F.struct(F.lit(0).alias("word_no"), F.expr("repeat('か', CAST(seq % 3 + 1 AS INT))").alias("text"), F.col("x0").alias("start"), F.expr(_SPLIT).alias("end")),
+        F.struct(F.lit(1).alias("word_no"), F.expr("CASE WHEN image % 11 = 0 THEN 'ab' ELSE repeat('き', CAST(image % 4 + 1 AS INT)) END").alias("text"), F.expr("x0 + (x1 - x0) * CAST(0.6 AS DOUBLE)").alias("start"), F.col("x1").alias("end")),
+    )))
+    return R.ruby_text(rows.withColumn("text", text), words, ["image"], most=2).select("image", F.col("text").alias("ruby_text"))
+
+
+RUBY_LINES_SQL = f"""
+WITH r AS ({LINES_ONCE}), t AS (SELECT *, y1 - y0 AS height, CASE WHEN size >= 12 THEN array_to_string(list_transform(range(0, chars % 10 + 3), lambda i: CASE WHEN (i + image) % 3 = 0 THEN 'の' WHEN i = 1 THEN ' 漢' ELSE '漢' END), '')
+  WHEN seq % 5 = 0 THEN '注' ELSE 'かな' END AS text FROM r),
+n AS (SELECT *, replace(text, ' ', '') AS flat, length(replace(text, ' ', '')) AS n FROM t),
+c AS (SELECT image, height, sum(n) OVER (PARTITION BY image ORDER BY height, seq ROWS UNBOUNDED PRECEDING) AS upto, n AS own, sum(n) OVER (PARTITION BY image) AS total FROM n WHERE height > 0),
+z AS (SELECT image, max(height) AS body FROM c WHERE total >= 4 AND total // 2 < upto AND total // 2 >= upto - own GROUP BY image),
+k AS (SELECT n.*, z.body, coalesce(text NOT LIKE '%漢%' AND text NOT LIKE '%注%' AND height > 0 AND height < body * 0.6::DOUBLE, false) AS aid FROM n LEFT JOIN z USING (image)),
+a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY seq) AS k FROM k WHERE aid) WHERE k <= 2),
+b AS (SELECT * FROM k WHERE NOT aid AND body IS NOT NULL),
+p AS (SELECT a.image, a.seq AS small, b.seq AS seq, row_number() OVER (PARTITION BY a.image, a.seq ORDER BY b.y0 - a.y1, b.seq) AS i FROM a JOIN b ON a.image = b.image AND b.y0 - a.y1 >= -a.body AND b.y0 - a.y1 <= 1.5::DOUBLE * a.body AND least(a.x1, b.x1) - greatest(a.x0, b.x0) > 0),
+w AS (SELECT image, seq, body, 0 AS no, repeat('か', CAST(seq % 3 + 1 AS INT)) AS word, x0 AS s, {_SPLIT} AS e FROM k WHERE size < 12
+  UNION ALL SELECT image, seq, body, 1, CASE WHEN image % 11 = 0 THEN 'ab' ELSE repeat('き', CAST(image % 4 + 1 AS INT)) END, x0 + (x1 - x0) * CAST(0.6 AS DOUBLE), x1 FROM k WHERE size < 12),
+v AS (SELECT *, no = 1 AND s - lag(e) OVER (PARTITION BY image, seq ORDER BY no) > body * 0.6::DOUBLE AS opens FROM w),
+g AS (SELECT image, seq AS small, CASE WHEN no = 0 THEN 0 WHEN opens THEN 1 ELSE 0 END AS no2, string_agg(word, '' ORDER BY no) AS reading, min(s) AS s, max(e) AS e FROM v GROUP BY ALL),
+h AS (SELECT g.*, p.seq, b.flat, b.n, b.x0, b.x1 FROM g JOIN p ON p.image = g.image AND p.small = g.small AND p.i = 1 JOIN b ON b.image = p.image AND b.seq = p.seq),
+o AS (SELECT *, (x1 - x0) / n AS unit, least(x0 + i * ((x1 - x0) / n) + (x1 - x0) / n, e) - greatest(x0 + i * ((x1 - x0) / n), s) AS ov FROM (SELECT *, unnest(range(0, n)) AS i FROM h WHERE x1 > x0 AND regexp_matches(reading, '^[かき]+$'))),
+q AS (SELECT *, i - row_number() OVER (PARTITION BY image, small, no2 ORDER BY i) AS isle FROM o WHERE ov > unit * 0.35::DOUBLE AND substr(flat, CAST(i + 1 AS BIGINT), 1) IN ('漢', '注')),
+u AS (SELECT image, seq, small, no2, reading, min(i) AS start, count(*) AS len, sum(ov) AS score FROM q GROUP BY image, seq, small, no2, reading, isle),
+d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image, small, no2 ORDER BY score DESC, start) AS best FROM u) WHERE best = 1 AND length(reading) <= len * 4),
+f AS (SELECT image, seq, list({{'start': start, 'len': len, 'word': reading}} ORDER BY start DESC, small, no2) AS subs FROM d GROUP BY image, seq),
+m AS (SELECT b.image, b.seq, b.n, b.x1, b.body, CASE WHEN subs IS NULL THEN b.text ELSE list_reduce(subs, lambda acc, x: CASE WHEN x.start + x.len > acc.l THEN acc
+    ELSE {{'t': substr(acc.t, 1, CAST(x.start AS BIGINT)) || x.word || substr(acc.t, CAST(x.start + x.len + 1 AS BIGINT)), 'l': CAST(x.start AS BIGINT)}} END, {{'t': b.flat, 'l': CAST(b.n AS BIGINT)}}).t END AS read FROM b LEFT JOIN f ON f.image = b.image AND f.seq = b.seq),
+e AS (SELECT *, max(x1) OVER (PARTITION BY image) - x1 > 1.5::DOUBLE * body AND lead(seq) OVER (PARTITION BY image ORDER BY seq) IS NOT NULL AS ends FROM m),
+j AS (SELECT image, string_agg(read || CASE WHEN ends THEN chr(10) ELSE '' END, chr(10) ORDER BY seq) AS said, sum(n) AS kept FROM e GROUP BY image),
+x AS (SELECT image, sum(n) AS total, bool_or(aid) AS aided FROM k GROUP BY image)
+SELECT x.image, CASE WHEN aided AND kept > 0 AND kept >= total * 0.3::DOUBLE THEN said END AS ruby_text FROM x LEFT JOIN j USING (image)
+"""
 
 
 def ruby_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,8 +415,11 @@ QUERIES = {
     "text_patch": (text_patch, PATCH_SQL),
     "fuse_variants": (fuse_variants, FUSE_SQL),
     "dictionary_rerank": (dictionary_rerank, DICTIONARY_SQL),
-    "dictionary_choice": (dictionary_choice, None),
+    "dictionary_choice": (dictionary_choice, CHOICE_OF_WORDS_SQL),
     "align_names": (align_names, ALIGN_SQL),
+    "fused_texts": (fused_texts, FUSED_SQL),
+    "refinement_plan": (refinement_plan, PLAN_SQL),
+    "ruby_lines": (ruby_lines, RUBY_LINES_SQL),
     "ruby_groups": (ruby_groups, GROUPS_SQL),
     "paragraph_ends": (paragraph_ends, PARAGRAPH_SQL),
     "ruby_runs": (ruby_runs, RUBY_SQL),
