@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import drop_kept, keep
-from .common import WordHashes, bound_batches, col, mix, rolling, slices, unused
+from .common import WordHashes, bound_batches, col, mix, rolling, slices, unused, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -153,18 +153,30 @@ def _sign(k: int, bands: int, rows: int):
     return run
 
 
-def _spell(k: int):
-    """(node, bag) of every row with words: its shingles as sorted 64-bit hashes. Of equal nodes a piece emits the first."""
+def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, words) of every row with words. Of equal nodes a piece emits the first.
+
+    Words travel as text, which packs well; hashes wouldn't.
+    """
+    words = WordHashes()
+    for batch in slices(batches, "text", 1 << 20):
+        found: dict[bytes, bytes] = {}
+        texts = batch.column("text").to_pylist()
+        for t, h in zip(texts, words.of(texts), strict=True):
+            node = _node(h)
+            if node is not None and node not in found:
+                found[node] = b" ".join(words_of(t))
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["node", "words"])
+
+
+def _bags(k: int):
+    """(node, bag): the shingles of words as sorted 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        for batch in slices(batches, "text", 1 << 20):
-            bags: dict[bytes, bytes] = {}
-            for h in words.of(batch.column("text").to_pylist()):
-                node = _node(h)
-                if node is not None and node not in bags:
-                    bags[node] = np.sort(_shingles(h, k)).astype("<u8").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(list(bags), pa.binary()), pa.array(list(bags.values()), pa.binary())], names=["node", "bag"])
+        for batch in slices(batches, "words", 1 << 20):
+            bags = [np.sort(_shingles(h, k)).astype("<u8").tobytes() for h in words.of(batch.column("words").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(bags, pa.binary())], names=["node", "bag"])
 
     return run
 
@@ -258,8 +270,8 @@ def row_classes(
     score = found.groupBy("node").agg(F.sum("n").alias("score"))
     buckets = kept(found.join(score, "node").select("node", "band", "bucket", "n", "score"), "buckets")
     candidates = buckets.select("node").distinct()
-    spelled = source.select("text").mapInArrow(_spell(k), "node binary, bag binary")
-    bags = kept(spelled.join(candidates, "node").dropDuplicates(["node"]), "bags")
+    spelled = source.select("text").mapInArrow(_spell, "node binary, words binary").join(candidates, "node").dropDuplicates(["node"])
+    bags = kept(spelled.select("node", "words").mapInArrow(_bags(k), "node binary, bag binary"), "bags")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b, n) that are similar; n: about how many pairs b is in."""
