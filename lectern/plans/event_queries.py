@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from ..streaming import folds
+from ..streaming import folds, timers
 
 #: One hour; at the 400 ms of interactive use nothing in these events would be suppressed.
 DEDUP_MS = 3_600_000
@@ -165,6 +165,91 @@ SELECT user_id, event_id, CASE WHEN epoch_us((SELECT max(ts) FROM events)) - epo
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i FROM events) WHERE i = 1
 """
 
+#: Commands of a recognizer, and the limits that hold for them.
+COMMANDS = "CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'init' WHEN 'click' THEN 'recognize' ELSE CASE WHEN event_id % 2 = 0 THEN 'progress' ELSE 'ready' END END"
+
+
+def limits_run_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Limits in time that ran out between the commands of each user, an hour standing for a second."""
+    events = _events(spark, sf_dir).withColumn("at_ms", F.unix_millis("ts") / 3600).withColumn("at_ms", F.floor("at_ms")).withColumn("step", F.expr(COMMANDS))
+    out = timers.run_out(events, ["user_id"], ["ts", "event_id"], "at_ms", "step")
+    return out.groupBy("user_id", "name", "armed_at", "out_at").agg(F.count("*").alias("n"))
+
+
+_LIMIT_ROWS = ", ".join(f"('{x.name}', {x.ms}, {list(x.arms)}, {list(x.lifts)})" for x in timers.LIMITS)
+LIMITS_SQL = f"""
+WITH e AS (SELECT event_id, user_id, ts, (epoch_us(ts) // 1000) // 3600 AS at_ms, {COMMANDS} AS step FROM events), l(name, ms, arms, lifts) AS (VALUES {_LIMIT_ROWS}),
+t AS (SELECT user_id, name, ms, at_ms, list_contains(arms, step) AS arms, lead(at_ms) OVER (PARTITION BY user_id, name ORDER BY ts, event_id) AS after FROM e JOIN l ON list_contains(arms, step) OR list_contains(lifts, step))
+SELECT user_id, name, at_ms AS armed_at, at_ms + ms AS out_at, count(*) AS n FROM t WHERE arms AND (after IS NULL OR after >= at_ms + ms) GROUP BY ALL
+"""
+
+
+def playback_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The user whose text is played at each event: purchases start, errors of the same user close."""
+    events = _events(spark, sf_dir).withColumn("channel", F.lit("speech"))
+    starts, closes = F.col("event_type") == "purchase", F.col("event_type").isin("error", "signup")
+    return folds.targets(events, ["channel"], ["ts", "event_id"], "user_id", starts, closes, F.date_trunc("hour", "ts")).select("event_id", "target_now")
+
+
+TARGETS_SQL = """
+WITH n AS (SELECT event_id, user_id, event_type, row_number() OVER (ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT *, max(CASE WHEN event_type = 'purchase' THEN n END) OVER (ORDER BY n) AS started FROM n),
+t AS (SELECT s.event_id, s.n, s.started, o.user_id AS target FROM s LEFT JOIN n o ON o.n = s.started),
+c AS (SELECT t.event_id, t.target, min(k.n) AS closed FROM t LEFT JOIN n k ON k.user_id = t.target AND k.event_type IN ('error', 'signup') AND k.n > t.started AND k.n <= t.n GROUP BY ALL)
+SELECT event_id, CASE WHEN closed IS NULL THEN target END AS target_now FROM c
+"""
+
+
+def dedup_after_closing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As cross_source_dedup; a signup closes the user's state, so what follows is accepted whatever its source."""
+    events = _events(spark, sf_dir).withColumn("source", F.when(F.col("command") != "stop", F.col("event_type")))
+    return folds.cross_source_dedup(events, "user_id", F.unix_millis("ts"), "source", "event_id", DEDUP_MS).select("event_id", "user_id", "accepted")
+
+
+CLOSING_SQL = f"""
+WITH RECURSIVE e AS (SELECT event_id, user_id, CASE WHEN event_type <> 'signup' THEN event_type END AS source, epoch_us(ts) // 1000 AS ms FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS i FROM e),
+r AS (SELECT event_id, user_id, i, ms AS since, source AS held, true AS accepted FROM n WHERE i = 1
+  UNION ALL SELECT event_id, user_id, i, CASE WHEN ok THEN ms ELSE since END, CASE WHEN ok THEN source ELSE held END, ok
+  FROM (SELECT n.event_id, n.user_id, n.i, n.ms, n.source, r.since, r.held, n.source IS NULL OR r.held IS NULL OR n.source = r.held OR n.ms - r.since >= {DEDUP_MS} AS ok FROM r JOIN n ON n.user_id = r.user_id AND n.i = r.i + 1))
+SELECT event_id, user_id, accepted FROM r
+"""
+
+
+def reads_of_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies that arrive as a user's events of a day: their bytes add up, and the day's first event sets the clock."""
+    events = _events(spark, sf_dir).withColumn("n", F.coalesce(F.floor("value"), F.lit(0))).withColumn("ms", F.unix_millis("ts") - F.unix_millis(F.col("day").cast("timestamp")))
+    events = events.withColumn("declared", F.when(F.col("event_id") % 40 == 0, 1000))
+    return folds.bounded_reads(events, ["user_id", "day"], ["ts", "event_id"], "n", "ms", 300, 70_000_000, "declared").select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "outcome", "n_bytes")
+
+
+READS_SQL = f"""
+WITH {EVENTS}, c AS (SELECT *, CAST(floor(coalesce(value, 0)) AS BIGINT) AS b, (epoch_us(ts) - epoch_us(CAST(day AS TIMESTAMP))) // 1000 AS ms FROM e),
+s AS (SELECT *, sum(b) OVER (PARTITION BY user_id, day ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS upto FROM c),
+f AS (SELECT *, CASE WHEN ms >= 70000000 THEN 'late' WHEN upto > 300 THEN 'too-large' END AS fault FROM s),
+g AS (SELECT user_id, day, CASE WHEN bool_or(event_id % 40 = 0) THEN 'too-large' ELSE coalesce(arg_min(fault, (ts, event_id)) FILTER (fault IS NOT NULL), 'read') END AS outcome, sum(b) AS n FROM f GROUP BY ALL)
+SELECT user_id, strftime(day, '%Y-%m-%d') AS day, outcome, CAST(CASE WHEN outcome = 'read' THEN n END AS BIGINT) AS n_bytes FROM g
+"""
+
+
+def capture_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader who asks for a record by its id finds: it, an expired one, or another that took its place."""
+    events = _events(spark, sf_dir)
+    read_at = events.agg(F.max("ts").alias("read_at"))
+    record = F.max_by(F.struct("event_id", "ts"), F.struct("ts", "event_id")).alias("r")
+    last = events.groupBy("user_id").agg(record, F.min(F.when(F.col("event_id") % 3 == 0, F.col("event_id"))).alias("asked"))
+    old = F.unix_micros("read_at") - F.unix_micros("r.ts") > 36 * 3_600_000_000
+    asked = F.when(F.col("user_id") % 2 == 0, F.col("asked")).otherwise(F.col("r.event_id"))
+    state = F.when(asked.isNull(), "no-id").when(old, "expired").when(asked != F.col("r.event_id"), "replaced").otherwise("valid")
+    return last.join(F.broadcast(read_at)).select("user_id", state.alias("state"))
+
+
+CAPTURE_READS_SQL = """
+WITH l AS (SELECT user_id, arg_max(event_id, (ts, event_id)) AS id, max(ts) AS ts, min(event_id) FILTER (event_id % 3 = 0) AS asked FROM events GROUP BY user_id),
+a AS (SELECT *, CASE WHEN user_id % 2 = 0 THEN asked ELSE id END AS want FROM l)
+SELECT user_id, CASE WHEN want IS NULL THEN 'no-id' WHEN epoch_us((SELECT max(ts) FROM events)) - epoch_us(ts) > 36 * 3600000000 THEN 'expired' WHEN want <> id THEN 'replaced' ELSE 'valid' END AS state FROM a
+"""
+
 QUERIES = {
     "cross_source_dedup": (cross_source_dedup, DEDUP_SQL),
     "bounded_queue": (bounded_queue, QUEUE_SQL),
@@ -177,4 +262,9 @@ QUERIES = {
     "stalls": (stalls, STALL_SQL),
     "serialized_operations": (serialized_operations, SERIAL_SQL),
     "captures": (captures, CAPTURE_SQL),
+    "capture_reads": (capture_reads, CAPTURE_READS_SQL),
+    "limits_run_out": (limits_run_out, LIMITS_SQL),
+    "playback_targets": (playback_targets, TARGETS_SQL),
+    "dedup_after_closing": (dedup_after_closing, CLOSING_SQL),
+    "reads_of_chunks": (reads_of_chunks, READS_SQL),
 }

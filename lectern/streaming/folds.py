@@ -106,6 +106,42 @@ def route(events: DataFrame, channel: list[str], order: list[str], target: str,
     return rows.withColumn("stopped", F.when(before != F.col(target), before)).drop("__part", "__first", "__lag", "__carried")
 
 
+def targets(events: DataFrame, channel: list[str], order: list[str], target: str, starts: Column, closes: Column, part: Column) -> DataFrame:
+    """events with `target_now`: the target that the channel has at each event; null once it has closed.
+
+    A start gives the channel to its target, which holds it until the next start or until it
+    closes itself: an interval of the order that ends at the target's next close. `part` cuts the order into ranges
+    that tasks can share; the last start of a range is carried to the next ones.
+    """
+    at = F.struct(*order)
+    w = Window.partitionBy(*channel, target).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+    cut = events.withColumn("__part", part).withColumn("__ends", F.min(F.when(closes, at)).over(w))
+    start = F.when(starts, F.struct(F.col(target).alias("t"), F.col("__ends").alias("ends")))
+    last = cut.withColumn("__s", start).groupBy(*channel, "__part").agg(F.max_by("__s", F.when(F.col("__s").isNotNull(), at)).alias("__last"))
+    parts = Window.partitionBy(*channel).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*channel, "__part", F.last("__last", ignorenulls=True).over(parts).alias("__carried"))
+    within = Window.partitionBy(*channel, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = cut.withColumn("__own", F.last(start, ignorenulls=True).over(within)).join(carried, [*channel, "__part"])
+    rows = rows.withColumn("__now", F.coalesce("__own", "__carried"))
+    open_ = F.col("__now.ends").isNull() | (at < F.col("__now.ends"))
+    return rows.withColumn("target_now", F.when(open_, F.col("__now.t"))).drop("__part", "__ends", "__own", "__carried", "__now")
+
+
+def bounded_reads(chunks: DataFrame, keys: list[str], order: list[str], size: str, at: str, most: int, deadline: int, declared: str | None = None) -> DataFrame:
+    """keys, outcome, n_bytes: whether what arrives in chunks may be taken whole: read, too-large or late.
+
+    Chunks add up in order. The first that comes after the deadline, or takes the sum beyond
+    `most`, ends the reading; lateness is asked first. A declared size beyond `most` ends it before.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    upto = chunks.withColumn("__upto", F.sum(size).over(w))
+    fault = F.when(F.col(at) >= deadline, "late").when(F.col("__upto") > most, "too-large")
+    first = F.min_by(fault, F.when(fault.isNotNull(), F.struct(*order)))
+    too_much = F.max(F.coalesce(F.col(declared) > most, F.lit(False))) if declared else F.lit(False)
+    outcome = F.when(too_much, "too-large").otherwise(F.coalesce(first, F.lit("read")))
+    return upto.groupBy(*keys).agg(outcome.alias("outcome"), F.sum(size).alias("__all")).select(*keys, "outcome", F.when(F.col("outcome") == "read", F.col("__all")).alias("n_bytes"))
+
+
 def prefetched(events: DataFrame, keys: list[str], order: list[str], command: str, ahead: int = 2) -> DataFrame:
     """events with `synthesized`: texts made so far if at most `ahead` may be made before one ends."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -14,6 +14,7 @@ def dedup_stream(events: DataFrame, key: str, source: str, at_ms: str, window_ms
     """Cross-source dedup of a stream: state is the last accepted event of each key.
 
     It expires when idle for idle_ms; without (None) it stays, and a stream with nothing new rests.
+    An event without a source (its key has closed) passes and removes the state.
     """
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -22,15 +23,19 @@ def dedup_stream(events: DataFrame, key: str, source: str, at_ms: str, window_ms
             return
         last = state.get if state.exists else None
         for rows in batches:
-            rows = rows.sort_values([at_ms, source], kind="stable")
+            rows = rows.sort_values([at_ms, source], kind="stable").astype({source: object})
+            rows[source] = rows[source].where(rows[source].notna(), None)
             keep = []
             for at, name in zip(rows[at_ms], rows[source], strict=True):
-                ok = last is None or last[1] == name or at - last[0] >= window_ms
+                ok = last is None or name is None or last[1] == name or at - last[0] >= window_ms
                 if ok:
-                    last = (int(at), name)
+                    last = None if name is None else (int(at), name)
                 keep.append(ok)
             yield rows[keep]
-        if last is not None:
+        if last is None:
+            if state.exists:
+                state.remove()
+        else:
             state.update(last)
             if idle_ms:
                 state.setTimeoutDuration(idle_ms)
