@@ -5,6 +5,8 @@ An image is a row (w, h, data) with 8-bit RGB bytes. Scaling is bilinear.
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,9 +17,15 @@ from pyspark.sql import functions as F
 IMAGE = "w int, h int, data binary"
 
 
+def luminance(image: np.ndarray) -> np.ndarray:
+    """0.299 r + 0.587 g + 0.114 b, summed in this order."""
+    r, g, b = (image[..., i].astype(np.float64) for i in range(3))
+    return 0.299 * r + 0.587 * g + 0.114 * b
+
+
 def gray(image: np.ndarray) -> np.ndarray:
     """Luminance in all three channels, rounded half to even as clamped bytes are."""
-    lum = np.rint(image.astype(np.float64) @ np.array([0.299, 0.587, 0.114]))
+    lum = np.rint(luminance(image))
     return np.repeat(np.clip(lum, 0, 255).astype(np.uint8)[..., None], 3, axis=2)
 
 
@@ -60,7 +68,7 @@ def otsu(lum: np.ndarray, default: int = 127) -> int:
 def binarize(image: np.ndarray, most: float = 8.4e6) -> np.ndarray:
     """Black ink on white at the Otsu threshold, doubled if that stays small; too little or too much ink leaves the image."""
     big = scale(image, 2.0) if 4 * image.shape[0] * image.shape[1] <= most else image
-    lum = np.floor(big.astype(np.float64) @ np.array([0.299, 0.587, 0.114])).astype(np.int64)
+    lum = np.floor(luminance(big)).astype(np.int64)
     dark = lum < otsu(lum)
     ink = dark if 2 * dark.sum() <= dark.size else ~dark
     if not 0.002 <= ink.mean() <= 0.4:
@@ -110,17 +118,63 @@ def square_icon(image: np.ndarray, side: int = 64) -> np.ndarray:
     return out
 
 
-def shrink_to(image: np.ndarray, most: int, tries: int = 4) -> np.ndarray | None:
-    """Scaled down until its bytes fit; null after `tries`."""
+def encode_png(image: np.ndarray, level: int = 6) -> bytes:
+    """An RGB image as PNG bytes. Each row is stored as it is, as differences to the left, or to the row above: whichever is least."""
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    h, w = image.shape[:2]
+    flat = np.ascontiguousarray(image, np.uint8).reshape(h, w * 3)
+    left = flat - np.concatenate([np.zeros((h, 3), np.uint8), flat[:, :-3]], axis=1)
+    above = flat - np.concatenate([np.zeros((1, w * 3), np.uint8), flat[:-1]])
+    ways = np.stack([flat, left, above])
+    size = np.abs(ways.astype(np.int8).astype(np.int64)).sum(axis=2)  # small differences pack well
+    best = size.argmin(axis=0)
+    rows = np.concatenate([best.astype(np.uint8)[:, None], ways[best, np.arange(h)]], axis=1)
+    head = struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes(), level)) + chunk(b"IEND", b"")
+
+
+def data_url_size(content: bytes, kind: str = "image/png") -> int:
+    """Characters of the data URL of some bytes."""
+    return len(f"data:{kind};base64,") + -(-len(content) // 3) * 4
+
+
+def encode_within(image: np.ndarray, most: int, tries: int = 4) -> tuple[np.ndarray, bytes] | None:
+    """The image and its PNG, scaled down until the data URL has at most `most` characters; none after `tries`.
+
+    Each time the scale shrinks with the square root of the excess, and by 15 % more.
+    """
     factor = 1.0
     for _ in range(tries):
         out = scale(image, factor) if factor < 1 else image
-        if out.nbytes <= most:
-            return out
-        factor *= (most / out.nbytes) ** 0.5 * 0.85
+        content = encode_png(out)
+        if data_url_size(content) <= most:
+            return out, content
+        factor *= (most / data_url_size(content)) ** 0.5 * 0.85
     return None
 
 
+def reencoded(images: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """keys, w, h, data: each image (w, h and data, RGB bytes) as PNG whose data URL has at most `most` characters.
+
+    An image without data or area, or that stays too large after four tries, has nulls.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = []
+            for w, h, data in zip(*(batch.column(n).to_pylist() for n in ("w", "h", "data")), strict=True):
+                made = encode_within(np.frombuffer(data, np.uint8).reshape(h, w, 3), most) if data and w and h else None
+                done.append((None, None, None) if made is None else (made[0].shape[1], made[0].shape[0], made[1]))
+            columns = [pa.array([d[i] for d in done], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *columns], names=[*keys, "w", "h", "data"])
+
+    own = ", ".join(f"`{k}` {images.schema[k].dataType.simpleString()}" for k in keys)
+    return images.select(*keys, "w", "h", "data").mapInArrow(run, f"{own}, {IMAGE}")
+
+
 def apply(images: DataFrame, keys: list[str], kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """keys and the image that kernel makes of each; a row without data or area keeps null data."""
 
@@ -137,6 +191,18 @@ def apply(images: DataFrame, keys: list[str], kernel: Callable[[np.ndarray], np.
     return images.select(*keys, "w", "h", "data").mapInArrow(run, f"{own}, {IMAGE}")
 
 
+def byte_sums(images: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """keys, w and the sum of the bytes of each image."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = [None if d is None else int(np.frombuffer(d, np.uint8).sum(dtype=np.int64)) for d in batch.column("data").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keys, "w")), pa.array(total, pa.int64())], names=[*keys, "w", name])
+
+    own = ", ".join(f"`{k}` {images.schema[k].dataType.simpleString()}" for k in keys)
+    return images.select(*keys, "w", "data").mapInArrow(run, f"{own}, w int, {name} bigint")
+
+
 def pack(pixels: DataFrame, keys: list[str], width: int, height: int) -> DataFrame:
     """Images of bounded size from pixel rows (x, y, r, g, b); missing pixels are white.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_TEXT, MAX_TEXTS, MAX_DATA_URL = 200_000, 5000, 64 << 20
+MAX_TEXT, MAX_TEXTS, MAX_DATA_URL, MAX_PICTURE = 200_000, 5000, 64 << 20, 12 << 20
 # Message types by who may send them, and settings with default, least and most.
 NOTICES = ["OCR_PROGRESS", "OCR_COMPLETE", "PLAYBACK_STARTED", "PLAYBACK_ENDED", "PLAYBACK_ERROR", "PLAYBACK_STOPPED"]
 REQUESTS = ["CLAIM_UPDATE_NOTICE", "SHORTCUT_PRESSED", "OPEN_OPTIONS", "CHECK_CONNECTION", "GET_SPEAKERS", "GET_SPEAKER_ICON", "GENERATE_VOICE", "STOP_ALL", "CAPTURE_OCR_REGION"]
@@ -70,6 +70,33 @@ def queue_texts(texts: Column) -> Column:
     return F.when((F.size(texts) >= 1) & (F.size(texts) <= MAX_TEXTS) & (F.size(kept) > 0) & (total <= MAX_TEXT), kept)
 
 
+def recognition_request(m: dict[str, Column]) -> Column:
+    """A request to recognize a picture as it may be queued, reduced to what is known of it; null if it is rejected.
+
+    m: data_url, x, y, width, height, viewport, tab_id, remove_ruby (a JSON value). The picture must be
+    PNG or JPEG of at most MAX_PICTURE characters, and readings are removed for a plain true alone.
+    """
+    picture = image_url_ok(m["data_url"], "png|jpeg", MAX_PICTURE)
+    tab = F.coalesce((m["tab_id"] >= 0) & (m["tab_id"] == F.floor(m["tab_id"])), F.lit(False))
+    fits = picture & ~bad_rect(m["x"], m["y"], m["width"], m["height"], m["viewport"]) & tab
+    rect = F.struct(*[m[c].alias(c) for c in ("x", "y", "width", "height")])
+    remove = F.coalesce(m["remove_ruby"] == "true", F.lit(False))
+    return F.when(fits, F.struct(m["data_url"].alias("data_url"), rect.alias("rect"), m["viewport"].alias("viewport"), m["tab_id"].cast("long").alias("tab_id"), remove.alias("remove_ruby")))
+
+
+def icon_size(value: Column) -> Column:
+    """The side of an icon, 16 to 64; 16 of what isn't a number."""
+    number = value.try_cast("double")
+    return F.when(is_finite(number), F.greatest(F.lit(16.0), F.least(F.lit(64.0), number))).otherwise(F.lit(16.0))
+
+
+def lexicon(lines: DataFrame, line: str, most: int = 2 << 20) -> DataFrame:
+    """word: the distinct words of a list of lines, blanks dropped; none if the list has more than `most` bytes, so that what asks for words passes through."""
+    size = lines.agg(F.coalesce(F.sum(F.octet_length(line) + 1), F.lit(0)).alias("__size"))
+    words = lines.select(F.trim(line).alias("word")).where("word <> ''").distinct()
+    return words.join(F.broadcast(size), F.col("__size") <= most).drop("__size")
+
+
 def sanitized(values: dict[str, Column]) -> Column:
     """Settings as a struct: numbers held in range, defaults for what isn't a number."""
     speaker = values["speakerId"].try_cast("double")

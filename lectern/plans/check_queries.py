@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import kernels as K
 from ..operators import validation as V
 from ..session import table
@@ -96,14 +97,69 @@ UNION ALL SELECT c_custkey, c_nationkey + 100, c_name || ' (soft)', c_name FROM
 
 
 def image_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every derived image padded, greyed, binarized and squared: sizes and sums of the results."""
+    """Every derived image padded and greyed, binarized, and squared: sizes, and sums of the bytes of the first two."""
     images = K.pack(pixels(spark, sf_dir), ["image"], WIDTH, HEIGHT)
-    out = K.apply(images, ["image"], lambda a: K.gray(K.pad(a, 4))).select("image", F.col("w").alias("padded_w"), F.crc32("data").alias("gray_crc"))
-    ink = K.apply(images, ["image"], K.binarize).select("image", F.col("w").alias("binary_w"), F.crc32("data").alias("binary_crc"))
-    icon = K.apply(images, ["image"], K.square_icon).select("image", F.col("w").alias("icon_w"), F.crc32("data").alias("icon_crc"))
+    out = K.byte_sums(K.apply(images, ["image"], lambda a: K.gray(K.pad(a, 4))), ["image"], "gray_sum").withColumnRenamed("w", "padded_w")
+    ink = K.byte_sums(K.apply(images, ["image"], K.binarize), ["image"], "binary_sum").withColumnRenamed("w", "binary_w")
+    icon = K.apply(images, ["image"], K.square_icon).select("image", F.col("w").alias("icon_w"))
     return out.join(ink, "image").join(icon, "image")
 
 
+_MIX = "round_even(((1 - fx) * {0}00 + fx * {0}01) * (1 - fy) + ((1 - fx) * {0}10 + fx * {0}11) * fy, 0)"
+_LUM = "0.299::DOUBLE * {0} + 0.587::DOUBLE * {1} + 0.114::DOUBLE * {2}"
+KERNELS_SQL = f"""
+WITH p AS ({PIXELS}), i AS (SELECT DISTINCT image FROM p), g AS (SELECT image, x, y, coalesce(r, 255) AS r, coalesce(g, 255) AS g, coalesce(b, 255) AS b
+  FROM (SELECT * FROM i, (SELECT unnest(range(0, {WIDTH})) AS x), (SELECT unnest(range(0, {HEIGHT})) AS y)) LEFT JOIN p USING (image, x, y)),
+e AS (SELECT image, CASE WHEN x IN (0, {WIDTH - 1}) THEN 1 ELSE 0 END + CASE WHEN y IN (0, {HEIGHT - 1}) THEN 1 ELSE 0 END AS n, r, g, b FROM g),
+m AS (SELECT image, floor(sum(r * n) / sum(n) + 0.5::DOUBLE) AS r, floor(sum(g * n) / sum(n) + 0.5::DOUBLE) AS g, floor(sum(b * n) / sum(n) + 0.5::DOUBLE) AS b FROM e WHERE n > 0 GROUP BY image),
+k AS (SELECT g.image, sum(round_even({_LUM.format("g.r", "g.g", "g.b")}, 0)) AS inner_sum, sum(g.r + g.g + g.b) AS plain_sum FROM g GROUP BY g.image),
+c AS (SELECT image, bx, b_y, greatest(least((bx + 0.5::DOUBLE) / 2 - 0.5, {WIDTH - 1}), 0) AS xs, greatest(least((b_y + 0.5::DOUBLE) / 2 - 0.5, {HEIGHT - 1}), 0) AS ys
+  FROM i, (SELECT unnest(range(0, {WIDTH * 2})) AS bx), (SELECT unnest(range(0, {HEIGHT * 2})) AS b_y)),
+d AS (SELECT *, CAST(floor(xs) AS INT) AS x0, CAST(floor(ys) AS INT) AS y0, CAST(least(floor(xs) + 1, {WIDTH - 1}) AS INT) AS x1, CAST(least(floor(ys) + 1, {HEIGHT - 1}) AS INT) AS y1, xs - floor(xs) AS fx, ys - floor(ys) AS fy FROM c),
+q AS (SELECT d.*, a.r AS r00, a.g AS g00, a.b AS b00, b.r AS r01, b.g AS g01, b.b AS b01, u.r AS r10, u.g AS g10, u.b AS b10, v.r AS r11, v.g AS g11, v.b AS b11 FROM d
+  JOIN g a ON a.image = d.image AND a.x = d.x0 AND a.y = d.y0 JOIN g b ON b.image = d.image AND b.x = d.x1 AND b.y = d.y0 JOIN g u ON u.image = d.image AND u.x = d.x0 AND u.y = d.y1 JOIN g v ON v.image = d.image AND v.x = d.x1 AND v.y = d.y1),
+l AS (SELECT image, CAST(floor({_LUM.format(_MIX.format("r"), _MIX.format("g"), _MIX.format("b"))}) AS INT) AS lum FROM q),
+h AS (SELECT image, lum AS bin, count(*) AS c FROM l GROUP BY ALL),
+w AS (SELECT image, bin, sum(c) OVER (PARTITION BY image) AS n, sum(bin * c) OVER (PARTITION BY image) AS total, sum(c) OVER z AS wb, sum(bin * c) OVER z AS sb FROM h WINDOW z AS (PARTITION BY image ORDER BY bin ROWS UNBOUNDED PRECEDING)),
+o AS (SELECT image, bin, CASE WHEN n > wb THEN wb::DOUBLE * (n - wb)::DOUBLE * power(sb::DOUBLE / wb::DOUBLE - (total - sb)::DOUBLE / (n - wb)::DOUBLE, 2) ELSE 0 END AS between_ FROM w),
+t AS (SELECT image, CASE WHEN between_ > 0 THEN bin ELSE 127 END AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY between_ DESC, bin) AS i FROM o) WHERE i = 1),
+f AS (SELECT image, count(*) AS n, count(*) FILTER (lum < threshold) AS dark FROM l JOIN t USING (image) GROUP BY image),
+s AS (SELECT *, CASE WHEN 2 * dark <= n THEN dark ELSE n - dark END AS ink FROM f)
+SELECT image, {WIDTH + 8} AS padded_w, CAST(3 * (inner_sum + {(WIDTH + 8) * (HEIGHT + 8) - WIDTH * HEIGHT} * round_even({_LUM.format("m.r", "m.g", "m.b")}, 0)) AS BIGINT) AS gray_sum,
+  CASE WHEN ink / n BETWEEN 0.002::DOUBLE AND 0.4::DOUBLE THEN {WIDTH * 2} ELSE {WIDTH} END AS binary_w, CAST(CASE WHEN ink / n BETWEEN 0.002::DOUBLE AND 0.4::DOUBLE THEN 765 * (n - ink) ELSE plain_sum END AS BIGINT) AS binary_sum, 64 AS icon_w
+FROM k JOIN m USING (image) JOIN s USING (image)
+"""
+
+
+def reencoded_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every derived image as PNG whose data URL fits into 3000 characters, scaled down where it must be."""
+    made = K.reencoded(K.pack(pixels(spark, sf_dir), ["image"], WIDTH, HEIGHT), ["image"], 3000)
+    return made.select("image", "w", "h", F.char_length(T.data_url(F.col("data"), F.lit("image/png"))).alias("chars"), (F.substring("data", 2, 3).cast("string") == "PNG").alias("png"))
+
+
+# requests to recognize, in SQL that both engines read alike
+REQUEST = """o_orderkey, concat('data:image/', CASE o_orderkey % 4 WHEN 0 THEN 'png' WHEN 1 THEN 'JPEG' WHEN 2 THEN 'gif' ELSE 'jpeg' END, ';base64,', repeat('A', CAST(CASE WHEN o_orderkey % 5000 = 0 THEN 12582890 + o_custkey % 2 ELSE 4 END AS INT))) AS data_url,
+  CAST(o_custkey % 50 - 2 AS DOUBLE) AS x, CAST(o_custkey % 40 AS DOUBLE) AS y, CAST(o_custkey % 30 AS DOUBLE) AS width, CAST(o_orderkey * 7 AS DOUBLE) AS height, CAST(o_custkey * 90 AS DOUBLE) AS viewport,
+  CAST(o_orderkey % 9 - 1 AS DOUBLE) / CASE WHEN o_orderkey % 11 = 0 THEN 2 ELSE 1 END AS tab_id, CASE o_custkey % 4 WHEN 0 THEN 'true' WHEN 1 THEN '1' WHEN 2 THEN '"true"' END AS remove_ruby,
+  CASE WHEN o_orderkey % 6 = 0 THEN 'large' ELSE CAST(o_custkey % 90 AS VARCHAR(9)) END AS icon"""
+
+
+def queued_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests to recognize and icon sizes from orders: what may be queued of them."""
+    table(spark, sf_dir, "orders").createOrReplaceTempView("lectern_orders")
+    m = spark.sql(f"SELECT {REQUEST} FROM lectern_orders")
+    made = V.recognition_request({c: F.col(c) for c in m.columns})
+    return m.withColumn("q", made).select("o_orderkey", F.col("q").isNotNull().alias("accepted"), F.char_length("q.data_url").alias("chars"), F.col("q.rect.width").alias("width"), F.col("q.tab_id").alias("tab_id"), F.col("q.remove_ruby").alias("remove_ruby"), V.icon_size(F.col("icon")).alias("icon"))
+
+
+REQUESTS_SQL = f"""
+WITH m AS (SELECT {REQUEST} FROM orders), a AS (SELECT *, o_orderkey % 4 <> 2 AND length(data_url) <= 12582912 AND x >= 0 AND width >= 1 AND height >= 1 AND height <= 100000 AND width * height <= 100000000
+  AND viewport >= 1 AND viewport <= 100000 AND tab_id >= 0 AND tab_id = floor(tab_id) AS ok FROM m)
+SELECT o_orderkey, ok AS accepted, CASE WHEN ok THEN length(data_url) END AS chars, CASE WHEN ok THEN width END AS width, CASE WHEN ok THEN CAST(tab_id AS BIGINT) END AS tab_id, CASE WHEN ok THEN coalesce(remove_ruby = 'true', false) END AS remove_ruby,
+  greatest(16.0::DOUBLE, least(64.0::DOUBLE, coalesce(TRY_CAST(icon AS DOUBLE), 16.0::DOUBLE))) AS icon FROM a
+"""
+
+
 def image_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(spark, sf_dir).groupBy("image", F.col("lum").alias("bin")).count().withColumnRenamed("count", "n")
 
@@ -127,7 +183,9 @@ QUERIES = {
     "settings": (settings, SETTINGS_SQL),
     "payload_checks": (payload_checks, PAYLOAD_SQL),
     "speaker_options": (speaker_options, SPEAKER_SQL),
-    "image_kernels": (image_kernels, None),
+    "image_kernels": (image_kernels, KERNELS_SQL),
+    "reencoded_images": (reencoded_images, None),
+    "queued_requests": (queued_requests, REQUESTS_SQL),
     "image_histograms": (image_histograms, HISTOGRAM_SQL),
     "lexicon_words": (lexicon_words, LEXICON_SQL),
 }

@@ -70,7 +70,7 @@ class Watch(StatefulProcessor):
                 if command in x.arms:
                     self.running.updateValue((x.name,), (now + x.ms,))
                     self.handle.registerTimer(now + x.ms)
-        yield pd.DataFrame({"key": [], "name": []})
+        yield pd.DataFrame({"key": [], "name": []}, dtype=object)
 
     def _lift(self, name: str) -> None:
         if self.running.containsKey((name,)):
@@ -84,7 +84,7 @@ class Watch(StatefulProcessor):
         gone = sorted(k[0] for k, v in self.running.iterator() if v[0] == out)
         for name in gone:
             self.running.removeKey((name,))
-        yield pd.DataFrame({"key": [str(key[0])] * len(gone), "name": gone})
+        yield pd.DataFrame({"key": [str(key[0])] * len(gone), "name": gone}, dtype=object)  # as Spark can turn it into Arrow
 
     def close(self) -> None:
         pass

@@ -129,7 +129,7 @@ def test_kernels():
     assert K.orientation(page) == ("horizontal", True) and K.orientation(page.transpose(1, 0, 2)) == ("vertical", True)
     blank = np.full((40, 200, 3), 250, np.uint8)
     assert K.orientation(blank) == ("horizontal", True) and K.orientation(blank.transpose(1, 0, 2)) == ("horizontal", True)
-    assert K.square_icon(image).shape == (64, 64, 3) and K.shrink_to(image, 400).nbytes <= 400
+    assert K.square_icon(image).shape == (64, 64, 3)
 
 
 def test_range_join_makes_each_pair_once(spark):
@@ -193,3 +193,68 @@ def test_routes_are_carried_over_ranges(spark):
     got = [r.stopped for r in folds.route(rows, ["c"], ["i"], "t", F.col("part")).orderBy("i").collect()]
     seen = [t for i, t in enumerate("aabbbcccaab") if i // 3 != 1]
     assert got == [None] + [a if a != b else None for a, b in zip(seen, seen[1:])]
+
+
+def test_crops_and_offsets(spark):
+    image = np.arange(5 * 4 * 3, dtype=np.uint8).reshape(5, 4, 3)
+    assert (K.crop(image, 1, 2, 2, 3) == image[2:5, 1:3]).all() and K.crop(image, 3, 4, 9, 9).shape == (1, 1, 3)
+    up = K.scale(K.crop(image, 0, 0, 2, 2), 2.0)
+    assert up.shape == (4, 4, 3) and (up[0, 0] == image[0, 0]).all() and (up[-1, -1] == image[1, 1]).all()
+
+
+def test_reencoding():
+    import zlib
+
+    def decoded(png):
+        at, body = 8, b""
+        while at < len(png):
+            n, kind = int.from_bytes(png[at : at + 4], "big"), png[at + 4 : at + 8]
+            data = png[at + 8 : at + 8 + n]
+            assert int.from_bytes(png[at + 8 + n : at + 12 + n], "big") == zlib.crc32(kind + data)
+            if kind == b"IHDR":
+                w, h = int.from_bytes(data[:4], "big"), int.from_bytes(data[4:8], "big")
+            body += data if kind == b"IDAT" else b""
+            at += 12 + n
+        raw = zlib.decompress(body)
+        rows, above = [], np.zeros(w * 3, np.uint8)
+        for y in range(h):
+            way, line = raw[y * (w * 3 + 1)], np.frombuffer(raw, np.uint8, w * 3, y * (w * 3 + 1) + 1).copy()
+            if way == 1:
+                line = np.cumsum(line.reshape(w, 3), axis=0, dtype=np.uint8).ravel()
+            elif way == 2:
+                line = line + above
+            rows.append(line)
+            above = line
+        return np.array(rows).reshape(h, w, 3)
+
+    draw = np.random.default_rng(3)
+    for image in (draw.integers(0, 256, (40, 60, 3)).astype(np.uint8), np.full((9, 1, 3), 7, np.uint8), np.tile(np.arange(50, dtype=np.uint8)[:, None, None], (1, 30, 3))):
+        assert (decoded(K.encode_png(image)) == image).all()
+        for most in (10_000, 3000, 600):
+            made = K.encode_within(image, most)
+            if made is not None:
+                assert K.data_url_size(made[1]) <= most and (decoded(made[1]) == made[0]).all()
+    assert K.encode_within(draw.integers(0, 256, (40, 60, 3)).astype(np.uint8), 40) is None
+    assert K.encode_within(draw.integers(0, 256, (40, 60, 3)).astype(np.uint8), 3000)[0].shape[0] < 40
+
+
+def test_lexicon_and_icons(spark):
+    lines = spark.createDataFrame([("覚悟",), ("",), (" ",), ("鎌倉 ",), ("覚悟",)], "line string")
+    assert sorted(r.word for r in V.lexicon(lines, "line").collect()) == ["覚悟", "鎌倉"]
+    assert V.lexicon(lines, "line", most=10).count() == 0 and V.lexicon(lines.limit(0), "line").count() == 0
+    sizes = spark.createDataFrame([("20",), ("5",), ("99",), ("x",), (None,), ("NaN",)], "v string").select(V.icon_size(F.col("v")).alias("s"))
+    assert [r.s for r in sizes.collect()] == [20.0, 16.0, 64.0, 16.0, 16.0, 16.0]
+
+
+def test_alignment_takes_little_memory():
+    import tracemalloc
+
+    rng = random.Random(4)
+    a = "".join(rng.choice("abcd") for _ in range(20_000))
+    b = "".join(c for c in a if rng.random() > 0.02)
+    tracemalloc.start()
+    distance, pairs = R.align(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert distance == len(a) - len(b) and len(pairs) >= len(b) - 50 and peak < 100 << 20
+    assert all(x < y and i < j for (x, i), (y, j) in zip(pairs, pairs[1:]))
