@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import product
+from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,34 +34,71 @@ RULES: list[tuple[str, str, int, int]] = [
 BASE = ("assign", "access", "hex")
 
 
+#: Most strings that a part of an expression is written out as, and most characters of a class.
+STRINGS, CLASS = 64, 8
+
+
+def _written_out(items) -> set[str] | None:
+    """All strings, lower-cased, that a part of a parsed expression matches; None if they are many or not bounded."""
+    from re import _constants as C
+
+    out = {""}
+    for op, value in items:
+        if op is C.LITERAL:
+            own = {chr(value).lower()}
+        elif op is C.IN and all(o in (C.LITERAL, C.RANGE) for o, _ in value):
+            chars = [chr(c) for o, v in value for c in ([v] if o is C.LITERAL else range(v[0], min(v[1], v[0] + CLASS) + 1))]
+            own = {c.lower() for c in chars} if len(chars) <= CLASS else None
+        elif op is C.SUBPATTERN:
+            own = _written_out(value[-1])
+        elif op is C.BRANCH:
+            branches = [_written_out(b) for b in value[1]]
+            own = None if None in branches else set().union(*branches)
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and value[1] <= 2:
+            body = _written_out(value[2])
+            own = None if body is None else {"".join(x) for n in range(value[0], value[1] + 1) for x in product(body, repeat=n)}
+        else:
+            own = None
+        if own is None or len(out) * len(own) > STRINGS:
+            return None
+        out = {a + b for a in out for b in own}
+    return out
+
+
 def trigram_query(pattern: str) -> list[frozenset[str]]:
     """Alternatives of which each match has one whole: sets of lower-cased trigrams.
 
-    An empty set among the alternatives means that nothing is mandatory. The query is sound, not
-    tight: where an expression branches, repeats or takes a class, a run of letters ends.
+    An empty set among the alternatives means that nothing is mandatory. Parts that follow each
+    other are written out together as long as they match few strings, alternatives and small
+    classes included, so that trigrams reach across them; what matches more ends a run. An
+    alternative that holds all of another is left out, as the other says as much.
     """
     from re import _constants as C
     from re import _parser as parser
 
+    def least(query: list[frozenset[str]]) -> list[frozenset[str]]:
+        return [frozenset()] if frozenset() in query else [a for a in set(query) if not any(b < a for b in query)]
+
     def of(items) -> list[frozenset[str]]:
         parts: list[list[frozenset[str]]] = []
-        run = ""
+        run = {""}
 
         def close() -> None:
             nonlocal run
-            grams = frozenset(run[i : i + 3] for i in range(len(run) - 2))
-            if grams:
-                parts.append([grams])
-            run = ""
-
-        for op, value in items:
-            if op is C.LITERAL:
-                run += chr(value).lower()
-                continue
-            if op is C.SUBPATTERN and len(value[-1]) and all(o is C.LITERAL for o, _ in value[-1]):
-                run += "".join(chr(v).lower() for _, v in value[-1])
+            grams = least([frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in run])
+            if frozenset() not in grams:
+                parts.append(grams)
+            run = {""}
+
+        for item in items:
+            own = _written_out([item])
+            if own is not None:
+                if len(run) * len(own) > STRINGS:
+                    close()
+                run = {a + b for a in run for b in own}
                 continue
             close()
+            op, value = item
             if op is C.SUBPATTERN:
                 parts.append(of(value[-1]))
             elif op is C.BRANCH:
@@ -68,10 +106,12 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
             elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and value[0] >= 1:
                 parts.append(of(value[2]))
         close()
-        return list({frozenset().union(*choice) for choice in product(*parts)}) if parts else [frozenset()]
+        parts = [p for p in parts if frozenset() not in p]
+        while prod(map(len, parts)) > STRINGS:  # fewer terms: the part with most alternatives says least
+            parts.remove(max(parts, key=len))
+        return least([frozenset().union(*choice) for choice in product(*parts)]) if parts else [frozenset()]
 
-    found = of(parser.parse(pattern))
-    return [frozenset()] if frozenset() in found else sorted(found, key=sorted)
+    return sorted(of(parser.parse(pattern)), key=sorted)
 
 
 def build_index(texts: DataFrame, grams: list[str]) -> DataFrame:

@@ -336,11 +336,30 @@ def test_secrets(docs, texts):
     assert secret_scan.find_secrets(docs.limit(0)).count() == 0
 
 
+def test_trigram_queries_are_sound():
+    """Every text that a pattern matches has all trigrams of an alternative."""
+    import random
+
+    draw = random.Random(2)
+    part = lambda: draw.choice(["a", "b", "cd", "[ab]", "[a-e]", "[0-9]", "(?:a|bc)", "(?:abc|d)", "x?", "y*", "z+", "(?:ab)+", "c{2}", "d{1,2}", "(?i:Ab)", "(?:a|[a-z])"])
+    for _ in range(300):
+        pattern = "".join(part() for _ in range(draw.randrange(1, 7)))
+        query = secret_scan.trigram_query(pattern)
+        for _ in range(60):
+            text = "".join(draw.choice("abcdexyz01AB") for _ in range(draw.randrange(12)))
+            for m in re.finditer(pattern, text):
+                low = m[0].lower()
+                assert any(all(g in low for g in alt) for alt in query), (pattern, m[0], query)
+
+
 def test_trigram_queries():
     query = {kind: secret_scan.trigram_query(pattern) for kind, pattern, _, _ in secret_scan.RULES}
     assert query["hex"] == [frozenset()] and query["access"] == [frozenset({"aki", "kia"})]
     assert frozenset({"tok", "oke", "ken"}) in query["assign"]
     assert secret_scan.trigram_query("ab(?:cde|f)?") == [frozenset()]
+    assert sorted(map(sorted, query["code_host"])) == [["gh" + c, "h" + c + "_"] for c in "oprsu"] and query["hex"] == [frozenset()]
+    assert set(secret_scan.trigram_query("x(?:ab|abc)d{2}[0-9]+")) == {frozenset({"xab", "abd", "bdd"}), frozenset({"xab", "abc", "bcd", "cdd"})}
+    assert secret_scan.trigram_query("(?:abcd|abcde)+") == [frozenset({"abc", "bcd"})]  # what holds all of another says no more
 
 
 def test_sentencepiece(docs, texts):
