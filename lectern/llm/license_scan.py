@@ -8,7 +8,9 @@ span is as long as its template and these few words, however often a text repeat
 
 Spans with enough votes are verified: the words of the document are compared with those of the
 template word by word, and a span counts if enough of the template's words are there. A phrase
-counts where all its words stand on one diagonal.
+counts where all its words stand on one diagonal. Passages that overlap compete: of two templates
+with words in the same place the one with more of its words there stays, or with the greater share if
+as many are, so a licence isn't taken for a sibling whose notice differs in a few words.
 
 The templates are a short fixed list, so their side of the join is broadcast. Votes are grouped by
 text, so no common line meets in one task and copies are judged once; only texts with a template's
@@ -118,7 +120,16 @@ def find_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         return F.when(F.col("base"), alone).otherwise(F.array_contains(F.array(*[F.coalesce(p, F.lit(b"")) for p in places]), word))
 
     found = F.size(F.filter(F.transform("wanted", there), lambda x: x))
-    checked = spans.withColumn("share", found / F.size("wanted")).where(F.when(F.col("base"), F.col("share") == 1).otherwise(F.col("share") >= COVERAGE))
+    counted = spans.withColumn("size", F.size("wanted")).withColumn("found", found).withColumn("share", F.col("found") / F.col("size"))
+    verified = counted.where(F.when(F.col("base"), F.col("share") == 1).otherwise(F.col("share") >= COVERAGE))
+    longest = max(len(w) for _, _, _, w, _ in templates())  # so rivals are the few spans that start near
+    rivals = F.collect_list(F.struct("template", "diagonal", "size", "found", "share")).over(Window.partitionBy("key", "base").orderBy("diagonal").rangeBetween(-longest, longest))
+
+    def better(r):
+        shares_place = (r["diagonal"] < F.col("diagonal") + F.col("size")) & (F.col("diagonal") < r["diagonal"] + r["size"])
+        return (r["template"] != F.col("template")) & shares_place & ((r["found"] > F.col("found")) | ((r["found"] == F.col("found")) & (r["share"] > F.col("share"))))
+
+    checked = verified.withColumn("rivals", F.when(~F.col("base"), rivals)).where(F.col("base") | ~F.exists("rivals", better)).drop("rivals")
     near = order.rangeBetween(-NEIGHBOUR, NEIGHBOUR)
     best = F.max(F.struct("share", (-F.col("diagonal")).alias("first"))).over(near)
     kept = checked.withColumn("best", F.col("base") | (best["first"] == -F.col("diagonal")))

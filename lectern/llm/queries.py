@@ -69,7 +69,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TEMPLATES = license_scan.templates()
 
-#: Votes of grams by diagonal, the spans of a diagonal and its next ones, then their words one by one.
+#: Votes of grams by diagonal, the spans of a diagonal and its next ones, then their words one by one, then the best where spans overlap.
 OP2_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS} AS w FROM documents),
 t(n, label, base, k, w) AS (VALUES {", ".join(f"({n}, '{label}', {base}, {k}, string_split('{' '.join(w)}', ' '))" for n, label, base, w, k in _TEMPLATES)}),
@@ -84,7 +84,9 @@ word AS (SELECT *, unnest(range(len(tw))) AS p FROM span),
 same AS (SELECT rid, n, diagonal, label, base, len(tw) AS size, count(*) FILTER (
     CASE WHEN base THEN diagonal + p >= 0 AND dw[diagonal + p + 1] = tw[p + 1]
     ELSE {" OR ".join(f"(diagonal + p + {e} >= 0 AND dw[diagonal + p + {e} + 1] = tw[p + 1])" for e in range(license_scan.NEIGHBOUR + 1))} END) AS found FROM word GROUP BY ALL),
-ok AS (SELECT *, found / size AS share FROM same WHERE CASE WHEN base THEN found = size ELSE found / size >= {license_scan.COVERAGE} END),
+met AS (SELECT *, found / size AS share FROM same WHERE CASE WHEN base THEN found = size ELSE found / size >= {license_scan.COVERAGE} END),
+ok AS (SELECT * FROM met a WHERE base OR NOT EXISTS (SELECT 1 FROM met b WHERE b.rid = a.rid AND NOT b.base AND b.n <> a.n AND b.diagonal < a.diagonal + a.size AND a.diagonal < b.diagonal + b.size
+  AND (b.found > a.found OR b.found = a.found AND b.share > a.share))),
 named AS (SELECT rid, count(*) FILTER (base) AS n_base, min(diagonal) FILTER (base) AS first_word, max(diagonal) FILTER (base) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM ok GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,

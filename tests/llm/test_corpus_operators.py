@@ -163,6 +163,28 @@ def test_licenses(docs, texts):
     assert license_scan.find_licenses(docs.limit(0)).count() == 0
 
 
+def test_licenses_are_told_from_their_siblings(spark):
+    """Each passage gets its own label and no other, as it stands, with one word in ten changed, and beside all others.
+
+    A word that few passages have is left, as without it a notice reads like that of a sibling.
+    """
+    passages = [(n, label, words) for n, label, base, words, _ in license_scan.templates() if not base]
+    phrases = {" ".join(words): label for _, label, base, words, _ in license_scan.templates() if base}
+    rows, telling = [], {w for _, _, words in passages for w in words if sum(w in other for _, _, other in passages) <= 2}
+    for n, _, words in passages:
+        rows.append((n, " ".join(words)))
+        for shift in range(10):
+            rows.append((1000 * (shift + 1) + n, "before it " + " ".join(f"changed{i}" if i % 10 == shift and w not in telling else w for i, w in enumerate(words)) + " behind it"))
+    rows.append((-1, " and then there is more to be said about this ".join(" ".join(w) for _, _, w in passages)))
+    got = {r.doc_id: r for r in license_scan.find_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    label = {n: x for n, x, _ in passages}
+    for i, text in rows:
+        if i >= 0:
+            own = {x for p, x in phrases.items() if f" {p} " in f" {text} "}
+            assert set(got[i].labels) == {label[i % 1000]} | own, (text, got[i].labels)
+    assert set(label.values()) <= set(got[-1].labels)
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(4)
     shared = rng.integers(0, 2**63, 60).astype(np.uint64)
