@@ -215,6 +215,37 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_conversations(conversation_repair.damage(table(spark, sf_dir, "conversations")))
 
 
+_CRC = """xor(list_reduce(list_transform(string_split({key}, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda crc, b: list_reduce(range(0, 8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(crc, b)), 4294967295), 4294967295)"""
+_LINE = "CASE WHEN x.t IS NULL THEN '' ELSE x.t || chr(10) END"
+_WANTED = "CASE x.s WHEN 2 THEN 'assistant' ELSE 'user' END"
+_AFTER = "CASE x.s WHEN 2 THEN 3 ELSE 2 END"
+_INSERT = f"lambda x: {{'c': x.c + 3, 'a': x.a || 'I', 's': {_AFTER}, 't': {_LINE} || {_WANTED} || ':'}}"
+#: Row by row, the cheapest edits that lead to each state (0 start, 1 led, 2 asked, 3 answered), by cost and then as strings.
+OP11_SQL = f"""
+WITH RECURSIVE k AS (SELECT coalesce(CAST(conv_id AS VARCHAR), ' ') AS k, conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {_CRC.format(key="(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS kind FROM conversations),
+d AS (SELECT k, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM k WHERE kind <> 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY k, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM d),
+n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text, again, copy) AS i, CASE WHEN bare = '' THEN 1 WHEN again THEN 2 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM f),
+r(k, i, best) AS (SELECT DISTINCT k, 0::BIGINT, [{{'c': 0::BIGINT, 'a': '', 's': 0::INT, 't': NULL::VARCHAR}}] FROM k
+  UNION ALL SELECT k, i, list_filter(list_transform(range(0, 4), lambda z: list_sort(list_filter(ways, lambda x: x.s = z))[1]), lambda x: x IS NOT NULL) FROM (
+    SELECT k, i, list_concat(list_transform(l, lambda x: {{'c': x.c + 4, 'a': x.a || 'D', 's': x.s, 't': x.t}}), CASE WHEN fault IN (1, 2) THEN [] ELSE list_concat(
+      list_transform(l, lambda x: {{'c': x.c + 3 + more, 'a': x.a || 'R', 's': {_AFTER}, 't': {_LINE} || {_WANTED} || ':' || text}}),
+      list_transform(list_filter(l, lambda x: (x.s = 0 AND initial = 's') OR (x.s <> 2 AND initial = 'u') OR (x.s = 2 AND initial = 'a')),
+        lambda x: {{'c': x.c + more, 'a': x.a || 'K', 's': CASE initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, 't': {_LINE} || role || ':' || text}})) END) AS ways
+    FROM (SELECT k, i, role, text, fault, left(role, 1) AS initial, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS more, list_concat(best, one, list_transform(one, {_INSERT})) AS l
+      FROM (SELECT n.k, n.i, n.role, n.text, n.fault, r.best, list_transform(r.best, {_INSERT}) AS one FROM r JOIN n ON n.k = r.k AND n.i = r.i + 1)))),
+e AS (SELECT k, list_sort(list_transform(best, lambda x: CASE x.s WHEN 1 THEN {{'c': x.c + 6, 'a': x.a || 'II', 't': {_LINE} || 'user:' || chr(10) || 'assistant:'}}
+  WHEN 2 THEN {{'c': x.c + 3, 'a': x.a || 'I', 't': {_LINE} || 'assistant:'}} ELSE {{'c': x.c, 'a': x.a, 't': x.t}} END))[1] AS x FROM (SELECT k, arg_max(best, i) AS best FROM r GROUP BY k)),
+p AS (SELECT k, left(lag(role) OVER (PARTITION BY k ORDER BY i), 1) || left(role, 1) AS two, turn, fault, i FROM n),
+g AS (SELECT k, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+  count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM p GROUP BY k),
+i AS (SELECT DISTINCT k, conv_id FROM k)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(x.c AS BIGINT) AS cost, x.a AS audit, sha256(coalesce(x.t, '')) AS repaired_sha256 FROM i JOIN e USING (k) LEFT JOIN g USING (k)
+"""
+
+
 def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
@@ -250,4 +281,5 @@ SQL: dict[str, str] = {
     "op6_secret_scan": OP6_SQL,
     "op9_url_filter": OP9_SQL,
     "op10_topk": OP10_SQL,
+    "op11_conversation_repair": OP11_SQL,
 }
