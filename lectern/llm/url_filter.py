@@ -9,10 +9,10 @@ path the url's path starts with decides.
 
 Prefix intervals nest or are disjoint, so the stack after each event is known from the rule
 alone: the rule and the rules on its shorter prefixes. Each event therefore carries its stack,
-and the sweep is `last(stack)` over the sorted order. Keys are swept by zones, the ranges of keys
-that share their first two labels; what encloses a whole zone, the rules of its first label, is
-carried into it. Each distinct host is swept once, however many urls name it, and urls are joined
-with the hosts that have rules. A task holds the events of one zone at a time.
+and the sweep is `last(stack)` over the sorted order. The sorted keys are dealt to tasks by ranges
+of about equal size, wherever they begin, so a domain with most of the hosts is dealt to many
+tasks; the stack of the last event before a range is carried into it. Each distinct host is swept once,
+however many urls name it, and urls are joined with the hosts that have rules.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import keep
 from .common import col, unused
 
 # The base rules as (verdict, host and path).
@@ -49,8 +50,6 @@ METHOD_RULES: list[tuple[str, str]] = [
 ]
 #: Sorts after every character of a key.
 HIGH = "\U0010ffff"
-#: Labels that the keys of a zone share.
-ZONE = 2
 
 
 def host_of(url: Column) -> Column:
@@ -94,17 +93,15 @@ def _events(rules: DataFrame) -> DataFrame:
 
 def active_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     """(host, active): for each distinct host that has any, the rules whose host encloses it."""
-    zone = _prefix(F.col("key"), F.lit(ZONE)).alias("zone")
     # kind 2 sorts a host after a start at its own key; the highest character puts ends behind all subdomains
     keys = hosts.select("host").distinct().select("host", host_key(F.col("host")).alias("key"), F.lit(2).alias("kind"))
-    events = _events(rules)
-    within = events.where(F.size(_labels(F.regexp_replace("key", HIGH + "$", ""))) >= ZONE)
-    carried = events.where((F.col("kind") == 0) & (F.size(_labels(F.col("key"))) < ZONE)).select(F.col("key").alias("top"), F.col("stack").alias("carried"))
-    zones = F.regexp_replace(F.col("key"), HIGH + "$", "")
-    both = keys.select("host", "key", "kind", zone).unionByName(within.withColumn("zone", _prefix(zones, F.lit(ZONE))), allowMissingColumns=True)
-    order = Window.partitionBy("zone").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    swept = both.withColumn("active", F.last("stack", ignorenulls=True).over(order)).where("kind = 2")
-    swept = swept.withColumn("top", _prefix(F.col("key"), F.lit(ZONE - 1))).join(carried, "top", "left")
+    both = keys.unionByName(_events(rules), allowMissingColumns=True).repartitionByRange("key", "kind")
+    dealt = keep(both.withColumn("part", F.spark_partition_id()), "host-keys")  # ranges stay as they are written
+    last = dealt.where(F.col("stack").isNotNull()).groupBy("part").agg(F.max_by("stack", F.struct("key", "kind")).alias("stack"))
+    parts = dealt.select("part").distinct().join(last, "part", "left")  # a row for each range
+    carried = parts.select("part", F.last("stack", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    order = Window.partitionBy("part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    swept = dealt.withColumn("active", F.last("stack", ignorenulls=True).over(order)).where("kind = 2").join(carried, "part")
     return swept.select("host", F.coalesce("active", "carried").alias("active")).where(F.size("active") > 0)
 
 

@@ -473,6 +473,14 @@ def test_urls(spark):
     odd = spark.createDataFrame([(n, f"http://{h}/{p}", "u", "v") for n, (h, p) in enumerate((h, p) for h in ("net", "example.net", "z.a.example.net", "x.a.example.net", "aa.example.net", "c.b.com", "d.c.b.com", "b.com.x", "org", "") for p in ("", "en/x1", "de/", "fr"))], "page_id bigint, url string, own_host string, active string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(odd, table).collect()}
     assert got == {r.page_id: judge(r.url, many, []) for r in odd.collect()}
+    # one domain with all hosts is dealt to several ranges, into which its rules are carried
+    zone = [("block", "co.uk/"), ("allow", "shop.co.uk/"), ("block", "m5.shop.co.uk/x"), ("allow", "m5.shop.co.uk/")]
+    table = spark.createDataFrame([(r, v, True) for v, r in zone], "rule string, verdict string, base boolean")
+    hot = spark.createDataFrame([(n, f"http://{h}.shop.co.uk/x{n}") for n, h in enumerate([f"m{i}" for i in range(3000)] + ["a.m5", "m5", "m50", "z.z"])] + [(-1, "http://shop.co/x"), (-2, "http://zz.co.uk/")], "page_id bigint, url string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(hot, table).collect()}
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got == {r.page_id: judge(r.url, zone, []) for r in hot.collect()}
 
 
 @pytest.mark.parametrize("block", [4096, 7])
