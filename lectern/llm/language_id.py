@@ -4,6 +4,10 @@ A bit-sliced Bloom filter keeps one bit of each language in every slot. Looking
 the slots of its hashes, which yields at once all languages that contain it. A text's n-grams are
 looked up together; each language's popcount, corrected for the filter's false positives, is
 its share of known n-grams, and the largest share decides.
+
+The slots are made in tasks and written, 64 languages a word. As many words of all slots as
+FILTER_BYTES hold are broadcast together; with more languages, the texts are read once for each
+such part, and the two best languages so far go on with them.
 """
 
 from __future__ import annotations
@@ -48,39 +52,29 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
+#: Bytes of a part of the filter that is broadcast.
+FILTER_BYTES = 64 << 20
+
+
 @dataclass
 class Filter:
-    """The bit-sliced filter, the languages of its bits, and each language's false-positive rate.
-
-    A slot has as many 64-bit words as the languages need; the number of slots is a power of two.
-    """
+    """Some languages of the bit-sliced filter, those of one or more words of each slot, and their false-positive rates."""
 
     languages: list[str]
-    bits: np.ndarray
+    bits: np.ndarray  # (slots, words)
     false: np.ndarray
-    common: int
 
     @classmethod
-    def of(cls, languages: list[str], grams: np.ndarray, owners: list[list[int]], common: int) -> Filter:
-        """owners: for each n-gram the numbers of its languages."""
-        gram = np.repeat(grams, [len(o) for o in owners])
-        owner = np.array([i for o in owners for i in o], np.int64)
-        most = int(np.bincount(owner, minlength=1).max()) if len(owner) else 1
-        bits = np.zeros((1 << max(10, (ROOM * most - 1).bit_length()), -(-len(languages) // 64) or 1), np.uint64)
-        out = cls(languages, bits, np.zeros(len(languages)), common)
-        for j in range(HASHES):
-            np.bitwise_or.at(bits, (out.slot(gram, j), owner // 64), np.uint64(1) << (owner % 64).astype(np.uint64))
+    def of(cls, languages: list[str], bits: np.ndarray) -> Filter:
+        out = cls(languages, bits, np.zeros(len(languages)))
         out.false = (out.counts(bits) / len(bits)) ** HASHES
         return out
 
-    def slot(self, grams: np.ndarray, j: int) -> np.ndarray:
-        return (mix(grams + np.uint64(j << 40)) & np.uint64(len(self.bits) - 1)).astype(np.int64)
-
     def masks(self, grams: np.ndarray) -> np.ndarray:
         """All languages that contain each n-gram, as bits."""
-        out = self.bits[self.slot(grams, 0)]
+        out = self.bits[slot_of(grams, 0, len(self.bits))]
         for j in range(1, HASHES):
-            out &= self.bits[self.slot(grams, j)]
+            out &= self.bits[slot_of(grams, j, len(self.bits))]
         return out
 
     def counts(self, masks: np.ndarray) -> np.ndarray:
@@ -91,16 +85,36 @@ class Filter:
         """Share of known n-grams for each language, corrected for false positives."""
         return np.clip((self.counts(masks) / max(1, len(masks)) - self.false) / (1 - self.false), 0.0, 1.0)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, score); und without letters; the most common language if nothing is known."""
-        if not self.languages or not has_letter(text):
-            return "und", 0.0
+    def best(self, text: str) -> list[tuple[float, str]]:
+        """The two languages with the largest shares, as (share, language)."""
         shares = self.shares(self.masks(grams_of(text)))
-        order = np.argsort(-shares, kind="stable")
-        if shares[order[0]] == 0:
-            return self.languages[self.common], 0.0
-        second = shares[order[1]] if len(order) > 1 else 0.0
-        return self.languages[order[0]], round(float(shares[order[0]] / (shares[order[0]] + second)), 6)
+        return [(float(shares[i]), self.languages[i]) for i in np.argsort(-shares, kind="stable")[:2]]
+
+
+def slot_of(grams: np.ndarray, j: int, slots: int) -> np.ndarray:
+    return (mix(grams + np.uint64(j << 40)) & np.uint64(slots - 1)).astype(np.int64)
+
+
+@dataclass
+class Learned:
+    """What is learned: languages in order, the most common one, the number of slots, and the table of (slot, word, bits)."""
+
+    languages: list[str]
+    common: str | None
+    slots: int
+    table: DataFrame | None
+
+    def parts(self, most: int) -> list[tuple[int, int]]:
+        """Ranges of words, each of at most `most` bytes over all slots, or one word."""
+        words, step = -(-len(self.languages) // 64), max(1, most // (8 * self.slots))
+        return [(w, min(w + step, words)) for w in range(0, words, step)]
+
+    def filter(self, first: int, last: int) -> Filter:
+        """The languages of the words first..last."""
+        bits = np.zeros((self.slots, last - first), np.uint64)
+        rows = self.table.where(F.col("word").between(first, last - 1)).toArrow()
+        bits[np.asarray(rows.column("slot")), np.asarray(rows.column("word")) - first] = np.asarray(rows.column("bits")).astype(np.int64).view(np.uint64)
+        return Filter.of(self.languages[first * 64 : last * 64], bits)
 
 
 def held_out(name: str):
@@ -115,11 +129,11 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(np.concatenate(texts).astype(np.int64))], names=["lang", "gram"])
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Filter:
+def fit(docs: DataFrame, sample: int = SAMPLE) -> Learned:
     """Learn from about `sample` texts of each language, picked by a hash of their ids.
 
-    Rows without language or text, and held-out rows, are passed over. What is collected are the
-    n-grams that LEAST_SHARE of a language's sampled texts have, of all languages.
+    Rows without language or text, and held-out rows, are passed over. Only the names of languages
+    and their rows come to the driver; n-grams become slots in tasks.
     """
     known = bound_batches(docs).select(col("doc_id").alias("doc_id"), col("lang").cast("string").alias("lang"), col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & ~held_out("doc_id"))
     # tables of a row for each language, whose sizes Spark knows when it picks the joins
@@ -130,30 +144,73 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Filter:
     share = chosen.select("lang", "text").mapInArrow(_distinct, "lang string, gram bigint").groupBy("lang", "gram").count().join(texts, "lang")
     share = share.select("lang", "gram", (F.col("count") / F.col("texts")).alias("share")).where(F.col("share") >= LEAST_SHARE)
     top = share.groupBy("gram").agg(F.max("share").alias("top"), F.collect_list(F.struct("lang", "share")).alias("own"))
-    kept = top.select("gram", F.transform(F.filter("own", lambda s: s["share"] >= LEAST_PART * F.col("top")), lambda s: s["lang"]).alias("langs")).collect()
     sizes = {r["lang"]: r["rows"] for r in texts.collect()}
     languages = sorted(sizes)
-    number = {name: i for i, name in enumerate(languages)}
-    grams = np.array([r.gram for r in kept], np.int64).view(np.uint64)
-    common = number[min(languages, key=lambda x: (-sizes[x], x))] if languages else 0
-    return Filter.of(languages, grams, [[number[x] for x in r.langs] for r in kept], common)
+    if not languages:
+        return Learned([], None, 1, None)
+    numbers = docs.sparkSession.createDataFrame([(x, i) for i, x in enumerate(languages)], "lang string, number int")
+    owned = top.select("gram", F.explode(F.filter("own", lambda s: s["share"] >= LEAST_PART * F.col("top"))).alias("o")).select("gram", F.col("o.lang").alias("lang"))
+    owned = keep(owned.join(F.broadcast(numbers), "lang").select("gram", "number"), "grams")
+    most = owned.groupBy("number").count().agg(F.max("count")).first()[0] or 1
+    slots = 1 << max(10, (ROOM * most - 1).bit_length())
+    bits = owned.mapInArrow(_bits(slots), "slot bigint, word int, bits bigint").groupBy("slot", "word").agg(F.bit_or("bits").alias("bits"))
+    return Learned(languages, min(languages, key=lambda x: (-sizes[x], x)), slots, keep(bits, "filter"))
+
 
+def _bits(slots: int):
+    """(slot, word, bit) of each (gram, number of a language), for each hash."""
 
-def identify_language(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gram, number = np.asarray(batch.column("gram")).view(np.uint64), np.asarray(batch.column("number")).astype(np.int64)
+            slot = np.concatenate([slot_of(gram, j, slots) for j in range(HASHES)])
+            word, bit = np.tile(number // 64, HASHES), np.tile(np.uint64(1) << (number % 64).astype(np.uint64), HASHES)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(word.astype(np.int32)), pa.array(bit.view(np.int64))], names=["slot", "word", "bits"])
+
+    return run
+
+
+BEST = pa.list_(pa.struct([("share", pa.float64()), ("lang", pa.string())]))
+
+
+def _judge(part, common: str | None):
+    """The two best languages of each text with one more part of the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            known: Filter | None = part.value if part is not None else None
+            out = []
+            for text, before in zip(batch.column("text").to_pylist(), batch.column("best").to_pylist(), strict=True):
+                if known is None or not has_letter(text):
+                    out.append([])
+                    continue
+                both = [(-b["share"], b["lang"]) for b in before or []] + [(-s, x) for s, x in known.best(text)]
+                out.append([{"share": -s, "lang": x} for s, x in sorted(both)[:2]])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(out, BEST)], names=["doc_id", "text", "best"])
+
+    return run
+
+
+def identify_language(docs: DataFrame, sample: int = SAMPLE, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """doc_id, held_out, lang_pred (a learned language, or und without a letter), score (0 to 1).
 
     The score is the winner's part of the two largest shares; ties go to the language that sorts
     first. Null texts are und. Repeated rows keep a row each; null doc_ids are held out; with
     nothing to learn from every text is und; an empty table gives no rows. Only text enters a
-    prediction.
+    prediction. The result doesn't depend on filter_bytes.
     """
     learned = fit(docs, sample)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            got = [learned.predict(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
-
-    source = docs.select(col("doc_id").alias("doc_id"), col("text").cast("string").alias("text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double").select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+    kind = docs.select(col("doc_id")).schema[0].dataType.simpleString()
+    empty = F.array().cast("array<struct<share:double,lang:string>>").alias("best")
+    out = docs.select(col("doc_id").alias("doc_id"), col("text").cast("string").alias("text"), empty)
+    parts = [docs.sparkSession.sparkContext.broadcast(learned.filter(*p)) for p in learned.parts(filter_bytes)[:1]] or [None]
+    rest = learned.parts(filter_bytes)[1:] if learned.languages else []
+    out = out.mapInArrow(_judge(parts[0], learned.common), f"doc_id {kind}, text string, best array<struct<share:double,lang:string>>")
+    for p in rest:  # one part after another, so a task never holds two
+        before = keep(out, "judged")
+        out = before.mapInArrow(_judge(docs.sparkSession.sparkContext.broadcast(learned.filter(*p)), learned.common), f"doc_id {kind}, text string, best array<struct<share:double,lang:string>>")
+    second = F.coalesce(F.get("best", F.lit(1))["share"], F.lit(0.0))
+    share = F.get("best", F.lit(0))["share"]
+    lang = F.when(F.size("best") == 0, "und").when(share == 0, F.lit(learned.common)).otherwise(F.get("best", F.lit(0))["lang"])
+    score = F.when((F.size("best") == 0) | (share == 0), 0.0).otherwise(F.round(share / (share + second), 6))
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), lang.alias("lang_pred"), score.alias("score"))

@@ -294,7 +294,7 @@ def test_language_filter_equals_sets(spark):
     rows = [(n * 10 + i, f"l{n:03d}", " ".join(own[(i + j) % 4] for j in range(6))) for n, own in enumerate(words.values()) for i in range(6)]
     docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
     learned = language_id.fit(docs)
-    assert learned.languages == sorted(words) and learned.bits.shape[1] == 2
+    assert learned.languages == sorted(words) and learned.parts(1 << 30) == [(0, 2)] and learned.parts(1) == [(0, 1), (1, 2)]
     sets = {name: {g for i, lang, t in rows if lang == name and zlib.crc32(str(i).encode()) % 5 for g in language_id.grams_of(t).tolist()} for name in words}
     got = language_id.identify_language(docs).collect()
     truth = {i: (lang, t) for i, lang, t in rows}
@@ -304,7 +304,8 @@ def test_language_filter_equals_sets(spark):
         best = max(sorted(words), key=lambda name: sum(g in sets[name] for g in grams))
         assert r.lang_pred == best == lang and 0.5 < r.score <= 1
     grams = np.array(sorted(set().union(*sets.values())), np.uint64)
-    masks = learned.masks(grams)
+    masks = learned.filter(0, 2).masks(grams)
+    assert sorted(map(tuple, language_id.identify_language(docs, filter_bytes=1).collect())) == sorted(map(tuple, got))  # a word after another
     for i, name in enumerate(learned.languages):
         bit = (masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)
         own = np.array([g in sets[name] for g in grams.tolist()])
