@@ -56,7 +56,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20,
     for batch in batches:
         for first, n in pieces(batch.column(batch.schema.get_field_index(column)), most, rows):
             yield batch.slice(first, n)
+    give_back()
+
+
+def give_back() -> None:
+    """Return to the system what a task has used: a worker outlives its tasks and would hold it beside those of the next stage."""
+    import ctypes
+
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

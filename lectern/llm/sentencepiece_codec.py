@@ -23,22 +23,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, col, pieces
+from .common import bound_batches, col, give_back, pieces
 
 MARK = "▁"
 #: Words of a text: a run of marks with what follows, cut before and after characters without a piece.
 UNIGRAM, BPE = 1, 2
 
 
+def _model(path: str):
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    return model
+
+
+class Decoder:
+    """The bytes of a SentencePiece model's pieces: all that decoding needs."""
+
+    def __init__(self, path: str):
+        model = _model(path)
+        self.dummy = MARK if model.normalizer_spec.add_dummy_prefix else ""
+        special = {3: b"", 2: " ⁇ ".encode()}
+        self.back = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else special[p.type] if p.type in special else p.piece.replace(MARK, " ").encode() for p in model.pieces]
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of ids, without the mark that encoding put first."""
+        text = b"".join(map(self.back.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        return text[1:] if self.dummy and text.startswith(" ") else text
+
+
 class Codec:
     """A SentencePiece model's pieces, encoded without its library."""
 
     def __init__(self, path: str, most: int = 200_000):
-        from sentencepiece import sentencepiece_model_pb2
-
-        model = sentencepiece_model_pb2.ModelProto()
-        with open(path, "rb") as f:
-            model.ParseFromString(f.read())
+        model = _model(path)
         spec, self.kind = model.normalizer_spec, model.trainer_spec.model_type
         if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
             raise ValueError("only models that keep the text as it is are supported")
@@ -52,14 +72,6 @@ class Codec:
         self.longest = max(map(len, self.ids))
         self.single = {p for p in self.ids if len(p) == 1}
         self.tails = {p[i:] for p in self.ids for i in range(len(p))}
-        self.back = [p.piece.replace(MARK, " ").encode() for p in model.pieces]
-        for b, i in self.bytes.items():
-            self.back[i] = bytes([b])
-        for i, p in enumerate(model.pieces):
-            if p.type == 3:
-                self.back[i] = b""
-            elif p.type == 2:
-                self.back[i] = " ⁇ ".encode()
         self.follows: dict[str, bool] = {}
         self.halves: dict[str, tuple[str, str]] = {}
         self.pairs: dict[str, dict[str, bool]] = {}
@@ -228,11 +240,6 @@ class Codec:
         unknown = ids == self.unknown
         return ids[~(unknown & np.concatenate([[False], unknown[:-1]])[: len(ids)])]
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ids, without the mark that encoding put first."""
-        text = b"".join(map(self.back.__getitem__, ids.tolist())).decode("utf-8", "replace")
-        return text[1:] if self.dummy and text.startswith(" ") else text
-
 
 def encoder(path: str):
     """An Arrow function of a text column that gives its ids as little-endian uint32."""
@@ -246,7 +253,8 @@ def encoder(path: str):
                 part = column.slice(first, n).to_pylist()
                 out += [None if t is None else i.astype("<u4").tobytes() for t, i in zip(part, codec.encode(part), strict=True)]
             yield pa.array(out, pa.binary())
-        pa.default_memory_pool().release_unused()
+        del codec
+        give_back()
 
     return encode_texts
 
@@ -256,13 +264,14 @@ def decoder(path: str):
 
     @F.arrow_udf("string")
     def decode_ids(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = Codec(path)
+        codec = Decoder(path)
         for column in ids:
             out: list[str | None] = []
             for first, n in pieces(column):
                 out += [None if i is None else codec.decode(np.frombuffer(i, "<u4")) for i in column.slice(first, n).to_pylist()]
             yield pa.array(out, pa.string())
-        pa.default_memory_pool().release_unused()
+        del codec
+        give_back()
 
     return decode_ids
 
