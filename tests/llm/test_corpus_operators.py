@@ -396,6 +396,35 @@ def test_sentencepiece(docs, texts):
     assert got == sorted([(i, None if t is None else library.encode(t), t) for i, t in texts], key=str)
 
 
+def test_prefixes_are_encoded_by_levels(monkeypatch):
+    """Many words are encoded by the prefixes of one length together, hard ones too, and equal the library."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, rng = sentencepiece.SentencePieceProcessor(model_file=path), np.random.default_rng(23)
+    signs = ["a", "e", "n", "t", "the", "ing", "tion", " ", " ", "  ", "\n", "\t", "▁", "▁▁", "é", "日本", "ﬁ", "🙂", "\U0010ffff", "\x00", "　", "<s>", "<0x41>", "23", ".", "'s", "Z", "ß", "й"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 40))) for _ in range(4000)] + ["", "x", "x" * 3000, "\x00", "\x00\x00 \x00", "日本語" * 500]
+    texts += ["".join(rng.choice(list("etaoinshrd"), rng.integers(1, 300))) for _ in range(300)]
+    monkeypatch.setattr(sentencepiece_codec.Codec, "_last_piece", lambda *_: pytest.fail("walked one by one"))
+    monkeypatch.setattr(sentencepiece_codec.Codec, "many", 1, raising=False)
+    codec, decoder = sentencepiece_codec.Codec(path, most=2000), sentencepiece_codec.Decoder(path)
+    for first in range(0, len(texts), 500):
+        some = texts[first : first + 500]
+        for text, ids in zip(some, codec.encode(some), strict=True):
+            assert ids.tolist() == library.encode(text), text
+            assert decoder.decode(ids) == text.replace("▁", " "), text
+
+
+def test_few_words_are_walked(monkeypatch):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    monkeypatch.setattr(sentencepiece_codec, "levels", lambda _: pytest.fail("arrays for a few words"))
+    texts = ["a few words", "and one that is " + "very" * 2000 + " long", "ab🙂cd", None, ""]
+    library, got = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.Codec(path).encode(texts)
+    assert [ids.tolist() for ids in got] == [library.encode(t) if t else [] for t in texts]
+
+
 def test_token_store(spark, docs, texts):
     from tokenizers import Tokenizer
 
