@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, col, give_back, pieces
+from .common import Lists, Numbers, bound_batches, col, give_back, pieces
 
 MARK = "▁"
 #: Words of a text: a run of marks with what follows, cut before and after characters without a piece.
@@ -42,39 +42,6 @@ def _model(path: str):
     return model
 
 
-class Lists:
-    """Numbered lists of small numbers, one after another."""
-
-    def __init__(self, lists: list, dtype: type):
-        self.flat, self.begin, self.n = np.zeros(0, dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        n = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.add(np.fromiter(chain.from_iterable(lists), dtype, int(n.sum())), n)
-
-    def add(self, flat: np.ndarray, n: np.ndarray) -> None:
-        """Number further lists, given one after another with their lengths."""
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(n) - n])
-        self.n = np.concatenate([self.n, n])
-        self.flat = np.concatenate([self.flat, flat])
-
-    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(the lists of the numbers one after another, the length of each)."""
-        n = self.n[numbers]
-        before = np.cumsum(n) - n
-        return self.flat[np.arange(int(n.sum())) + np.repeat(self.begin[numbers] - before, n)], n
-
-
-class Numbers(dict):
-    """Numbers of words, given in the order in which they are met; new: those met since it was emptied."""
-
-    def __init__(self) -> None:
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        self.new.append(word)
-        return n
-
-
 def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place of each wanted key among ascending keys, whether it is there)."""
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)

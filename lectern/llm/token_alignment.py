@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import keep
-from .common import bound_batches, col, slices
+from .common import Lists, Numbers, bound_batches, col, slices
 
 MARK = "▁"
 #: Bytes of text that are aligned together.
@@ -91,7 +92,7 @@ def words_can_be_cut(byte_tokenizer: str, piece_model: str) -> bool:
 
 
 class Side:
-    """Ids of numbered words of one tokenizer, one after another."""
+    """Ids of numbered words of one tokenizer."""
 
     def __init__(self, vocabulary: list[bytes]):
         self.bytes = vocabulary
@@ -99,22 +100,18 @@ class Side:
         self.forget()
 
     def forget(self) -> None:
-        self.flat, self.begin, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def learn(self, ids: list[list[int]]) -> None:
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(n) - n])
-        self.n = np.concatenate([self.n, n])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for own in ids for i in own), np.int64, int(n.sum()))])
-
-    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of the words one after another, ids of each word)."""
-        n = self.n[numbers]
-        before = np.cumsum(n) - n
-        return self.flat[np.arange(int(n.sum())) + np.repeat(self.begin[numbers] - before, n)], n
+        self.words = Lists([], np.int64)
 
     def joined(self, ids: list[int]) -> bytes:
-        return b"".join(self.bytes[i] for i in ids)
+        return b"".join(map(self.bytes.__getitem__, ids))
+
+    def parts(self, ids: list[int], text: bytes, ends: np.ndarray) -> np.ndarray | None:
+        """Ids of each part of a text, whose parts end at ends; None if its bytes don't come back or a token reaches over an end."""
+        if self.joined(ids) != text:
+            return None
+        tokens = np.cumsum(self.size[ids])
+        at = np.searchsorted(tokens, ends)
+        return np.diff(at + 1, prepend=0) if (tokens[at] == ends).all() else None
 
 
 class BothEncoder:
@@ -122,6 +119,10 @@ class BothEncoder:
 
     #: A cut stands before a blank between two characters that are neither white space nor a mark.
     CUT = re.compile(rf"(?<=[^\s{MARK}])(?= [^\s{MARK}])")
+    #: Blanks beside other white space.
+    SPACES = re.compile(r" \s|\s ")
+    #: Words that are encoded as one text.
+    TOGETHER = 256
 
     def __init__(self, byte_tokenizer: str, piece_model: str, most: int = 200_000):
         import sentencepiece
@@ -132,52 +133,88 @@ class BothEncoder:
         self.model = sentencepiece.SentencePieceProcessor(model_file=piece_model)
         self.a, self.b = Side(byte_vocabulary(byte_tokenizer)), Side(piece_vocabulary(piece_model))
         self.by_words, self.most = words_can_be_cut(byte_tokenizer, piece_model), most
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
         self.whole = np.zeros(0, bool)  # whether both sides give the bytes of a blank and the word
 
     def words(self, text: str) -> list[str]:
         """Words of a text, each without the blank before it."""
         if not self.by_words:
             return [text]
-        parts = text.split(" ")
-        if all(p and not p[0].isspace() and not p[-1].isspace() for p in parts) and MARK not in text:
-            return parts
+        if self.stands_amid(text) and not self.SPACES.search(text):
+            return text.split(" ")
         return [w[1:] for w in self.CUT.split(" " + text)]
 
+    @staticmethod
+    def stands_amid(word: str) -> bool:
+        """Whether a text may be cut on both sides of a word: no white space at its ends and no mark."""
+        return bool(word) and not word[0].isspace() and not word[-1].isspace() and MARK not in word
+
+    def _ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of a blank and each text by both tokenizers."""
+        a = self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        return [e.ids for e in a], self.model.encode(texts, num_threads=1)
+
     def _learn(self, new: list[str]) -> None:
-        a = [e.ids for e in self.tokenizer.encode_batch_fast([" " + w for w in new], add_special_tokens=False)]
-        b = self.model.encode(new, num_threads=1)
-        self.whole = np.concatenate([self.whole, np.array([self.a.joined(x) == self.b.joined(y) == b" " + w.encode() for w, x, y in zip(new, a, b, strict=True)], bool)])
-        self.a.learn(a)
-        self.b.learn(b)
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        """Keep the ids of words.
+
+        Words that may stand amid a text are joined by blanks, encoded as one text and cut again.
+        If that text's bytes don't come back, its words are encoded one by one.
+        """
+        amid = [i for i, w in enumerate(new) if self.stands_amid(w)] if self.by_words else []
+        batches = [amid[i : i + self.TOGETHER] for i in range(0, len(amid), self.TOGETHER)]
+        texts = [" ".join([new[i] for i in batch]) for batch in batches]
+        alone, order, sides = np.ones(len(new), bool), [], ([], [])
+        for batch, text, *both in zip(batches, texts, *self._ids(texts), strict=True):
+            ends = np.cumsum([len(new[i].encode()) + 1 for i in batch])
+            want = b" " + text.encode()
+            n = [side.parts(ids, want, ends) for side, ids in zip((self.a, self.b), both, strict=True)]
+            if all(x is not None for x in n):
+                alone[batch] = False
+                order += batch
+                for made, ids, x in zip(sides, both, n, strict=True):
+                    made.append((ids, x))
+        whole, rest = np.ones(len(new), bool), np.flatnonzero(alone)
+        words = [new[i] for i in rest.tolist()]
+        both = self._ids(words)
+        whole[rest] = [self.a.joined(x) == self.b.joined(y) == b" " + w.encode() for w, x, y in zip(words, *both, strict=True)]
+        self.whole = np.concatenate([self.whole, whole])
+        place = np.empty(len(new), np.int64)
+        place[np.concatenate([np.array(order, np.int64), rest])] = np.arange(len(new))
+        for side, made, ids in zip((self.a, self.b), sides, both, strict=True):
+            lists = Lists([], np.int64)
+            flat = np.fromiter(chain.from_iterable(x for x, _ in made), np.int64)
+            lists.add(flat, np.concatenate([np.zeros(0, np.int64), *(n for _, n in made)]))
+            one = Lists(ids, np.int64)
+            lists.add(one.flat, one.n)
+            side.words.add(*lists.of(place))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids of A, ids of A in each text, ids of B, ids of B in each text); none of a text whose bytes don't come back."""
         if len(self.known) > self.most:
-            self.known, self.whole = {}, np.zeros(0, bool)
+            self.known, self.whole = Numbers(), np.zeros(0, bool)
             self.a.forget()
             self.b.forget()
         cut = [self.words(t) if t else [] for t in texts]
-        if new := sorted(set().union(*cut).difference(self.known)):
-            self._learn(new)
-        get = self.known.__getitem__
-        numbers = [np.fromiter(map(get, c), np.int64, len(c)) for c in cut]
-        for i, n in enumerate(numbers):
-            if len(n) and not self.whole[n].all() and not self._comes_back(texts[i], n):
-                numbers[i] = np.zeros(0, np.int64)
-        at = np.concatenate([np.zeros(0, np.int64), *numbers])
-        ends = np.cumsum([len(n) for n in numbers])
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64)
+        if self.known.new:
+            self._learn(self.known.new)
+            self.known.new = []
+        n_words = np.array([len(c) for c in cut], np.int64)
+        owner = np.repeat(np.arange(len(texts)), n_words)
+        upto = np.cumsum(n_words)
+        lost = [i for i in np.unique(owner[~self.whole[at]]).tolist() if not self._comes_back(texts[i], at[upto[i] - n_words[i] : upto[i]])]
+        at, n_words[lost] = at[~np.isin(owner, lost)], 0
+        ends = np.cumsum(n_words)
         out = []
         for side in (self.a, self.b):
-            ids, n = side.of(at)
+            ids, n = side.words.of(at)
             upto = np.concatenate([[0], np.cumsum(n)])[ends]
             out += [ids, np.diff(np.concatenate([[0], upto]))]
         return out[0], out[1], out[2], out[3]
 
     def _comes_back(self, text: str, numbers: np.ndarray) -> bool:
         want = b" " + text.encode()
-        return all(side.joined(side.of(numbers)[0].tolist()) == want for side in (self.a, self.b))
+        return all(side.joined(side.words.of(numbers)[0].tolist()) == want for side in (self.a, self.b))
 
 
 def _shared_near(a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:

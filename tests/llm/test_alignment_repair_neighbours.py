@@ -306,6 +306,46 @@ def test_alignment_equals_brute_force(spark, libraries):
     assert token_alignment.aligned_digests(df.limit(0), A, B).count() == 0
 
 
+def test_words_are_encoded_together(libraries):
+    """New words are encoded as few joined texts; those that don't come back so, one by one; all equal the libraries."""
+    a, b, *_ = libraries
+    encoder = token_alignment.BothEncoder(A, B, most=3000)
+
+    class Counted:
+        asked = 0
+
+        def encode_batch_fast(self, texts, **how):
+            self.asked += len(texts)
+            return a.encode_batch_fast(texts, **how)
+
+    encoder.tokenizer = Counted()
+    draw = random.Random(17)
+    plain = ["".join(draw.choice("etaoinshrdlu.,'é") for _ in range(draw.randrange(1, 12))) for _ in range(5000)]
+    texts = [" ".join(plain[i : i + 50]) for i in range(0, len(plain), 50)]
+    got = [encoder.encode([t]) for t in texts[:1]] + [encoder.encode(texts[1:])]
+    assert encoder.tokenizer.asked < 50
+    for side, library in ((0, lambda t: a.encode(" " + t, add_special_tokens=False).ids), (2, b.encode)):
+        assert np.concatenate([got[0][side], got[1][side]]).tolist() == [i for t in texts for i in library(t)]
+
+    for _ in range(40):  # words of hard characters beside plain ones; none of a text that doesn't come back
+        some = [" ".join("".join(draw.choice(PIECES) for _ in range(draw.randrange(6))) if draw.random() < 0.5 else draw.choice(plain) for _ in range(30)) for _ in range(20)]
+        some += [None, "", "plain words", "a▁b c"]
+        ids_a, n_a, ids_b, n_b = encoder.encode(some)
+        for text, x, y in zip(some, np.split(ids_a, np.cumsum(n_a)[:-1]), np.split(ids_b, np.cumsum(n_b)[:-1]), strict=True):
+            groups = aligned(libraries, text)
+            assert x.tolist() == [i for g, _ in groups for i in g] and y.tolist() == [i for _, g in groups for i in g], text
+
+
+def test_joined_words_that_do_not_come_back(libraries):
+    """A side that loses bytes of one word leaves the other words of its text as they are."""
+    encoder = token_alignment.BothEncoder(A, B)
+    encoder.b.bytes = [b"?" if w == b"z" else w for w in encoder.b.bytes]
+    texts = ["one two three", "a zzzzqz b", "four five"]
+    _, n_a, ids_b, n_b = encoder.encode(texts)
+    library = libraries[1]
+    assert n_a[1] == n_b[1] == 0 and ids_b.tolist() == library.encode(texts[0]) + library.encode(texts[2])
+
+
 def test_groups_are_given(spark, libraries):
     df = spark.createDataFrame([(1, "the anagram of a name")], "doc_id bigint, text string")
     row = token_alignment.align_tokens(df, A, B).collect()[0]
