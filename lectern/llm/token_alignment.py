@@ -12,8 +12,8 @@ is the end of the other, so that the vocabularies bound the number of pairs, wha
 `possible_links` counts them. This bounds the table of counts, which is broadcast.
 
 Words are cut before a blank that stands between two characters other than white space. No token
-of either tokenizer holds such a blank behind its first byte, so words are encoded one by one and
-each distinct word once for as long as it is remembered.
+of either tokenizer holds such a blank behind its first byte, so the ends of words are shared cuts:
+words are encoded and halved by themselves, and each distinct word once for as long as it is remembered.
 """
 
 from __future__ import annotations
@@ -114,8 +114,71 @@ class Side:
         return np.diff(at + 1, prepend=0) if (tokens[at] == ends).all() else None
 
 
+def _shared_near(a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For intervals [low, high) of places in a: a place near the middle whose end is in b too; -1 if there is none."""
+    out = np.full(len(low), -1, np.int64)
+    middle = (low + high) // 2
+    live, at = np.arange(len(low)), middle
+    while len(live):  # to the right: the next end of b, then the next end of a, until both are one
+        end = b[np.searchsorted(b, a[at])]
+        met = a[at] == end
+        out[live[met]] = at[met]
+        live, at = live[~met], np.searchsorted(a, end[~met])
+        inside = at < high[live]
+        live, at = live[inside], at[inside]
+    live = np.flatnonzero((out < 0) & (middle > low))
+    at = middle[live] - 1
+    while len(live):  # to the left in the same way
+        place = np.searchsorted(b, a[at], "right") - 1
+        end = np.where(place >= 0, b[np.maximum(place, 0)], -1)
+        met = a[at] == end
+        out[live[met]] = at[met]
+        live, at = live[~met], np.searchsorted(a, end[~met], "right") - 1
+        inside = at >= low[live]
+        live, at = live[inside], at[inside]
+    return out
+
+
+def shared_cuts(a: np.ndarray, b: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Ascending places in a whose ends are in b too, by halving the intervals first..last, whose last ends are shared.
+
+    a, b: ascending ends of tokens.
+    """
+    found, low, high = [last], first[first < last], last[first < last]
+    while len(low):
+        cut = _shared_near(a, b, low, high)
+        met = cut >= 0
+        found.append(cut[met])
+        low, high = np.concatenate([low[met], cut[met] + 1]), np.concatenate([cut[met], high[met]])
+        some = low < high
+        low, high = low[some], high[some]
+    return np.sort(np.concatenate(found))
+
+
+class Decimals:
+    """Text of numbers, each followed by a sign."""
+
+    def __init__(self, most: int):
+        text = [str(i).encode() for i in range(most + 1)]
+        self.n = np.array([len(t) for t in text], np.int64)
+        width = int(self.n.max())
+        self.digits = np.frombuffer(b"".join(t.ljust(width) for t in text), np.uint8).reshape(-1, width)
+
+    def of(self, numbers: np.ndarray, signs: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """(the text, where each number's sign stands)."""
+        n = self.n[numbers]
+        end = np.cumsum(n + 1)
+        begin = end - n - 1
+        out = np.empty(int(end[-1]) if len(end) else 0, np.uint8)
+        for i in range(self.digits.shape[1]):
+            some = n > i
+            out[begin[some] + i] = self.digits[numbers[some], i]
+        out[end - 1] = signs
+        return out.tobytes(), end - 1
+
+
 class BothEncoder:
-    """Ids of texts by both tokenizers."""
+    """Words by both tokenizers, aligned."""
 
     #: A cut stands before a blank between two characters that are neither white space nor a mark.
     CUT = re.compile(rf"(?<=[^\s{MARK}])(?= [^\s{MARK}])")
@@ -132,9 +195,17 @@ class BothEncoder:
         self.tokenizer.encode_special_tokens = True
         self.model = sentencepiece.SentencePieceProcessor(model_file=piece_model)
         self.a, self.b = Side(byte_vocabulary(byte_tokenizer)), Side(piece_vocabulary(piece_model))
+        self.decimals = Decimals(max(len(self.a.bytes), len(self.b.bytes)))
         self.by_words, self.most = words_can_be_cut(byte_tokenizer, piece_model), most
+        self.forget()
+
+    def forget(self) -> None:
         self.known = Numbers()
         self.whole = np.zeros(0, bool)  # whether both sides give the bytes of a blank and the word
+        self.groups: list[bytes] = []  # a word's groups as text, each with a semicolon behind it
+        self.links = Lists([], np.int64)  # the ids that end each group of a word, A's in the upper bits
+        self.a.forget()
+        self.b.forget()
 
     def words(self, text: str) -> list[str]:
         """Words of a text, each without the blank before it."""
@@ -177,7 +248,6 @@ class BothEncoder:
         words = [new[i] for i in rest.tolist()]
         both = self._ids(words)
         whole[rest] = [self.a.joined(x) == self.b.joined(y) == b" " + w.encode() for w, x, y in zip(words, *both, strict=True)]
-        self.whole = np.concatenate([self.whole, whole])
         place = np.empty(len(new), np.int64)
         place[np.concatenate([np.array(order, np.int64), rest])] = np.arange(len(new))
         for side, made, ids in zip((self.a, self.b), sides, both, strict=True):
@@ -187,134 +257,84 @@ class BothEncoder:
             one = Lists(ids, np.int64)
             lists.add(one.flat, one.n)
             side.words.add(*lists.of(place))
+        self._align(whole)
+
+    def _align(self, whole: np.ndarray) -> None:
+        """Keep the groups and links of the words learned last; whole: which of them come back."""
+        at = len(self.whole) + np.flatnonzero(whole)
+        (ids_a, n_a), (ids_b, n_b) = self.a.words.of(at), self.b.words.of(at)
+        ends_a, ends_b = np.cumsum(self.a.size[ids_a]), np.cumsum(self.b.size[ids_b])
+        upto_a = np.cumsum(n_a)
+        cuts_a = shared_cuts(ends_a, ends_b, upto_a - n_a, upto_a - 1)
+        cuts_b = np.searchsorted(ends_b, ends_a[cuts_a])
+
+        # ids of A and of B in turns by group, as text
+        size_a, size_b = np.diff(cuts_a, prepend=-1), np.diff(cuts_b, prepend=-1)
+        numbers, signs = np.empty(len(ids_a) + len(ids_b), np.int64), np.full(len(ids_a) + len(ids_b), ord(","), np.uint8)
+        numbers[np.arange(len(ids_a)) + np.repeat(cuts_b + 1 - size_b, size_a)] = ids_a
+        numbers[np.arange(len(ids_b)) + np.repeat(cuts_a + 1, size_b)] = ids_b
+        signs[cuts_a + cuts_b + 1 - size_b] = ord("|")
+        signs[cuts_a + cuts_b + 1] = ord(";")
+        text, ends = self.decimals.of(numbers, signs)
+        stops = [0, *(ends[np.cumsum(n_a + n_b) - 1] + 1).tolist()]
+        groups = iter([text[i:j] for i, j in zip(stops, stops[1:], strict=False)])
+        self.groups += [next(groups) if w else b"" for w in whole.tolist()]
+        n_links = np.zeros(len(whole), np.int64)
+        n_links[whole] = np.bincount(np.searchsorted(upto_a, cuts_a, "right"), minlength=len(at))
+        self.links.add((ids_a[cuts_a] << 21) | ids_b[cuts_b], n_links)
+        self.whole = np.concatenate([self.whole, whole])
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of A, ids of A in each text, ids of B, ids of B in each text); none of a text whose bytes don't come back."""
+    def _as_one(self, text: str, numbers: np.ndarray) -> int:
+        """The number of a text that comes back, though one of its words doesn't, as one word."""
+        if (text,) not in self.known:
+            for side in (self.a, self.b):
+                ids = side.words.of(numbers)[0]
+                side.words.add(ids, np.array([len(ids)]))
+            self.known[(text,)] = len(self.known)
+            self._align(np.ones(1, bool))
+        return self.known[(text,)]
+
+    def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of aligned words, words of each text); none of a text whose bytes don't come back."""
         if len(self.known) > self.most:
-            self.known, self.whole = Numbers(), np.zeros(0, bool)
-            self.a.forget()
-            self.b.forget()
+            self.forget()
         cut = [self.words(t) if t else [] for t in texts]
         at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64)
         if self.known.new:
             self._learn(self.known.new)
             self.known.new = []
         n_words = np.array([len(c) for c in cut], np.int64)
-        owner = np.repeat(np.arange(len(texts)), n_words)
-        upto = np.cumsum(n_words)
-        lost = [i for i in np.unique(owner[~self.whole[at]]).tolist() if not self._comes_back(texts[i], at[upto[i] - n_words[i] : upto[i]])]
-        at, n_words[lost] = at[~np.isin(owner, lost)], 0
-        ends = np.cumsum(n_words)
-        out = []
-        for side in (self.a, self.b):
-            ids, n = side.words.of(at)
-            upto = np.concatenate([[0], np.cumsum(n)])[ends]
-            out += [ids, np.diff(np.concatenate([[0], upto]))]
-        return out[0], out[1], out[2], out[3]
+        broken = np.flatnonzero(~self.whole[at])
+        if len(broken):
+            upto = np.cumsum(n_words)
+            own = np.split(at, upto[:-1])
+            for i in np.unique(np.searchsorted(upto, broken, "right")).tolist():
+                own[i] = np.array([self._as_one(texts[i], own[i])] if self._comes_back(texts[i], own[i]) else [], np.int64)
+            at, n_words = np.concatenate(own), np.array([len(x) for x in own], np.int64)
+        return at, n_words
 
     def _comes_back(self, text: str, numbers: np.ndarray) -> bool:
         want = b" " + text.encode()
         return all(side.joined(side.words.of(numbers)[0].tolist()) == want for side in (self.a, self.b))
 
 
-def _shared_near(a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """For intervals [low, high) of places in a: a place near the middle whose end is in b too; -1 if there is none."""
-    out = np.full(len(low), -1, np.int64)
-    middle = (low + high) // 2
-    live, at = np.arange(len(low)), middle
-    while len(live):  # to the right: the next end of b, then the next end of a, until both are one
-        end = b[np.searchsorted(b, a[at])]
-        met = a[at] == end
-        out[live[met]] = at[met]
-        live, at = live[~met], np.searchsorted(a, end[~met])
-        inside = at < high[live]
-        live, at = live[inside], at[inside]
-    live = np.flatnonzero((out < 0) & (middle > low))
-    at = middle[live] - 1
-    while len(live):  # to the left in the same way
-        place = np.searchsorted(b, a[at], "right") - 1
-        end = np.where(place >= 0, b[np.maximum(place, 0)], -1)
-        met = a[at] == end
-        out[live[met]] = at[met]
-        live, at = live[~met], np.searchsorted(a, end[~met], "right") - 1
-        inside = at >= low[live]
-        live, at = live[inside], at[inside]
-    return out
-
-
-def shared_cuts(a: np.ndarray, b: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Ascending places in a whose ends are in b too, by halving the intervals first..last, whose last ends are shared.
-
-    a, b: ascending ends of tokens.
-    """
-    found, low, high = [last], first[first < last], last[first < last]
-    while len(low):
-        cut = _shared_near(a, b, low, high)
-        met = cut >= 0
-        found.append(cut[met])
-        low, high = np.concatenate([low[met], cut[met] + 1]), np.concatenate([cut[met], high[met]])
-        some = low < high
-        low, high = low[some], high[some]
-    return np.sort(np.concatenate(found))
-
-
-class Decimals:
-    """Text of numbers, each followed by a sign."""
-
-    def __init__(self, most: int):
-        text = [str(i).encode() for i in range(most + 1)]
-        self.n = np.array([len(t) for t in text], np.int64)
-        width = int(self.n.max())
-        self.digits = np.frombuffer(b"".join(t.ljust(width) for t in text), np.uint8).reshape(-1, width)
-
-    def of(self, numbers: np.ndarray, signs: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """(the text, where each number's sign stands)."""
-        n = self.n[numbers]
-        end = np.cumsum(n + 1)
-        begin = end - n - 1
-        out = np.empty(int(end[-1]) if len(end) else 0, np.uint8)
-        for i in range(self.digits.shape[1]):
-            some = n > i
-            out[begin[some] + i] = self.digits[numbers[some], i]
-        out[end - 1] = signs
-        return out.tobytes(), end - 1
-
-
 LINKS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int32())]))
 ALIGNED = "n_a bigint, n_b bigint, n_groups bigint, groups string, links array<struct<a:int,b:int,n:int>>"
 
 
-def align_texts(encoder: BothEncoder, decimals: Decimals, texts: list[str | None]) -> list[pa.Array]:
+def align_texts(encoder: BothEncoder, texts: list[str | None]) -> list[pa.Array]:
     """The columns of ALIGNED for some texts."""
-    ids_a, n_a, ids_b, n_b = encoder.encode(texts)
-    ends_a, ends_b = np.cumsum(encoder.a.size[ids_a]), np.cumsum(encoder.b.size[ids_b])
-    upto_a = np.cumsum(n_a)
-    some = np.flatnonzero(n_a)
-    cuts_a = shared_cuts(ends_a, ends_b, (upto_a - n_a)[some], upto_a[some] - 1)
-    cuts_b = np.searchsorted(ends_b, ends_a[cuts_a])
-    owner = np.searchsorted(upto_a, cuts_a, "right")
-    n_groups = np.bincount(owner, minlength=len(texts))
-
-    # ids of A and of B in turns by group, as text
-    size_a, size_b = np.diff(cuts_a, prepend=-1), np.diff(cuts_b, prepend=-1)
-    numbers, signs = np.empty(len(ids_a) + len(ids_b), np.int64), np.full(len(ids_a) + len(ids_b), ord(","), np.uint8)
-    numbers[np.arange(len(ids_a)) + np.repeat(cuts_b + 1 - size_b, size_a)] = ids_a
-    numbers[np.arange(len(ids_b)) + np.repeat(cuts_a + 1, size_b)] = ids_b
-    signs[cuts_a + cuts_b + 1 - size_b] = ord("|")
-    signs[cuts_a + cuts_b + 1] = ord(";")
-    text, ends = decimals.of(numbers, signs)
-    last = np.cumsum(n_a + n_b) - 1
-    groups, begin = [], 0
-    for i in range(len(texts)):
-        if n_a[i]:
-            end = int(ends[last[i]])
-            groups.append(text[begin:end])
-            begin = end + 1
-        else:
-            groups.append(b"")
+    at, n_words = encoder.numbers(texts)
+    upto = np.concatenate([[0], np.cumsum(n_words)])
+    keys, n_links = encoder.links.of(at)
+    n_a, n_b, n_groups = (np.diff(np.concatenate([[0], np.cumsum(n)])[upto]) for n in (encoder.a.words.n[at], encoder.b.words.n[at], n_links))
+    words = list(map(encoder.groups.__getitem__, at.tolist()))
+    stops = upto.tolist()
+    groups = [b"".join(words[i:j])[:-1] for i, j in zip(stops, stops[1:], strict=False)]
 
     # distinct links of each text
-    key, times = np.unique((owner.astype(np.int64) << 42) | (ids_a[cuts_a] << 21) | ids_b[cuts_b], return_counts=True)
+    owner = np.repeat(np.arange(len(texts)), n_groups)
+    key, times = np.unique((owner << 42) | keys, return_counts=True)
     bounds = np.searchsorted(key >> 42, np.arange(len(texts) + 1)).astype(np.int32)
     fields = [pa.array(x.astype(np.int32)) for x in ((key >> 21) & 0x1FFFFF, key & 0x1FFFFF, times)]
     links = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays(fields, names=["a", "b", "n"]))
@@ -327,9 +347,8 @@ def _align(byte_tokenizer: str, piece_model: str):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = BothEncoder(byte_tokenizer, piece_model)
-        decimals = Decimals(max(len(encoder.a.bytes), len(encoder.b.bytes)))
         for batch in slices(batches, "text", PIECE):
-            made = align_texts(encoder, decimals, batch.column(batch.schema.get_field_index("text")).to_pylist())
+            made = align_texts(encoder, batch.column(batch.schema.get_field_index("text")).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", "n_a", "n_b", "n_groups", "groups", "links"])
 
     return run

@@ -322,18 +322,38 @@ def test_words_are_encoded_together(libraries):
     draw = random.Random(17)
     plain = ["".join(draw.choice("etaoinshrdlu.,'é") for _ in range(draw.randrange(1, 12))) for _ in range(5000)]
     texts = [" ".join(plain[i : i + 50]) for i in range(0, len(plain), 50)]
-    got = [encoder.encode([t]) for t in texts[:1]] + [encoder.encode(texts[1:])]
+    numbers, _ = encoder.numbers(texts)
     assert encoder.tokenizer.asked < 50
-    for side, library in ((0, lambda t: a.encode(" " + t, add_special_tokens=False).ids), (2, b.encode)):
-        assert np.concatenate([got[0][side], got[1][side]]).tolist() == [i for t in texts for i in library(t)]
+    for side, library in ((encoder.a, lambda t: a.encode(" " + t, add_special_tokens=False).ids), (encoder.b, b.encode)):
+        assert side.words.of(numbers)[0].tolist() == [i for t in texts for i in library(t)]
 
     for _ in range(40):  # words of hard characters beside plain ones; none of a text that doesn't come back
         some = [" ".join("".join(draw.choice(PIECES) for _ in range(draw.randrange(6))) if draw.random() < 0.5 else draw.choice(plain) for _ in range(30)) for _ in range(20)]
         some += [None, "", "plain words", "a▁b c"]
-        ids_a, n_a, ids_b, n_b = encoder.encode(some)
-        for text, x, y in zip(some, np.split(ids_a, np.cumsum(n_a)[:-1]), np.split(ids_b, np.cumsum(n_b)[:-1]), strict=True):
-            groups = aligned(libraries, text)
-            assert x.tolist() == [i for g, _ in groups for i in g] and y.tolist() == [i for _, g in groups for i in g], text
+        for text, groups in zip(some, token_alignment.align_texts(encoder, some)[3].to_pylist(), strict=True):
+            assert groups == as_text(aligned(libraries, text)), text
+
+
+def as_text(groups):
+    return ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+
+
+def test_words_are_aligned_once(libraries, monkeypatch):
+    """The halving takes each distinct word once, and a text of which one word alone doesn't come back as one word."""
+    taken = []
+    halved = token_alignment.shared_cuts
+    monkeypatch.setattr(token_alignment, "shared_cuts", lambda a, b, first, last: (taken.append(len(a)), halved(a, b, first, last))[1])
+    encoder = token_alignment.BothEncoder(A, B)
+    texts = ["the anagram of a name"] * 300 + ["a name of the anagram"] * 300
+    for _ in range(2):
+        n_a, n_b, n_groups, groups, _ = (c.to_pylist() for c in token_alignment.align_texts(encoder, texts))
+        assert groups == [as_text(aligned(libraries, t)) for t in texts]
+    assert sum(taken) < 30
+    encoder.whole[encoder.known["name"]] = False
+    for _ in range(2):
+        again = [c.to_pylist() for c in token_alignment.align_texts(encoder, texts)]
+        assert again[:4] == [n_a, n_b, n_groups, groups]
+    assert (texts[0],) in encoder.known and len(encoder.known) == len(encoder.groups) == len(encoder.whole) == len(encoder.links.n) == len(encoder.a.words.n)
 
 
 def test_joined_words_that_do_not_come_back(libraries):
@@ -341,9 +361,8 @@ def test_joined_words_that_do_not_come_back(libraries):
     encoder = token_alignment.BothEncoder(A, B)
     encoder.b.bytes = [b"?" if w == b"z" else w for w in encoder.b.bytes]
     texts = ["one two three", "a zzzzqz b", "four five"]
-    _, n_a, ids_b, n_b = encoder.encode(texts)
-    library = libraries[1]
-    assert n_a[1] == n_b[1] == 0 and ids_b.tolist() == library.encode(texts[0]) + library.encode(texts[2])
+    n_a, n_b, _, groups, _ = (c.to_pylist() for c in token_alignment.align_texts(encoder, texts))
+    assert n_a[1] == n_b[1] == 0 and groups == [as_text(aligned(libraries, texts[0])), "", as_text(aligned(libraries, texts[2]))]
 
 
 def test_groups_are_given(spark, libraries):
