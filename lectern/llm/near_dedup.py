@@ -20,13 +20,16 @@ at all: a shingle that no other open node has can't be common to a pair, so what
 must reach the overlap that the similarity needs. This bound is exact. A pair within one component
 adds nothing to the classes, so no class is lost.
 
+Before members and texts are shuffled, a broadcast filter of bounded size drops those that no other
+node shares a bucket with. It may let others through, which the join that follows drops.
+
 A hub meets all members of its bucket, so its shingles are sent in as many copies as its bucket
 has parts of SPLIT members, and each pair goes to one of these copies.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +49,10 @@ LARGE = 128
 SPLIT = 512
 #: Rows of a piece that is signed at once.
 PIECE = 512
+#: Pairs of a task that compares bags.
+TASK_PAIRS = 2048
+#: The most bits of the filter that tells which texts are needed (it is broadcast), and those of one of its blocks.
+FILTER_BITS, BLOCK = 1 << 28, 1 << 12
 
 UNIT = np.float64(1.0 / (1 << 53))
 
@@ -153,20 +160,87 @@ def _sign(k: int, bands: int, rows: int):
     return run
 
 
-def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, words) of every row with words. Of equal nodes a piece emits the first.
+def _halves(nodes: list[bytes]) -> np.ndarray:
+    """The 64-bit halves of nodes."""
+    return np.frombuffer(b"".join(nodes), "<u8").reshape(-1, 2)
+
+
+def _hashes(buckets: np.ndarray) -> np.ndarray:
+    """Two hashes of each bucket."""
+    return np.stack([buckets, mix(buckets)], axis=1)
+
+
+def _placed(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(0)
+            pairs = _halves(column.to_pylist()) if pa.types.is_binary(column.type) else _hashes(column.to_numpy().view(np.uint64))
+            at = (pairs & np.uint64(bits - 1)).astype(np.int64).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(at // BLOCK), pa.array((at % BLOCK).astype(np.int32))], names=["block", "at"])
+
+    return run
+
+
+def _block(group: pa.Table) -> pa.Table:
+    on = np.zeros(BLOCK, bool)
+    on[group.column("at").to_numpy()] = True
+    return pa.table({"block": group.column("block").slice(0, 1), "on": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())})
+
+
+def key_filter(keys: DataFrame, n: int) -> np.ndarray:
+    """Bits at two places of each of n keys: a column of nodes or of buckets. Its size is bounded, so of very many keys it tells fewer others apart."""
+    bits = max(BLOCK, min(FILTER_BITS, 1 << (32 * max(n, 1) - 1).bit_length()))
+    blocks = keys.mapInArrow(_placed(bits), "block bigint, at int").groupBy("block").applyInArrow(_block, "block bigint, on binary")
+    out = np.zeros((bits // BLOCK, BLOCK // 8), np.uint8)
+    for row in blocks.collect():  # 32 MB at most
+        out[row.block] = np.frombuffer(row.on, np.uint8)
+    return out.ravel()
+
+
+def _held(pairs: np.ndarray, on: np.ndarray) -> np.ndarray:
+    """Whether a key of each pair of hashes may be in the filter; of one that is, it is always true."""
+    at = (pairs & np.uint64(len(on) * 8 - 1)).astype(np.int64)
+    return (on[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(axis=1)
+
+
+def _members(shared):
+    """(node, band, bucket) of the buckets that the broadcast filter may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("bands")
+            bucket = lists.flatten().to_numpy()
+            n = lists.value_lengths().to_numpy()
+            held = _held(_hashes(bucket.view(np.uint64)), shared.value)
+            row = np.repeat(np.arange(len(n)), n)
+            band = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            nodes = batch.column("node").take(pa.array(row[held]))
+            yield pa.RecordBatch.from_arrays([nodes, pa.array(band[held].astype(np.int32)), pa.array(bucket[held])], names=["node", "band", "bucket"])
+
+    return run
+
+
+def _spell(shared):
+    """(node, words) of the rows whose node the broadcast filter may hold. Of equal nodes a piece emits the first.
 
     Words travel as text, which packs well; hashes wouldn't.
     """
-    words = WordHashes()
-    for batch in slices(batches, "text", 1 << 20):
-        found: dict[bytes, bytes] = {}
-        texts = batch.column("text").to_pylist()
-        for t, h in zip(texts, words.of(texts), strict=True):
-            node = _node(h)
-            if node is not None and node not in found:
-                found[node] = b" ".join(words_of(t))
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["node", "words"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, on = WordHashes(), shared.value
+        for batch in slices(batches, "text", 1 << 20):
+            texts = batch.column("text").to_pylist()
+            first: dict[bytes, int] = {}
+            for i, h in enumerate(words.of(texts)):
+                node = _node(h)
+                if node is not None:
+                    first.setdefault(node, i)
+            held = _held(_halves(list(first)), on)
+            found = [node for node, h in zip(first, held, strict=True) if h]
+            spelled = [b" ".join(words_of(texts[first[node]])) for node in found]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(spelled, pa.binary())], names=["node", "words"])
+
+    return run
 
 
 def _bags(k: int):
@@ -211,34 +285,43 @@ def _verify(similarity: float):
     return run
 
 
-def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, root) for all nodes; root: the smallest node of the component.
+def connected(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, root) for all nodes of labels, in which edges join components further; root: the smallest node.
 
-    Each turn hooks every root to its smallest neighbouring root and then follows the hooks until
-    they end at roots, so the components shrink by a factor each turn. All steps are joins and
-    partial aggregates; nothing of the graph comes to the driver but a count of rows.
+    labels: (node, root) as kept so far, each root a node of its own. Each turn hooks every root
+    to its smallest neighbouring root and then follows the hooks until they end at roots, so the
+    components shrink by a factor each turn. All steps are joins and partial aggregates; nothing of
+    the graph comes to the driver but counts of rows, by which the steps are dealt to tasks.
     """
-    labels = keep(nodes.select("node", F.col("node").alias("root")).distinct(), "labels")
-    rest = keep(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "edges")
-    while not rest.isEmpty():
-        hooks = keep(rest.groupBy(F.col("b").alias("root")).agg(F.min("a").alias("to")), "hooks")
+    n, first = labels.count(), labels
+
+    def between(pairs: DataFrame, roots: DataFrame, node: str, root: str, rows: int) -> tuple[DataFrame, int]:
+        """The distinct edges of different roots that pairs become, and their number; a node without a root stays."""
+        a = roots.select(F.col(node).alias("a"), F.col(root).alias("ra"))
+        b = roots.select(F.col(node).alias("b"), F.col(root).alias("rb"))
+        moved = pairs.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y"))
+        moved = moved.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        out = keep(moved, "edges", rows)
+        return out, out.count()
+
+    rest, m = between(edges.select("a", "b"), labels, "node", "root", edges.count())
+    while m:
+        hooks = keep(rest.groupBy(F.col("b").alias("root")).agg(F.min("a").alias("to")), "hooks", m)
         while True:
             step = hooks.select(F.col("root").alias("to"), F.col("to").alias("further"))
             longer = hooks.join(step, "to").limit(1)
             if longer.isEmpty():
                 break
             jumped = hooks.join(step, "to", "left").select("root", F.coalesce("further", "to").alias("to"))
-            old, hooks = hooks, keep(jumped, "hooks")
+            old, hooks = hooks, keep(jumped, "hooks", m)
             drop_kept(old)
-        old, labels = labels, keep(labels.join(hooks, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
-        drop_kept(old)
-        a = hooks.select(F.col("root").alias("a"), F.col("to").alias("ra"))
-        b = hooks.select(F.col("root").alias("b"), F.col("to").alias("rb"))
-        moved = rest.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y"))
-        moved = moved.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        old, rest = rest, keep(moved, "edges")
+        old, labels = labels, keep(labels.join(hooks, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels", n)
+        if old is not first:
+            drop_kept(old)
+        old, (rest, m) = rest, between(rest, hooks, "root", "to", m)
         drop_kept(old)
         drop_kept(hooks)
+    drop_kept(rest)
     return labels
 
 
@@ -247,6 +330,33 @@ def _key(text: str) -> Column:
     return F.unhex(F.md5(col(text).cast("string").cast("binary")))
 
 
+def _possible_pairs(open_: DataFrame, bags: DataFrame, similarity: float, kept: Callable[..., DataFrame]) -> DataFrame:
+    """(a, b, n) of members of one bucket that have different roots and may be similar."""
+    places = open_.count()
+    own = bags.join(open_.select("node").distinct(), "node").select("node", F.xxhash64("node").alias("id"), "bag")
+    size = (F.octet_length("bag") / 8).cast("bigint")
+    share = similarity / (1 + similarity)  # of the two sizes together, the least overlap of a pair
+
+    def with_common(bags_of: DataFrame) -> DataFrame:
+        """(node, size, common): how many shingles of each bag some other of these bags has too."""
+        parts = bags_of.select("id", "bag").mapInArrow(_distinct_shingles, "id bigint, shingle bigint, n bigint")
+        alone = parts.groupBy("shingle").agg(F.count("*").alias("nodes"), F.min("id").alias("id"), F.sum("n").alias("n")).where("nodes = 1").groupBy("id").agg(F.sum("n").alias("alone"))
+        return kept(bags_of.join(alone, "id", "left").select("node", size.alias("size"), (size - F.coalesce("alone", F.lit(0))).alias("common")), "sizes", places, TASK_PAIRS)
+
+    # who can't reach the overlap with the smallest member of any of its buckets is out, and its shingles with it
+    sized = open_.join(with_common(own), "node")
+    smallest = sized.groupBy("bucket").agg(F.min("size").alias("least"))
+    able = sized.join(smallest, "bucket").where(F.col("common") >= share * (F.col("size") + F.col("least")) - 1e-6).select("node").distinct()
+    sizes = with_common(own.join(kept(able, "able", places), "node"))
+    own_buckets = open_.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("band", "bucket"))).alias("all"))
+    left = kept(open_.join(sizes.join(own_buckets, "node"), "node"), "left", places)
+    right = left.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("node", "root", "size", "common", "all")])
+    needed = share * (F.col("size") + F.col("size2")) - 1e-6
+    first = F.array_intersect("all", "all2")[0]["bucket"] == F.col("k")  # a pair counts in its first common bucket
+    may = (F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & (F.col("common") >= needed) & (F.col("common2") >= needed) & first
+    return left.withColumnRenamed("bucket", "k").join(right, (F.col("k") == F.col("bucket")) & may).select(F.col("node").alias("a"), F.col("node2").alias("b"), "n")
+
+
 def row_classes(
     docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
     large: int = LARGE, split: int = SPLIT, doc_id: str = "doc_id", text: str = "text",
@@ -256,85 +366,69 @@ def row_classes(
     Rows of one class have one root; the rest as near_duplicates.
     """
     source = bound_batches(docs).select(col(doc_id).cast("long").alias("doc_id"), col(text).cast("string").cast("binary").alias("text"))
-    used = []
+    used, spark = [], docs.sparkSession
 
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        used.append(keep(df, name))
+    def kept(df: DataFrame, name: str, *bounds: int) -> DataFrame:
+        used.append(keep(df, name, *bounds))
         return used[-1]
 
     signed = kept(source.select("doc_id", "text", _key("text").alias("key")).mapInArrow(_sign(k, bands, rows), "doc_id bigint, key binary, node binary, bands array<bigint>"), "signed")
     nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands"))
     members = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    found = members.join(shared, "bucket")
+    shared = kept(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    held = spark.sparkContext.broadcast(key_filter(shared.select("bucket"), shared.count()))
+    members = signed.where("node IS NOT NULL").select("node", "bands").mapInArrow(_members(held), "node binary, band int, bucket bigint").distinct()
+    found = kept(members.join(shared, "bucket").select("node", "band", "bucket", "n"), "found")
+    held.unpersist()
     score = found.groupBy("node").agg(F.sum("n").alias("score"))
     buckets = kept(found.join(score, "node").select("node", "band", "bucket", "n", "score"), "buckets")
-    candidates = buckets.select("node").distinct()
-    spelled = source.select("text").mapInArrow(_spell, "node binary, words binary").join(candidates, "node").dropDuplicates(["node"])
+    places = all_places = buckets.count()
+    labels = kept(buckets.select("node").distinct().withColumn("root", F.col("node")), "labels", places)
+    candidates = labels.select("node")
+    wanted = spark.sparkContext.broadcast(key_filter(candidates, labels.count()))
+    spelled = source.select("text").mapInArrow(_spell(wanted), "node binary, words binary").join(candidates, "node").dropDuplicates(["node"])
     bags = kept(spelled.select("node", "words").mapInArrow(_bags(k), "node binary, bag binary"), "bags")
+    wanted.unpersist()
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b, n) that are similar; n: about how many pairs b is in."""
+    def link(pairs: DataFrame, rows: int | None = None) -> None:
+        """Join the components of the similar of the pairs (a, b, n); n: about how many pairs b is in; rows: at most so many pairs."""
+        nonlocal labels
         parts = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("n") / split, F.lit(1.0))))).cast("int")
         pairs = pairs.groupBy("a", "b").agg(F.max("n").alias("n")).withColumn("parts", parts)
-        pairs = keep(pairs.select("a", "b", "parts", F.pmod(F.xxhash64("a"), "parts").alias("part")), "pairs")
+        pairs = kept(pairs.select("a", "b", "parts", F.pmod(F.xxhash64("a"), "parts").alias("part")), "pairs", rows)
+        found = pairs.count()
+        if not found:
+            return
         copies = pairs.select("b", "parts", "part").distinct().join(bags.select(F.col("node").alias("b"), F.col("bag").alias("other")), "b")
         both = pairs.join(bags.withColumnRenamed("node", "a"), "a").join(copies, ["b", "parts", "part"])
-        out = kept(both.select("a", "b", "bag", "other").mapInArrow(_verify(similarity), "a binary, b binary"), "links")
-        drop_kept(pairs)
-        return out
-
-    labels = candidates.withColumn("root", F.col("node"))
-    links = None
-
-    def link(pairs: DataFrame) -> None:
-        nonlocal links, labels
-        new = verified(pairs)
-        if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            labels = connected(links, candidates)
+        links = kept(both.select("a", "b", "bag", "other").mapInArrow(_verify(similarity), "a binary, b binary"), "links", found, TASK_PAIRS)
+        old, labels = labels, connected(links, labels)
+        if labels is not old:
             used.append(labels)
 
-    placed, open_before = buckets.withColumn("root", F.col("node")), None
+    placed = buckets.withColumn("root", F.col("node")).withColumn("before", F.col("n"))
     while True:
         hubs = placed.groupBy("bucket").agg(F.max(F.struct("score", "node", "root")).alias("hub"))
         apart = placed.join(hubs, "bucket").where(F.col("root") != F.col("hub.root"))
-        met = kept(apart.select("node", "band", "bucket", "n", "score", F.col("hub.node").alias("b")), "stars")
-        link(met.select(F.col("node").alias("a"), "b", "n"))
+        met = kept(apart.select("node", "band", "bucket", "n", "score", "before", F.col("hub.node").alias("b")), "stars", places)
+        places = met.count()
+        link(met.select(F.col("node").alias("a"), "b", "n"), places)
+        # buckets that are still large go on, if this hub halved them
+        open_ = met.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > large).select("bucket")
         roots = labels.select(F.col("node").alias("b"), F.col("root").alias("hub_root"))
-        hub_roots = met.select("bucket", "b").distinct().join(roots, "b").select("bucket", "hub_root")
-        rest = met.join(labels, "node").join(hub_roots, "bucket").where("root != hub_root")
-        rest = kept(rest.select("node", "band", "bucket", "n", "score", "root"), "rest")
-        open_ = rest.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > large).agg(F.sum("m")).first()[0] or 0
-        if not open_ or (open_before is not None and open_ > open_before / 2):
+        rest = met.join(open_, "bucket").join(labels, "node").join(roots, "b").where("root != hub_root")
+        rest = kept(rest.select("node", "band", "bucket", "n", "score", "before", "root"), "rest", places)
+        shrunk = rest.groupBy("bucket").agg(F.count("*").alias("m"), F.first("before").alias("was")).where((F.col("m") > large) & (F.col("m") <= F.col("was") / 2))
+        placed = kept(rest.drop("before").join(shrunk.select("bucket", F.col("m").alias("before")), "bucket"), "placed", places)
+        places = placed.count()
+        if not places:
             break
-        placed, open_before = rest, open_
 
     placed = buckets.join(labels, "node")
     apart = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
-    open_ = kept(placed.join(apart, "bucket").select("node", "band", "bucket", "n", "root"), "open")
-    own = bags.join(open_.select("node").distinct(), "node").select("node", F.xxhash64("node").alias("id"), "bag")
-    size = (F.octet_length("bag") / 8).cast("bigint")
-    share = similarity / (1 + similarity)  # of the two sizes together, the least overlap of a pair
-
-    def with_common(bags_of: DataFrame) -> DataFrame:
-        """(node, size, common): how many shingles of each bag some other of these bags has too."""
-        parts = bags_of.select("id", "bag").mapInArrow(_distinct_shingles, "id bigint, shingle bigint, n bigint")
-        alone = parts.groupBy("shingle").agg(F.count("*").alias("nodes"), F.min("id").alias("id"), F.sum("n").alias("n")).where("nodes = 1").groupBy("id").agg(F.sum("n").alias("alone"))
-        return kept(bags_of.join(alone, "id", "left").select("node", size.alias("size"), (size - F.coalesce("alone", F.lit(0))).alias("common")), "sizes")
-
-    # who can't reach the overlap with the smallest member of any of its buckets is out, and its shingles with it
-    sized = open_.join(with_common(own), "node")
-    smallest = sized.groupBy("bucket").agg(F.min("size").alias("least"))
-    able = sized.join(smallest, "bucket").where(F.col("common") >= share * (F.col("size") + F.col("least")) - 1e-6).select("node").distinct()
-    sizes = with_common(own.join(kept(able, "able"), "node"))
-    sizes = kept(sizes.join(nodes.select("node", F.col("bands").alias("all")), "node"), "sizes")
-    left = open_.join(sizes, "node")
-    right = left.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("node", "root", "size", "common", "all")])
-    needed = share * (F.col("size") + F.col("size2")) - 1e-6
-    first = F.array_position(F.zip_with("all", "all2", lambda x, y: x == y), True) == F.col("band") + 1  # a pair counts in its first common bucket
-    may = (F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & (F.col("common") >= needed) & (F.col("common2") >= needed) & first
-    link(left.withColumnRenamed("bucket", "k").join(right, (F.col("k") == F.col("bucket")) & may).select(F.col("node").alias("a"), F.col("node2").alias("b"), "n"))
+    open_ = kept(placed.join(apart, "bucket").select("node", "band", "bucket", "n", "root"), "open", all_places)
+    if not open_.isEmpty():
+        link(_possible_pairs(open_, bags, similarity, kept))
 
     classes = nodes.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc")
     least = classes.groupBy("root").agg(F.min("doc").alias("class_id"))

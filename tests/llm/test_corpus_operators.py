@@ -2,6 +2,7 @@
 repeated rows, empty tables and extra columns."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from lectern.llm import decontamination, language_id, license_scan, near_dedup, quality, secret_scan, sentencepiece_codec, token_store, topk, url_filter
 from lectern.llm import queries as corpus
 from lectern.llm.common import words_of
+from lectern.session import keep
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, label string, words string"
 LONG = "wordy " * 30_000
@@ -244,6 +246,26 @@ def test_near_duplicates_of_rows_without_id(spark):
     assert sorted(got, key=str) == sorted([(3, 3), (None, 3), (None, 9), (None, 9), (9, 9), (None, 7), (None, 7), (7, 7), (7, 7)], key=str)
 
 
+def test_only_texts_of_candidates_leave_their_task(spark):
+    """Filters let all wanted texts and buckets through, and few others; small steps take few tasks."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(40)).encode() for _ in range(2000)]
+    nodes = [near_dedup._node(h) for h in near_dedup.WordHashes().of(texts)]
+    wanted = spark.createDataFrame([(bytes(n),) for n in nodes[:100]], "node binary")
+    shared = spark.sparkContext.broadcast(near_dedup.key_filter(wanted, 100))
+    spelled = spark.createDataFrame([(bytearray(t),) for t in texts], "text binary").mapInArrow(near_dedup._spell(shared), "node binary, words binary")
+    got = {bytes(r.node) for r in spelled.collect()}
+    assert set(nodes[:100]) <= got and len(got) < 140
+    lists = [[i * 7919 + b for b in range(32)] for i in range(300)]
+    buckets = spark.createDataFrame([(x[3],) for x in lists], "bucket bigint")
+    shared = spark.sparkContext.broadcast(near_dedup.key_filter(buckets, 300))
+    frame = spark.createDataFrame([(bytes(n), x) for n, x in zip(nodes, lists)], "node binary, bands array<bigint>")
+    got = {(bytes(r.node), r.band, r.bucket) for r in frame.mapInArrow(near_dedup._members(shared), "node binary, band int, bucket bigint").collect()}
+    assert {(n, 3, x[3]) for n, x in zip(nodes, lists)} <= got and len(got) < 600
+    kept = keep(spark.range(100).repartition(8), "few", 100)
+    assert len(kept.inputFiles()) == 1 and kept.count() == 100
+
+
 def test_one_row_of_each_class(spark):
     """Rows are kept by themselves and not by a doc_id that they share with other rows."""
     words = {w: [f"{w}{i}" for i in range(60)] for w in "taxyz"}
