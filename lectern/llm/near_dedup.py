@@ -23,6 +23,7 @@ adds nothing to the classes, so no class is lost.
 Before members and texts are shuffled, a broadcast filter of bounded size drops those that no other
 node shares a bucket with. It may let others through, which the join that follows drops.
 
+Bags are written in buckets by their node, so pairs are shuffled to them and not they to each list of pairs.
 A hub meets all members of its bucket, so its shingles are sent in as many copies as its bucket
 has parts of SPLIT members, and each pair goes to one of these copies.
 """
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import drop_kept, keep
+from ..session import drop_kept, keep, keep_by
 from .common import WordHashes, bound_batches, col, mix, rolling, slices, unused, words_of
 
 SHINGLE = 5
@@ -340,8 +341,9 @@ def _possible_pairs(open_: DataFrame, bags: DataFrame, similarity: float, kept:
     def with_common(bags_of: DataFrame) -> DataFrame:
         """(node, size, common): how many shingles of each bag some other of these bags has too."""
         parts = bags_of.select("id", "bag").mapInArrow(_distinct_shingles, "id bigint, shingle bigint, n bigint")
+        sizes = bags_of.select("id", "node", size.alias("size"))  # a bag itself needn't come to its sums
         alone = parts.groupBy("shingle").agg(F.count("*").alias("nodes"), F.min("id").alias("id"), F.sum("n").alias("n")).where("nodes = 1").groupBy("id").agg(F.sum("n").alias("alone"))
-        return kept(bags_of.join(alone, "id", "left").select("node", size.alias("size"), (size - F.coalesce("alone", F.lit(0))).alias("common")), "sizes", places, TASK_PAIRS)
+        return kept(sizes.join(alone, "id", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common")), "sizes", places, TASK_PAIRS)
 
     # who can't reach the overlap with the smallest member of any of its buckets is out, and its shingles with it
     sized = open_.join(with_common(own), "node")
@@ -387,7 +389,8 @@ def row_classes(
     candidates = labels.select("node")
     wanted = spark.sparkContext.broadcast(key_filter(candidates, labels.count()))
     spelled = source.select("text").mapInArrow(_spell(wanted), "node binary, words binary").join(candidates, "node").dropDuplicates(["node"])
-    bags = kept(spelled.select("node", "words").mapInArrow(_bags(k), "node binary, bag binary"), "bags")
+    bags = keep_by(spelled.select("node", "words").mapInArrow(_bags(k), "node binary, bag binary"), "bags", "node")
+    used.append(bags)
     wanted.unpersist()
 
     def link(pairs: DataFrame, rows: int | None = None) -> None:

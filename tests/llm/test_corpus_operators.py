@@ -283,6 +283,28 @@ def test_one_row_of_each_class(spark):
     assert len([t for i, t in got if i is None and t in (text["z"], near["z"])]) == 1 and len(got) == 9
 
 
+def test_bags_are_shuffled_to_their_pairs_alone(spark):
+    """Bags lie in buckets of their nodes: what is joined with them goes to them, and they move once a hub's pairs need them."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(150):  # pairs of near copies
+        words = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], "other"]))]
+    bag_bytes = 8 * 596 * len(rows)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    written = lambda: (spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000), spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite())[1]
+    try:
+        frame = keep(spark.createDataFrame(rows, "doc_id bigint, text string"), "rows")
+        before = written()
+        got = near_dedup.near_duplicates(frame).collect()
+        moved = written() - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted((r.doc_id, r.class_id) for r in got) == [(i, i - i % 2) for i in range(300)]
+    assert moved < 4 * bag_bytes, moved / bag_bytes  # texts, bags and hubs move once each
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("lectern_")]
+
+
 def test_quality(spark, sf, docs):
     sf = sf.replace("0.001", "0.01")
     base, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
