@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bound_batches, col, pieces
+from .common import WordHashes, bound_batches, col, give_back, pieces
 
 #: Labelled rows that are sampled for each label, the bound of what is collected and broadcast.
 SAMPLE = 2000
@@ -115,16 +115,35 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def latent_axes(x: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """The leading right singular vectors of x (columns), by power iteration from a fixed start."""
+def latent_axes(x: np.ndarray, weights: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
+    """The leading right singular vectors of x * weights (columns), by power iteration from a fixed start.
+
+    Rows are weighted and widened by blocks, so x, which has half floats, is never held whole as anything wider.
+    """
+
+    def weighted() -> Iterator[np.ndarray]:
+        for i in range(0, len(x), BLOCK):
+            yield x[i : i + BLOCK].astype(np.float32) * weights
+
     rng = np.random.default_rng(5)
     axes = rng.normal(size=(x.shape[1], min(2 * dimensions, *x.shape)))
     for _ in range(6):
-        axes = np.linalg.qr(x.T @ (x @ axes))[0]
-    _, _, turn = np.linalg.svd(x @ axes, full_matrices=False)
+        axes = np.linalg.qr(sum(part.T @ (part @ axes) for part in weighted()))[0]
+    _, _, turn = np.linalg.svd(np.concatenate([part @ axes for part in weighted()]), full_matrices=False)
     return (axes @ turn.T)[:, :dimensions]
 
 
+def learn(x: np.ndarray, y: np.ndarray) -> Model:
+    """The model of term vectors x (half floats, in rows) and their labels y."""
+    n = max(1, len(x))
+    weights = np.log((1 + n) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(0.3)
+    axes = latent_axes(x, weights) if len(x) else np.zeros((TERMS, 0))
+    model = Model(weights, np.ascontiguousarray(axes, np.float32), np.zeros((0, axes.shape[1]), np.float32), y)
+    parts = [model.project(x[i : i + BLOCK].astype(np.float32)) for i in range(0, len(x), BLOCK)]
+    model.vectors = np.concatenate([model.vectors, *parts]).astype(np.float32)
+    return model
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality") -> Model:
     """Learn from at most `sample` labelled rows of each label, picked by a hash of their ids.
 
@@ -141,12 +160,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "
     rows = texts.join(F.broadcast(ids), "id").select(pick.alias("pick"), "label", "text").mapInArrow(_terms, "pick bigint, label int, terms binary")
     got = sorted((r.label, bytes(r.terms)) for r in rows.orderBy("pick", "label", "terms").limit(4 * sample).collect())
     y = np.array([g[0] for g in got], np.float64)
-    x = np.array([np.frombuffer(g[1], "<f2") for g in got], np.float32).reshape(-1, TERMS)
-    n = max(1, len(x))
-    weights = np.log((1 + n) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(0.3)
-    axes = latent_axes(x * weights) if len(x) else np.zeros((TERMS, 0))
-    model = Model(weights, np.ascontiguousarray(axes, np.float32), np.zeros((0, axes.shape[1]), np.float32), y)
-    model.vectors = model.project(x).astype(np.float32)
+    x = np.empty((len(got), TERMS), "<f2")
+    for row, (_, terms) in zip(x, got, strict=True):
+        row[:] = np.frombuffer(terms, "<f2")
+    del got
+    model = learn(x, y)
+    del x
+    give_back()
     return model
 
 

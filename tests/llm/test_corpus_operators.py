@@ -305,6 +305,27 @@ def test_bags_are_shuffled_to_their_pairs_alone(spark):
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("lectern_")]
 
 
+def test_quality_learns_in_little_memory():
+    """The driver holds its sample as half floats and widens it by blocks."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    y = np.repeat([0.0, 1.0], 1500)
+    x = np.empty((3000, quality.TERMS), "<f2")
+    for row, label in zip(x, y):
+        row[:] = 0
+        row[rng.integers(0, 1000, 60) + 900 * int(label)] = 0.1
+    tracemalloc.start()
+    model = quality.learn(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * x.nbytes, peak / x.nbytes
+    wide = x.astype(np.float32) * model.weights  # the axes span what a plain decomposition finds
+    best = np.linalg.svd(wide, compute_uv=False)[: quality.DIMENSIONS]
+    assert np.linalg.norm(wide @ model.axes) > 0.99 * np.linalg.norm(best)
+    assert ((model.score(x[::50].astype(np.float32)) > 0.5) == (y[::50] == 1)).all()
+
+
 def test_quality(spark, sf, docs):
     sf = sf.replace("0.001", "0.01")
     base, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
