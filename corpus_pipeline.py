@@ -45,9 +45,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    back = sentencepiece_codec.decode(sentencepiece_codec.encode(docs.select("doc_id", "text"), model), model)
-    same = F.coalesce(F.col("decoded") == F.col("text"), F.col("text").isNull())
-    return back.select("doc_id", "n_ids", "ids", same.alias("round_trip"))
+    return sentencepiece_codec.encode_checked(docs.select("doc_id", "text"), model).select("doc_id", "n_ids", "ids", "round_trip")
 
 
 STAGES = [

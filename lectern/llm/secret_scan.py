@@ -125,7 +125,9 @@ def candidates(texts: DataFrame, rules: list[tuple[str, str, int, int]]) -> Data
     """(key, kinds): for each of texts (key, text) the rules of which it has all trigrams of an alternative."""
     terms = [(kind, i, gram, len(alt)) for kind, pattern, _, _ in rules for i, alt in enumerate(trigram_query(pattern)) for gram in sorted(alt)]
     postings = build_index(texts, sorted({t[2] for t in terms}))
-    query = texts.sparkSession.createDataFrame(terms, "kind string, alternative int, gram string, grams int")
+    # as literals: rows given to createDataFrame would pass through Python workers
+    rows = [F.struct(F.lit(k).alias("kind"), F.lit(i).alias("alternative"), F.lit(g).alias("gram"), F.lit(n).alias("grams")) for k, i, g, n in terms]
+    query = texts.sparkSession.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
     met = postings.join(F.broadcast(query), "gram").groupBy("key", "kind", "alternative", "grams").agg(F.count_distinct("gram").alias("n"))
     return met.where("n = grams").groupBy("key").agg(F.collect_set("kind").alias("kinds"))
 

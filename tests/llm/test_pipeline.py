@@ -5,6 +5,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from lectern.llm import secret_scan, sentencepiece_codec
 from tests.llm.test_corpus_operators import classes, contamination, spans
 
 
@@ -51,3 +52,27 @@ def test_stages_keep_clashing_columns(spark, sf):
             assert len(rows) == held.count()
     encoded = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     assert len(encoded) == docs.count() and all(r.round_trip for r in encoded)
+
+
+def test_stages_take_few_python_workers(spark, sf):
+    """Texts are encoded and checked in one worker a task, and finding secrets takes none."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
+    odd = [(900, None), (901, ""), (None, "a \u2581 mark"), (902, "h\u00e9\u00e9 \u65e5\u672c \U0001f600\tx\r\n  y "), (902, "\u2581"), (903, "wordy " * 20_000)]
+    texts = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id bigint, text string"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    stages = dict(corpus_pipeline.STAGES)
+    assert plan(stages["sentencepiece"](spark, docs, sf)).count("ArrowEvalPython") == 1
+    out = stages["sentencepiece"](spark, texts, sf)
+    back = sentencepiece_codec.decode(sentencepiece_codec.encode(texts, model), model)
+    same = F.coalesce(F.col("decoded") == F.col("text"), F.col("text").isNull())
+    key = lambda r: (str(r.doc_id), bytes(r.ids or b""))
+    rows = sorted(out.collect(), key=key)
+    assert rows == sorted(back.select("doc_id", "n_ids", "ids", same.alias("round_trip")).collect(), key=key)
+    assert {r.round_trip for r in rows} == {True, False}
+    named = sentencepiece_codec.encode_checked(docs.select("doc_id", "text", F.lit("x").alias("both"), F.lit("y").alias("ids")), model)
+    assert named.columns == ["doc_id", "text", "both", "n_ids", "ids", "round_trip"] and {r.both for r in named.collect()} == {"x"}
+
+    rules = [r for r in secret_scan.RULES if frozenset() not in secret_scan.trigram_query(r[1])]
+    found = secret_scan.candidates(docs.selectExpr("CAST(doc_id AS STRING) AS key", "text"), rules)
+    assert "Python" not in plan(found) and "ExistingRDD" not in plan(found)
