@@ -13,6 +13,7 @@ they stand, but what holds outside (blocks, hiding, reading aids) ends at them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import geometry as G
-from .html import BLOCKS, VOID
+from .html import BLOCKS, VOID, ended_references
 
 # Elements whose content is never read, and those that are seen but hold no text of the page.
 UNREAD = set("head script style noscript template title meta link audio object embed".split())
@@ -45,8 +46,9 @@ class Node:
 class TreeParser(HTMLParser):
     """Builds the tree of a page; `top` is its root."""
 
-    def __init__(self) -> None:
+    def __init__(self, bare: bool = True) -> None:
         super().__init__(convert_charrefs=True)
+        self.bare = bare
         self.top = Node(ROOT)
         self.open = [self.top]
         self.whole = False  # whether the last child is text that goes on
@@ -74,7 +76,7 @@ class TreeParser(HTMLParser):
         else:
             host.children.append(node)
         if tag == "iframe" and "srcdoc" in own and ("sandbox" not in own or "allow-same-origin" in own["sandbox"].lower().split()):
-            node.children.append(parse(own["srcdoc"]))
+            node.children.append(parse(own["srcdoc"], self.bare))
         if tag not in VOID:
             self.open.append(node)
 
@@ -107,10 +109,10 @@ class TreeParser(HTMLParser):
             self.whole = True
 
 
-def parse(html: str | None) -> Node:
-    parser = TreeParser()
+def parse(html: str | None, bare: bool = True) -> Node:
+    parser = TreeParser(bare)
     if html:
-        parser.feed(html)
+        parser.feed(html if bare else ended_references(html))
         parser.close()
     return parser.top
 
@@ -136,27 +138,28 @@ ATTRS = ("role", "aria-label", "alt", "aria-hidden", "hidden", "style")
 NODES = "node int, last int, depth int, tag string, text string, attrs map<string,string>"
 
 
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _run(batches: Iterator[pa.RecordBatch], bare: bool) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string())]
     for batch in batches:
         for i, html in enumerate(batch.column(batch.schema.get_field_index("html")).to_pylist()):
-            nodes = numbered(parse(html))
+            nodes = numbered(parse(html, bare))
             own = [None if n.attrs is None else [(k, n.attrs[k]) for k in ATTRS if k in n.attrs] for *_, n in nodes]
             made = [[x[0] for x in nodes], [x[1] for x in nodes], [x[2] for x in nodes], [n.tag for *_, n in nodes], [n.text for *_, n in nodes], own]
             page = [pa.repeat(batch.column(c)[i], len(nodes)) for c in (0, 1)]
             yield pa.RecordBatch.from_arrays([*page, *(pa.array(v, k) for v, k in zip(made, kinds, strict=True))], names=["page_row", "page_id", "node", "last", "depth", "tag", "text", "attrs"])
 
 
-def page_nodes(pages: DataFrame) -> DataFrame:
+def page_nodes(pages: DataFrame, bare: bool = True) -> DataFrame:
     """page_row, page_id, node, last, depth, tag, text, attrs: a row for each node of each page.
 
     page_row tells rows of one page_id apart. Tags are in lower case, `#root` for the page, for a
     declarative open shadow root and for a frame whose document stands in its srcdoc. A text has no
     tag. A null or empty page is its root alone; what the page leaves open ends with what is around.
+    bare: whether references without a semicolon count, as they do in a browser.
     """
     source = pages.select(F.monotonically_increasing_id().alias("page_row"), "page_id", F.col("html").cast("string").alias("html"))
     kind = source.schema["page_id"].dataType.simpleString()
-    return source.mapInArrow(_run, f"page_row bigint, page_id {kind}, {NODES}")
+    return source.mapInArrow(partial(_run, bare=bare), f"page_row bigint, page_id {kind}, {NODES}")
 
 
 def within(kind: Column, keys: list[str], itself: bool = False) -> Column:
