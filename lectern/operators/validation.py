@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import once
+
 MAX_TEXT, MAX_TEXTS, MAX_DATA_URL, MAX_PICTURE = 200_000, 5000, 64 << 20, 12 << 20
 # Message types by who may send them, and settings with default, least and most.
 NOTICES = ["OCR_PROGRESS", "OCR_COMPLETE", "PLAYBACK_STARTED", "PLAYBACK_ENDED", "PLAYBACK_ERROR", "PLAYBACK_STOPPED"]
@@ -63,11 +65,24 @@ def request_reason(m: dict[str, Column]) -> Column:
     return F.when(kind.isNull(), "message").when(~m["internal"], "sender").when(to_background, notice).otherwise(request)
 
 
+def _chars(text: Column) -> Column:
+    """Characters of a text; of plain ASCII they are its bytes, which is seen much faster than they are counted."""
+    size = F.octet_length(text)
+    return F.when(F.octet_length(F.decode(text.cast("binary"), "ISO-8859-1")) == size, size).otherwise(F.char_length(text))
+
+
 def queue_texts(texts: Column) -> Column:
-    """The texts that may be queued: blank ones are dropped; null if there are none or too many."""
-    kept = F.filter(texts, lambda t: t.isNotNull() & (F.trim(t) != ""))
-    total = F.aggregate(kept, F.lit(0), lambda a, t: a + F.char_length(t))
-    return F.when((F.size(texts) >= 1) & (F.size(texts) <= MAX_TEXTS) & (F.size(kept) > 0) & (total <= MAX_TEXT), kept)
+    """The texts that may be queued: blank ones are dropped; null if there are none or too many.
+
+    A character has one to four bytes, so characters are counted only where the bytes leave it open.
+    """
+
+    def fit(kept: Column) -> Column:
+        total = lambda size: F.aggregate(kept, F.lit(0).cast("long"), lambda a, t: a + size(t))
+        few = once(total(F.octet_length), lambda n: (n <= MAX_TEXT) | ((n <= 4 * MAX_TEXT) & (total(_chars) <= MAX_TEXT)))
+        return F.when((F.size(texts) >= 1) & (F.size(texts) <= MAX_TEXTS) & (F.size(kept) > 0) & few, kept)
+
+    return once(F.filter(texts, lambda t: t.isNotNull() & (F.trim(t) != "")), fit)
 
 
 def recognition_request(m: dict[str, Column]) -> Column:
@@ -118,10 +133,10 @@ def upload_ok(kind: Column, size: Column, width: Column, height: Column) -> Colu
 
 def version_before(a: Column, b: Column) -> Column:
     """Whether a dotted version is lower than another; missing parts and what isn't a number are 0."""
-    part = lambda v, i: F.coalesce(F.regexp_extract(F.coalesce(F.get(F.split(v, r"\.", -1), i), F.lit("")), r"^\s*(-?\d+)", 1).try_cast("int"), F.lit(0))
-    parts = F.sequence(F.lit(0), F.greatest(F.size(F.split(F.coalesce(a, F.lit("")), r"\.", -1)), F.size(F.split(F.coalesce(b, F.lit("")), r"\.", -1))) - 1)
-    key = lambda v: F.transform(parts, lambda i: part(v, i))
-    return key(a) < key(b)
+    part = lambda p: F.coalesce(F.regexp_extract(p, r"^\s*(-?\d+)", 1).try_cast("int"), F.lit(0))
+    parts = lambda v: F.transform(F.split(F.coalesce(v, F.lit("")), r"\.", -1), part)
+    filled = lambda x, y: F.concat(x, F.array_repeat(F.lit(0), F.size(y) - F.size(x)))
+    return once(F.struct(parts(a).alias("a"), parts(b).alias("b")), lambda p: filled(p["a"], p["b"]) < filled(p["b"], p["a"]))
 
 
 def is_wav(content: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import kernels as K
 from ..operators import validation as V
-from ..session import table
+from ..session import dealt, table
 from .recognition_queries import HEIGHT, LUM, PIXELS, WIDTH, pixels
 
 # messages derived from events, in SQL that both engines read alike
@@ -60,7 +60,7 @@ SELECT p_partkey, CASE WHEN p_size % 7 <> 0 AND p_partkey - 20 BETWEEN 0 AND 100
 
 def payload_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uploads, data URLs, audio headers, byte limits, versions, selections and queued texts from orders."""
-    o = table(spark, sf_dir, "orders").withColumn("k", F.col("o_orderkey"))
+    o = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")).withColumn("k", F.col("o_orderkey"))
     url = F.concat(F.lit("data:image/"), F.when(F.col("k") % 3 == 0, "png").when(F.col("k") % 3 == 1, "svg").otherwise("JPEG"), F.lit(";base64,AAAA"))
     content = F.concat(F.when(F.col("k") % 2 == 0, "RIFF").otherwise("OggS"), F.lpad((F.col("k") % 10000).cast("string"), 4, "0"), F.when(F.col("k") % 5 == 0, "AVI ").otherwise("WAVE"), F.repeat(F.lit("x"), (F.col("k") % 60).cast("int"))).cast("binary")
     version = lambda c: F.concat_ws(".", F.lit("1"), (c % 12).cast("string"), (c % 4).cast("string"))

@@ -258,3 +258,19 @@ def test_alignment_takes_little_memory():
     tracemalloc.stop()
     assert distance == len(a) - len(b) and len(pairs) >= len(b) - 50 and peak < 100 << 20
     assert all(x < y and i < j for (x, i), (y, j) in zip(pairs, pairs[1:]))
+
+
+def test_queued_texts_count_characters(spark):
+    most = V.MAX_TEXT
+    rows = [[["a" * most]], [["a" * most, "b"]], [["あ" * most]], [["あ" * most, " ", None]], [["あ" * (most + 1)]], [["😀" * most]], [["😀" * most, "a"]], [["é" + "a" * (most - 1)]], [["é" + "a" * most]], [[]], [None]]
+    df = spark.createDataFrame(rows, "t array<string>").select(F.size(F.coalesce(V.queue_texts(F.col("t")), F.array())).alias("n"))
+    assert [r.n for r in df.collect()] == [1, 0, 1, 1, 0, 1, 0, 1, 0, 0, 0]
+
+
+def test_payloads_of_a_small_file_are_dealt(spark, tmp_path):
+    from lectern.plans.check_queries import payload_checks
+
+    orders = spark.range(40_000).selectExpr("id AS o_orderkey", "id % 500 AS o_custkey", "'O' AS o_orderstatus", "'1-URGENT' AS o_orderpriority")
+    orders.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    assert spark.read.parquet(f"{tmp_path}/orders.parquet").rdd.getNumPartitions() == 1
+    assert payload_checks(spark, str(tmp_path)).rdd.getNumPartitions() >= 4
