@@ -5,6 +5,7 @@ import shutil
 import tempfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import geometry as G
@@ -274,3 +275,24 @@ def test_payloads_of_a_small_file_are_dealt(spark, tmp_path):
     orders.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
     assert spark.read.parquet(f"{tmp_path}/orders.parquet").rdd.getNumPartitions() == 1
     assert payload_checks(spark, str(tmp_path)).rdd.getNumPartitions() >= 4
+
+
+@pytest.mark.parametrize("name", ["rect_range_join"])
+def test_equal_rectangles_are_joined_once(spark, tmp_path, monkeypatch, name):
+    import duckdb
+
+    from lectern.plans import catalog
+
+    spark.range(600).selectExpr("id % 120 + 28500 * (id div 120) AS p_partkey", "'p' AS p_name", "CAST(id % 120 % 50 AS INT) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(160).selectExpr("id % 40 + 22100 * (id div 40) AS s_suppkey", "CAST(id % 40 % 25 AS INT) AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    join, seen = G.range_join, []
+    monkeypatch.setattr(G, "range_join", lambda left, right, *more: seen.append((left.count(), right.count())) or join(left, right, *more))
+    query, sql = catalog.QUERIES[name]
+    con = duckdb.connect()
+    for t in ("part", "supplier"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    cur = con.execute(sql)
+    names = [d[0] for d in cur.description]
+    want = sorted(cur.fetchall())
+    assert sorted(map(tuple, query(spark, str(tmp_path)).select(*names).collect())) == want and want
+    assert seen == [(120, 40)]
