@@ -277,7 +277,7 @@ def test_payloads_of_a_small_file_are_dealt(spark, tmp_path):
     assert payload_checks(spark, str(tmp_path)).rdd.getNumPartitions() >= 4
 
 
-@pytest.mark.parametrize("name", ["rect_range_join"])
+@pytest.mark.parametrize("name", ["rect_range_join", "clipped_rects"])
 def test_equal_rectangles_are_joined_once(spark, tmp_path, monkeypatch, name):
     import duckdb
 
