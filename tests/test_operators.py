@@ -296,3 +296,16 @@ def test_equal_rectangles_are_joined_once(spark, tmp_path, monkeypatch, name):
     want = sorted(cur.fetchall())
     assert sorted(map(tuple, query(spark, str(tmp_path)).select(*names).collect())) == want and want
     assert seen == [(120, 40)]
+
+
+def test_ruby_lines_are_dealt_once(spark, sf):
+    from lectern.plans import catalog
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        plan = catalog.QUERIES["ruby_lines"][0](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert plan.count("Exchange hashpartitioning") <= 2
